@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.common import as_arrow, buffers, pieces
 
-#: Entries of a worker's memo of pieces, and of pairs; a full memo is emptied, so memory is bounded.
-MEMO = 800_000
+#: Entries of each of the two generations of a worker's memo of pieces, and half those of pairs: memory is bounded.
+MEMO = 400_000
 
 
 class Pretokenizer:
@@ -194,7 +194,7 @@ class Codec:
         known = self.memo.__getitem__
         out = [b"".join(map(known, words[a:b])) for a, b in zip(split[:-1], split[1:], strict=True)]
         if len(self.memo) > MEMO:
-            self.memo.clear()
+            self.memo = _Memo(self, dict(self.memo))
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -202,11 +202,14 @@ class Codec:
 
 
 class _Memo(dict):
-    def __init__(self, codec: Codec):
-        self.codec = codec
+    """Ids by piece; `older` is the generation before, from which what is still in use moves over."""
+
+    def __init__(self, codec: Codec, older: dict[str, bytes] | None = None):
+        self.codec, self.older = codec, older or {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.codec.encode_piece(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        if (ids := self.older.get(piece)) is None:
+            ids = np.array(self.codec.encode_piece(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
         self[piece] = ids
         return ids
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import bpe
+from folioscan.llm import bpe, packing
 from folioscan.llm.common import documents
 
 
@@ -13,6 +13,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ids=False)
 
 
-QUERIES = {"op7_bpe": op7_bpe}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op7_bpe": op7_bpe, "op8_packing": op8_packing}
 
 ORACLES: dict[str, str] = {}
