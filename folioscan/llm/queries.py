@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import bpe, packing
+from folioscan.llm import bpe, packing, simhash
 from folioscan.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op7_bpe": op7_bpe, "op8_packing": op8_packing}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {"op7_bpe": op7_bpe, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
 
 ORACLES: dict[str, str] = {}
