@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import bpe, packing, simhash
+from folioscan.llm import bpe, outliers, packing, quality, simhash
 from folioscan.llm.common import documents
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.rules(documents(spark, sf_dir))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ids=False)
 
@@ -21,6 +29,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op7_bpe": op7_bpe, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
+QUERIES = {"op1_quality": op1_quality, "op4_outliers": op4_outliers, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
 
 ORACLES: dict[str, str] = {}
