@@ -89,6 +89,17 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words with one blank after each, and where they start and end there."""
+    lens = ends - starts + 1
+    stop = np.cumsum(lens)
+    begin = stop - lens
+    total = int(stop[-1]) if len(stop) else 0
+    out = data[np.minimum(np.arange(total) - np.repeat(begin - starts, lens), max(len(data) - 1, 0))]
+    out[stop - 1] = 32
+    return out.tobytes(), begin, stop - 1
+
+
 # ---------------------------------------------------------------- hashes
 
 def mix(x: np.ndarray) -> np.ndarray:

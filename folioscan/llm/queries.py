@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import bpe, outliers, packing, quality, simhash
+from folioscan.llm import bpe, outliers, packing, quality, simhash, substring
 from folioscan.llm.common import documents
 
 
@@ -13,6 +13,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal(documents(spark, sf_dir))
+
+
 def op4_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.rules(documents(spark, sf_dir))
 
@@ -29,6 +33,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_quality": op1_quality, "op4_outliers": op4_outliers, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_quality": op1_quality, "op2_substring": op2_substring, "op4_outliers": op4_outliers, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
+
+ORACLES: dict[str, str] = {
+    "op2_substring": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13),
+k AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY words[i:i + 12]) AS least FROM p),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM k WHERE least < doc_id),
+r AS (SELECT doc_id, list(j) AS gone FROM g GROUP BY doc_id),
+f AS (SELECT w.doc_id, words, coalesce(gone, []) AS gone FROM w LEFT JOIN r USING (doc_id))
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+       sha256(array_to_string([words[j] FOR j IN range(1, len(words) + 1) IF NOT list_contains(gone, j)], ' ')) AS kept_sha256
+FROM f
+""",
+}
