@@ -155,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> D
     lengths, so partitions + `size` rows) and the packing steps.
     """
     spark = docs.sparkSession
-    found = tokenised_pieces(docs, tokenizer, size, end)
+    found = cut(tokenised_pieces(docs, tokenizer, size, end))  # dealing by range reads its input twice
     dealt = cut(found.repartitionByRange(partitions(spark), "length", "doc_id", "start").sortWithinPartitions("length", "doc_id", "start"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
