@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def batched(docs: DataFrame, *columns: str, batch_bytes: int = BATCH_BYTES) -> t
 def ordered(table: pa.Table) -> pa.Table:
     """The rows of a batch in an order that every pass finds again, whatever order they arrive in."""
     by = pa.table({"d": table["doc_id"], "t": table["text"]}) if len(table) else table
-    return table.take(pa.compute.sort_indices(by, sort_keys=[("d", "ascending"), ("t", "ascending")])) if len(table) else table
+    return table.take(pc.sort_indices(by, sort_keys=[("d", "ascending"), ("t", "ascending")])) if len(table) else table
 
 
 def ids(table: pa.Table) -> np.ndarray:

@@ -41,10 +41,10 @@ WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
 p AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13),
 k AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY words[i:i + 12]) AS least FROM p),
 g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM k WHERE least < doc_id),
-r AS (SELECT doc_id, list(j) AS gone FROM g GROUP BY doc_id),
-f AS (SELECT w.doc_id, words, coalesce(gone, []) AS gone FROM w LEFT JOIN r USING (doc_id))
-SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
-       sha256(array_to_string([words[j] FOR j IN range(1, len(words) + 1) IF NOT list_contains(gone, j)], ' ')) AS kept_sha256
-FROM f
+t AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM w),
+s AS (SELECT t.doc_id, list(word ORDER BY t.j) AS kept FROM t ANTI JOIN g ON t.doc_id = g.doc_id AND t.j = g.j GROUP BY t.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - len(coalesce(kept, [])) AS BIGINT) AS n_removed,
+       sha256(array_to_string(coalesce(kept, []), ' ')) AS kept_sha256
+FROM w LEFT JOIN s ON w.doc_id = s.doc_id
 """,
 }
