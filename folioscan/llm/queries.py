@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscan.llm import bpe, outliers, packing, quality, simhash, substring
+from folioscan.llm import bpe, forest, outliers, packing, quality, simhash, substring
 from folioscan.llm.common import documents
 
 
@@ -21,6 +22,10 @@ def op4_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.rules(documents(spark, sf_dir))
 
 
+def op5_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ids=False)
 
@@ -33,7 +38,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_substring": op2_substring, "op4_outliers": op4_outliers, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
+QUERIES = {"op1_quality": op1_quality, "op2_substring": op2_substring, "op4_outliers": op4_outliers, "op5_forest": op5_forest, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
 
 ORACLES: dict[str, str] = {
     "op2_substring": r"""
