@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import bpe, forest, lm, outliers, packing, quality, simhash, substring
+from folioscan.llm import bpe, forest, licences, lm, outliers, packing, quality, simhash, substring, warc
 from folioscan.llm.common import documents
+from folioscan.llm.licence_texts import SPELLINGS, TEXTS
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,10 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal(documents(spark, sf_dir))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op4_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.rules(documents(spark, sf_dir))
 
@@ -26,6 +31,10 @@ def op5_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir)).withColumn("notices", F.array_join("notices", ","))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ids=False)
 
@@ -42,9 +51,32 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_substring": op2_substring, "op4_outliers": op4_outliers, "op5_forest": op5_forest, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_backoff": op9_backoff, "op10_simhash": op10_simhash}
+QUERIES = {"op1_quality": op1_quality, "op2_substring": op2_substring, "op3_warc": op3_warc, "op4_outliers": op4_outliers, "op5_forest": op5_forest, "op6_licences": op6_licences, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_backoff": op9_backoff, "op10_simhash": op10_simhash}
+
+
+
+def _licences_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    texts = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in TEXTS)
+    spelled = ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in SPELLINGS)
+    return rf"""
+WITH raw AS (
+  SELECT 'd' AS kind, doc_id, '' AS licence, coalesce(text, '') AS t FROM documents
+  UNION ALL SELECT 'l', doc_id, '', t FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t FROM documents)
+            WHERE regexp_matches(lower(t), '{licences.ASKS}')
+  UNION ALL SELECT 'k', 0, licence, t FROM (VALUES {texts}) AS v(licence, t)),
+plain AS (SELECT kind, doc_id, licence, trim(regexp_replace(regexp_replace(regexp_replace(lower(t), '{licences.COPYRIGHT}', ' ', 'g'), '{licences.RIGHTS}', ' ', 'g'), '{licences.OTHER}', ' ', 'g')) AS p FROM raw),
+form AS (SELECT kind, doc_id, licence, array_to_string(list_transform(string_split(p, ' '), lambda w: coalesce(MAP {{{spelled}}}[w], w)), ' ') AS f FROM plain),
+k AS (SELECT sha256(f) AS h, min(licence) AS licence_id FROM form WHERE kind = 'k' GROUP BY 1),
+n AS (SELECT doc_id, string_agg(DISTINCT licence_id, ',' ORDER BY licence_id) AS notices FROM form JOIN k ON h = sha256(f) WHERE kind = 'l' GROUP BY 1)
+SELECT form.doc_id, CAST(CASE WHEN f = '' THEN 0 ELSE len(string_split(f, ' ')) END AS BIGINT) AS n_words, sha256(f) AS canonical_sha256,
+       licence_id, coalesce(notices, '') AS notices
+FROM form LEFT JOIN k ON h = sha256(f) LEFT JOIN n ON n.doc_id = form.doc_id WHERE kind = 'd'
+"""
+
 
 ORACLES: dict[str, str] = {
+    "op6_licences": _licences_sql(),
     "op9_backoff": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 t AS (SELECT doc_id, unnest(words) AS c, unnest(range(1, len(words) + 1)) AS i FROM w),
@@ -71,7 +103,7 @@ FROM w LEFT JOIN z USING (doc_id)
     "op2_substring": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 p AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13),
-k AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY words[i:i + 12]) AS least FROM p),
+k AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(words[i:i + 12], ' ')) AS least FROM p),
 g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM k WHERE least < doc_id),
 t AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM w),
 s AS (SELECT t.doc_id, list(word ORDER BY t.j) AS kept FROM t ANTI JOIN g ON t.doc_id = g.doc_id AND t.j = g.j GROUP BY t.doc_id)
