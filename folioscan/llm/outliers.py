@@ -167,8 +167,8 @@ class Estimates:
             self.cov[s, g] = np.round(factor * cov, 9) + np.diag(FLOORS**2)
 
 
-def _grouped(stats: DataFrame) -> tuple[DataFrame, int, DataFrame]:
-    """(g and statistics of the documents that passed the base rules, number of estimates, stats with g)."""
+def _grouped(stats: DataFrame) -> tuple[DataFrame, DataFrame, dict, dict]:
+    """(g and statistics of the documents that passed the base rules, stats with g, g by language and source, by language)."""
     spark = stats.sparkSession
     passed = stats.where(~F.col("base_failed"))
     total = passed.count()
@@ -182,12 +182,14 @@ def _grouped(stats: DataFrame) -> tuple[DataFrame, int, DataFrame]:
     # at most 4096 rows each, see MAX_OWN
     joined = stats.join(F.broadcast(known_pairs), F.col("lang").eqNullSafe(F.col("l1")) & F.col("source").eqNullSafe(F.col("s1")), "left").join(F.broadcast(known_langs), F.col("lang").eqNullSafe(F.col("l2")), "left")
     joined = joined.withColumn("g", F.coalesce("g1", "g2", F.lit(0))).drop("l1", "s1", "g1", "l2", "g2")
-    return joined.where(~F.col("base_failed")).select("g", *STATISTICS), 1 + len(langs) + len(pairs), joined
+    numbers = ({p: 1 + len(langs) + i for i, p in enumerate(pairs)}, {v: 1 + i for i, v in enumerate(langs)})
+    return joined.where(~F.col("base_failed")).select("g", *STATISTICS), joined, *numbers
 
 
-def estimate(stats: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """(centres, inverse covariances) by group number, and the statistics with that number, g."""
-    rows, groups, joined = _grouped(stats)
+def estimate(stats: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame, dict, dict]:
+    """(centres, inverse covariances) by group number g, the statistics with g, and g by language and source, by language."""
+    rows, joined, by_pair, by_lang = _grouped(stats)
+    groups = 1 + len(by_pair) + len(by_lang)
     context = stats.sparkSession.sparkContext
     est = Estimates(groups)
 
@@ -259,12 +261,12 @@ def estimate(stats: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame]:
         limits = now
     best = np.linalg.slogdet(est.cov)[1].argmin(axis=0)
     pick = np.arange(groups)
-    return est.center[best, pick], est.inverse[best, pick], joined
+    return est.center[best, pick], est.inverse[best, pick], joined, by_pair, by_lang
 
 
 def rules(docs: DataFrame, reject: float = REJECT) -> DataFrame:
     """doc_id, the statistics, base_failed, distance (squared, Mahalanobis) and kept."""
-    center, inverse, joined = estimate(cut(document_statistics(docs)))
+    center, inverse, joined, *_ = estimate(cut(document_statistics(docs)))
     shared = docs.sparkSession.sparkContext.broadcast((center, inverse))  # 8193 estimates at most
     limit = chi2_quantile(1 - reject, K)
 
@@ -278,3 +280,30 @@ def rules(docs: DataFrame, reject: float = REJECT) -> DataFrame:
 
     schema = "doc_id long, " + ", ".join(f"{k} long" for k in STATISTICS) + ", base_failed boolean, distance double, kept boolean"
     return joined.select("g", *STATISTICS, "doc_id", "base_failed").mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, columns: tuple[str, ...], reject: float = REJECT) -> DataFrame:
+    """`columns` (doc_id, text, lang and source among them) of the documents that the rules keep.
+
+    The statistics of a text are computed again where the text is read, which costs less than joining texts by id.
+    """
+    center, inverse, _, by_pair, by_lang = estimate(cut(document_statistics(docs)))
+    shared = docs.sparkSession.sparkContext.broadcast((center, inverse, by_pair, by_lang))  # 8193 estimates at most
+    limit = chi2_quantile(1 - reject, K)
+    kept = docs.select(*columns)
+    at = [kept.columns.index(k) for k in ("text", "lang", "source")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, v, pairs, langs = shared.value
+        for batch in batches:
+            data, offs = buffers(batch.column(at[0]))
+            for a, b in pieces(offs):
+                part = batch.slice(a, b - a)
+                s = statistics(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                lang, source = (part.column(i).cast(pa.string()).to_pylist() for i in at[1:])
+                g = pa.array([pairs.get(p, langs.get(p[0], 0)) for p in zip(lang, source, strict=True)], pa.int64())
+                g, x = _vectors(as_arrow(g=g, **s))
+                failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEATED * s["n_words"])
+                yield part.filter(pa.array(~failed & (_distances(x, c[g], v[g]) <= limit)))
+
+    return kept.mapInArrow(run, kept.schema)

@@ -169,12 +169,13 @@ def score(docs: DataFrame, model: Network | float, keep: tuple[str, ...] = ("doc
         return docs.select(*keep, F.lit(model).alias(column))
     table = model.table()
     shared = docs.sparkSession.sparkContext.broadcast((model, table))  # 3 MB, whatever the input
-    kept = docs.select(*keep, F.col("text").alias("__text"))
+    kept = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, t = shared.value
         for batch in batches:
-            data, offs = buffers(batch.column(batch.num_columns - 1))
+            data, offs = buffers(batch.column(at))
             for a, b in pieces(offs):
                 logit = net.logits(t, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]).astype(np.float64)
                 part = batch.slice(a, b - a)
@@ -184,6 +185,11 @@ def score(docs: DataFrame, model: Network | float, keep: tuple[str, ...] = ("doc
     return kept.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keep) + f", `{column}` double")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...], threshold: float = THRESHOLD) -> DataFrame:
+    """`columns` of the documents whose score reaches the threshold."""
+    return score(docs, train(docs, labels), columns, "__score").where(F.col("__score") >= threshold).select(*columns)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     scored = score(docs, train(docs, labels))

@@ -102,10 +102,10 @@ FROM w LEFT JOIN z USING (doc_id)
 """,
     "op2_substring": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-p AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13),
-k AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(words[i:i + 12], ' ')) AS least FROM p),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM k WHERE least < doc_id),
 t AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM w),
+p AS (SELECT doc_id, j AS i, word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d || ' ' || lead(word, 4) OVER d || ' ' || lead(word, 5) OVER d || ' ' || lead(word, 6) OVER d || ' ' || lead(word, 7) OVER d || ' ' || lead(word, 8) OVER d || ' ' || lead(word, 9) OVER d || ' ' || lead(word, 10) OVER d || ' ' || lead(word, 11) OVER d || ' ' || lead(word, 12) OVER d AS words FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY j)),
+k AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY words) AS least FROM p WHERE words IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM k WHERE least < doc_id),
 s AS (SELECT t.doc_id, list(word ORDER BY t.j) AS kept FROM t ANTI JOIN g ON t.doc_id = g.doc_id AND t.j = g.j GROUP BY t.doc_id)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - len(coalesce(kept, [])) AS BIGINT) AS n_removed,
        sha256(array_to_string(coalesce(kept, []), ' ')) AS kept_sha256

@@ -12,8 +12,9 @@ spanning forest rather than all pairs: entries that a search has reached leave t
 fingerprints costs little more than its size.  No list or pair is dropped.
 
 Cases: a null, empty or blank text has no word, fingerprint zero, and links like any other; under four words (the
-shingle's width) the words there are form the one shingle; repeated rows keep their own doc_id; an empty table gives
-no rows; further columns are ignored.
+shingle's width) the words there are form the one shingle; repeated rows each give a row; a null doc_id counts as the
+largest (ids stay below 2^62) and a group without any other has a null component_id; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import as_arrow, buffers, cut, partitions, pieces, word_spans
+from folioscan.llm.common import as_arrow, buffers, cut, joined_words, partitions, pieces, word_spans
 from folioscan.llm.components import components
 
 SEED = 42
@@ -40,21 +41,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The words with one blank after each, and where they start and end there."""
-    lens = ends - starts + 1
-    stop = np.cumsum(lens)
-    begin = stop - lens
-    out = data[np.minimum(np.arange(int(stop[-1]) if len(stop) else 0) - np.repeat(begin - starts, lens), max(len(data) - 1, 0))]
-    out[stop - 1] = 32
-    return out.tobytes(), begin, stop - 1
-
-
 def fingerprints_of(data: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """Unsigned 64-bit fingerprint of each row."""
     data = _LOWER[data]
     starts, ends, first = word_spans(data, offs)
-    text, begin, stop = _joined_words(data, starts, ends)
+    text, begin, stop = joined_words(data, starts, ends)
     words = np.diff(first)
     n = np.where(words >= width, words - width + 1, np.minimum(words, 1))  # shingles
     shift = np.cumsum(n) - n
@@ -188,7 +179,20 @@ def links(entries: DataFrame, bits: int = BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, bits: int = BITS, width: int = WIDTH) -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable by links."""
     each = cut(fingerprints(docs, width))
-    entries = cut(each.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    # a fingerprint of rows without ids takes a number beyond all ids
+    beyond = F.lit(1 << 62) + F.shiftrightunsigned("fp", 2)
+    entries = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", beyond).alias("node")))
     groups = components(links(entries, bits))
     labels = entries.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return each.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = F.when(F.col("component_id") < 1 << 62, F.col("component_id"))
+    return each.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), named.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, columns: tuple[str, ...], bits: int = BITS) -> DataFrame:
+    """`columns` of the document with the smallest doc_id of each group; of rows with equal ids one stays.
+
+    Rows without an id can't be told apart by it and all stay.
+    """
+    first = near_duplicates(docs, bits).where("component_id = doc_id").select("doc_id").distinct()
+    kept = docs.where("doc_id IS NOT NULL").select(*columns).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*columns).unionByName(docs.where("doc_id IS NULL").select(*columns))
