@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,3 +64,25 @@ def cut_by_bucket(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.n
     """(bucket, start, stop) of each bucket present in ascending keys."""
     found, start = np.unique(bucket_of(key, n), return_index=True)
     return found, start, np.append(start[1:], len(key))
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as byte planes of their differences."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def pack_places(doc: np.ndarray, row: np.ndarray, word: np.ndarray) -> bytes:
+    """Where occurrences stand, in the order of their rows: byte planes of differences, compressed."""
+    planes = [np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in (doc, row)]
+    return zstandard.compress(b"".join([*planes, word.view(np.uint8).reshape(len(word), -1).T.tobytes()]), 1)
+
+
+def unpack_places(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(16, -1)
+    part = lambda a, b, kind: np.ascontiguousarray(planes[a:b].T).view(kind).ravel()
+    return np.cumsum(part(0, 8, np.int64)), np.cumsum(part(8, 12, np.int32), dtype=np.int32), part(12, 16, np.int32)

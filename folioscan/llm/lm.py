@@ -22,22 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import chain
-from folioscan.llm.exchange import batched, cut_by_bucket, ordered, word_hashes
+from folioscan.llm.exchange import batched, cut_by_bucket, ordered, pack_sorted, unpack_sorted, word_hashes
 
 ORDER, LEAST, BACKOFF = 3, 2, 0.4
 BATCH_BYTES = 10 << 20
 
 
-def pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys as byte planes of their differences."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def unpack_sorted(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
 def pack_counts(n: np.ndarray) -> bytes:
     return n.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
 

@@ -9,7 +9,7 @@ of them is the window's interior symbol.
 1. Reveal: batches send the distinct interior symbols of their windows to hash buckets, which answer which of them
    other batches hold too.  A window of words that occurs in two documents has the same interior symbol in both, so a
    window whose symbol one document alone holds is no repeat.
-2. Verify: the windows left send a 128-bit name of their words to hash buckets (each batch only for the smallest
+2. Verify: the windows left send a 96-bit name of their words to hash buckets (each batch only for the smallest
    doc_id that has it); a window whose name a document with a smaller doc_id also has is removed.
 3. Words under removed windows go.
 
@@ -26,10 +26,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from folioscan.llm.common import buffers, chain, joined_words, mix, pieces, window_starts, word_spans
-from folioscan.llm.exchange import batched, bucket_of, cut_by_bucket, ids, ordered, word_hashes
+from folioscan.llm.exchange import batched, bucket_of, cut_by_bucket, ids, ordered, pack_places, pack_sorted, unpack_places, unpack_sorted, word_hashes
 
 WIDTH = 13
 ROUNDS = 3
@@ -100,8 +101,21 @@ def _several(group_of: np.ndarray, n: int, owner_id: np.ndarray) -> np.ndarray:
     return low != high
 
 
-def _bytes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
-    return pa.array([values[a:b].tobytes() for a, b in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary())
+def _least(name1: np.ndarray, name2: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each entry, the smallest doc among those of its name."""
+    if not len(doc):
+        return doc
+    order = np.argsort(name1)
+    a, b = name1[order], name2[order]
+    same = a[1:] == a[:-1]
+    if (b[1:] != b[:-1])[same].any():
+        order = np.lexsort((name2, name1))
+        a, b = name1[order], name2[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    new = np.append(True, ~same)
+    out = np.empty_like(doc)
+    out[order] = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
 
 
 def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
@@ -121,10 +135,10 @@ def removal(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = (), tex
         symbol = np.unique(_windows(table, width, False)[5])
         symbol = symbol[symbol > 0]
         found, start, stop = cut_by_bucket(symbol, n)
-        return pa.table({"bucket": pa.array(found, pa.int32()), "batch": pa.array([batch] * len(found), pa.int32()), "keys": _bytes(symbol, start, stop)})
+        return pa.table({"bucket": pa.array(found, pa.int32()), "batch": pa.array([batch] * len(found), pa.int32()), "keys": pa.array([pack_sorted(symbol[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
+        lists = [unpack_sorted(k) for k in table["keys"].to_pylist()]
         every = np.concatenate(lists)
         order = np.argsort(every, kind="stable")
         same = every[order[1:]] == every[order[:-1]]
@@ -136,11 +150,11 @@ def removal(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = (), tex
         return pa.table({"batch": table["batch"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
 
     shared = by_batch.applyInArrow(reveal, "bucket int, batch int, keys binary").groupBy("bucket").applyInArrow(answer, "batch int, bucket int, bits binary")
-    nothing = {"bucket": pa.int32(), "batch": pa.int32(), "own": pa.bool_(), "name1": pa.binary(), "name2": pa.binary(), "doc": pa.binary(), "row": pa.binary(), "word": pa.binary(), "count": pa.binary()}
+    fields = {"bucket": pa.int32(), "batch": pa.int32(), "name1": pa.binary(), "name2": pa.binary(), "places": pa.binary(), "runs": pa.binary()}
 
     def verify(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
-            return pa.table({k: pa.array([], v) for k, v in nothing.items()})
+            return pa.table({k: pa.array([], v) for k, v in fields.items()})
         batch, table = table["batch"][0].as_py(), ordered(table)
         first, one, two, at, owner, symbol = _windows(table, width, True)
         doc = ids(table)
@@ -156,12 +170,7 @@ def removal(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = (), tex
         at, owner = at[left], owner[left]
         name1, name2 = chain(one, width)[at], chain(two, width, 1)[at]
         # windows that a smaller doc_id of this batch has, as runs; the others go to their buckets
-        order = np.lexsort((doc[owner], name2, name1))
-        a, b, d = name1[order], name2[order], doc[owner][order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(order)]
-        least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else d
-        gone = np.zeros(len(order), bool)
-        gone[order] = d > least
+        gone = doc[owner] > _least(name1, name2, doc[owner])
         local = np.flatnonzero(gone)
         edge = np.flatnonzero(np.append(True, (np.diff(at[local]) != 1) | (np.diff(owner[local]) != 0))[: len(local)])
         runs = local[edge]
@@ -170,58 +179,43 @@ def removal(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = (), tex
         found, start = np.unique(bucket_of(name1[sent], n), return_index=True)
         stop = np.append(start[1:], len(sent))
         word = (at - first[owner]).astype(np.int32)
-        one_run = (np.zeros(1, int), np.array([len(runs)]))
+        own = owner.astype(np.int32)
         run_words = np.diff(np.append(edge, len(local))).astype(np.int32) + width - 1
-        out = {
-            "bucket": np.append(found, batch % n),
-            "batch": np.full(len(found) + 1, batch),
-            "own": np.append(np.zeros(len(found), bool), True),
+        spans = [sent[x:y] for x, y in zip(start.tolist(), stop.tolist(), strict=True)]
+        columns = {
+            "bucket": [*found.tolist(), batch % n],
+            "batch": [batch] * (len(found) + 1),
+            "name1": [*(name1[i].tobytes() for i in spans), None],
+            "name2": [*(name2[i].astype(np.uint32).tobytes() for i in spans), None],
+            "places": [*(pack_places(doc[owner[i]], own[i], word[i]) for i in spans), None],
+            "runs": [*[None] * len(found), np.stack([own[runs], word[runs], run_words]).tobytes()],
         }
-        packed = {
-            "name1": (name1[sent], name1[:0]),
-            "name2": (name2[sent], name2[:0]),
-            "doc": (doc[owner[sent]], doc[:0]),
-            "row": (owner[sent].astype(np.int32), owner[runs].astype(np.int32)),
-            "word": (word[sent], word[runs]),
-            "count": (word[:0], run_words),
-        }
-        columns = {k: pa.array(v, nothing[k]) for k, v in out.items()}
-        for k, (many, own) in packed.items():
-            a = _bytes(many, start, stop) if len(many) else pa.array([b""] * len(found), pa.binary())
-            z = _bytes(own, *one_run) if len(own) else pa.array([b""], pa.binary())
-            columns[k] = pa.concat_arrays([a, z])
-        return pa.table(columns)
+        return pa.table({k: pa.array(v, fields[k]) for k, v in columns.items()})
 
     def settle(table: pa.Table) -> pa.Table:
-        own = table["own"].to_numpy(zero_copy_only=False)
-        local, sent = table.filter(pa.array(own)), table.filter(pa.array(~own))
-        name1, name2 = _joined(sent["name1"], np.uint64), _joined(sent["name2"], np.uint64)
-        doc, row, word = _joined(sent["doc"], np.int64), _joined(sent["row"], np.int32), _joined(sent["word"], np.int32)
-        batch = np.repeat(sent["batch"].to_numpy(), [len(x) // 4 for x in sent["row"].to_pylist()])
-        order = np.lexsort((doc, name2, name1))
-        a, b, d = name1[order], name2[order], doc[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(order)]
-        least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else d
-        gone = np.sort(order[d > least])
+        known = pc.is_valid(table["runs"])
+        local, sent = table.filter(known), table.filter(pc.invert(known))
+        name1, name2 = _joined(sent["name1"], np.uint64), _joined(sent["name2"], np.uint32)
+        places = [unpack_places(x) for x in sent["places"].to_pylist()]
+        doc, row, word = (np.concatenate([p[i] for p in places]) if places else np.zeros(0, np.int64) for i in range(3))
+        batch = np.repeat(sent["batch"].to_numpy(), [len(p[0]) for p in places])
+        gone = np.flatnonzero(doc > _least(name1, name2, doc))
         gone = gone[np.argsort(batch[gone], kind="stable")]
         found, start = np.unique(batch[gone], return_index=True)
-        stop = np.append(start[1:], len(gone))
-        return pa.table({
-            "batch": pa.concat_arrays([pa.array(found, pa.int32()), local["batch"].combine_chunks()]),
-            "row": pa.concat_arrays([_bytes(row[gone], start, stop), local["row"].combine_chunks()]),
-            "word": pa.concat_arrays([_bytes(word[gone], start, stop), local["word"].combine_chunks()]),
-            "count": pa.concat_arrays([_bytes(np.full(len(gone), width, np.int32), start, stop), local["count"].combine_chunks()]),
-        })
+        parts = np.split(gone, start[1:]) if len(found) else []
+        runs = [np.stack([row[i], word[i], np.full(len(i), width)]).astype(np.int32).tobytes() for i in parts]
+        return pa.table({"batch": pa.array([*found.tolist(), *local["batch"].to_pylist()], pa.int32()), "runs": pa.array([*runs, *local["runs"].to_pylist()], pa.binary())})
 
-    checked = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(verify, "bucket int, batch int, own boolean, name1 binary, name2 binary, doc binary, row binary, word binary, count binary")
-    gone = checked.groupBy("bucket").applyInArrow(settle, "batch int, row binary, word binary, count binary")
+    checked = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(verify, "bucket int, batch int, name1 binary, name2 binary, places binary, runs binary")
+    gone = checked.groupBy("bucket").applyInArrow(settle, "batch int, runs binary")
     types = dict(rows.dtypes)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * text + "".join(f", `{k}` {types[k]}" for k in keep)
 
     def remove(table: pa.Table, removed: pa.Table) -> pa.Table:
         table = ordered(table)
         data, offs = buffers(table["text"])
-        row, word, count = (_joined(removed[k], np.int32) if len(removed) else np.zeros(0, np.int32) for k in ("row", "word", "count"))
+        runs = [np.frombuffer(x, np.int32).reshape(3, -1) for x in removed["runs"].to_pylist()]
+        row, word, count = np.concatenate([np.zeros((3, 0), np.int32), *runs], axis=1)
         order = np.argsort(row, kind="stable")
         row, word, count = row[order], word[order], count[order]
         edge = np.searchsorted(row, np.arange(len(table) + 1))
