@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from folioscan.llm.common import chain
 from folioscan.llm.exchange import batched, cut_by_bucket, ordered, pack_sorted, unpack_sorted, word_hashes
 
-ORDER, LEAST, BACKOFF = 3, 2, 0.4
-BATCH_BYTES = 10 << 20
+ORDER, LEAST, BACKOFF = 2, 2, 0.4
+BATCH_BYTES = 5 << 20
 
 
 def pack_counts(n: np.ndarray) -> bytes:

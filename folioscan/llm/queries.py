@@ -80,18 +80,13 @@ ORACLES: dict[str, str] = {
     "op9_backoff": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 t AS (SELECT doc_id, unnest(words) AS c, unnest(range(1, len(words) + 1)) AS i FROM w),
-g AS (SELECT doc_id, i, c, lag(c, 1) OVER d AS b, lag(c, 2) OVER d AS a FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, c, lag(c, 1) OVER d AS b FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 n AS (SELECT count(*) AS n FROM t),
 c1 AS (SELECT c AS w1, count(*) AS n1 FROM g GROUP BY ALL),
 c2 AS (SELECT b AS w1, c AS w2, count(*) AS n2 FROM g WHERE b IS NOT NULL GROUP BY ALL),
-c3 AS (SELECT a AS w1, b AS w2, c AS w3, count(*) AS n3 FROM g WHERE a IS NOT NULL GROUP BY ALL),
-s AS (SELECT g.doc_id, least(g.i - 1, 2) AS reach,
-             CASE WHEN n3 >= 2 THEN 2 WHEN e.n2 >= 2 THEN 1 ELSE 0 END AS used,
-             CASE WHEN n3 >= 2 THEN n3 / f.n2 WHEN e.n2 >= 2 THEN e.n2 / h.n1 ELSE k.n1 / n.n END AS ratio
+s AS (SELECT g.doc_id, least(g.i - 1, 1) AS reach, CASE WHEN e.n2 >= 2 THEN 1 ELSE 0 END AS used, CASE WHEN e.n2 >= 2 THEN e.n2 / h.n1 ELSE k.n1 / n.n END AS ratio
       FROM g CROSS JOIN n
-      LEFT JOIN c3 ON c3.w1 = a AND c3.w2 = b AND c3.w3 = c
       LEFT JOIN c2 e ON e.w1 = b AND e.w2 = c
-      LEFT JOIN c2 f ON f.w1 = a AND f.w2 = b
       LEFT JOIN c1 h ON h.w1 = b
       LEFT JOIN c1 k ON k.w1 = c),
 z AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (used < reach) AS n_backed_off,
