@@ -189,7 +189,7 @@ class Codec:
         ends = np.cumsum([len(r) for r in rows])
         cuts = self.pretokenizer.cuts(joined, ends)
         split = np.searchsorted(cuts, np.concatenate([[0], ends])).tolist()
-        stops = np.append(cuts[1:], len(joined)).tolist()
+        stops = np.append(cuts[1:], len(joined))[: len(cuts)].tolist()
         words = [joined[a:b] for a, b in zip(cuts.tolist(), stops, strict=True)]
         known = self.memo.__getitem__
         out = [b"".join(map(known, words[a:b])) for a, b in zip(split[:-1], split[1:], strict=True)]

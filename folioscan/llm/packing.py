@@ -138,7 +138,7 @@ def pack_histogram(histogram: dict[int, int], size: int = SIZE) -> list[tuple[in
                 if n < count:
                     heapq.heappush(packs, (-room, first + n, count - n))
             else:
-                room, first, n = size, sequences, left
+                room, first, n = size, sequences, -(-left // (size // length))  # as many as the rest of this length fills
                 sequences += n
             steps.append((length, rank, n, first, size - room))
             rank += n
