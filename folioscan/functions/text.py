@@ -135,7 +135,7 @@ def contains_any(text: Column, needles: Column) -> Column:
 def string_list(c: Column) -> Column:
     """A JSON list, a list divided by `|`, or one value, as trimmed non-empty strings."""
     parsed = F.from_json(c, "array<string>")
-    return F.filter(F.transform(F.coalesce(F.when(F.trim(c).startswith("["), parsed), F.split(text_or_empty(c), r"\|")), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.coalesce(F.when(F.trim(c).startswith("["), parsed), F.split(text_or_empty(c), r"\|")), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def distinct_terms(terms: Column) -> Column:

@@ -51,7 +51,7 @@ def packed_documents(blocks: DataFrame, **limits: int) -> DataFrame:
 def structure_blocks(text: Column, min_chars: int = 300) -> Column:
     """Paragraphs as blocks: a heading begins one, list items and what follows a short block join it."""
     plain = F.trim(F.regexp_replace(T.text_or_empty(text), r"\r\n?", "\n"))
-    paragraphs = F.filter(F.transform(F.split(plain, r"\n{2,}"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(plain, r"\n{2,}"), lambda x: F.trim(x)), lambda p: p != "")
     state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def step(s: Column, p: Column) -> Column:
@@ -82,7 +82,7 @@ def annotate_blocks(items: DataFrame) -> DataFrame:
     seen = T.reference_features(items, "text").withColumn("__level", T.heading_level(c)).withColumn("__title", T.normal_reference_heading(c))
     level = F.when(F.col("type").isin("title", "heading") | F.col("__level").isNotNull(), F.coalesce("__level", F.lit(1)))
     row = F.struct(
-        "ord", "page", "type", "text", F.least(F.greatest(level, F.lit(1)), F.lit(6)).alias("level"), F.col("ref.opens").alias("opens"), F.col("ref.entry").alias("entry"),
+        "ord", "page", "type", "text", F.when(level.isNotNull(), F.least(F.greatest(level, F.lit(1)), F.lit(6))).alias("level"), F.col("ref.opens").alias("opens"), F.col("ref.entry").alias("entry"),
         F.col("ref.goes_on").alias("goes_on"), F.col("ref.body").alias("body"), F.col("__title").alias("title"),
     )
     docs = seen.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), (F.max("page") + 1).alias("pages"))

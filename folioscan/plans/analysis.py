@@ -161,18 +161,20 @@ def years(c: Column, current_year: int) -> Column:
         F.sequence(F.greatest(F.least(a, b), F.lit(V.YEAR_MIN)), F.least(F.greatest(a, b), F.lit(V.YEAR_MAX))),
     ).otherwise(F.array().cast("array<int>"))
     rest = F.concat(F.lit(" "), F.trim(T.text_or_empty(c)), F.lit(" "))
-    found = []
-    for pattern, low, high in _RANGES:
+    def bound(m: Column, pattern: str, what) -> Column:
+        if what == "now":
+            return F.lit(current_year)
+        if what == "first":
+            return F.lit(V.YEAR_MIN)
+        return F.regexp_extract(m, pattern.replace(_B, "").replace(_E, ""), what[0]).cast("int") + what[1]
+
+    def spans(pattern: str, low, high) -> Column:
         matches = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
+        return F.flatten(F.transform(matches, lambda m: span(bound(m, pattern, low), bound(m, pattern, high))))
 
-        def bound(m: Column, what, pattern=pattern):
-            if what == "now":
-                return F.lit(current_year)
-            if what == "first":
-                return F.lit(V.YEAR_MIN)
-            return F.regexp_extract(m, pattern.replace(_B, "").replace(_E, ""), what[0]).cast("int") + what[1]
-
-        found.append(F.flatten(F.transform(matches, lambda m, low=low, high=high, bound=bound: span(bound(m, low), bound(m, high)))))
+    found = []
+    for pattern, low, high in _RANGES:
+        found.append(spans(pattern, low, high))
         rest = F.regexp_replace(rest, pattern, " ")
     recent = F.transform(F.regexp_extract_all(rest, F.lit(_RECENT), F.lit(0)), lambda m: small_number(F.concat(F.regexp_extract(m, _RECENT, 1), F.regexp_extract(m, _RECENT, 2))))
     found.append(F.flatten(F.transform(F.filter(recent, lambda n: n > 0), lambda n: span(F.greatest(F.lit(V.YEAR_MIN), F.lit(current_year) - n + 1), F.lit(current_year)))))
