@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from folioscan.llm.common import buffers, partitions, pieces, span_hashes, text_bytes, word_spans
 
 #: Text of a batch; a worker needs about 30 times as much.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 #: A null doc_id counts as larger than every other.
 LAST = np.iinfo(np.int64).max
 

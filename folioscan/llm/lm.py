@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import chain
+from folioscan.llm.common import chain, tidy
 from folioscan.llm.exchange import batched, cut_by_bucket, ordered, pack_sorted, unpack_sorted, word_hashes
 
 ORDER, LEAST, BACKOFF = 2, 2, 0.4
-BATCH_BYTES = 5 << 20
+BATCH_BYTES = 4 << 20
 
 
 def pack_counts(n: np.ndarray) -> bytes:
@@ -57,6 +57,7 @@ def scores(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: flo
         keys, place, count = np.unique(np.concatenate([g[0] for g in grams]), return_inverse=True, return_counts=True)
         return first, grams, keys, place, count
 
+    @tidy
     def explode(table: pa.Table) -> pa.Table:
         batch, table = table["batch"][0].as_py(), ordered(table)
         first, _, keys, _, count = counted(table)
@@ -68,6 +69,7 @@ def scores(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: flo
             "counts": pa.array([pack_counts(count[a:b]) for a, b in spans], pa.binary()),
         })
 
+    @tidy
     def add(table: pa.Table) -> pa.Table:
         lists = [unpack_sorted(k) for k in table["keys"].to_pylist()]
         every = np.concatenate(lists)
@@ -83,6 +85,7 @@ def scores(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: flo
     words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
     total = rows.agg(F.sum(words.cast("long"))).first()[0] or 0
 
+    @tidy
     def look_up(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = ordered(table)
         first, grams, keys, place, _ = counted(table)

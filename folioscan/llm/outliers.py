@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import SPACE, as_arrow, buffers, chain, cut, mix, pieces, span_hashes, union_lengths, window_starts, word_spans
+from folioscan.llm.common import SPACE, as_arrow, buffers, chain, cut, mix, pieces, release, span_hashes, union_lengths, window_starts, word_spans
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -97,6 +97,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 s = statistics(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 part = batch.slice(a, b - a)
                 yield as_arrow(doc_id=part.column(0), lang=part.column(1), source=part.column(2), **s)
+            release()
 
     schema = "doc_id long, lang string, source string, " + ", ".join(f"{k} long" for k in STATISTICS)
     found = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), "text").mapInArrow(run, schema)
@@ -305,5 +306,6 @@ def accepted(docs: DataFrame, columns: tuple[str, ...], reject: float = REJECT)
                 g, x = _vectors(as_arrow(g=g, **s))
                 failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEATED * s["n_words"])
                 yield part.filter(pa.array(~failed & (_distances(x, c[g], v[g]) <= limit)))
+            release()
 
     return kept.mapInArrow(run, kept.schema)

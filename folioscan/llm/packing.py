@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioscan.llm.common import as_arrow, buffers, cut, partitions, pieces
+from folioscan.llm.common import as_arrow, buffers, cut, partitions, pieces, release
 
 SIZE = 4096
 #: The id that ends each document.
 END = 2
 #: Entries of each of the two generations of a worker's memo of chunks, so that memory is bounded.
-MEMO = 400_000
+MEMO = 150_000
 
 #: Chunks whose normal form, lower case and words Python and the tokenizer's library read alike.
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
@@ -115,6 +115,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int
                     out += [(doc, s, min(size, n - s), zlib.crc32(ids[4 * s : 4 * (s + size)]), n) for s in range(0, n, size)]
                 names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
                 yield as_arrow(**{k: pa.array(v, pa.int64()) for k, v in zip(names, zip(*out, strict=True), strict=True)})
+            release()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

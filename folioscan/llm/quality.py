@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import as_arrow, buffers, chain, mix, pieces, span_hashes, union_lengths, window_starts, word_spans
+from folioscan.llm.common import as_arrow, buffers, chain, mix, pieces, release, span_hashes, union_lengths, window_starts, word_spans
 
 CHUNK, STRIDE, FILTERS, EMBED, RUN = 64, 16, 16, 8, 4
 SYMBOLS = 3 * 256
@@ -180,6 +180,7 @@ def score(docs: DataFrame, model: Network | float, keep: tuple[str, ...] = ("doc
                 logit = net.logits(t, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]).astype(np.float64)
                 part = batch.slice(a, b - a)
                 yield as_arrow(**{k: part.column(i) for i, k in enumerate(keep)}, **{column: pa.array(1 / (1 + np.exp(-logit)))})
+            release()
 
     types = dict(kept.dtypes)
     return kept.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keep) + f", `{column}` double")
@@ -193,4 +194,4 @@ def accepted(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...], thres
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     scored = score(docs, train(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import as_arrow, buffers, cut, joined_words, partitions, pieces, word_spans
+from folioscan.llm.common import as_arrow, buffers, cut, joined_words, partitions, pieces, release, word_spans
 from folioscan.llm.components import components
 
 SEED = 42
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for a, b in pieces(offs):
                 fp = fingerprints_of(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], width)
                 yield as_arrow(doc_id=batch.column(0).slice(a, b - a), fp=pa.array(fp.view(np.int64)))
+            release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from folioscan.llm.common import buffers, chain, joined_words, mix, pieces, window_starts, word_spans
+from folioscan.llm.common import buffers, chain, joined_words, mix, pieces, tidy, window_starts, word_spans
 from folioscan.llm.exchange import batched, bucket_of, cut_by_bucket, ids, ordered, pack_places, pack_sorted, unpack_places, unpack_sorted, word_hashes
 
 WIDTH = 13
@@ -130,6 +130,7 @@ def removal(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = (), tex
     rows, n = batched(docs, *keep)
     by_batch = rows.groupBy("batch")
 
+    @tidy
     def reveal(table: pa.Table) -> pa.Table:
         batch, table = table["batch"][0].as_py(), ordered(table)
         symbol = np.unique(_windows(table, width, False)[5])
@@ -137,6 +138,7 @@ def removal(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = (), tex
         found, start, stop = cut_by_bucket(symbol, n)
         return pa.table({"bucket": pa.array(found, pa.int32()), "batch": pa.array([batch] * len(found), pa.int32()), "keys": pa.array([pack_sorted(symbol[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary())})
 
+    @tidy
     def answer(table: pa.Table) -> pa.Table:
         lists = [unpack_sorted(k) for k in table["keys"].to_pylist()]
         every = np.concatenate(lists)
@@ -152,6 +154,7 @@ def removal(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = (), tex
     shared = by_batch.applyInArrow(reveal, "bucket int, batch int, keys binary").groupBy("bucket").applyInArrow(answer, "batch int, bucket int, bits binary")
     fields = {"bucket": pa.int32(), "batch": pa.int32(), "name1": pa.binary(), "name2": pa.binary(), "places": pa.binary(), "runs": pa.binary()}
 
+    @tidy
     def verify(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return pa.table({k: pa.array([], v) for k, v in fields.items()})
@@ -192,6 +195,7 @@ def removal(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = (), tex
         }
         return pa.table({k: pa.array(v, fields[k]) for k, v in columns.items()})
 
+    @tidy
     def settle(table: pa.Table) -> pa.Table:
         known = pc.is_valid(table["runs"])
         local, sent = table.filter(known), table.filter(pc.invert(known))
@@ -211,6 +215,7 @@ def removal(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = (), tex
     types = dict(rows.dtypes)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * text + "".join(f", `{k}` {types[k]}" for k in keep)
 
+    @tidy
     def remove(table: pa.Table, removed: pa.Table) -> pa.Table:
         table = ordered(table)
         data, offs = buffers(table["text"])
