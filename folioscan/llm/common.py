@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import functools
 import tempfile
 
 import numpy as np
@@ -197,16 +196,21 @@ def release() -> None:
 
 
 def tidy(f):
-    """A group's function that gives its scratch memory back."""
+    """A function of one or two tables that gives its scratch memory back."""
 
-    @functools.wraps(f)
-    def run(*tables):
+    def one(table):
         try:
-            return f(*tables)
+            return f(table)
         finally:
             release()
 
-    return run
+    def two(left, right):
+        try:
+            return f(left, right)
+        finally:
+            release()
+
+    return one if f.__code__.co_argcount == 1 else two
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
