@@ -160,6 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = L
     net = Network()
     net.fit([g[1] for g in got], y)
     net.shift = float(np.log(shares[1] / shares[0]) - np.log(y.sum() / (len(y) - y.sum())))
+    del got
+    release()
     return net
 
 
