@@ -277,17 +277,20 @@ def _blocks(spark, sf_dir):
     return d.select("doc_id", F.col("ord").cast("long").alias("ord"), F.floor(F.col("ord") / 4).cast("long").alias("page"), kind.alias("block_type"), F.lit("main").alias("section_path"), F.lit(False).alias("is_reference"), "text", F.lit("").alias("title"))
 
 
-@query(r"""WITH RECURSIVE b AS (SELECT doc_id, unnest(ls) AS t, unnest(range(len(ls))) AS ord FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+PACKED = r"""WITH RECURSIVE b AS (SELECT doc_id, unnest(ls) AS t, unnest(range(len(ls))) AS ord FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 n AS (SELECT doc_id, ord, CAST(len(t) AS BIGINT) AS n, ord % 7 = 3 AS media FROM b),
 f AS (SELECT doc_id, ord, 0::BIGINT AS grp, n AS chars, media FROM n WHERE ord = 0
  UNION ALL SELECT n.doc_id, n.ord, f.grp + CASE WHEN x THEN 1 ELSE 0 END, CASE WHEN x THEN n.n ELSE f.chars + n.n END, n.media
  FROM f JOIN n ON n.doc_id = f.doc_id AND n.ord = f.ord + 1, LATERAL (SELECT f.chars + n.n > 2880 OR (f.chars + n.n > 1800 AND f.chars >= 450 AND NOT f.media AND NOT n.media) AS x))
-SELECT doc_id, ord, grp FROM f""")
+"""
+
+
+@query(PACKED + "SELECT doc_id, ord, grp FROM f")
 def packing_groups(spark, sf_dir):
     return folds.pack_groups(_blocks(spark, sf_dir)).select("doc_id", "ord", "grp")
 
 
-@query()
+@query(PACKED + """SELECT f.doc_id, f.grp, min(f.ord // 4) || '-' || max(f.ord // 4) AS page_range, CAST(sum(n.n) + count(*) - 1 AS BIGINT) AS chars FROM f JOIN n ON n.doc_id = f.doc_id AND n.ord = f.ord GROUP BY ALL""")
 def packed_documents(spark, sf_dir):
     return folds.packed_documents(_blocks(spark, sf_dir)).select("doc_id", "grp", "page_range", F.length("text").cast("long").alias("chars"))
 
@@ -441,7 +444,8 @@ def hash_embedding(spark, sf_dir):
     return dense.hash_embedding(docs(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {bm25_sql(k=15)}, b AS ({OUT}), s AS (SELECT b.*, CASE WHEN row_number() OVER (PARTITION BY query_id, source ORDER BY rank) > 1 THEN 1 ELSE 0 END AS o FROM b JOIN documents USING (doc_id))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY o, rank) AS position, rank, doc_id FROM s QUALIFY position <= 5""")
 def evidence_select(spark, sf_dir):
     r = ranked(spark, sf_dir, 15).join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
     return fusion.select_evidence(r.withColumn("identity", F.col("doc_id")).withColumn("bucket", F.col("source")), 5).select("query_id", "position", "rank", "doc_id")

@@ -150,6 +150,18 @@ def test_sources(spark, tmp_path):
     assert tables.question_rows(q).first().context == "because\nof"
 
 
+def test_trace(spark, tmp_path):
+    from folioscan.sources.trace import Trace
+
+    t = Trace(spark, str(tmp_path / "log"), "ask")
+    with t.stage("route"):
+        pass
+    t.field("n", 3)
+    t.finish()
+    row = json.loads(spark.read.text(str(tmp_path / "log")).first().value)
+    assert row["operation"] == "ask" and row["n"] == 3 and row["status"] == "ok" and "route" in row["stages_ms"]
+
+
 def test_evaluation(spark):
     q = spark.createDataFrame([(1,), (2,)], "query_id long")
     r = ranked(spark, [(1, 5, 1.0, 1), (1, 6, 0.5, 2)])
