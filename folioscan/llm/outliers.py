@@ -8,9 +8,9 @@ are rejected.
 
 Everything is counted over all documents.  A step is two aggregations that are combined in each task before they are
 shuffled: a histogram of distances, whose cell edge is the group's limit, and the moments of the documents within it.
-A hot source is thus never gathered in a task.  A group has its own estimate if it holds at least `MIN_ROWS` documents
-and a 4096th of all; smaller ones are pooled by language, and languages that small together.  So at most 8193
-estimates exist, whatever the input, and go to the executors as one small array.
+A hot source is thus never gathered in a task.  A group has its own estimate if it holds at least `MIN_ROWS` documents,
+however many others there are; smaller ones are pooled by language, and pools that small together.  Steps run for at
+most `BLOCK` estimates at once, which bounds what the driver collects; what it keeps of each estimate is 240 bytes.
 
 Cases: a null, empty or blank text has no word and fails the base rules, and failed documents don't enter estimates; a
 null language or source is a value like any other; equal texts of a group get equal verdicts; a group without spread
@@ -32,7 +32,8 @@ from folioscan.llm.common import SPACE, as_arrow, buffers, chain, cut, mix, piec
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 20, 30
-MIN_ROWS, MAX_OWN = 200, 4096
+#: Documents of a group with its own estimate, ten for each statistic, and estimates that are found at once.
+MIN_ROWS, BLOCK = 50, 8192
 #: Share of a group that gives its estimate, and concentration steps.
 CORE, STEPS = 0.75, 8
 #: Least standard deviation of each transformed statistic: log word length, symbols a word, repeated lines a word,
@@ -172,15 +173,14 @@ def _grouped(stats: DataFrame) -> tuple[DataFrame, DataFrame, dict, dict]:
     """(g and statistics of the documents that passed the base rules, stats with g, g by language and source, by language)."""
     spark = stats.sparkSession
     passed = stats.where(~F.col("base_failed"))
-    total = passed.count()
-    least = max(MIN_ROWS, total // MAX_OWN + 1)
-    own = passed.groupBy("lang", "source").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("lang", "source").collect()
-    pooled = passed.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("lang").collect()
+    sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    own = sizes.where(F.col("n") >= MIN_ROWS).select("lang", "source").collect()
+    pooled = sizes.where(F.col("n") < MIN_ROWS).groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_ROWS).select("lang").collect()
     pairs = sorted(((r["lang"], r["source"]) for r in own), key=repr)
     langs = sorted((r["lang"] for r in pooled), key=repr)
     known_pairs = spark.createDataFrame([(*p, 1 + len(langs) + i) for i, p in enumerate(pairs)], "l1 string, s1 string, g1 int")
     known_langs = spark.createDataFrame([(v, 1 + i) for i, v in enumerate(langs)], "l2 string, g2 int")
-    # at most 4096 rows each, see MAX_OWN
+    # a number for each group of MIN_ROWS documents or more, not for each document
     joined = stats.join(F.broadcast(known_pairs), F.col("lang").eqNullSafe(F.col("l1")) & F.col("source").eqNullSafe(F.col("s1")), "left").join(F.broadcast(known_langs), F.col("lang").eqNullSafe(F.col("l2")), "left")
     joined = joined.withColumn("g", F.coalesce("g1", "g2", F.lit(0))).drop("l1", "s1", "g1", "l2", "g2")
     numbers = ({p: 1 + len(langs) + i for i, p in enumerate(pairs)}, {v: 1 + i for i, v in enumerate(langs)})
@@ -191,7 +191,14 @@ def estimate(stats: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame, dict,
     """(centres, inverse covariances) by group number g, the statistics with g, and g by language and source, by language."""
     rows, joined, by_pair, by_lang = _grouped(stats)
     groups = 1 + len(by_pair) + len(by_lang)
-    context = stats.sparkSession.sparkContext
+    some = lambda a: rows if groups <= BLOCK else rows.where(F.col("g").between(a, a + BLOCK - 1)).withColumn("g", F.col("g") - a)
+    center, inverse = zip(*[_estimate(some(a), min(BLOCK, groups - a)) for a in range(0, groups, BLOCK)], strict=True)
+    return np.concatenate(center), np.concatenate(inverse), joined, by_pair, by_lang
+
+
+def _estimate(rows: DataFrame, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, inverse covariances) of the groups numbered from 0."""
+    context = rows.sparkSession.sparkContext
     est = Estimates(groups)
 
     def emit(names: list[str], columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -262,13 +269,13 @@ def estimate(stats: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame, dict,
         limits = now
     best = np.linalg.slogdet(est.cov)[1].argmin(axis=0)
     pick = np.arange(groups)
-    return est.center[best, pick], est.inverse[best, pick], joined, by_pair, by_lang
+    return est.center[best, pick], est.inverse[best, pick]
 
 
 def rules(docs: DataFrame, reject: float = REJECT) -> DataFrame:
     """doc_id, the statistics, base_failed, distance (squared, Mahalanobis) and kept."""
     center, inverse, joined, *_ = estimate(cut(document_statistics(docs)))
-    shared = docs.sparkSession.sparkContext.broadcast((center, inverse))  # 8193 estimates at most
+    shared = docs.sparkSession.sparkContext.broadcast((center, inverse))
     limit = chi2_quantile(1 - reject, K)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +296,7 @@ def accepted(docs: DataFrame, columns: tuple[str, ...], reject: float = REJECT)
     The statistics of a text are computed again where the text is read, which costs less than joining texts by id.
     """
     center, inverse, _, by_pair, by_lang = estimate(cut(document_statistics(docs)))
-    shared = docs.sparkSession.sparkContext.broadcast((center, inverse, by_pair, by_lang))  # 8193 estimates at most
+    shared = docs.sparkSession.sparkContext.broadcast((center, inverse, by_pair, by_lang))
     limit = chi2_quantile(1 - reject, K)
     kept = docs.select(*columns)
     at = [kept.columns.index(k) for k in ("text", "lang", "source")]

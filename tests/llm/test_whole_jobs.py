@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from folioscan.llm import lm, queries
+from folioscan.llm import lm, outliers, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -40,3 +40,25 @@ def test_backoff_passes(spark, order):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_backed_off, round(r.log_score, 3)) for r in lm.scores(docs, order=order).collect()}
     assert got == dict(enumerate(backoff_by_hand(TEXTS, order)))
+
+
+def prose(seed, first, n, source, length):
+    r = np.random.default_rng(seed)
+    return [(first + i, " ".join("x" * int(k) for k in r.integers(1, length, r.integers(25, 90))), "en", source) for i in range(n)]
+
+
+def verdicts(spark, lines):
+    docs = spark.createDataFrame(lines, "doc_id long, text string, lang string, source string").coalesce(2)
+    return {r.doc_id: (r.kept, round(r.distance, 4)) for r in outliers.rules(docs).collect()}
+
+
+def test_rules_of_a_source_do_not_depend_on_other_sources(spark, monkeypatch):
+    monkeypatch.setattr(outliers, "MAX_OWN", 4, raising=False)  # was a cap on the groups with an estimate
+    one = prose(1, 0, 60, "small", 6)
+    alone = verdicts(spark, one)
+    assert sum(kept for kept, _ in alone.values()) > 50
+    many = one + prose(2, 1000, 300, "a", 14) + prose(3, 2000, 300, "b", 20) + prose(4, 4000, 60, "c", 25)
+    among = verdicts(spark, many)
+    assert {i: among[i] for i in alone} == alone
+    monkeypatch.setattr(outliers, "BLOCK", 2)  # estimates found a few at once are the same
+    assert verdicts(spark, many) == among
