@@ -186,20 +186,56 @@ def test_rules(spark, nothing, monkeypatch):
     assert outliers.rules(nothing).count() == 0 and outliers.accepted(nothing, ("doc_id", "text", "lang", "source")).count() == 0
 
 
-def test_rules_match_a_plain_estimate(spark):
-    """The steps of one group, from the same start, by numpy over all rows."""
+def plain_estimate(x, words, weight=None):
+    """The determinant estimate of one group by numpy over its rows: two starts, steps on the nearest three quarters."""
+    found = []
+    order = np.sort(np.floor(x * 64), axis=0)
+    low, mid, high = (order[int(np.ceil(q * len(x) / 4)) - 1] for q in (1, 2, 3))
+    for c, v in (((mid + 0.5) / 64, np.diag(((high - low) / 64 / 1.349) ** 2)), (x.mean(axis=0), np.cov(x.T, bias=True))):
+        for _ in range(outliers.STEPS):
+            cell = outliers._cells(plain_distances(x, words, c, v))
+            core = x[cell <= np.sort(cell)[int(np.ceil(outliers.CORE * len(x))) - 1]]
+            c, v = core.mean(axis=0), outliers._FACTOR * np.cov(core.T, bias=True)
+        typical = np.exp(c[-1])
+        found.append((np.linalg.slogdet(v + np.diag(outliers.SAMPLING / typical + outliers.TINY))[1], c, v))
+    return min(found, key=lambda f: f[0])[1:]
+
+
+def plain_distances(x, words, c, v):
+    return np.array([(a - c) @ np.linalg.inv(v + np.diag(outliers.SAMPLING / n + outliers.TINY)) @ (a - c) for a, n in zip(x, words)])
+
+
+def test_rules_match_a_plain_estimate_for_every_group(spark):
+    """`kept` with production constants: large groups, groups of a few documents, groups of a language of its own."""
     r = np.random.default_rng(4)
-    lines = [(i, " ".join("x" * int(n) for n in r.integers(1, 12, r.integers(25, 90))), "en", "s") for i in range(500)]
-    docs = spark.createDataFrame(lines, "doc_id long, text string, lang string, source string")
-    stats = outliers.document_statistics(docs).cache()
-    center, inverse, *_ = outliers.estimate(stats)
-    rows = stats.orderBy("doc_id").toPandas()
+    lines = []
+    for lang, source, n, longest in [("en", "a", 220, 9), ("en", "b", 70, 14), ("en", "c", 9, 6), ("en", None, 1, 5), ("de", "a", 60, 11), (None, "a", 7, 8), (None, "d", 55, 12)]:
+        for i in range(n):
+            words = ["x" * int(k) for k in r.integers(1, longest, r.integers(25, 90))]
+            if i % 17 == 3:
+                words = [w + "%" for w in words]
+            lines.append((len(lines), " ".join(words) + "\nsame line" * int(r.integers(1, 4)), lang, source))
+    docs = spark.createDataFrame(lines, "doc_id long, text string, lang string, source string").repartition(5)
+    got = {a.doc_id: a for a in outliers.rules(docs).collect()}
+    rows = outliers.document_statistics(docs).orderBy("doc_id").toPandas()
     n = rows.n_words.to_numpy(float)
     x = np.stack([np.log(rows.word_chars / n), np.sqrt(rows.n_symbols / n), np.sqrt(rows.n_dup_lines / n), np.sqrt(rows.n_repeat_words / n), np.log(n)], axis=1)
-    g = np.full(len(x), len(center) - 1)
-    d = outliers._distances(x, center[g], inverse[g])
-    core = outliers._cells(d) <= np.sort(outliers._cells(d))[int(np.ceil(outliers.CORE * len(d))) - 1]
-    assert np.allclose(x[core].mean(axis=0), center[-1], atol=1e-2)
+    ok = ~rows.base_failed.to_numpy()
+    every, by_lang = plain_estimate(x[ok], n[ok]), {}
+    blend = lambda own, up, size: tuple(min(1, size / 50) * a + (1 - min(1, size / 50)) * b for a, b in zip(own, up))
+    limit = outliers.chi2_quantile(1 - outliers.REJECT, 5)
+    seen = 0
+    for lang, source in dict.fromkeys((a[2], a[3]) for a in lines):
+        of_lang = ok & np.array([a[2] == lang for a in lines])
+        by_lang.setdefault(lang, blend(plain_estimate(x[of_lang], n[of_lang]), every, of_lang.sum()))
+        group = of_lang & np.array([a[3] == source for a in lines])
+        c, v = blend(plain_estimate(x[group], n[group]), by_lang[lang], group.sum())
+        d = plain_distances(x[group], n[group], c, v)
+        mine = np.array([got[i].distance for i in np.flatnonzero(group)])
+        assert np.allclose(d, mine, rtol=1e-4, atol=1e-5), (lang, source)
+        assert [got[i].kept for i in np.flatnonzero(group)] == (d <= limit).tolist()
+        seen += (d > limit).sum()
+    assert seen >= 15
 
 
 def test_classifier(spark, nothing):
@@ -226,6 +262,31 @@ def test_classifier(spark, nothing):
     assert quality.classify(nothing, marks).count() == 0
 
 
+def test_classifier_is_a_plain_convolution():
+    """Pooled responses of rows of all lengths, and of one long row in spans, against loops over bytes."""
+    r = np.random.default_rng(3)
+    texts = [b"", b"a", b"ab ab ab ab", bytes(r.integers(0, 256, 64, np.uint8)), bytes(r.integers(97, 100, 65, np.uint8)), b"xyz" * 60, bytes(r.integers(97, 101, 777, np.uint8))]
+    net = quality.Network(5)
+    table, lagged = net.table(), net.p["lagged"]
+    want = []
+    for t in texts:
+        sym = list(t) + [quality.PAD] * 2000
+        best = None
+        for c in range(0, max(1, -(-(len(t) - 64) // 16) + 1)):
+            at = 16 * c
+            z = sum(table[k][sym[at + k]].astype(np.float64) for k in range(64))
+            for lag in range(1, 33):
+                n = sum(sym[at + k : at + k + 3] == sym[at + k + lag : at + k + lag + 3] and quality.PAD not in sym[at + k + lag : at + k + lag + 3] for k in range(64))
+                z = z + n / 16 * lagged[lag - 1]
+            best = z if best is None else np.maximum(best, z)
+        want.append(best)
+    expected = np.maximum(np.array(want) + net.p["bias"], 0) @ net.p["out"] + net.p["last"][0]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    assert np.allclose(net.logits(table, data, offs), expected, atol=1e-3)
+    for most in (16, 100, 5000):
+        assert np.allclose([net.long_logit(table, np.frombuffer(t, np.uint8), most)[0] for t in texts], expected, atol=1e-3)
+
+
 def test_nearest(spark):
     r = np.random.default_rng(6)
     x = r.normal(size=(300, 24)).astype(np.float32)

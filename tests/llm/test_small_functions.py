@@ -204,28 +204,30 @@ def test_quality_symbols_cover_the_text():
     for i, t in enumerate(texts):
         at = place[first[i] : first[i + 1]]
         joined = np.unique((at[:, None] + np.arange(quality.CHUNK)).ravel())
-        assert (sym[joined] % 256)[: len(t.encode())].astype(np.uint8).tobytes() == t.encode()
-    states = sym[place[first[4]] : place[first[4]] + 11] // 256
-    assert states.tolist() == [0, 0, 0, 0, 1, 1, 1, 0, 0, 0, 0]
+        assert sym[joined][: len(t.encode())].astype(np.uint8).tobytes() == t.encode()
+        assert (sym[joined][len(t.encode()) :] == quality.PAD).all()
 
 
 def test_gradients():
     net = quality.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    made = [quality.symbols(*common.buffers(pa.array([t]))) for t in ("abc " * 40, "$$$ xyz", "hello world again")]
+    made = []
+    for t in ("abc " * 40, "$$$ xyz", "hello world again"):
+        sym, place, _ = quality.symbols(*common.buffers(pa.array([t])))
+        made.append((sym, place, quality.repeats(sym, place).astype(np.float64)))
     y = np.array([1.0, 0, 1])
 
     def loss():
         t = net.table()
         out = []
-        for sym, place, _ in made:
-            z = sum(t[k][sym[place + k]] for k in range(quality.CHUNK)).max(axis=0) + net.p["bias"]
+        for sym, place, again in made:
+            z = (sum(t[k][sym[place + k]] for k in range(quality.CHUNK)) + again @ net.p["lagged"]).max(axis=0) + net.p["bias"]
             out.append(np.maximum(z, 0) @ net.p["out"] + net.p["last"][0])
         s = 1 / (1 + np.exp(-np.array(out)))
         return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
 
     g = net._gradients(made, y)
-    for name, at in (("filters", (3, 2, 1)), ("embed", (97, 3)), ("out", (4,)), ("bias", (4,)), ("last", (0,))):
+    for name, at in (("filters", (3, 2, 1)), ("embed", (97, 3)), ("lagged", (3, 4)), ("out", (4,)), ("bias", (4,)), ("last", (0,))):
         net.p[name][at] += 1e-5
         up = loss()
         net.p[name][at] -= 2e-5
