@@ -237,21 +237,52 @@ def test_gradients():
 
 
 def test_prefixes():
-    a, b = np.array([0b1010, 0, 7], np.uint64), np.array([0b1011, 0, 1 << 31], np.uint64)
+    a, b = np.array([0b1010, 0, 7], np.uint32), np.array([0b1011, 0, 7 | 1 << 29], np.uint32)
     assert forest._shared(a, b).tolist() == [forest.DEPTH - 1, forest.DEPTH, 0]
 
 
 def test_forest_candidates_by_brute_force():
     r = np.random.default_rng(2)
-    keys = r.integers(0, 1 << 32, (5, 300), dtype=np.uint64)
+    keys = r.integers(0, 1 << 30, (5, 300), dtype=np.uint32)
     order = np.argsort(keys, axis=1)
     ordered = np.take_along_axis(keys, order, axis=1)
-    query = r.integers(0, 1 << 32, 5, dtype=np.uint64)
+    queries = r.integers(0, 1 << 30, (5, 7), dtype=np.uint32)
+    queries[:, 3] = keys[:, 17]
     for want in (1, 10, 100, 300):
-        got = forest.candidates(ordered, order, query, want)
-        shared = np.stack([forest._shared(keys[t], np.full(300, query[t])) for t in range(5)]).max(axis=0)
-        depth = max(d for d in range(33) if (shared >= d).sum() >= want)
-        assert got.tolist() == np.flatnonzero(shared >= depth).tolist()
+        got = forest.candidates(ordered, order, queries, want)
+        for q in range(7):
+            shared = np.stack([forest._shared(keys[t], np.full(300, queries[t, q])) for t in range(5)]).max(axis=0)
+            depth = max(d for d in range(31) if (shared >= d).sum() >= want)
+            assert np.flatnonzero(got[q]).tolist() == np.flatnonzero(shared >= depth).tolist()
+
+
+def test_forest_recall_with_production_constants():
+    """Nearly isotropic vectors against brute force, at several sizes; candidates stay well below half and their share falls."""
+    r = np.random.default_rng(8)
+    shares = []
+    for n in (1000, 4000, 9000):
+        x = r.normal(size=(n, 64))
+        x[n // 2 :] = 0.45 * x[: n - n // 2] + r.normal(size=(n - n // 2, 64))
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        asked = np.arange(0, n, 50)
+        s = unit @ unit[asked].T
+        best = [set(np.lexsort((np.arange(n), -s[:, q]))[:6].tolist()) for q in range(len(asked))]
+        found = forest.search_block(x, np.arange(n), x[asked], unit.mean(axis=0), 6)
+        assert np.mean([len(best[q] & set(i.tolist())) / 6 for q, i, _ in found]) >= 0.9
+        keys = forest.strings(unit, forest.rotations(64), unit.mean(axis=0))
+        order = np.argsort(keys, axis=1, kind="stable")
+        shares.append(forest.candidates(np.take_along_axis(keys, order, axis=1), order, keys[:, asked], forest.wanted(n, 6)).mean())
+    assert shares[0] < 0.5 and shares[1] < 0.4 and shares[2] < 0.35 and shares[2] < shares[0]
+
+
+def test_forest_keeps_ties():
+    """More vectors at one cosine than any first selection would hold: ties go to the smaller ids."""
+    r = np.random.default_rng(9)
+    one = r.normal(size=64)
+    x = np.concatenate([np.outer(2.0 ** r.integers(-3, 4, 200), one), r.normal(size=(300, 64))])
+    ids = r.permutation(500)
+    (_, got, score), = forest.search_block(x, ids, one[None], np.zeros(64), 6)
+    assert got.tolist() == np.sort(ids[:200])[:6].tolist() and np.allclose(score, 1)
 
 
 def test_warc_records():
