@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 
 import numpy as np
@@ -16,14 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Text bytes a worker handles at once in numpy; bounds its scratch arrays (about 80 bytes for each).
+#: Text bytes a worker handles at once in numpy (about 80 bytes of scratch for each).  A longer row is one piece; its
+#: words are found in about 5 bytes for each of its bytes, and hashed and joined in parts of this length.
 CHUNK_BYTES = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where it is unset (tests), a temporary one."""
+    """Use the folder the cluster names in spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -97,7 +102,15 @@ def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     stop = np.cumsum(lens)
     begin = stop - lens
     total = int(stop[-1]) if len(stop) else 0
-    out = data[np.minimum(np.arange(total) - np.repeat(begin - starts, lens), max(len(data) - 1, 0))]
+    out = np.empty(total, np.uint8)
+    shift = begin - starts
+    edges = np.unique([0, *np.searchsorted(begin, np.arange(CHUNK_BYTES, total, CHUNK_BYTES)).tolist(), len(begin)])
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):  # words of about CHUNK_BYTES, or one
+        low, high = int(begin[i]), int(stop[j - 1])
+        if j - i == 1:
+            out[low : high - 1] = data[starts[i] : ends[i]]
+        else:
+            out[low:high] = data[np.minimum(np.arange(low, high) - np.repeat(shift[i:j], lens[i:j]), len(data) - 1)]
     out[stop - 1] = 32
     return out.tobytes(), begin, stop - 1
 
@@ -139,6 +152,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
         return np.zeros(0, np.uint64)
     lens = ends - starts
     total = int(lens.sum())
+    if total > 2 * CHUNK_BYTES:  # parts of bounded length, or one span; the hash of a span depends on nothing else
+        cut_at = np.unique(np.searchsorted(np.cumsum(lens), np.arange(CHUNK_BYTES, total, CHUNK_BYTES)) + 1)
+        edges = [0, *cut_at[cut_at < len(starts)].tolist(), len(starts)]
+        if len(edges) > 2:
+            return np.concatenate([span_hashes(data, starts[a:b], ends[a:b], which) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        return np.array([_long_hash(data[starts[0] : ends[0]], which)]) if len(starts) == 1 else np.concatenate([span_hashes(data, starts[i : i + 1], ends[i : i + 1], which) for i in range(len(starts))])
     shift = np.cumsum(lens) - lens
     at = np.arange(total) - np.repeat(shift, lens)  # place in the span
     p = _powers(which, int(lens.max()) + 1)
@@ -149,6 +168,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
         return mix(h + lens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _long_hash(span: np.ndarray, which: int) -> np.uint64:
+    """As span_hashes for one span, part by part: the powers of each part go on from those of the one before."""
+    h, base = np.uint64(0), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(span), CHUNK_BYTES):
+            part = span[a : a + CHUNK_BYTES]
+            p = _powers(which, CHUNK_BYTES + 1)
+            h += (_BYTES[which][part] * p[: len(part)]).sum(dtype=np.uint64) * base
+            base *= p[len(part)]
+        return mix(np.array([h + np.uint64(len(span)) * np.uint64(0x9E3779B97F4A7C15)], np.uint64))[0]
+
+
 def chain(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """A hash of each `width` consecutive entries (len(h) - width + 1 of them)."""
     m = len(h) - width + 1

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import as_arrow, buffers, cut, joined_words, partitions, pieces, release, word_spans
+from folioscan.llm.common import as_arrow, buffers, cut, joined_words, mix, partitions, pieces, release, span_hashes, word_spans
 from folioscan.llm.components import components
 
 SEED = 42
@@ -37,29 +37,60 @@ WIDTH = 4
 BITS = 4
 #: Up to this length all pairs of a list are compared at once.
 SHORT = 16
+#: Shingles that are hashed at once.
+TOGETHER = 1 << 18
+_LANES, _STEP = np.uint64(0x0101010101010101), np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def bit_counts(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """(rows, 64): how many of each row's hashes have each bit; row r's are h[edges[r]:edges[r + 1]].
+
+    Bits are added eight at a time in the bytes of a word, over at most 255 hashes, then over a row's parts.
+    """
+    out = np.zeros((len(edges) - 1, 64), np.int64)
+    parts = -(-np.diff(edges) // 255)
+    if not parts.sum():
+        return out
+    first = np.cumsum(parts) - parts
+    at = 255 * (np.arange(int(parts.sum())) - np.repeat(first, parts)) + np.repeat(edges[:-1], parts)
+    some = np.flatnonzero(parts)
+    for j in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(j)) & _LANES, at)
+        out[some[:, None], np.arange(j, 64, 8)[None]] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8), first[some], axis=0, dtype=np.int64)
+    return out
+
+
+def majority(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Words of the bits that are set in over half of n hashes."""
+    bits = (2 * ones > n[:, None]).astype(np.uint64)
+    return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
+    return np.where(words >= width, words - width + 1, np.minimum(words, 1))
+
+
 def fingerprints_of(data: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """Unsigned 64-bit fingerprint of each row."""
     data = _LOWER[data]
     starts, ends, first = word_spans(data, offs)
     text, begin, stop = joined_words(data, starts, ends)
     words = np.diff(first)
-    n = np.where(words >= width, words - width + 1, np.minimum(words, 1))  # shingles
-    shift = np.cumsum(n) - n
-    a = np.arange(int(n.sum())) - np.repeat(shift - first[:-1], n)
-    b = a + np.repeat(np.minimum(words, width), n) - 1
-    digest = xxhash.xxh64_digest
-    raw = b"".join([digest(text[x:y], SEED) for x, y in zip(begin[a].tolist(), stop[b].tolist(), strict=True)])
-    out = np.zeros(len(words), np.uint64)
-    some = np.flatnonzero(n)
-    if len(some):
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, shift[some], axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * ones > n[some, None], axis=1).view(">u8").ravel()
-    return out
+    n = _shingles(words, width)
+    edges = np.concatenate([[0], np.cumsum(n)])
+    digest = xxhash.xxh64_intdigest
+    ones = np.zeros((len(words), 64), np.int64)
+    for low in range(0, int(edges[-1]), TOGETHER):
+        high = min(low + TOGETHER, int(edges[-1]))
+        row = np.searchsorted(edges, np.arange(low, high), side="right") - 1
+        a = np.arange(low, high) - edges[row] + first[row]
+        b = a + np.minimum(words[row], width) - 1
+        h = np.array([digest(text[x:y], SEED) for x, y in zip(begin[a].tolist(), stop[b].tolist(), strict=True)], np.uint64)
+        some = slice(int(row[0]), int(row[-1]) + 1)
+        ones[some] += bit_counts(h, np.clip(edges[some.start : some.stop + 1], low, high) - low)
+    return majority(ones, n)
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -149,28 +180,32 @@ def links_of(key: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) -> tu
     return np.concatenate(us), np.concatenate(vs)
 
 
+def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Columns of sorted rows as (columns, rows), cut only where the first column, the key, changes."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        part = np.stack([c.to_numpy() for c in batch.columns])
+        if not part.shape[1]:
+            continue
+        held.append(part)
+        if part[0, 0] == held[0][0, -1] == part[0, -1]:
+            continue  # the list goes on
+        rows = np.concatenate(held, axis=1)
+        whole = int(np.searchsorted(rows[0], rows[0, -1]))
+        held = [rows[:, whole:]]
+        if whole:
+            yield rows[:, :whole]
+    if held:
+        yield np.concatenate(held, axis=1)
+
+
 def links(entries: DataFrame, bits: int = BITS) -> DataFrame:
     """(u, v) links between the nodes of different fingerprints; enough to connect all that are within `bits`."""
     spark = entries.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            part = np.stack([c.to_numpy() for c in batch.columns])
-            if not part.shape[1]:
-                continue
-            held.append(part)
-            if part[0, 0] == held[0][0, -1] == part[0, -1]:
-                continue  # the list goes on
-            rows = np.concatenate(held, axis=1)
-            whole = int(np.searchsorted(rows[0], rows[0, -1]))
-            held = [rows[:, whole:]]
-            if whole:
-                u, v = links_of(rows[0, :whole], rows[1, :whole].view(np.uint64), rows[2, :whole], bits)
-                yield as_arrow(u=pa.array(u), v=pa.array(v))
-        if held:
-            rows = np.concatenate(held, axis=1)
-            u, v = links_of(rows[0], rows[1].view(np.uint64), rows[2], bits)
+        for part in whole_lists(batches):
+            u, v = links_of(part[0], part[1].view(np.uint64), part[2], bits)
             yield as_arrow(u=pa.array(u), v=pa.array(v))
 
     listed = postings(entries, bits).repartition(partitions(spark), "key").sortWithinPartitions("key")
@@ -190,10 +225,144 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, width: int = WIDTH) -> Da
 
 
 def one_of_each(docs: DataFrame, columns: tuple[str, ...], bits: int = BITS) -> DataFrame:
-    """`columns` of the document with the smallest doc_id of each group; of rows with equal ids one stays.
+    """`columns` of the document with the smallest doc_id of each group; of rows with equal ids and texts one stays.
 
-    Rows without an id can't be told apart by it and all stay.
+    Of different texts with that id the one with the least hash stays.  Rows without an id all stay.
     """
-    first = near_duplicates(docs, bits).where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").select(*columns).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    each = near_duplicates(docs, bits).where("component_id = doc_id").select("doc_id").distinct()
+    return _of_ids(docs, columns, docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash().alias("__h")).join(each, "doc_id", "left_semi"))
+
+
+def _row_hash() -> F.Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _of_ids(docs: DataFrame, columns: tuple[str, ...], rows: DataFrame) -> DataFrame:
+    """`columns` of one row for each doc_id of `rows` (doc_id, __h), that with the least hash, and all rows without an id."""
+    first = rows.groupBy("doc_id").agg(F.min("__h").alias("__h"))
+    kept = docs.where("doc_id IS NOT NULL").select(*columns, _row_hash().alias("__h")).join(first, ["doc_id", "__h"], "left_semi").dropDuplicates(["doc_id", "__h"])
     return kept.select(*columns).unionByName(docs.where("doc_id IS NULL").select(*columns))
+
+
+# ---------------------------------------------------------------- five words at a similarity of 0.8
+
+#: Widths of the shingles behind the fingerprint that is indexed and the one that verifies; 64-bit words of either.
+PAIR, FIVE, WORDS = 2, 5, 4
+#: Postings of a text, each keyed by three positional bytes.
+KEYS = 64
+#: Differing bits at which texts are still linked.  At a Jaccard similarity of 0.8 the shingles' vectors are 0.151 of a
+#: half turn apart, so 38.7 of 256 bits differ, give or take 5.7; at 0.7 it is 49 and at 0.6 59.
+ALIKE = 45
+
+
+def wide_fingerprints_of(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """(2 * WORDS, rows): the words of the fingerprint over word pairs, then of that over five words."""
+    data = _LOWER[data]
+    starts, ends, first = word_spans(data, offs)
+    word = span_hashes(data, starts, ends)
+    words = np.diff(first)
+    out = []
+    for width in (PAIR, FIVE):
+        n = _shingles(words, width)
+        edges = np.concatenate([[0], np.cumsum(n)])
+        ones = np.zeros((WORDS, len(words), 64), np.int64)
+        for low in range(0, int(edges[-1]), TOGETHER):
+            high = min(low + TOGETHER, int(edges[-1]))
+            row = np.searchsorted(edges, np.arange(low, high), side="right") - 1
+            a = np.arange(low, high) - edges[row] + first[row]
+            h = np.full(high - low, width, np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(width):  # words beyond a short row's end count as none
+                    inside = k < words[row]
+                    h = mix(h * _STEP + np.where(inside, word[np.where(inside, a + k, 0)], np.uint64(0)))
+                some = slice(int(row[0]), int(row[-1]) + 1)
+                at = np.clip(edges[some.start : some.stop + 1], low, high) - low
+                for w in range(WORDS):
+                    ones[w, some] += bit_counts(mix(h + np.uint64(w) * _STEP), at)
+        out += [majority(ones[w], n) for w in range(WORDS)]
+    return np.stack(out)
+
+
+def chosen_positions(seed: int = 23) -> list[tuple[int, int, int]]:
+    """KEYS choices of three of the 8 * WORDS positions, each position about equally often."""
+    r, out = np.random.default_rng(seed), []
+    while len(out) < KEYS:
+        p = r.permutation(8 * WORDS)
+        out += [tuple(sorted(p[i : i + 3].tolist())) for i in range(0, 8 * WORDS - 2, 3)]
+    return out[:KEYS]
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= ALIKE
+
+
+def alike_links(key: np.ndarray, node: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links within whole posting lists, given one after another; v is (entries, WORDS)."""
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(edge, len(key)))
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    short = np.flatnonzero(np.repeat((size > 1) & (size <= SHORT), size))
+    for d in range(1, SHORT):
+        same = short[: len(short) - d]
+        same = same[(key[np.minimum(same + d, len(key) - 1)] == key[same]) & (same + d < len(key))]
+        hit = same[_alike(v[same], v[same + d])]
+        us.append(node[hit])
+        vs.append(node[hit + d])
+    for i in np.flatnonzero(size > SHORT):
+        a, b = edge[i], edge[i] + size[i]
+        rest, own, names = np.arange(b - a), v[a:b], node[a:b]
+        while len(rest) > 1:  # a search takes what it reaches out of the list
+            todo, rest = rest[:1], rest[1:]
+            while len(todo) and len(rest):
+                block, todo = todo[: max(1, (1 << 18) // len(rest))], todo[max(1, (1 << 18) // len(rest)) :]
+                near = _alike(own[block][:, None], own[rest][None])
+                hit = near.any(axis=0)
+                if hit.any():
+                    new = rest[hit]
+                    us.append(names[new])
+                    vs.append(names[block[near[:, hit].argmax(axis=0)]])
+                    rest, todo = rest[~hit], np.concatenate([todo, new])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """(doc_id, __h, component_id) of every row: texts whose five-word shingles are alike to 0.8 or more are linked.
+
+    A text has two fingerprints of 256 bits.  That over word pairs moves little with a few edits, and is the index: postings
+    are keyed by KEYS choices of three of its 32 positional bytes, which two texts at 0.8 share about five of.  That over
+    five words verifies.  Equal fingerprints are one entry; a list gives the links of a spanning forest.
+    """
+    spark = docs.sparkSession
+    names = [f"{k}{w}" for k in "fv" for w in range(WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = buffers(batch.column(2))
+            for a, b in pieces(offs):
+                found = wide_fingerprints_of(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]).view(np.int64)
+                yield as_arrow(doc_id=batch.column(0).slice(a, b - a), __h=batch.column(1).slice(a, b - a), **dict(zip(names, map(pa.array, found), strict=True)))
+            release()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash().alias("__h"), F.col("text").cast("string").alias("text"))
+    each = cut(rows.mapInArrow(run, "doc_id long, __h long, " + ", ".join(f"{k} long" for k in names)))
+    beyond = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(*names), 2)
+    entries = cut(each.groupBy(*names).agg(F.min("doc_id").alias("least")).select(*names, F.coalesce("least", beyond).alias("node")))
+    byte = lambda i: F.shiftrightunsigned(f"f{i // 8}", 8 * (i % 8)).bitwiseAND(F.lit(255))
+    keys = [((F.lit(k).cast("long") * 256 + byte(a)) * 256 + byte(b)) * 256 + byte(c) for k, (a, b, c) in enumerate(chosen_positions())]
+    verify = [f"v{w}" for w in range(WORDS)]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_lists(batches):
+            u, v = alike_links(part[0], part[1], np.ascontiguousarray(part[2:].T).view(np.uint64))
+            yield as_arrow(u=pa.array(u), v=pa.array(v))
+
+    listed = entries.select(F.explode(F.array(*keys)).alias("key"), "node", *verify).repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
+    groups = components(listed.mapInArrow(link, "u long, v long"))
+    labels = entries.join(groups, "node", "left").select(*names, F.coalesce("component", "node").alias("component"))
+    joined = each.join(labels, names)
+    return joined.select("doc_id", "__h", F.when(F.col("component") < 1 << 62, F.col("component")).alias("component_id"))
+
+
+def one_of_similar(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """As one_of_each, for groups of texts whose five-word shingles are alike to 0.8 or more."""
+    return _of_ids(docs, columns, similar(docs).where("component_id = doc_id").select("doc_id", "__h"))

@@ -107,6 +107,51 @@ def test_near_duplicates(docs, rows, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.one_of_each(nothing, ("doc_id",)).count() == 0
 
 
+def shingle_sets(text, width=5):
+    w = WORD.findall((text or "").lower())
+    return {tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, min(len(w), 1)))}
+
+
+def test_similar_texts(spark, nothing):
+    """Groups at a five-word similarity of 0.8 or more against brute force; unlike texts stay apart."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(900)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(60, 400))) for _ in range(120)]
+    for i in range(60):  # near copies with a word changed in about 70, and in about 15
+        w = texts[i].split()
+        for k in r.sample(range(len(w)), max(1, len(w) // (70 if i < 40 else 15))):
+            w[k] = r.choice(words)
+        texts.append(" ".join(w))
+    texts += [texts[3].upper(), texts[4], None, "", " \n", "two words", "Two  words", "two other"]
+    lines = [(i, t, i % 3, 1) for i, t in enumerate(texts)] + [(4, texts[4], 1, 1), (7, "another text of row seven " * 9, 1, 1), (None, texts[5], 0, 1)]
+    docs = spark.createDataFrame(lines, "doc_id long, text string, node int, key int").repartition(4)
+    got = {x.doc_id: x.component_id for x in simhash.similar(docs).collect() if x.doc_id not in (None, 7)}
+    sets = {i: shingle_sets(t) for i, t in enumerate(texts)}
+    j = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    close = [(i, 120 + i) for i in range(60) if i != 7 and j(i, 120 + i) >= 0.8]
+    assert len(close) >= 35 and all(got[a] == got[b] for a, b in close)
+    assert all(got[120 + i] == 120 + i for i in range(40, 60) if j(i, 120 + i) < 0.4) and all(got[i] == i for i in range(120) if i != 7)
+    assert got[180] == 3 and got[181] == 4 and got[182] == got[183] == got[184] == 182 and got[185] == got[186] == 185 and got[187] == 187
+    kept = simhash.one_of_similar(docs, ("doc_id", "text", "key")).collect()
+    ids = Counter(x.doc_id for x in kept)
+    assert ids[4] == ids[7] == ids[3] == ids[None] == 1 and set(ids) - {None, 7} == set(got.values()) - {7} and simhash.one_of_similar(nothing, ("doc_id", "text")).count() == 0
+    assert {x.text for x in kept if x.doc_id == 7} <= {texts[7], lines[-2][1]}
+
+
+def test_bits_are_counted_over_any_number_of_shingles(monkeypatch):
+    r = np.random.default_rng(1)
+    h = r.integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, 2000).astype(np.uint64)
+    edges = np.array([0, 0, 1, 255, 511, 511, 2000])
+    bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    want = [bits[a:b].sum(axis=0).tolist() for a, b in zip(edges[:-1], edges[1:])]
+    assert simhash.bit_counts(h, edges).tolist() == want
+    text = " ".join(f"a{i % 97}" for i in range(500)).encode()
+    data, offs = np.frombuffer(text + b"one two", np.uint8), np.array([0, len(text), len(text) + 7])
+    one, wide = simhash.fingerprints_of(data, offs), simhash.wide_fingerprints_of(data, offs)
+    monkeypatch.setattr(simhash, "TOGETHER", 7)  # a long text is hashed in parts
+    assert simhash.fingerprints_of(data, offs).tolist() == one.tolist() and simhash.wide_fingerprints_of(data, offs).tolist() == wide.tolist()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (103, 102), (7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
