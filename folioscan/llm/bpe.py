@@ -25,8 +25,11 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.common import as_arrow, buffers, pieces
 
-#: Entries of each of the two generations of a worker's memo of pieces, and half those of pairs: memory is bounded.
-MEMO = 400_000
+#: Entries of each of the two generations of a worker's memo of pieces, and half those of pairs; longer pieces don't stay in
+#: it, so that it holds some 100 MB at most, whatever the texts hold.
+MEMO, LONG = 400_000, 64
+#: Places of a long piece whose matches are held at once.
+WINDOW = 4096
 
 
 class Pretokenizer:
@@ -94,6 +97,7 @@ class Codec:
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.ranks))
         self.pretokenizer = Pretokenizer()
         self.pairs: dict[int, bool] = {}
         self.edges: dict[int, tuple[list, list]] = {}
@@ -156,15 +160,14 @@ class Codec:
         if whole is not None:
             return [whole]
         n = len(piece)
-        found: list[list] = [[] for _ in range(n + 1)]
-        for end, match in self.automaton.iter(piece.decode("latin-1")):
-            found[end + 1 - match[1]].append(match)  # ends ascend, so the longest match is last
+        latin = piece.decode("latin-1")
+        low, found = 0, self._matches(latin, 0)
         dead = bytearray(n + 1)
         out: list[int] = []
         tried: list[int] = []
         at, k = 0, len(found[0]) - 1
         while at < n:
-            here = found[at]
+            here = found[at - low]
             while k >= 0:
                 token, length = here[k]
                 if not dead[at + length] and (not out or self.compatible(out[-1], token)):
@@ -174,15 +177,29 @@ class Codec:
                 out.append(token)
                 tried.append(k)
                 at += length
-                k = len(found[at]) - 1
+                if at - low >= WINDOW:
+                    low = at // WINDOW * WINDOW
+                    found = self._matches(latin, low)
+                k = len(found[at - low]) - 1
             else:
                 dead[at] = 1
                 if not out:
                     raise ValueError("the vocabulary lacks a byte of the text")
                 at -= len(self.tokens[out.pop()])
                 k = tried.pop() - 1
+                if at < low:
+                    low = at // WINDOW * WINDOW
+                    found = self._matches(latin, low)
         return out
 
+    def _matches(self, latin: str, low: int) -> list[list]:
+        """The tokens (rank, length) that begin at each of WINDOW places from `low`, short ones first."""
+        found: list[list] = [[] for _ in range(min(WINDOW, len(latin) - low) + 1)]
+        for end, match in self.automaton.iter(latin[low : low + WINDOW + self.longest]):
+            if (start := end + 1 - match[1]) < WINDOW:
+                found[start].append(match)  # ends ascend, so the longest match is last
+        return found
+
     def encode_rows(self, rows: list[str]) -> list[bytes]:
         """Each row's ids as little-endian unsigned 32-bit integers."""
         joined = "".join(rows)
@@ -210,7 +227,8 @@ class _Memo(dict):
     def __missing__(self, piece: str) -> bytes:
         if (ids := self.older.get(piece)) is None:
             ids = np.array(self.codec.encode_piece(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-        self[piece] = ids
+        if len(piece) <= LONG:
+            self[piece] = ids
         return ids
 
 

@@ -1,9 +1,10 @@
 """Batches of documents that look keys up in hash buckets, all as DataFrame operations.
 
-Documents are dealt to batches of bounded text by a hash of their id.  A batch sends each of its distinct keys once to
-the key's bucket, packed with the others for that bucket into one row, so a key that a third of all documents hold
-arrives once from each batch.  Buckets answer every batch.  Functions that need the documents again use the same
-shuffle of them (Spark reuses an equal exchange within a query).
+Documents are dealt to batches of bounded text by a hash of their id and text, so that many rows without an id, or with
+one id, spread like others.  A batch sends each of its distinct keys once to the key's bucket, packed with the others
+for that bucket into one row, so a key that a third of all documents hold arrives once from each batch.  Buckets answer
+every batch.  Functions that need the documents again use the same shuffle of them (Spark reuses an equal exchange
+within a query).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ LAST = np.iinfo(np.int64).max
 def batched(docs: DataFrame, *columns: str, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
     """(batch, doc_id, text, columns) and the number of batches."""
     n = max(partitions(docs.sparkSession), -(-text_bytes(docs) // batch_bytes), 1)
-    batch = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id").cast("long")), F.lit(n)).cast("int")
+    batch = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(n)).cast("int")
     return docs.select(batch.alias("batch"), F.col("doc_id").cast("long"), F.col("text").cast("string"), *columns), n
 
 
@@ -63,7 +64,7 @@ def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
 def cut_by_bucket(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, start, stop) of each bucket present in ascending keys."""
     found, start = np.unique(bucket_of(key, n), return_index=True)
-    return found, start, np.append(start[1:], len(key))
+    return found, start, np.append(start[1:], len(key))[: len(start)]
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:

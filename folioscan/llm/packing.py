@@ -34,8 +34,9 @@ from folioscan.llm.common import as_arrow, buffers, cut, partitions, pieces, rel
 SIZE = 4096
 #: The id that ends each document.
 END = 2
-#: Entries of each of the two generations of a worker's memo of chunks, so that memory is bounded.
-MEMO = 150_000
+#: Entries of each of the two generations of a worker's memo of chunks, and characters of a chunk that stays in it: some
+#: 50 MB at most, whatever the texts hold.
+MEMO, LONG = 150_000, 64
 
 #: Chunks whose normal form, lower case and words Python and the tokenizer's library read alike.
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
@@ -80,10 +81,15 @@ class Encoder:
 
     def encode_rows(self, rows: list[str]) -> list[bytes]:
         split = [re.split("[ \n\t\r]+", r) if _NOT_SPACE.search(r) else r.split() for r in rows]
+        long = []
         for c in set().union(*split).difference(self.memo):
             self.memo[c] = self._new(c)
+            if len(c) > LONG:
+                long.append(c)
         known = self.memo.__getitem__
         out = [b"".join(map(known, s)) for s in split]
+        for c in long:
+            del self.memo[c]
         if len(self.memo) > MEMO:
             self.memo, self.older = {}, self.memo
         return out

@@ -256,6 +256,41 @@ def test_forest_candidates_by_brute_force():
             assert np.flatnonzero(got[q]).tolist() == np.flatnonzero(shared >= depth).tolist()
 
 
+def test_long_pieces_of_bpe_are_matched_in_windows(monkeypatch):
+    c = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"))
+    r = np.random.default_rng(3)
+    pieces_ = [bytes(r.integers(97, 103, n, np.uint8)) for n in (5, 63, 64, 65, 700)] + [b"ab" * 300, b"aaaa" * 90, "äöüß".encode() * 40]
+    whole = [c.encode_piece(p) for p in pieces_]
+    monkeypatch.setattr(bpe, "WINDOW", 64)
+    assert [c.encode_piece(p) for p in pieces_] == whole and [c.decode(np.array(w, "<u4").tobytes()) for w in whole] == pieces_
+    c.encode_rows(["short words", "x" * 1000])
+    assert all(len(k) <= bpe.LONG for k in c.memo)
+
+
+def test_packing_memo_keeps_short_chunks_only():
+    e = packing.Encoder(P.path("word_bpe_49k.json"))
+    text = "abc " + "y" * 5000 + " def " + "ü" * 900
+    want = e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(e.encode_rows([text])[0], "<u4").tolist() == want == np.frombuffer(e.encode_rows([text])[0], "<u4").tolist()
+    assert all(len(k) <= packing.LONG for k in e.memo)
+
+
+def test_hashes_of_long_texts_are_those_of_short_ones(monkeypatch):
+    r = np.random.default_rng(2)
+    data = r.integers(97, 123, 30_000).astype(np.uint8)
+    data[r.integers(0, 20_000, 2500)] = 32  # the last word is long
+    offs = np.array([0, 12_000, len(data)])
+    starts, ends, _ = common.word_spans(data, offs)
+    want = [common.span_hashes(data, starts, ends, w) for w in (0, 1)]
+    joined = common.joined_words(data, starts, ends)
+    monkeypatch.setattr(common, "CHUNK_BYTES", 500)
+    for w in (0, 1):
+        assert (common.span_hashes(data, starts, ends, w) == want[w]).all()
+        assert common.span_hashes(data, starts[-1:], ends[-1:], w) == want[w][-1:]
+    got = common.joined_words(data, starts, ends)
+    assert got[0] == joined[0] and (got[1] == joined[1]).all() and (got[2] == joined[2]).all()
+
+
 def test_forest_recall_with_production_constants():
     """Nearly isotropic vectors against brute force, at several sizes; candidates stay well below half and their share falls."""
     r = np.random.default_rng(8)

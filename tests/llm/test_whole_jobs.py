@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from folioscan.llm import lm, outliers, queries
+from folioscan.llm import exchange, lm, outliers, queries, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -62,3 +62,12 @@ def test_rules_of_a_source_do_not_depend_on_other_sources(spark, monkeypatch):
     assert {i: among[i] for i in alone} == alone
     monkeypatch.setattr(outliers, "BLOCK", 2)  # estimates found a few at once are the same
     assert verdicts(spark, many) == among
+
+
+def test_rows_without_an_id_are_dealt_to_many_batches(spark):
+    lines = [(None, f"text number {i} of many without an id {i % 7}") for i in range(400)] + [(5, f"same id {i}") for i in range(100)]
+    rows, n = exchange.batched(spark.createDataFrame(lines, "doc_id long, text string"), batch_bytes=500)
+    sizes = [r["count"] for r in rows.groupBy("batch").count().collect()]
+    assert n > 20 and max(sizes) < 60
+    got = substring.removal(spark.createDataFrame(lines[:50] + [(1, "a b c d e f g h i j k l m"), (None, "a b c d e f g h i j k l m n")], "doc_id long, text string")).collect()
+    assert sorted((r.n_words, r.n_removed) for r in got if r.n_removed) == [(14, 13)]
