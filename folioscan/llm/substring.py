@@ -180,7 +180,7 @@ def removal(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = (), tex
         sent = np.flatnonzero(~gone)
         sent = sent[np.lexsort((at[sent], bucket_of(name1[sent], n)))]
         found, start = np.unique(bucket_of(name1[sent], n), return_index=True)
-        stop = np.append(start[1:], len(sent))
+        stop = np.append(start[1:], len(sent))[: len(start)]
         word = (at - first[owner]).astype(np.int32)
         own = owner.astype(np.int32)
         run_words = np.diff(np.append(edge, len(local))).astype(np.int32) + width - 1
