@@ -16,6 +16,18 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once: as a lambda's variable it is not copied into where it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def run_lengths(c: Column) -> Column:
+    """array<struct<value, n>>: the distinct entries of an array in order with how often each occurs, within the row."""
+    ends = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+    count = lambda s, e: F.transform(e, lambda x, i: F.struct(F.get(s, x - 1).alias("value"), (x - F.coalesce(F.get(e, i - 1), F.lit(0))).cast("long").alias("n")))
+    return let(F.array_sort(c), lambda s: F.when(F.size(s) > 0, let(ends(s), lambda e: count(s, e))))
+
+
 def squeeze(c: Column) -> Column:
     """Runs of (Unicode) white space as one blank; trimmed; null is empty."""
     return F.trim(F.regexp_replace(text_or_empty(c), r"(?U)\s+", " "))
@@ -31,8 +43,7 @@ def tokens(c: Column) -> Column:
 
 def index_tokens(c: Column) -> Column:
     """Tokens to index: a text without any has the one token `_`."""
-    t = tokens(c)
-    return F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("_")))
+    return let(tokens(c), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("_"))))
 
 
 def truncate(c: Column, limit: int) -> Column:

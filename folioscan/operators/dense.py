@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from folioscan.functions.text import tokens
+from folioscan.functions.text import let, run_lengths, tokens
 from folioscan.operators.lexical import top_ranked
 
 BUCKETS = 1024
@@ -19,26 +24,63 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def retrieve(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def unit(e: Column) -> Column:
+    """A vector divided by its length, in double precision; the length is found once."""
+    length = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return let(length, lambda n: F.transform(e, lambda x: x.cast("double") / n))
+
+
+def retrieve(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", embedding: str = "embedding", most: int = 1 << 20) -> DataFrame:
     """(query_id, doc_id, score, rank) by cosine, rounded to six digits; filter `vectors` first for an allow-list.
 
-    The question vectors of a batch are broadcast: a batch has a stated size, checked by the caller's plan.
+    Every vector meets every question of the batch, in Arrow batches: the questions' unit vectors are one matrix that is
+    sent to the executors.  A batch with more than `most` components is refused; ask it in parts.
     """
-    q = queries.select("query_id", F.col("embedding").alias("__q"))
-    pairs = vectors.select(F.col(id_col).alias("doc_id"), F.col(embedding).alias("__e")).crossJoin(F.broadcast(q))
-    return top_ranked(pairs.select("query_id", "doc_id", F.round(cosine(F.col("__e"), F.col("__q")), 6).alias("score")), k)
+    asked = queries.select("query_id", unit(F.col("embedding")).alias("q")).limit(most + 1).collect()
+    if sum(len(r["q"] or ()) for r in asked) > most:
+        raise ValueError(f"a batch of questions may hold {most} components")
+    types = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[id_col]
+    by_dim: dict[int, tuple[list, np.ndarray]] = {}
+    for r in asked:
+        if r["q"]:
+            by_dim.setdefault(len(r["q"]), ([], []))  # type: ignore[arg-type]
+            by_dim[len(r["q"])][0].append(r["query_id"])
+            by_dim[len(r["q"])][1].append(r["q"])
+    shared = vectors.sparkSession.sparkContext.broadcast({d: (ids, np.array(q)) for d, (ids, q) in by_dim.items()})
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, values = batch.column(0), batch.column(1)
+            size = np.diff(values.offsets.to_numpy())
+            for dim, (ids, q) in shared.value.items():
+                rows = np.flatnonzero(size == dim)
+                if not len(rows):
+                    continue
+                part = values.take(pa.array(rows))
+                x = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    cos = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))) @ q.T
+                best = np.argsort(-cos, axis=0, kind="stable")
+                # all that reach the k-th best of this batch, ties included
+                floor = cos[best[min(k, len(rows)) - 1], np.arange(len(ids))] - 1e-6
+                r, c = np.nonzero(~(cos < floor))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in c.tolist()], batch_type), names.take(pa.array(rows[r])), pa.array(cos[r, c])], names=["query_id", "doc_id", "score"])
+
+    batch_type = to_arrow_type(queries.schema["query_id"].dataType)
+    pairs = vectors.where(F.col(embedding).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(embedding).alias("e")).mapInArrow(score, f"query_id {types[0]}, doc_id {types[1]}, score double")
+    return top_ranked(pairs.select("query_id", "doc_id", F.round("score", 6).alias("score")), k)
 
 
 def hash_embedding(docs: DataFrame, id_col: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, bucket, weight): hashed bag of words, counts divided by their Euclidean norm, one row for each entry.
 
-    A bucket is the first 32 bits of the word's SHA-1 modulo the number of buckets.
+    A bucket is the first 32 bits of the word's SHA-1 modulo the number of buckets.  All happens within the row.
     """
-    words = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens(F.col(text))).alias("t"))
-    bucket = F.pmod(F.conv(F.substring(F.sha1(F.col("t").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    counts = words.groupBy("doc_id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    norms = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norms, "doc_id").select("doc_id", "bucket", F.round(F.col("n") / F.col("norm"), 9).alias("weight"))
+    bucket = lambda t: F.pmod(F.conv(F.substring(F.sha1(t.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(buckets))
+    counts = run_lengths(F.transform(tokens(F.col(text)), bucket))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x["n"] * x["n"]))
+    weights = let(counts, lambda c: let(norm(c), lambda n: F.transform(c, lambda x: F.struct(x["value"].alias("bucket"), F.round(x["n"] / n, 9).alias("weight")))))
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(weights).alias("x")).select("doc_id", "x.bucket", "x.weight")
 
 
 def dense_array(sparse: DataFrame, buckets: int = BUCKETS) -> DataFrame:

@@ -3,35 +3,56 @@
 Scores are those of Okapi BM25 with k1 = 1.5 and b = 0.75; an inverse document frequency below zero becomes a quarter
 of the mean over all terms.  Ties keep the order of the documents' ids.  Statistics are those of the corpus given, so
 filter it first where they should follow a filter.
+
+Nothing that grows with the corpus's (document, term) pairs is shuffled.  Document frequencies are counted from each
+document's distinct terms, combined in each task; occurrences are counted only for the terms that questions ask.  `Index`
+keeps both as tables for batches to come.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import index_tokens, tokens
+from folioscan.functions.text import index_tokens, run_lengths, tokens
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
-def term_frequencies(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, term, tf, dl)."""
-    t = corpus.select(F.col(doc_id).alias("doc_id"), index_tokens(F.col(text)).alias("terms"))
-    return t.select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+def document_terms(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, terms)."""
+    return corpus.select(F.col(doc_id).alias("doc_id"), index_tokens(F.col(text)).alias("terms"))
 
 
-def corpus_statistics(corpus: DataFrame, text: str = "text") -> DataFrame:
-    """One row: n_docs, mean_length."""
-    return corpus.agg(F.count("*").alias("n_docs"), F.avg(F.size(index_tokens(F.col(text)))).alias("mean_length"))
+def term_frequencies(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, term, tf, dl), counted within each row: no shuffle."""
+    t = document_terms(corpus, doc_id, text)
+    each = t.select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode(run_lengths(F.col("terms"))).alias("x"))
+    return each.select("doc_id", F.col("x.value").alias("term"), "dl", F.col("x.n").alias("tf"))
+
 
+def vocabulary(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df, idf, n_docs, mean_length): one pass over the corpus, in which each task counts before the shuffle.
 
-def inverse_frequencies(tf: DataFrame, statistics: DataFrame) -> DataFrame:
-    """(term, df, idf); the mean that floors negative ones is over all terms, negative ones included."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(statistics.select("n_docs"))).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    The mean that floors negative values is over all terms, negative ones included.
+    """
+    t = corpus.select(index_tokens(F.col(text)).alias("terms"))
+    # the first word of each document also carries the document and its length, so that no second pass is needed
+    each = t.select(F.size("terms").alias("dl"), F.posexplode(F.array_distinct("terms")).alias("i", "term"))
+    first = F.col("i") == 0
+    df = each.groupBy("term").agg(F.count("*").alias("df"), F.count_if(first).alias("docs"), F.sum(F.when(first, F.col("dl")).otherwise(0)).alias("length"))
+    every = df.agg(F.sum("docs").alias("n_docs"), (F.sum("length") / F.sum("docs")).alias("mean_length"))
+    raw = df.crossJoin(F.broadcast(every)).select("term", "df", "n_docs", "mean_length", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"), "n_docs", "mean_length")
+
+
+def term_counts(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df, cf): documents with a term and its occurrences."""
+    each = corpus.select(F.explode(run_lengths(index_tokens(F.col(text)))).alias("x"))
+    return each.groupBy(F.col("x.value").alias("term")).agg(F.count("*").alias("df"), F.sum("x.n").alias("cf"))
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
@@ -39,20 +60,46 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "tex
     return queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, doc_id, score) of the pairs that share a term; the score is rounded to six digits.
+def asked_frequencies(corpus: DataFrame, asked: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, term, tf, dl) of the terms in `asked` alone: other words go before anything is shuffled."""
+    t = document_terms(corpus, doc_id, text)
+    words = t.select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+    return words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
 
-    The corpus is exploded once; only the terms that questions use are joined, from the questions' side.
-    """
-    asked = query_terms(queries)
-    tf = term_frequencies(corpus, doc_id, text)
-    statistics = corpus_statistics(corpus, text)
-    weights = inverse_frequencies(tf, statistics).join(asked, "term")
-    hits = tf.join(weights.select("query_id", "term", "qf", "idf"), "term").crossJoin(F.broadcast(statistics))
+
+def scored(hits: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) from rows with qf, idf, tf, dl and mean_length; rounded to six digits."""
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_length")))
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def bm25(corpus: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, doc_id, score) of the pairs that share a term."""
+    asked = query_terms(queries)
+    weights = vocabulary(corpus, text).join(asked, "term")
+    return scored(asked_frequencies(corpus, asked, doc_id, text).join(weights, "term"))
+
+
+@dataclass
+class Index:
+    """A corpus's postings (term, doc_id, tf, dl) and vocabulary, to be kept by `Snapshots` and asked by many batches."""
+
+    postings: DataFrame
+    terms: DataFrame
+
+    @staticmethod
+    def of(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
+        """Postings are dealt by term, so that a batch's terms meet them without a shuffle of the postings' other rows."""
+        return Index(term_frequencies(corpus, doc_id, text).repartition("term").sortWithinPartitions("term"), vocabulary(corpus, text))
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {"postings": self.postings, "terms": self.terms}
+
+    def bm25(self, queries: DataFrame) -> DataFrame:
+        weights = self.terms.join(query_terms(queries), "term")
+        return scored(self.postings.join(weights, "term"))
+
+
 def top_ranked(scored: DataFrame, k: int, score: str = "score", tie: str | Column = "doc_id") -> DataFrame:
     """Rank within each question, cut to k."""
     tie = F.col(tie) if isinstance(tie, str) else tie
@@ -62,3 +109,8 @@ def top_ranked(scored: DataFrame, k: int, score: str = "score", tie: str | Colum
 def retrieve(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, doc_id, score, rank): cut to k first, then scores of zero or less go."""
     return top_ranked(bm25(corpus, queries, doc_id, text), k).where("score > 0")
+
+
+def retrieve_indexed(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """As retrieve, from a kept index."""
+    return top_ranked(index.bm25(queries), k).where("score > 0")

@@ -101,7 +101,7 @@ def bm25_filtered_corpus(spark, sf_dir):
 
 @query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(CASE WHEN len({_TOKENS}) > 0 THEN {_TOKENS} ELSE ['_'] END) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def token_stats(spark, sf_dir):
-    return lexical.term_frequencies(docs(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return lexical.term_counts(docs(spark, sf_dir))
 
 
 @query(f"SELECT source, count(*) AS n, round(avg(len({_TOKENS})), 6) AS mean_tokens, CAST(max(len({_TOKENS})) AS BIGINT) AS most FROM documents GROUP BY source")
