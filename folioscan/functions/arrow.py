@@ -46,29 +46,38 @@ def first_json_object(s: str | None) -> str | None:
 
 
 def split_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Chunks of at most `size` characters, cut at the best separator present, the next one starting up to `overlap` back."""
-    place = next(i for i, s in enumerate(separators) if not s or s in text)
-    mark = separators[place]
-    parts = list(text) if not mark else [p + mark for p in text.split(mark)[:-1]] + [text.split(mark)[-1]]
+    """Chunks of about `size` characters, cut before the best separator present; what is still too long is cut at the next
+    one.  A chunk begins with as many of the last parts of the one before as make up at most `overlap` characters."""
+    place = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
+    mark, finer = separators[place], separators[place + 1 :]
+    parts = list(text) if not mark else [p for p in (lambda x: [x[0], *[mark + y for y in x[1:]]])(text.split(mark)) if p]
     out: list[str] = []
     held: list[str] = []
+    total = 0
 
-    def flush():
-        if joined := "".join(held).strip():
+    def flush(whole: bool):
+        nonlocal total
+        if held and (joined := "".join(held).strip()):
             out.append(joined)
+        if whole:
+            held.clear()
+            total = 0
 
     for p in parts:
-        if len(p) > size and mark:
-            flush()
-            held.clear()
-            out += split_recursively(p, size, overlap, separators[place + 1 :])
+        if len(p) >= size:
+            flush(True)
+            if finer:
+                out += split_recursively(p, size, overlap, finer)
+            else:
+                out.append(p)
             continue
-        if held and sum(map(len, held)) + len(p) > size:
-            flush()
-            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(p) > size):
-                held.pop(0)
+        if total + len(p) > size and held:
+            flush(False)
+            while total > overlap or (total > 0 and total + len(p) > size):
+                total -= len(held.pop(0))
         held.append(p)
-    flush()
+        total += len(p)
+    flush(True)
     return out
 
 

@@ -10,6 +10,8 @@ from folioscan.functions.vocabulary import REFERENCE_HEADINGS, VENUES
 #: A CJK character alone, or a run of ASCII letters, digits and underscores.
 TOKEN = r"[一-鿿]|[a-z0-9_]+"
 _WORD = r"[\p{L}\p{N}_]"
+#: Fixed value: the section of what stands before any heading.
+BODY = "正文"
 
 
 def text_or_empty(c: Column) -> Column:
@@ -33,6 +35,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(text_or_empty(c), r"(?U)\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Without (Unicode) white space at either end; null is empty."""
+    return F.regexp_replace(text_or_empty(c), r"(?U)^\s+|\s+$", "")
+
+
 def norm(c: Column) -> Column:
     return F.lower(squeeze(c))
 
@@ -78,8 +85,9 @@ def meaningful_line(line: Column) -> Column:
 
 
 def heading(c: Column) -> Column:
-    """The first line, squeezed, without colons, hyphens and blanks around it."""
-    return F.regexp_replace(squeeze(F.split(text_or_empty(c), "\n")[0]), r"^[:\- ]+|[:\- ]+$", "")
+    """The first line of the trimmed text, squeezed, without colons, hyphens and blanks around it."""
+    first = F.regexp_extract(text_or_empty(c), r"(?U)^\s*([^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*)", 1)
+    return F.regexp_replace(squeeze(first), r"^[:\- ]+|[:\- ]+$", "")
 
 
 def is_reference_heading(c: Column) -> Column:
@@ -149,6 +157,28 @@ def string_list(c: Column) -> Column:
     return F.filter(F.transform(F.coalesce(F.when(F.trim(c).startswith("["), parsed), F.split(text_or_empty(c), r"\|")), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def text_list(c: Column) -> Column:
+    """A JSON list's non-blank strings, or one text, trimmed; empty otherwise."""
+    parsed = F.filter(F.transform(F.from_json(c, "array<string>"), strip), lambda x: x != "")
+    one = strip(c)
+    none = F.array().cast("array<string>")
+    return F.when(c.isNull() | (one == ""), none).when(one.startswith("["), F.coalesce(parsed, none)).otherwise(F.array(one))
+
+
+def box(c: Column) -> Column:
+    """The first four numbers of a JSON list; empty where there are fewer or one is no number."""
+    four = F.transform(F.slice(F.from_json(c, "array<string>"), 1, 4), lambda x: F.trim(x).try_cast("double"))
+    whole = (F.size(four) == 4) & ~F.exists(four, lambda x: x.isNull())
+    return F.when(F.coalesce(whole, F.lit(False)), four).otherwise(F.array().cast("array<double>"))
+
+
+def media_id(path: Column, prefix: str) -> Column:
+    """`prefix` and the first 24 safe characters of a file's name without its last suffix; unknown for a blank path."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]+)/*$", 1), r"(?<=[^.])\.[^.]+$", "")
+    safe = F.substring(F.regexp_replace(stem, r"[^a-zA-Z0-9._-]+", "_"), 1, 24)
+    return F.when(F.coalesce(F.trim(path), F.lit("")) == "", f"{prefix}_unknown").otherwise(F.concat(F.lit(f"{prefix}_"), safe))
+
+
 def distinct_terms(terms: Column) -> Column:
     """First spelling of each term, compared without case, in order; blanks go."""
     empty = F.struct(F.array().cast("array<string>").alias("low"), F.array().cast("array<string>").alias("out"))
@@ -185,11 +215,20 @@ def parsed_reference(c: Column) -> Column:
 
 
 def heading_level(c: Column) -> Column:
-    """Depth of a numbered heading; 1 for roman, chapter and all-capital ones; null otherwise or above 140 characters."""
-    s = F.trim(F.substring_index(text_or_empty(c), "\n", 1))
-    depth = F.size(F.split(F.regexp_extract(s, r"^(\d+(?:\.\d+)*)[.)]?\s+\S", 1), r"\."))
-    capitals = (F.length(s) <= 80) & (F.upper(s) == s) & s.rlike("[A-Z]")
-    return F.when(s.rlike(r"^$|(?s)^.{141}"), None).when(s.rlike(r"^\d+(?:\.\d+)*[.)]?\s+\S"), depth).when(s.rlike(r"^[IVXLCM]+[.)]?\s+\S|^(?i:chapter|section)\s+\S|^第[一二三四五六七八九十百0-9]+[章节]") | capitals, 1)
+    """Depth of a numbered heading (digits and white space, no mark between); 1 for references, roman numerals with a mark,
+    chapter, section, appendix and all capitals of 80 characters or fewer; null otherwise or above 140 characters."""
+
+    def level(h: Column) -> Column:
+        low = F.lower(h)
+        number = F.regexp_extract(h, r"^(\d+(?:\.\d+)*)\s+\S", 1)
+        other = low.rlike(r"^[ivxlcdm]+[.)]\s+\S|^(?:chapter|section|appendix)(?![\p{L}\p{N}_])|^第[一二三四五六七八九十百0-9]+[章节部分]")
+        capitals = (F.length(h) <= 80) & (F.upper(h) == h) & (low != h)
+        return (
+            F.when((h == "") | (F.length(h) > 140), None).when(_any(low.startswith(x) for x in REFERENCE_HEADINGS), 1)
+            .when(number != "", F.size(F.split(number, r"\."))).when(other | capitals, 1)
+        )
+
+    return let(heading(c), level)
 
 
 def is_heading(c: Column) -> Column:
@@ -197,7 +236,7 @@ def is_heading(c: Column) -> Column:
 
 
 def is_list_item(c: Column) -> Column:
-    return F.trim(text_or_empty(c)).rlike(r"^(?:[-*•·]\s+|\d+[.)、]\s*|[A-Za-z][.)]\s+|[(（][0-9A-Za-z一二三四五六七八九十]+[)）])")
+    return F.trim(text_or_empty(c)).rlike(r"^(?:[-*•]\s+|\d+[.)]\s+|[A-Za-z][.)]\s+|[(]\d+[)]|（\d+）)")
 
 
 def _any(conditions) -> Column:

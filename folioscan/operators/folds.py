@@ -12,40 +12,56 @@ MEDIA = ("equation", "image", "table")
 
 
 def pack_groups(blocks: DataFrame, max_chars: int = MAX_CHARS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Blocks with `grp`, the number of the packed document they belong to within their doc_id.
+    """Blocks with `grp`, the number of the packed document they belong to within their doc_id; blank blocks go.
 
     A group ends where section or reference flag change or pages jump, above the hard limit, or above the soft one once
-    the minimum is reached and neither neighbour is an equation, image or table.
+    the minimum is reached and neither neighbour is an equation, image or table.  Lengths are those of trimmed texts.
     """
-    row = F.struct("ord", "section_path", "is_reference", "page", "block_type", "text", F.length("text").alias("n"))
-    docs = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    media = lambda x: x["block_type"].isin(*MEDIA)
+    own = [c for c in blocks.columns if c != "doc_id"]
+    kept = blocks.where(F.trim(T.strip(F.col("text"))) != "")
+    docs = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in own if c != "ord"], F.length(T.strip(F.col("text"))).alias("__n")))).alias("rows"))
+    media = lambda x: F.lower(F.trim(x["block_type"])).isin(*MEDIA)
 
     def step(s: Column, x: Column) -> Column:
         first = s["grp"] < 0
         last = s["last"]
-        total = s["chars"] + x["n"]
+        total = s["chars"] + x["__n"]
         scope = ~(last["section_path"].eqNullSafe(x["section_path"]) & last["is_reference"].eqNullSafe(x["is_reference"])) | (F.abs(x["page"] - last["page"]) > 1)
         soft = (total > max_chars) & (s["chars"] >= min_chars) & ~media(last) & ~media(x)
-        new = first | scope | (total > max_chars * HARD) | soft
+        new = first | scope | (total > int(max_chars * HARD)) | soft
         grp = F.when(new, s["grp"] + 1).otherwise(s["grp"])
-        return F.struct(grp.alias("grp"), F.when(new, x["n"]).otherwise(total).alias("chars"), x.alias("last"), F.concat(s["out"], F.array(grp)).alias("out"))
+        return F.struct(grp.alias("grp"), F.when(new, x["__n"]).otherwise(total).alias("chars"), x.alias("last"), F.concat(s["out"], F.array(grp)).alias("out"))
 
     start = F.struct(F.lit(-1).alias("grp"), F.lit(0).alias("chars"), F.get(F.col("rows"), F.lit(0)).alias("last"), F.array().cast("array<int>").alias("out"))
     folded = docs.select("doc_id", "rows", F.aggregate("rows", start, step)["out"].alias("grps"))
     each = folded.select("doc_id", F.explode(F.zip_with("rows", "grps", lambda r, g: F.struct(r.alias("r"), g.alias("grp")))).alias("x"))
-    return each.select("doc_id", "x.r.*", F.col("x.grp").cast("long").alias("grp")).drop("n")
+    return each.select("doc_id", "x.r.*", F.col("x.grp").cast("long").alias("grp")).drop("__n")
 
 
 def packed_documents(blocks: DataFrame, **limits: int) -> DataFrame:
-    """(doc_id, grp, text, page, page_end, page_range, block_types, section_path, is_reference)."""
+    """Packed documents in reading order: text (blocks divided by a blank line), pages, types, sections, the reference flag
+    and section of the first block and, where the blocks have them, figure and table ids, block ids, first and last block
+    and boxes with their pages."""
     g = pack_groups(blocks, **limits)
-    texts = F.array_sort(F.collect_list(F.struct("ord", "text")))
-    return g.groupBy("doc_id", "grp").agg(
-        F.array_join(F.transform(texts, lambda x: x["text"]), "\n").alias("text"),
-        F.min("page").alias("page"), F.max("page").alias("page_end"), F.concat_ws("-", F.min("page"), F.max("page")).alias("page_range"),
-        F.sort_array(F.collect_set("block_type")).alias("block_types"), F.min_by("section_path", "ord").alias("section_path"), F.min_by("is_reference", "ord").alias("is_reference"),
-    )
+    has = set(blocks.columns)
+    rows = F.array_sort(F.collect_list(F.struct("ord", T.strip(F.col("text")).alias("t"))))
+    distinct = lambda c: F.sort_array(F.collect_set(c))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col(c).alias("v")))), lambda x: x["v"])
+    out = [
+        F.array_join(F.transform(rows, lambda x: x["t"]), "\n\n").alias("text"), F.min("page").alias("page"), F.max("page").alias("page_end"), F.concat_ws("-", F.min("page"), F.max("page")).alias("page_range"),
+        distinct("block_type").alias("block_types"), F.min_by("section_path", "ord").alias("section_path"),
+        F.filter(distinct(F.trim("section_path")), lambda x: x != "").alias("section_paths"), F.min_by("is_reference", "ord").alias("is_reference"),
+    ]
+    for c in ("figure_ids", "table_ids"):
+        if c in has:
+            out.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c))
+    if "block_id" in has:
+        out += [in_order("block_id").alias("block_ids"), F.min_by("block_id", "ord").alias("first_block"), F.max_by("block_id", "ord").alias("last_block")]
+    if "bbox" in has:
+        boxes = F.transform(F.array_sort(F.collect_list(F.when(F.size("bbox") > 0, F.struct("ord", "page", "bbox")))), lambda x: F.struct(x["page"].alias("page"), x["bbox"].alias("bbox")))
+        out.append(boxes.alias("bboxes"))
+    out += [F.min_by(c, "ord").alias(c) for c in ("source", "title", "year", "authors", "venue", "keywords", "language") if c in has]
+    return g.groupBy("doc_id", "grp").agg(*out)
 
 
 def structure_blocks(text: Column, min_chars: int = 300) -> Column:
@@ -72,42 +88,53 @@ def _block_heading(line: Column) -> Column:
 
 
 def annotate_blocks(items: DataFrame) -> DataFrame:
-    """Layout items (doc_id, ord, page, type, text) as blocks with section_path and is_reference.
+    """Layout items (doc_id, ord, page_idx from 0, type, text and further columns) as blocks with page (from 1),
+    section_path and is_reference.
 
-    Headings keep a stack of up to six levels.  References begin at their heading and end at a page gap, a heading of the
-    same or a higher level or a paragraph like body text; within them entries and continuations are references, outside
-    only continuations under a reference section.  Entries on the last quarter of the pages are references too.
+    Text and discarded items may be headings, which keep a stack of up to six levels.  References begin at their heading
+    and end at a heading of the same or a higher level, where the last reference is more than a page back, or at a paragraph
+    like body text.  Within them entries and continuations are references, outside only continuations under a reference
+    section.  Entries on the last quarter of the pages are references too.  A lone column `page` is taken for page_idx.
     """
-    c = F.col("text")
-    seen = T.reference_features(items, "text").withColumn("__level", T.heading_level(c)).withColumn("__title", T.normal_reference_heading(c))
-    level = F.when(F.col("type").isin("title", "heading") | F.col("__level").isNotNull(), F.coalesce("__level", F.lit(1)))
+    if "page_idx" not in items.columns:
+        items = items.withColumnRenamed("page", "page_idx")
+    own = [c for c in items.columns if c not in ("doc_id", "ord", "page_idx", "type", "text", "page", "block_type", "section_path", "is_reference", "block_id")]
+    text = T.text_or_empty(F.col("text"))
+    kind = F.lower(F.trim(T.text_or_empty(F.col("type"))))
+    seen = items.withColumns({"text": text, "type": F.when(kind == "", "text").otherwise(kind), "page_idx": F.greatest(F.coalesce(F.col("page_idx").cast("long"), F.lit(0)), F.lit(0))})
+    seen = T.reference_features(seen, "text")
+    may_head = F.col("type").isin("text", "discarded") & (F.col("text") != "")
+    seen = seen.withColumn("__level", F.when(may_head, T.heading_level(F.col("text")))).withColumn("__title", T.normal_reference_heading(F.col("text")))
     row = F.struct(
-        "ord", "page", "type", "text", F.when(level.isNotNull(), F.least(F.greatest(level, F.lit(1)), F.lit(6))).alias("level"), F.col("ref.opens").alias("opens"), F.col("ref.entry").alias("entry"),
-        F.col("ref.goes_on").alias("goes_on"), F.col("ref.body").alias("body"), F.col("__title").alias("title"),
+        "ord", (F.col("page_idx") + 1).alias("page"), "type", "text", F.col("__level").alias("level"), (F.col("__level").isNotNull() & F.col("ref.opens")).alias("opens"),
+        (F.col("ref.entry") | F.col("ref.goes_on")).alias("cites"), F.col("ref.entry").alias("entry"), F.col("ref.goes_on").alias("goes_on"), F.col("ref.body").alias("body"), F.col("__title").alias("title"), *own,
     )
-    docs = seen.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), (F.max("page") + 1).alias("pages"))
-    start = F.expr("struct(cast(array() as array<string>) AS stack, false AS inside, 1 AS level, 0L AS page, cast(array() as array<struct<section_path:string,is_reference:boolean>>) AS out)")
-
-    def step(s: Column, x: Column) -> Column:
-        title = x["level"].isNotNull() | x["opens"]
-        depth = F.coalesce(x["level"], F.lit(1))
-        stack = F.when(title, F.concat(F.slice(s["stack"], 1, depth - 1), F.array(x["title"]))).otherwise(s["stack"])
-        leaves = (x["page"] - s["page"] > 1) | (title & ~x["opens"] & (depth <= s["level"])) | x["body"]
-        inside = x["opens"] | (s["inside"] & ~leaves)
-        path = F.array_join(stack, " > ")
-        is_ref = F.when(inside, x["opens"] | x["entry"] | x["goes_on"]).otherwise(x["goes_on"] & T.is_reference_section(path))
+    docs = seen.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", row.alias("r")))).alias("rows"), F.max(F.col("page_idx") + 1).alias("pages"))
+    start = F.expr("struct(cast(array() as array<string>) AS stack, false AS inside, 0 AS level, 0L AS last, cast(array() as array<struct<section_path:string,is_reference:boolean>>) AS out)")
+
+    def step(s: Column, entry: Column) -> Column:
+        x = entry["r"]
+        title = x["level"].isNotNull()
+        gone = (s["last"] > 0) & (x["page"] > s["last"] + 1)
+        higher = title & ~x["opens"] & (x["level"] <= s["level"])
+        open_ = x["opens"] | (s["inside"] & ~gone & ~higher)
+        stack = F.when(title, F.concat(F.slice(s["stack"], F.lit(1), F.least(x["level"], F.lit(6)) - 1), F.array(x["title"]))).otherwise(s["stack"])
+        path = F.when(F.size(stack) > 0, F.array_join(stack, " > ")).otherwise(T.BODY)
+        some = x["text"] != ""
+        is_ref = F.when(x["opens"], True).when(open_ & some, x["cites"]).otherwise(T.is_reference_section(path) & x["goes_on"])
+        inside = open_ & (x["opens"] | ~some | x["cites"] | ~x["body"])
         return F.struct(
-            stack.alias("stack"), inside.alias("inside"), F.when(x["opens"], depth).otherwise(s["level"]).alias("level"), x["page"].cast("long").alias("page"),
+            stack.alias("stack"), inside.alias("inside"), F.when(x["opens"], x["level"]).otherwise(s["level"]).alias("level"), F.when(is_ref, x["page"]).otherwise(s["last"]).cast("long").alias("last"),
             F.concat(s["out"], F.array(F.struct(path.alias("section_path"), is_ref.alias("is_reference")))).alias("out"),
         )
 
     folded = docs.select("doc_id", "pages", "rows", F.aggregate("rows", start, step)["out"].alias("out"))
-    each = folded.select("doc_id", "pages", F.explode(F.zip_with("rows", "out", lambda r, o: F.struct(r.alias("r"), o.alias("o")))).alias("x"))
+    each = folded.select("doc_id", "pages", F.explode(F.zip_with("rows", "out", lambda r, o: F.struct(r["r"].alias("r"), o.alias("o")))).alias("x"))
     late = F.col("x.r.page") >= F.greatest(F.lit(1), F.floor(F.col("pages") * 0.75))
     return each.select(
         "doc_id", F.col("x.r.ord").alias("ord"), F.col("x.r.page").alias("page"), F.col("x.r.type").alias("block_type"), F.col("x.r.text").alias("text"),
         "x.o.section_path", (F.col("x.o.is_reference") | (late & F.col("x.r.entry"))).alias("is_reference"),
-        F.format_string("%s::b%06d", F.col("doc_id").cast("string"), F.col("x.r.ord").cast("int")).alias("block_id"),
+        F.format_string("%s::b%06d", F.col("doc_id").cast("string"), F.col("x.r.ord").cast("int")).alias("block_id"), *[F.col(f"x.r.{c}").alias(c) for c in own],
     )
 
 

@@ -209,13 +209,6 @@ def fail_open_filter(spark, sf_dir):
     return q.join(hits, "query_id", "left").crossJoin(F.broadcast(total)).select("query_id", F.coalesce("n", "every").alias("allowed"))
 
 
-@query()
-def reference_signal(spark, sf_dir):
-    """By line of `documents`: the signal's histogram and how many lines look like entries or bodies."""
-    line = T.reference_features(docs(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("t")), "t")
-    return line.groupBy("ref.signal").agg(F.count("*").alias("n"), F.count_if("ref.entry").alias("entries"), F.count_if("ref.body").alias("bodies"))
-
-
 @query(r"""WITH w AS (SELECT doc_id, unnest(x) AS term, unnest(range(len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9\-]{2,}') AS x FROM documents)),
 c AS (SELECT doc_id, term, count(*) AS n, min(i) AS i FROM w GROUP BY ALL)
 SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS rank FROM c QUALIFY rank <= 20""")
@@ -265,48 +258,6 @@ def quality_report(spark, sf_dir):
     return assets.quality_report(assets.quality_flags(_chunks(spark, sf_dir))).select("total", "failed", "failed_rate")
 
 
-@query()
-def purity_summary(spark, sf_dir):
-    c = docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_uid"), "text", F.lit("References").alias("section_path"))
-    return assets.reference_purity(c).select("total", "suspicious", F.round("rate", 9).alias("rate"))
-
-
-def _blocks(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
-    kind = F.when(F.col("ord") % 7 == 3, "table").otherwise("text")
-    return d.select("doc_id", F.col("ord").cast("long").alias("ord"), F.floor(F.col("ord") / 4).cast("long").alias("page"), kind.alias("block_type"), F.lit("main").alias("section_path"), F.lit(False).alias("is_reference"), "text", F.lit("").alias("title"))
-
-
-PACKED = r"""WITH RECURSIVE b AS (SELECT doc_id, unnest(ls) AS t, unnest(range(len(ls))) AS ord FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-n AS (SELECT doc_id, ord, CAST(len(t) AS BIGINT) AS n, ord % 7 = 3 AS media FROM b),
-f AS (SELECT doc_id, ord, 0::BIGINT AS grp, n AS chars, media FROM n WHERE ord = 0
- UNION ALL SELECT n.doc_id, n.ord, f.grp + CASE WHEN x THEN 1 ELSE 0 END, CASE WHEN x THEN n.n ELSE f.chars + n.n END, n.media
- FROM f JOIN n ON n.doc_id = f.doc_id AND n.ord = f.ord + 1, LATERAL (SELECT f.chars + n.n > 2880 OR (f.chars + n.n > 1800 AND f.chars >= 450 AND NOT f.media AND NOT n.media) AS x))
-"""
-
-
-@query(PACKED + "SELECT doc_id, ord, grp FROM f")
-def packing_groups(spark, sf_dir):
-    return folds.pack_groups(_blocks(spark, sf_dir)).select("doc_id", "ord", "grp")
-
-
-@query(PACKED + """SELECT f.doc_id, f.grp, min(f.ord // 4) || '-' || max(f.ord // 4) AS page_range, CAST(sum(n.n) + count(*) - 1 AS BIGINT) AS chars FROM f JOIN n ON n.doc_id = f.doc_id AND n.ord = f.ord GROUP BY ALL""")
-def packed_documents(spark, sf_dir):
-    return folds.packed_documents(_blocks(spark, sf_dir)).select("doc_id", "grp", "page_range", F.length("text").cast("long").alias("chars"))
-
-
-@query()
-def structure_blocks(spark, sf_dir):
-    """Lines as paragraphs, since the table has no blank lines."""
-    return docs(spark, sf_dir).select("doc_id", F.posexplode(folds.structure_blocks(F.regexp_replace("text", "\n", "\n\n"))).alias("block", "text")).select("doc_id", "block", F.sha1(F.col("text").cast("binary")).alias("sha1"))
-
-
-@query()
-def annotated_blocks(spark, sf_dir):
-    items = _blocks(spark, sf_dir).select("doc_id", "ord", "page", F.lit("text").alias("type"), "text")
-    return folds.annotate_blocks(items).groupBy("is_reference").agg(F.count("*").alias("n"), F.count_if(F.col("section_path") != "").alias("in_section"))
-
-
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\s\x{a0}]+', ' ', 'g')) AS text FROM pages")
 def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as X
 
+from folioscan.functions import text as T
+
 DOCUMENT = X.StructType([X.StructField("page_content", X.StringType()), X.StructField("metadata", X.MapType(X.StringType(), X.StringType()))])
-LAYOUT = X.StructType([
-    *[X.StructField(k, X.StringType()) for k in ("type", "text", "content", "latex", "markdown", "md", "html", "img_path", "table_body")],
-    X.StructField("page_idx", X.LongType()), X.StructField("bbox", X.ArrayType(X.DoubleType())),
-    X.StructField("image_caption", X.ArrayType(X.StringType())), X.StructField("table_caption", X.ArrayType(X.StringType())),
-])
+#: Captions and boxes are read as raw JSON, since parsers write lists or single texts.
+CAPTIONS = ("image_caption", "image_footnote", "img_caption", "img_footnote", "table_caption", "table_footnote")
+LAYOUT = X.StructType([*[X.StructField(k, X.StringType()) for k in ("type", "text", "content", "latex", "markdown", "md", "html", "img_path", "table_body", "page_idx", "bbox", *CAPTIONS)]])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: X.StructType) -> DataFrame:
@@ -43,16 +43,32 @@ def discover_pdfs(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("doc_id", F.concat_ws("_", F.substring(stem, 1, 48), F.substring(F.sha1(F.concat_ws("::", "path", F.col("length").cast("string")).cast("binary")), 1, 16)))
 
 
-def read_layouts(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, ord, page, type, text) from layout JSON arrays, one file a document."""
-    items = spark.read.schema(LAYOUT).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
-    blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    captions = F.array_join(F.filter(F.concat(F.coalesce("image_caption", F.array().cast("array<string>")), F.coalesce("table_caption", F.array().cast("array<string>"))), lambda x: F.trim(x) != ""), "\n")
-    table = F.concat_ws("\n", F.nullif(captions, F.lit("")), F.substring(F.regexp_replace("table_body", r"<[^>]+>", " "), 1, 1200))
-    text = F.coalesce(*[blank(F.col(k)) for k in ("text", "content", "latex", "markdown", "md")], blank(F.regexp_replace("html", r"<[^>]+>", " ")), blank(table))
-    numbered = items.withColumn("n", F.monotonically_increasing_id())
+def item_text(items: DataFrame) -> F.Column:
+    """An item's text: the first of its direct texts, its mark-up without tags, or its captions and table body."""
+    blank = lambda c: F.when(T.strip(c) != "", T.strip(c))
+    captions = F.concat(*[T.text_list(F.col(k)) for k in CAPTIONS])
+    body = F.substring(T.strip_tags(F.col("table_body")), 1, 1200)
+    fragments = F.array_join(F.concat(captions, F.when(body != "", F.array(body)).otherwise(F.array().cast("array<string>"))), "\n")
+    return F.coalesce(*[blank(F.col(k)) for k in ("text", "content", "latex", "markdown", "md")], blank(T.strip_tags(F.col("html"))), blank(fragments), F.lit(""))
+
+
+def layout_items(items: DataFrame) -> DataFrame:
+    """Items (with an order column `ord` and the fields of LAYOUT) as doc_id, ord, page_idx, type, text, bbox, figure_ids, table_ids."""
+    kind = F.lower(F.trim(F.coalesce("type", F.lit(""))))
+    ids = lambda t, prefix: F.when(F.col("type") == t, F.array(T.media_id(F.col("img_path"), prefix))).otherwise(F.array().cast("array<string>"))
+    named = items.withColumn("type", F.when(kind == "", "text").otherwise(kind))
+    return named.select(
+        "doc_id", F.col("ord").cast("long").alias("ord"), F.greatest(F.coalesce(F.col("page_idx").try_cast("int"), F.lit(0)), F.lit(0)).alias("page_idx"), "type", item_text(named).alias("text"),
+        T.box(F.col("bbox")).alias("bbox"), ids("image", "fig").alias("figure_ids"), ids("table", "tab").alias("table_ids"),
+    )
+
+
+def read_layouts(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
+    """The items of layout JSON arrays, one file a document, with their places in reading order; those without text if asked for."""
+    items = spark.read.schema(LAYOUT).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path")).withColumn("n", F.monotonically_increasing_id())
     ord_ = F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1
-    return numbered.select(F.regexp_extract("file", r"([^/]+?)(?:_content_list)?\.json$", 1).alias("doc_id"), ord_.cast("long").alias("ord"), F.coalesce("page_idx", F.lit(0)).alias("page"), F.coalesce("type", F.lit("text")).alias("type"), text.alias("text")).where("text IS NOT NULL")
+    found = layout_items(items.select("*", F.regexp_extract("file", r"([^/]+?)(?:_content_list)?\.json$", 1).alias("doc_id"), ord_.alias("ord")))
+    return found if blank else found.where("text <> ''")
 
 
 class Snapshots:
