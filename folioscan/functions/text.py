@@ -55,8 +55,7 @@ def index_tokens(c: Column) -> Column:
 
 def truncate(c: Column, limit: int) -> Column:
     """At most `limit` characters; a longer text loses three more and its trailing blanks to an ellipsis."""
-    s = squeeze(c)
-    return F.when(F.length(s) > limit, F.concat(F.rtrim(F.substring(s, 1, max(limit - 3, 0))), F.lit("..."))).otherwise(s)
+    return let(squeeze(c), lambda s: F.when(F.length(s) > limit, F.concat(F.rtrim(F.substring(s, 1, max(limit - 3, 0))), F.lit("..."))).otherwise(s))
 
 
 def top_section(path: Column) -> Column:

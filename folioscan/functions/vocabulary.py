@@ -98,3 +98,15 @@ VENUES = (
     "arxiv", "ieee", "acm", "springer", "nature", "science", "cvpr", "iccv", "eccv", "neurips", "icml", "acl", "emnlp", "naacl",
     "aaai", "ijcai", "kdd", "miccai", "tpami", "jmlr", "journal", "conference", "proceedings", "transactions",
 )
+
+# ---- readiness: what is missing by table, and how it is said
+NOT_READY = {
+    "chunks": "missing_main_chunk_corpus", "parents": "missing_parent_corpus", "papers": "missing_paper_corpus", "sections": "missing_section_summary_corpus",
+    "catalog": "missing_paper_catalog", "references": "missing_reference_corpus",
+}
+NOT_READY_TEXTS = {
+    "missing_main_chunk_corpus": "缺少主 chunk 语料缓存", "missing_parent_corpus": "缺少 parent 语料缓存", "missing_paper_corpus": "缺少 paper-level 语料缓存",
+    "missing_section_summary_corpus": "缺少章节摘要缓存", "missing_paper_catalog": "缺少论文 catalog", "missing_reference_corpus": "缺少参考文献语料缓存",
+}
+SCOPE_TEXTS = {"main": "论文问答", "references": "参考文献检索"}
+NOT_READY_FRAME = "{scope}所需知识库未就绪：{details}。请先完成入库或修复后再问答。"

@@ -140,8 +140,8 @@ def annotate_blocks(items: DataFrame) -> DataFrame:
 
 def fit_texts(rows: Column, limit: int) -> Column:
     """Squeezed texts in order, joined by blanks until `limit` characters are reached, then truncated."""
-    step = lambda s, x: F.when((F.length(s) >= limit) | (T.squeeze(x) == ""), s).when(s == "", T.squeeze(x)).otherwise(F.concat_ws(" ", s, T.squeeze(x)))
-    return T.truncate(F.aggregate(rows, F.lit(""), step), limit)
+    step = lambda s, x: F.when((F.length(s) >= limit) | (x == ""), s).when(s == "", x).otherwise(F.concat_ws(" ", s, x))
+    return T.truncate(F.aggregate(F.transform(rows, T.squeeze), F.lit(""), step), limit)
 
 
 def abstract(blocks: DataFrame, limit: int = 1200) -> DataFrame:
@@ -160,5 +160,5 @@ def abstract(blocks: DataFrame, limit: int = 1200) -> DataFrame:
         return F.struct(state.alias("state"), F.when(opens | inside, F.trim(F.concat_ws(" ", s["t"], body))).otherwise(s["t"]).alias("t"))
 
     lead = fit_texts(F.transform(F.filter("rows", lambda x: ~F.coalesce(x["r"], F.lit(False))), lambda x: x["t"]), 900)
-    found = F.aggregate("rows", start, step)["t"]
-    return docs.select("doc_id", T.truncate(F.when(found != "", found).otherwise(lead), limit).alias("abstract"))
+    found = T.let(F.aggregate("rows", start, step)["t"], lambda t: F.nullif(t, F.lit("")))
+    return docs.select("doc_id", T.truncate(F.coalesce(found, lead), limit).alias("abstract"))

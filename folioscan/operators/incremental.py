@@ -20,7 +20,9 @@ def new_ids(incoming: DataFrame, existing: DataFrame, key: str = "doc_id") -> Da
 
 
 def keep_ids(table: DataFrame, chosen: DataFrame, keep: bool = True, key: str = "doc_id") -> DataFrame:
-    return table.join(chosen.select(key).distinct(), key, "left_semi" if keep else "left_anti")
+    """Rows whose key (as trimmed text) is chosen, or is not."""
+    names = ids(chosen, key=key).withColumnRenamed(key, "__chosen")
+    return table.join(names, F.trim(F.col(key).cast("string")) == F.col("__chosen"), "left_semi" if keep else "left_anti")
 
 
 def upsert(existing: dict[str, DataFrame], incoming: dict[str, DataFrame], force: bool = False, key: str = "doc_id") -> dict[str, DataFrame]:

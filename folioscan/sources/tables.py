@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import sqlite3
 import uuid
 
@@ -71,52 +72,108 @@ def read_layouts(spark: SparkSession, path: str, blank: bool = False) -> DataFra
     return found if blank else found.where("text <> ''")
 
 
-class Snapshots:
-    """A set of tables kept as numbered snapshots under one folder, with a manifest that names the current one.
-
-    A commit writes every table first and the manifest last, through Spark's file system, so that a reader sees either
-    the old set or the new one, and a writer that dies leaves only an unnamed folder behind.
-    """
+class Files:
+    """A few small files through Spark's file system; a file appears whole or not at all."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict | None:
-        at = self._path(f"{self.folder}/manifest.json")
+    def names(self) -> list[str]:
+        at = self._path(self.folder)
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def read(self, name: str) -> dict | None:
+        """The JSON object in a file; None where it is missing or no object."""
+        at = self._path(f"{self.folder}/{name}")
         if not self._fs.exists(at):
             return None
         try:
-            return json.loads("".join(r["value"] for r in self.spark.read.text(str(at)).collect()))
+            found = json.loads("".join(r["value"] for r in self.spark.read.text(str(at)).collect()))
         except ValueError:
             return None
+        return found if isinstance(found, dict) else None
 
-    def commit(self, tables: dict[str, DataFrame], **facts) -> str:
-        name = uuid.uuid4().hex
-        for k, df in tables.items():
-            df.write.parquet(f"{self.folder}/{name}/{k}")
-        n = {k: self.spark.read.parquet(f"{self.folder}/{name}/{k}").count() for k in tables}
-        staged = self._path(f"{self.folder}/manifest-{name}.json")
+    def write(self, name: str, value: dict) -> None:
+        """A new file: written under another name, then renamed.  False renames (the name is taken) are errors."""
+        staged = self._path(f"{self.folder}/.{name}-{uuid.uuid4().hex}")
         out = self._fs.create(staged, True)
-        out.write(json.dumps({"snapshot": name, "tables": n, **facts}).encode())
+        out.write(json.dumps(value, ensure_ascii=False, default=str).encode())
         out.close()
-        current = self._path(f"{self.folder}/manifest.json")
-        self._fs.delete(current, False)
-        self._fs.rename(staged, current)
-        return name
+        if not self._fs.rename(staged, self._path(f"{self.folder}/{name}")):
+            self._fs.delete(staged, False)
+            raise FileExistsError(name)
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.folder}/{name}"), True)
+
+
+class Snapshots:
+    """A set of tables kept as snapshots under one folder, with numbered manifests of which the highest is current.
+
+    A commit writes every table first, then a manifest with the next number, which appears by one rename.  A reader sees
+    either the old set or the new one; a writer that dies leaves only an unnamed folder behind; of two writers that
+    commit at once, one fails.  `prune` deletes what is no longer current.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.files = Files(spark, folder)
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(m[1]) for x in self.files.names() if (m := re.fullmatch(r"manifest-(\d{9})\.json", x)))
+
+    def manifest(self) -> dict | None:
+        for n in reversed(self._numbers()):
+            if (found := self.files.read(f"manifest-{n:09d}.json")) is not None:
+                return found
+        return None
+
+    def stage(self, tables: dict[str, DataFrame], name: str | None = None) -> dict:
+        """Write the tables without naming them current; what `publish` takes."""
+        name = name or uuid.uuid4().hex
+        for k, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{self.folder}/{name}/{k}")
+        return {"snapshot": name, "tables": {k: self.spark.read.parquet(f"{self.folder}/{name}/{k}").count() for k in tables}}
+
+    def publish(self, staged: dict, **facts) -> str:
+        """Make a staged set current; again for the same set does nothing."""
+        if (self.manifest() or {}).get("snapshot") != staged["snapshot"]:
+            self.files.write(f"manifest-{max(self._numbers(), default=0) + 1:09d}.json", {**staged, **facts})
+        return staged["snapshot"]
+
+    def commit(self, tables: dict[str, DataFrame], **facts) -> str:
+        return self.publish(self.stage(tables), **facts)
 
     def load(self) -> dict[str, DataFrame]:
         m = self.manifest()
         return {k: self.spark.read.parquet(f"{self.folder}/{m['snapshot']}/{k}") for k in m["tables"]} if m else {}
 
+    def staged(self, names: dict) -> dict[str, DataFrame]:
+        return {k: self.spark.read.parquet(f"{self.folder}/{names['snapshot']}/{k}") for k in names["tables"]}
+
     def validate(self) -> list[str]:
         """Reasons why the current set is not what its manifest says."""
         m = self.manifest()
         if m is None:
             return ["manifest_missing"]
-        return [f"count_mismatch:{k}" for k, n in m["tables"].items() if self.spark.read.parquet(f"{self.folder}/{m['snapshot']}/{k}").count() != n]
+        out = []
+        for k, n in m["tables"].items():
+            if k not in Files(self.spark, f"{self.folder}/{m['snapshot']}").names():
+                out.append(f"missing_local_file:{k}")
+            elif self.spark.read.parquet(f"{self.folder}/{m['snapshot']}/{k}").count() != n:
+                out.append(f"count_mismatch:{k}")
+        return out
+
+    def prune(self) -> None:
+        """Delete manifests and sets that are not current; readers of older sets must be done."""
+        current = (self.manifest() or {}).get("snapshot")
+        for n in self._numbers()[:-1]:
+            self.files.delete(f"manifest-{n:09d}.json")
+        for x in self.files.names():
+            if re.fullmatch(r"[0-9a-f]{32}", x) and x != current:
+                self.files.delete(x)
 
 
 def write_sqlite(path: str, papers: DataFrame, citations: DataFrame, sections: DataFrame) -> None:

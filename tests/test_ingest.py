@@ -61,7 +61,7 @@ def test_recursive_splitter():
         found = iter(" ".join(parts).replace(".", " ").split())
         assert all(any(w == x for x in found) for w in text.replace(".", " ").split() if len(w) < 20)  # no word is lost, and they stay in order
         assert overlap or sum(len("".join(p.split())) for p in parts) == len("".join(text.split()))
-    assert arrow.split_recursively("a b", 500, 100) == ["a b"] and arrow.split_recursively("ab", 2, 0) == ["a", "b"]
+    assert arrow.split_recursively("a b", 500, 100) == ["a b"] and arrow.split_recursively("ab", 2, 0) == ["ab"] and arrow.split_recursively("abc", 2, 1) == ["ab", "bc"]
     assert arrow.split_recursively("one. two. three", 9, 5) == ["one. two", ". three"] or arrow.split_recursively("one. two. three", 9, 5)[0] == "one"
 
 
