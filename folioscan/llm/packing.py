@@ -35,8 +35,8 @@ SIZE = 4096
 #: The id that ends each document.
 END = 2
 #: Entries of each of the two generations of a worker's memo of chunks, and characters of a chunk that stays in it: some
-#: 50 MB at most, whatever the texts hold.
-MEMO, LONG = 150_000, 64
+#: 250 MB at most, whatever the texts hold.
+MEMO, LONG = 400_000, 64
 
 #: Chunks whose normal form, lower case and words Python and the tokenizer's library read alike.
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
