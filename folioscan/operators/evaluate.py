@@ -37,3 +37,34 @@ def weighted_suite(results: DataFrame, *metrics: str) -> DataFrame:
 def failures(detail: DataFrame) -> DataFrame:
     """Rows where either hit is false."""
     return detail.where(~F.col("paper_hit") | ~F.col("evidence_hit"))
+
+
+def add_route_counts(each: list[DataFrame]) -> DataFrame:
+    """(route, n): the histograms of several evaluations added up."""
+    every = None
+    for one in each:
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy("route").agg(F.sum("n").cast("long").alias("n"))
+
+
+def distinct_contexts(rows: DataFrame) -> DataFrame:
+    """Evaluation rows (qid, context_doc_id, context) as a corpus: one row for each context, the first by qid, with how many
+    rows share it; a context without an id is named by its digest, and blank ones go."""
+    named = rows.where(F.trim(F.coalesce("context", F.lit(""))) != "").withColumn("context_doc_id", F.when(F.trim(F.coalesce("context_doc_id", F.lit(""))) != "", F.trim("context_doc_id")).otherwise(F.md5(F.col("context").cast("binary"))))
+    return named.groupBy("context_doc_id").agg(F.min("qid").alias("qid"), F.min_by("context", "qid").alias("context"), F.count("*").alias("n"))
+
+
+def sample_rows(rows: DataFrame, limit: int, seed: int = 42, shuffle: bool = True, key: str = "qid") -> DataFrame:
+    """At most `limit` rows: the first in a hash order that the seed gives, or by key; all of them for a limit of 0 or less."""
+    if limit <= 0:
+        return rows
+    order = F.xxhash64(F.lit(seed), F.col(key).cast("string")) if shuffle else F.col(key)
+    return rows.orderBy(order, key).limit(limit)
+
+
+def save_results(rows: DataFrame, summary: DataFrame, folder: str) -> None:
+    """Rows as JSON lines and CSV, and the summary as JSON, in one folder."""
+    rows.write.mode("overwrite").json(f"{folder}/rows_jsonl")
+    flat = rows.select([F.to_json(c).alias(c) if dict(rows.dtypes)[c].startswith(("array", "struct", "map")) else F.col(c) for c in rows.columns])
+    flat.write.mode("overwrite").option("header", True).csv(f"{folder}/rows_csv")
+    summary.write.mode("overwrite").json(f"{folder}/summary")

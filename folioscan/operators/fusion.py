@@ -78,7 +78,7 @@ def rerank_gate(
     small = F.abs("s1") <= 0.1
     need, margin = F.when(small, 0.015).otherwise(least), F.when(small, 0.001).otherwise(gap)
     ahead = F.exists(F.zip_with("r1", "r2", lambda a, b: (a == 1) & (b >= 4)), lambda x: F.coalesce(x, F.lit(False)))
-    clear = (F.col("s1") - F.col("s2") >= margin) | ((F.col("s1") - F.col("s2")) / F.greatest(F.abs("s1"), F.lit(1e-12)) >= relative_gap)
+    clear = (F.col("s1") - F.col("s2") >= margin) | ((F.col("s1") - F.col("s2")) / F.greatest(F.abs("s1"), F.lit(1e-8)) >= relative_gap)
     reason = (
         F.when(F.lit(not enabled), "disabled")
         .when(F.col("n") <= 1, "single")

@@ -202,21 +202,29 @@ def constraints(queries: DataFrame, current_year: int) -> DataFrame:
     return queries.select("*", years(q, current_year).alias("years"), *[field_terms(q, f).alias(f"{f}_terms") for f in V.FIELD_LABELS])
 
 
-def matching_documents(parsed: DataFrame, papers: DataFrame) -> DataFrame:
-    """(query_id, doc_id) allowed by each question's constraints; a question that nothing fits, or without any, allows all.
+def allowed_documents(parsed: DataFrame, papers: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of the papers that fit each question's constraints.  A question without a row is open: it has no
+    constraint, or none that anything fits.
 
-    Fields must all fit, one of a field's terms is enough; texts are compared as substrings, years as members.  Papers
-    are tested against the batch of questions, whose size the caller states; only ids are carried.
+    Fields must all fit, one of a field's terms is enough; texts are compared as substrings, years as members.  Only
+    questions with a constraint meet the papers; whether their table is broadcast is left to its size.
     """
     fields = list(V.FIELD_LABELS)
-    any_constraint = reduce(lambda a, b: a | b, [F.size(f"{f}_terms") > 0 for f in fields], F.size("years") > 0)
-    lowered = parsed.select("query_id", "years", any_constraint.alias("some"), *[F.transform(f"{f}_terms", T.norm).alias(f"{f}_terms") for f in fields])
+    some = reduce(lambda a, b: a | b, [F.size(f"{f}_terms") > 0 for f in fields], F.size("years") > 0)
+    lowered = parsed.where(some).select("query_id", "years", *[F.transform(f"{f}_terms", T.norm).alias(f"{f}_terms") for f in fields])
     columns = {"source": "source", "title": "title", "author": "authors", "venue": "venue", "keyword": "keywords"}
-    docs = papers.select("doc_id", F.col("year").cast("string").alias("year"), *[T.norm(F.col(c)).alias(f) for f, c in columns.items()])
+    text = lambda c: T.norm(F.col(c).cast("string")) if c in papers.columns else F.lit("")
+    year = F.col("year").cast("string") if "year" in papers.columns else F.lit("")
+    docs = papers.select("doc_id", year.alias("year"), *[text(c).alias(f) for f, c in columns.items()])
     fits = reduce(lambda a, b: a & b, [T.contains_any(F.col(f), F.col(f"{f}_terms")) for f in fields], (F.size("years") == 0) | F.array_contains("years", F.col("year")))
-    pairs = docs.join(F.broadcast(lowered.where("some")), fits).select("query_id", "doc_id")
+    return docs.join(lowered, fits).select("query_id", "doc_id")
+
+
+def matching_documents(parsed: DataFrame, papers: DataFrame) -> DataFrame:
+    """(query_id, doc_id) with all papers for open questions: every pair of those, so for small tables and reports only."""
+    pairs = allowed_documents(parsed, papers)
     open_ = parsed.select("query_id").join(pairs.select("query_id").distinct(), "query_id", "left_anti")
-    return pairs.unionByName(docs.select("doc_id").crossJoin(F.broadcast(open_)).select("query_id", "doc_id"))
+    return pairs.unionByName(papers.select("doc_id").crossJoin(open_).select("query_id", "doc_id"))
 
 
 # ---------------------------------------------------------------- comparison

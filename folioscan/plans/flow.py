@@ -1,13 +1,22 @@
-"""Retrieval for a batch of questions: constraints, paper recall, chunk recall, gate, selection, context."""
+"""Retrieval for a batch of questions: constraints, paper recall, chunk recall, gate, selection, context.
+
+A batch of questions is a table, and a step answers all of them at once.  Scores have the statistics of the whole corpus;
+what a question may see is a table of (query_id, paper_id) that its scored rows must be in, and a question without a row
+there may see everything.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
 from folioscan.operators import assets, dense, fusion, lexical
-from folioscan.plans.analysis import Settings, comparison_entities, route, variants
+from folioscan.operators.rerank import rerank
+from folioscan.operators.settle import settled
+from folioscan.plans.analysis import Settings, allowed_documents, budgets, comparison_entities, constraints, route, title_hints, variants
 
 
 def variant_queries(queries: DataFrame, most: int = 3) -> DataFrame:
@@ -15,12 +24,33 @@ def variant_queries(queries: DataFrame, most: int = 3) -> DataFrame:
     return variants(queries, most).select("query_id", F.posexplode("variants").alias("variant", "text"))
 
 
-def lexical_variants(corpus: DataFrame, queries: DataFrame, k: int, settings: Settings) -> DataFrame:
-    """BM25 for all variants in one job, each ranked by itself and fused by reciprocal rank."""
-    v = variant_queries(queries, settings.variants).withColumn("parent", F.col("query_id")).withColumn("query_id", F.concat_ws("#", F.col("query_id").cast("string"), F.col("variant").cast("string")))
-    found = lexical.retrieve(corpus, v, max(k, settings.bm25_k)).join(v.select("query_id", "parent", "variant"), "query_id").drop("query_id").withColumnRenamed("parent", "query_id")
-    lists = [found.where(F.col("variant") == i).select("query_id", "doc_id", "rank", "score") for i in range(settings.variants)]
-    return fusion.reciprocal_rank(lists, k, settings.rrf_k)
+def visible(rows: DataFrame, scope: DataFrame | None) -> DataFrame:
+    """Rows (query_id, paper_id) in their question's scope; all rows of a question that has none."""
+    if scope is None:
+        return rows
+    inside = scope.select("query_id", "paper_id").distinct().withColumn("__in", F.lit(True))
+    limited = scope.select("query_id").distinct().withColumn("__limited", F.lit(True))
+    joined = rows.join(inside, ["query_id", "paper_id"], "left").join(limited, "query_id", "left")
+    return joined.where(F.col("__limited").isNull() | F.col("__in")).drop("__in", "__limited")
+
+
+def recall(corpus: DataFrame, queries: DataFrame, k: int, settings: Settings, scope: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, paper_id, score, rank, ranks): BM25 over `corpus` (doc_id, paper_id, text) within each question's
+    scope, all variants in one job, each ranked by itself and fused by reciprocal rank where there are several."""
+    v = settled(variant_queries(queries, settings.variants)) if settings.variants > 1 else queries.select("query_id", F.lit(0).alias("variant"), "text")
+    asked = v.select(F.struct("query_id", "variant").alias("q"), "text")
+    scored = lexical.bm25(corpus, asked.select(F.col("q").alias("query_id"), "text")).where("score > 0")
+    named = scored.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.variant").alias("variant"), "doc_id", "score").join(corpus.select("doc_id", "paper_id"), "doc_id")
+    within = visible(named, scope)
+    place = F.row_number().over(Window.partitionBy("query_id", "variant").orderBy(F.desc("score"), "doc_id"))
+    lists = within.withColumn("rank", place.cast("long")).where(F.col("rank") <= max(k, settings.bm25_k))
+    if settings.variants <= 1:
+        return lists.where(F.col("rank") <= k).select("query_id", "doc_id", "paper_id", "score", "rank", F.array(F.lit(None).cast("long"), "rank").alias("ranks"))
+    # reciprocal ranks of the variants' lists, added in one pass
+    rrf = settings.rrf_k if settings.rrf_k > 0 else fusion.RRF
+    fused = lists.groupBy("query_id", "doc_id", "paper_id").agg(F.round(F.sum(1.0 / (rrf + F.col("rank"))), 12).alias("score"), F.min(F.struct("variant", "rank")).alias("seen"), F.min("rank").alias("best"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seen", "doc_id"))
+    return fused.withColumn("rank", place.cast("long")).where(F.col("rank") <= k).select("query_id", "doc_id", "paper_id", "score", "rank", F.array(F.lit(None).cast("long"), "best").alias("ranks"))
 
 
 def hybrid(lexical_ranked: DataFrame, dense_ranked: DataFrame, settings: Settings) -> DataFrame:
@@ -29,49 +59,119 @@ def hybrid(lexical_ranked: DataFrame, dense_ranked: DataFrame, settings: Setting
     return fusion.reciprocal_rank([kept, lexical_ranked], settings.dense_k, settings.rrf_k)
 
 
-def narrow(corpus: DataFrame, allowed: DataFrame) -> DataFrame:
-    """The rows of a corpus whose paper some question of the batch allows: a semi-join before any scoring."""
-    return corpus.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-
-
-def ask(queries: DataFrame, chunks: DataFrame, papers: DataFrame, settings: Settings | None = None, vectors: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """`plan`, `papers`, `chunks` (ranked), `gate` and `evidence` of a batch of questions.
-
-    Papers are ranked by their summaries and narrow the chunks to the recalled papers of the same question, before the
-    chunks' scores are cut.  `vectors` (chunk vectors by doc_id, question vectors) adds the dense list.
+def hinted_papers(plan: DataFrame, papers: DataFrame) -> DataFrame:
+    """(query_id, doc_id, rank) of papers whose title has a known title that a metadata question alludes to: equal titles
+    first, then by how many hints a title has; cut to the plan's papers."""
+    if "title" not in papers.columns:
+        return plan.select("query_id", F.lit(None).cast(papers.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).cast("long").alias("rank")).limit(0)
+    hints = plan.where("route = 'metadata'").select("query_id", "paper_k", F.explode(title_hints(F.col("text"))).alias("hint"))
+    known = hints.select("hint").distinct()  # no more than the fixed list of titles
+    titles = papers.select("doc_id", F.lower(F.trim(T.text_or_empty(F.col("title")))).alias("title"))
+    hits = titles.join(F.broadcast(known), F.contains("title", "hint")).join(hints, "hint").groupBy("query_id", "paper_k", "doc_id").agg(F.count_if(F.col("title") == F.col("hint")).alias("exact"), F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("n"), "doc_id"))
+    return hits.withColumn("rank", place.cast("long")).where(F.col("rank") <= F.col("paper_k")).select("query_id", "doc_id", "rank")
+
+
+def haystack(rows: DataFrame) -> Column:
+    """What names an entity: source, title, section and the start of the text, in lower case."""
+    parts = [T.text_or_empty(F.col(c).cast("string")) for c in ("source", "title", "section_path") if c in rows.columns]
+    return F.lower(F.concat_ws("\n", *parts, F.substring(T.text_or_empty(F.col("text")), 1, 3000)))
+
+
+def supplement(docs: DataFrame, entities: DataFrame, chunks: DataFrame, settings: Settings, scope: DataFrame | None) -> DataFrame:
+    """Ranked rows with one more for each entity (query_id, e, entity) that none of a question's rows names: the best row
+    of a question about the entity that names it, or else the best one, if it is not there yet.  They come last."""
+    texts = chunks.select(F.col("chunk_uid").alias("doc_id"), haystack(chunks).alias("hay"))
+    named = docs.join(texts, "doc_id").join(entities, "query_id").where(F.contains("hay", F.lower("entity"))).select("query_id", "e").distinct()
+    missing = entities.join(named, ["query_id", "e"], "left_anti")
+    asked = missing.select(F.struct("query_id", "e").alias("query_id"), F.concat_ws(" ", "entity", F.lit("论文 主要创新点")).alias("text"))
+    own = scope.join(missing.select("query_id", "e"), "query_id").select(F.struct("query_id", "e").alias("query_id"), "paper_id") if scope is not None else None
+    corpus = chunks.select(F.col("chunk_uid").alias("doc_id"), F.col("doc_id").alias("paper_id"), "text")
+    found = recall(corpus, asked, max(settings.retriever_k, 2 * settings.final_k, 6), settings, own)
+    found = found.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.e").alias("e"), "doc_id", "paper_id", F.col("rank").alias("r")).join(docs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    judged = found.join(texts, "doc_id").join(missing, ["query_id", "e"]).withColumn("names", F.contains("hay", F.lower("entity")))
+    one = judged.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "e").orderBy(F.desc("names"), "r"))).where("n = 1")
+    once = one.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("e"))).where("n = 1")
+    last = docs.groupBy("query_id").agg(F.max("rank").alias("last"))
+    place = F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("query_id").orderBy("e"))
+    none = F.lit(None).cast("long")
+    more = once.join(last, "query_id", "left").select("query_id", "doc_id", "paper_id", F.lit(None).cast("double").alias("score"), place.cast("long").alias("rank"), F.array(none, none).alias("ranks"))
+    return docs.select("query_id", "doc_id", "paper_id", "score", "rank", "ranks").unionByName(more)
+
+
+def ask(
+    queries: DataFrame, chunks: DataFrame, papers: DataFrame, settings: Settings | None = None, vectors: tuple[DataFrame, DataFrame] | None = None, parents: DataFrame | None = None,
+    sections: DataFrame | None = None, current_year: int | None = None, use_reranker: bool = True, scorer: Callable | None = None, per_source: int = 2, scope: str | None = None,
+) -> dict[str, DataFrame]:
+    """`plan`, `papers`, `chunks` (ranked), `gate`, `evidence` and `generation` of a batch of questions.
+
+    Constraints and recalled papers (by their summaries, or by titles that a metadata question alludes to) narrow the
+    chunks of the same question before their scores are cut.  Comparisons get a row for each entity.  Questions whose
+    lead is not clear are reranked.  `vectors` (chunk vectors by doc_id, question vectors) adds the dense list.
+    `generation` has parents, or for paper-minded routes papers and sections, in order.
     """
     s = settings or Settings()
-    plan = route(queries, s)
-    recalled = lexical.top_ranked(lexical.bm25(papers, queries, text="summary"), 64).where("score > 0")
-    recalled = recalled.join(plan.select("query_id", "paper_k"), "query_id").where("rank <= paper_k")
-    scored = lexical.bm25(chunks.select(F.col("chunk_uid").alias("doc_id"), "text"), queries)
-    of_paper = scored.join(chunks.select(F.col("chunk_uid").alias("doc_id"), F.col("doc_id").alias("paper_id")), "doc_id")
-    within = of_paper.join(recalled.select("query_id", F.col("doc_id").alias("paper_id")), ["query_id", "paper_id"], "left_semi")
-    ranked = lexical.top_ranked(within, 64).where("score > 0").select("query_id", "doc_id", "score", "rank")
+    most = budgets(s)
+    paper_k, chunk_k, final_k = (max(b[i] for b in most.values()) for i in (1, 2, 3))
+    plan = settled(route(queries, s, scope))
+    summaries = papers.select("doc_id", F.col("doc_id").alias("paper_id"), F.col("summary").alias("text"))
+    allowed = None
+    if current_year is not None:
+        allowed = allowed_documents(constraints(queries, current_year), papers).withColumnRenamed("doc_id", "paper_id")
+    hinted = visible(hinted_papers(plan, papers).withColumn("paper_id", F.col("doc_id")), allowed)
+    ranked_papers = recall(summaries, queries, paper_k, s, allowed).select("query_id", "doc_id", "paper_id", "rank").join(hinted.select("query_id").distinct(), "query_id", "left_anti")
+    recalled = settled(ranked_papers.unionByName(hinted.select("query_id", "doc_id", "paper_id", "rank")).join(plan.select("query_id", "paper_k"), "query_id").where("rank <= paper_k").drop("paper_k"))
+    # references are asked for in a corpus of their own, without papers
+    narrowed = recalled.select("query_id", "paper_id") if allowed is None else recalled.select("query_id", "paper_id").unionByName(allowed.join(recalled.select("query_id").distinct(), "query_id", "left_anti"))
+
+    corpus = chunks.select(F.col("chunk_uid").alias("doc_id"), F.col("doc_id").alias("paper_id"), "text")
+    ranked = recall(corpus, queries.join(narrowed.select("query_id").distinct(), "query_id", "left_semi") if scope is None else queries, chunk_k, s, narrowed)
     if vectors is not None:
-        ranked = hybrid(ranked, dense.retrieve(vectors[0], vectors[1], s.dense_k, "doc_id"), s)
-    else:
-        ranked = ranked.withColumn("ranks", F.array(F.lit(None).cast("long"), "rank"))
-    ranked = ranked.join(plan.select("query_id", "chunk_k", "final_k"), "query_id").where("rank <= chunk_k")
-    gate = fusion.rerank_gate(ranked)
-    detail = ranked.join(chunks.select(F.col("chunk_uid").alias("doc_id"), F.col("doc_id").alias("paper_id"), "page", "section_path"), "doc_id")
-    candidates = detail.where(F.col("rank") <= F.greatest(3 * F.col("final_k"), F.col("final_k") + 4))
-    keyed = candidates.withColumn("identity", F.col("doc_id").cast("string")).withColumn("bucket", F.concat_ws("|", F.col("paper_id").cast("string"), F.col("page").cast("string"), "section_path"))
-    evidence = fusion.select_evidence(keyed, max(b for b in (s.final_k, 6))).where("position <= final_k")
-    return {"plan": plan, "papers": recalled, "chunks": ranked, "gate": gate, "evidence": evidence}
-
-
-def comparison_subqueries(queries: DataFrame) -> DataFrame:
-    """(query_id, entity, text): a further question for each compared entity."""
-    return queries.select("query_id", F.explode(comparison_entities(F.col("text"))).alias("entity")).select("query_id", "entity", F.concat_ws(" ", "entity", F.lit("论文 主要创新点")).alias("text"))
-
-
-def contexts(evidence: DataFrame, parents: DataFrame) -> DataFrame:
-    """(query_id, context): numbered parent texts of each question's evidence."""
-    rows = assets.expand_to_parents(evidence, parents)
-    lines = F.array_sort(F.collect_list(F.struct("rank", "text")))
-    return rows.groupBy("query_id").agg(F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["text"])), "\n\n").alias("context"))
-
-
-def citation_tag(source, page, section, block):
-    return F.format_string("[source:%s|p:%s|section:%s|block:%s]", T.text_or_empty(source), F.coalesce(F.when(page > 0, page.cast("string")), F.lit("?")), T.text_or_empty(section), T.text_or_empty(block))
+        both = hybrid(ranked, dense.retrieve(vectors[0], vectors[1], s.dense_k, "doc_id"), s)
+        ranked = visible(both.join(corpus.select("doc_id", "paper_id"), "doc_id"), narrowed).select("query_id", "doc_id", "paper_id", "score", "rank", "ranks")
+    ranked = settled(ranked.join(plan.select("query_id", "chunk_k"), "query_id").where("rank <= chunk_k").drop("chunk_k"))
+    entities = plan.where("route = 'comparison'").select("query_id", F.posexplode(comparison_entities(F.col("text"))).alias("e", "entity"))
+    docs = ranked if entities.isEmpty() else settled(supplement(ranked, entities, chunks, s, narrowed))
+
+    gate = fusion.rerank_gate(docs)
+    width = F.greatest(3 * F.col("final_k"), F.col("final_k") + 4)
+    here = [c for c in ("page", "section_path", "source", "title", "parent_id", "block_id") if c in chunks.columns]
+    detail = docs.join(chunks.select(F.col("chunk_uid").alias("doc_id"), "text", haystack(chunks).alias("hay"), *here), "doc_id").join(plan.select("query_id", "final_k"), "query_id")
+    candidates = detail.where(F.col("rank") <= width)
+    if use_reranker:
+        better = rerank(detail, queries, max(3 * final_k, final_k + 4), gate, scorer)
+        candidates = better.where(F.col("rank") <= width)
+    if "source" not in candidates.columns:
+        candidates = candidates.withColumn("source", F.col("paper_id").cast("string"))
+    listed = candidates.join(entities.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("e", "entity"))), lambda x: x["entity"]).alias("entities")), "query_id", "left")
+    covered = fusion.cover_entities(listed.where(F.size("entities") > 0), final_k, per_source, text="hay")
+    diverse = fusion.diversify(listed.where(F.coalesce(F.size("entities"), F.lit(0)) <= 0), final_k, per_source)
+    chosen = covered.select("query_id", "doc_id", "position").unionByName(diverse.select("query_id", "doc_id", "position")).join(candidates.drop("rank"), ["query_id", "doc_id"]).withColumn("rank", F.col("position")).drop("position")
+    block = F.coalesce(*[F.col(c).cast("string") for c in ("block_id", "parent_id") if c in here], F.concat(F.lit("chunk_"), F.col("doc_id").cast("string")))
+    page = F.when(F.col("page").try_cast("int") > 0, F.col("page").cast("string")).otherwise("?") if "page" in here else F.lit("?")
+    section = F.when(F.trim(T.text_or_empty(F.col("section_path"))) == "", T.BODY).otherwise(F.col("section_path")) if "section_path" in here else F.lit(T.BODY)
+    keyed = chosen.where("rank <= final_k").withColumn("identity", F.concat_ws("::", F.col("paper_id").cast("string"), block)).withColumn("bucket", F.concat_ws("|", F.col("paper_id").cast("string"), page, section))
+    evidence = settled(fusion.select_evidence(keyed, final_k).where("position <= final_k"))
+    return {"plan": plan, "papers": recalled, "chunks": docs, "gate": gate, "evidence": evidence, "generation": generation(plan, recalled, evidence, papers, queries, s, parents, sections)}
+
+
+def generation(plan: DataFrame, recalled: DataFrame, evidence: DataFrame, papers: DataFrame, queries: DataFrame, s: Settings, parents: DataFrame | None, sections: DataFrame | None) -> DataFrame:
+    """(query_id, place, kind, id, text) for the model: papers and then sections of the recalled papers for paper-minded
+    routes, else parents of the evidence or the evidence itself."""
+    most = max(b[3] for b in budgets(s).values())
+    wide = plan.where("prefers_papers").select("query_id", "final_k")
+    text = lambda df: df.select("doc_id", F.col("summary").alias("text"))
+    own = recalled.join(wide, "query_id").where("rank <= final_k").join(text(papers), "doc_id").select("query_id", "final_k", F.lit(0).alias("tier"), "rank", F.lit("paper").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text")
+    if sections is not None:
+        rows = sections.select(F.concat_ws("::", "doc_id", "section").alias("doc_id"), F.col("doc_id").alias("paper_id"), F.col("summary").alias("text"))
+        found = recall(rows, queries.join(wide, "query_id", "left_semi").select("query_id", "text"), max(2, most), s, recalled.select("query_id", "paper_id"))
+        scoped = found.join(wide, "query_id").where(F.col("rank") <= F.greatest(F.lit(2), F.col("final_k"))).join(rows.select("doc_id", "text"), "doc_id")
+        own = own.unionByName(scoped.select("query_id", "final_k", F.lit(1).alias("tier"), "rank", F.lit("section").alias("kind"), F.col("doc_id").alias("id"), "text"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "rank", "id"))
+    first = own.withColumn("place", place.cast("long")).where(F.col("place") <= F.col("final_k") + 2).select("query_id", "place", "kind", "id", "text")
+    rest = evidence.join(wide.select("query_id"), "query_id", "left_anti").join(plan.select("query_id", "use_parents"), "query_id")
+    plain = rest.select("query_id", F.col("position").alias("place"), F.lit("chunk").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text", "use_parents")
+    if parents is None or "parent_id" not in rest.columns:
+        return first.unionByName(plain.drop("use_parents"))
+    up = assets.expand_to_parents(rest.where("use_parents").withColumn("rank", F.col("position")), parents)
+    return first.unionByName(plain.where("NOT use_parents").drop("use_parents")).unionByName(up.select("query_id", F.col("rank").alias("place"), F.lit("parent").alias("kind"), F.col("parent_id").cast("string").alias("id"), "text"))

@@ -48,7 +48,7 @@ WS = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))"
 _TOKENS = TOK.format("text")
 
 
-def bm25_sql(corpus: str = "documents", k: int = K, name: str = "ranked") -> str:
+def bm25_sql(corpus: str = "documents", k: int = K, name: str = "ranked", asked: str = "benchmark") -> str:
     return f"""
 d AS (SELECT doc_id, CASE WHEN len({_TOKENS}) > 0 THEN {_TOKENS} ELSE ['_'] END AS terms FROM {corpus}),
 tf AS (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM d),
@@ -56,7 +56,7 @@ tfs AS (SELECT doc_id, term, dl, count(*) AS tf FROM tf GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(len(terms)) AS adl FROM d),
 raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM tfs, st GROUP BY term, n),
 idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
-q AS (SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark),
+q AS (SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM {asked}),
 qf AS (SELECT query_id, term, count(*) AS qf FROM q GROUP BY ALL),
 sc AS (SELECT query_id, doc_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / adl))), 6) AS score
        FROM qf JOIN idf USING (term) JOIN tfs USING (term) CROSS JOIN st GROUP BY ALL),
@@ -166,7 +166,7 @@ def dedupe_by_key(spark, sf_dir):
 
 
 @query(f"""WITH {bm25_sql()}, b AS ({OUT}), t AS (SELECT query_id, count(*) AS n, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 2) AS s2 FROM b WHERE rank <= 2 GROUP BY 1),
-r AS (SELECT query_id, CASE WHEN n <= 1 THEN 'single' WHEN s1 >= CASE WHEN abs(s1) <= 0.1 THEN 0.015 ELSE 0.55 END AND (s1 - s2 >= CASE WHEN abs(s1) <= 0.1 THEN 0.001 ELSE 0.08 END OR (s1 - s2) / greatest(abs(s1), 1e-12) >= 0.1) THEN 'confident' ELSE 'uncertain' END AS reason FROM t)
+r AS (SELECT query_id, CASE WHEN n <= 1 THEN 'single' WHEN s1 >= CASE WHEN abs(s1) <= 0.1 THEN 0.015 ELSE 0.55 END AND (s1 - s2 >= CASE WHEN abs(s1) <= 0.1 THEN 0.001 ELSE 0.08 END OR (s1 - s2) / greatest(abs(s1), 1e-8) >= 0.1) THEN 'confident' ELSE 'uncertain' END AS reason FROM t)
 SELECT query_id, reason = 'uncertain' AS should_rerank, reason FROM r""")
 def rerank_gate(spark, sf_dir):
     return fusion.rerank_gate(ranked(spark, sf_dir).withColumn("ranks", F.array(F.lit(None).cast("long"), "rank")))
@@ -187,11 +187,6 @@ def route_counts(spark, sf_dir):
     return route_types(spark, sf_dir).groupBy("route").agg(F.count("*").alias("n"))
 
 
-@query()
-def query_variants(spark, sf_dir):
-    return analysis.variants(questions(spark, sf_dir), 6).select("query_id", F.posexplode("variants").alias("variant", "text"))
-
-
 @query("SELECT d.doc_id, quality, toxic FROM documents d JOIN labels USING (doc_id) WHERE lang IN ('en', 'fr') AND (contains(lower(source), 'src1') OR contains(lower(source), 'src3')) AND quality = 1")
 def metadata_filter(spark, sf_dir):
     d = docs(spark, sf_dir).where(F.col("lang").isin("en", "fr")).where(T.contains_any(T.norm(F.col("source")), F.array(F.lit("src1"), F.lit("src3"))))
@@ -204,7 +199,7 @@ def fail_open_filter(spark, sf_dir):
     """A constraint that nothing fits is dropped."""
     q = questions(spark, sf_dir).withColumnRenamed("text", "needle")
     d = docs(spark, sf_dir)
-    hits = d.join(F.broadcast(q), F.contains(F.col("text"), F.col("needle"))).groupBy("query_id").agg(F.count("*").alias("n"))
+    hits = d.join(q, F.contains(F.col("text"), F.col("needle"))).groupBy("query_id").agg(F.count("*").alias("n"))
     total = d.agg(F.count("*").alias("every"))
     return q.join(hits, "query_id", "left").crossJoin(F.broadcast(total)).select("query_id", F.coalesce("n", "every").alias("allowed"))
 
@@ -280,11 +275,12 @@ def page_range(spark, sf_dir):
 
 
 def _sections(spark, sf_dir):
-    p = docs(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("lang").alias("section_path"), F.col("doc_id").alias("page"), F.lit(0).alias("ord"), F.substring("text", 1, 2000).alias("text"))
+    p = docs(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("lang").alias("section_path"), F.col("doc_id").alias("page"), F.lit(0).alias("ord"), "text")
     return assets.section_summaries(p)
 
 
-@query()
+@query(f"""WITH t AS (SELECT source AS doc_id, lang AS section, string_agg({WS.format('text')}, ' ' ORDER BY doc_id) FILTER ({WS.format('text')} <> '') AS s FROM documents GROUP BY ALL),
+u AS (SELECT doc_id, section, CASE WHEN len(s) > 700 THEN rtrim(left(s, 697)) || '...' ELSE s END AS summary FROM t) SELECT doc_id, section, CAST(len(summary) AS BIGINT) AS n, summary FROM u""")
 def section_summary(spark, sf_dir):
     return _sections(spark, sf_dir).select("doc_id", "section", F.length("summary").cast("long").alias("n"), "summary")
 
@@ -361,7 +357,7 @@ def orphan_rows(spark, sf_dir):
 
 def _qrels(spark, sf_dir):
     q = questions(spark, sf_dir).withColumnRenamed("text", "needle")
-    return docs(spark, sf_dir).join(F.broadcast(q), F.contains(F.col("text"), F.col("needle"))).select("query_id", "doc_id")
+    return docs(spark, sf_dir).join(q, F.contains(F.col("text"), F.col("needle"))).select("query_id", "doc_id")
 
 
 EVAL = f"""WITH {bm25_sql()}, b AS ({OUT}), j AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
@@ -400,10 +396,3 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY o, rank) AS p
 def evidence_select(spark, sf_dir):
     r = ranked(spark, sf_dir, 15).join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
     return fusion.select_evidence(r.withColumn("identity", F.col("doc_id")).withColumn("bucket", F.col("source")), 5).select("query_id", "position", "rank", "doc_id")
-
-
-@query()
-def entity_coverage(spark, sf_dir):
-    q = questions(spark, sf_dir).select("query_id", F.slice(F.array_sort(F.array_distinct(T.tokens(F.col("text")))), 1, 2).alias("entities"))
-    r = ranked(spark, sf_dir, 15).join(docs(spark, sf_dir).select("doc_id", "source", "text"), "doc_id").join(q, "query_id")
-    return fusion.cover_entities(r, 6).select("query_id", "position", "rank", "doc_id")
