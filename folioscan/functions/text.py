@@ -90,25 +90,19 @@ def heading(c: Column) -> Column:
 
 
 def is_reference_heading(c: Column) -> Column:
-    h = F.lower(heading(c))
-    return _any(h.startswith(x) for x in REFERENCE_HEADINGS)
+    return let(F.lower(heading(c)), lambda h: _any(h.startswith(x) for x in REFERENCE_HEADINGS))
 
 
 def is_reference_section(path: Column) -> Column:
-    low = F.lower(text_or_empty(path))
-    return _any(low.contains(x) for x in REFERENCE_HEADINGS)
+    return F.lower(text_or_empty(path)).rlike("|".join(REFERENCE_HEADINGS))
 
 
 def normal_reference_heading(c: Column) -> Column:
-    h = heading(c)
-    low = F.lower(h)
-    return (
-        F.when(low.startswith("references") | low.startswith("reference"), "References")
-        .when(low.startswith("bibliography"), "Bibliography")
-        .when(low.startswith("参考文献"), "参考文献")
-        .when(low.startswith("参考资料"), "参考资料")
-        .otherwise(h)
-    )
+    def named(h: Column) -> Column:
+        low = F.lower(h)
+        return F.when(low.startswith("reference"), "References").when(low.startswith("bibliography"), "Bibliography").when(low.startswith("参考文献"), "参考文献").when(low.startswith("参考资料"), "参考资料").otherwise(h)
+
+    return let(heading(c), named)
 
 
 def reference_features(df: DataFrame, column: str) -> DataFrame:
@@ -121,7 +115,7 @@ def reference_features(df: DataFrame, column: str) -> DataFrame:
     s, low, sig, yrs = F.col("__s"), F.lower("__s"), F.col("__signal"), F.col("__years")
     authors = low.contains("et al") | s.rlike(rf"(?:(?<!{_WORD})[A-Z]\.\s*){{2,}}") | s.rlike(rf"(?<!{_WORD})[A-Z][a-z'`-]+,\s*[A-Z]\.")
     marks = rf"(?<!{_WORD})(?:doi|arxiv|in\s+proceedings)(?!{_WORD})|(?<!{_WORD})(?:pp?\.|vol\.|no\.|proc\.)(?={_WORD})"
-    venue = low.rlike("|".join(VENUES) + "|" + marks)
+    venue = _any(low.contains(v) for v in VENUES) | low.rlike(marks)
     body = low.rlike(rf"^(?:appendix|supplement|supplementary|acknowledg|conclusion|discussion)(?!{_WORD})") | s.rlike(r"^(?:\d+(?:\.\d+)*|[A-Z]|[IVXLCM]+)[.)]?\s+[A-Z]")
     out = df.withColumn("__s", squeeze(F.col(column))).withColumn("__opens", is_reference_heading(F.col(column)))
     out = out.withColumns({"__prefix": s.rlike(r"^(?:\[\d+\]|\(\d+\)|\d+\.)\s+"), "__years": F.regexp_count(low, F.lit(rf"(?<!{_WORD})(?:19|20)\d{{2}}[a-z]?(?!{_WORD})")), "__authors": authors, "__venue": venue})

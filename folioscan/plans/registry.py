@@ -76,7 +76,7 @@ dq AS ({DENSE_Q}),
 
 
 def ranked(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    return lexical.retrieve(docs(spark, sf_dir), questions(spark, sf_dir), k)
+    return lexical.retrieve_indexed(lexical.Index.kept(docs(spark, sf_dir), sf_dir), questions(spark, sf_dir), k)
 
 
 def dense_ranked(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
