@@ -25,9 +25,9 @@ def normal_text(s: str | None) -> str:
 
 
 def clean_text(s: str | None) -> str:
-    """As normal_text, but line breaks and tabs go without a blank and mark-up characters go; `&` stands apart."""
-    t = unicodedata.normalize("NFKC", s or "").translate(_LIGATURES).replace("\\textcircled", "")
-    t = t.translate({ord(c): None for c in "\\{}$^_~|"}).replace("&", " & ")
+    """As normal_text, but mark-up characters become blanks, `&` stands apart, and line breaks and tabs go without a blank."""
+    t = unicodedata.normalize("NFKC", s or "").translate(_LIGATURES).replace("\\textcircled", " ")
+    t = t.translate({ord(c): " " for c in "\\{}$^_~|"}).replace("&", " & ")
     return " ".join(t.translate(_DROPPED).split())
 
 

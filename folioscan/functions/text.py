@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.functions.vocabulary import REFERENCE_HEADINGS, VENUES
+from folioscan.functions.vocabulary import BANNER_WORDS, FRONT_MATTER, NOISE_SECTIONS, NOISE_WORDS, NOTICES, REFERENCE_HEADINGS, VENUES
 
 #: A CJK character alone, or a run of ASCII letters, digits and underscores.
 TOKEN = r"[一-鿿]|[a-z0-9_]+"
@@ -172,6 +172,54 @@ def media_id(path: Column, prefix: str) -> Column:
     return F.when(F.coalesce(F.trim(path), F.lit("")) == "", f"{prefix}_unknown").otherwise(F.concat(F.lit(f"{prefix}_"), safe))
 
 
+def _trim_marks(c: Column) -> Column:
+    return F.regexp_replace(c, r"^[ .,:;-]+|[ .,:;-]+$", "")
+
+
+def without_front_matter(c: Column, title: Column | None = None, authors: Column | None = None) -> Column:
+    """A cleaned text without banners, its own title and authors, notices, and marks at either end."""
+    for p in FRONT_MATTER:
+        c = F.trim(F.regexp_replace(c, p, ""))
+    for prefix in (title, authors):
+        if prefix is not None:
+            start = squeeze(prefix)
+            c = let(F.struct(c.alias("t"), start.alias("p")), lambda x: F.when((x["p"] != "") & F.startswith(x["t"], x["p"]), _trim_marks(F.substring(x["t"], F.length(x["p"]) + 1, F.length(x["t"])))).otherwise(x["t"]))
+    for p in NOTICES:
+        c = F.regexp_replace(c, p, "")
+    return _trim_marks(c)
+
+
+def name_list(c: Column, most: int = 24) -> Column:
+    """Authors divided by commas, semicolons, `and` or `et al`."""
+    parts = F.split(squeeze(c), r"(?i)[;,，、]|\band\b|\bet al\b")
+    return F.slice(F.filter(F.transform(parts, squeeze), lambda x: x != ""), 1, most)
+
+
+def keyword_list(c: Column, most: int = 32) -> Column:
+    return F.slice(F.filter(F.transform(F.split(squeeze(c), r"[;,，、|/]"), squeeze), lambda x: x != ""), 1, most)
+
+
+def is_noise_section(name: Column) -> Column:
+    """A section name that says nothing of a paper: blank, a journal's furniture, an affiliation, a citation."""
+    return let(squeeze(name), lambda s: (s == "") | _any(s.rlike(p) for p in NOISE_SECTIONS) | _any(F.lower(s).contains(w) for w in NOISE_WORDS))
+
+
+def is_body_section(name: Column) -> Column:
+    """main, body, or a name of up to eight characters without a letter or digit of ASCII."""
+    return let(squeeze(name), lambda s: F.lower(s).isin("main", "body") | (F.length(s).between(1, 8) & ~s.rlike("[A-Za-z0-9]")))
+
+
+def section_text(c: Column, name: Column, title: Column | None = None, authors: Column | None = None) -> Column:
+    """A section's cleaned text; that of a body section without front matter."""
+    return F.when(is_body_section(name), without_front_matter(c, title, authors)).otherwise(c)
+
+
+def is_skipped_section(name: Column, c: Column, title: Column) -> Column:
+    """Whether a summary leaves a section out: nothing in it, or a body section with a banner or the paper's title first."""
+    low, t = F.lower(c), squeeze(title)
+    return (c == "") | (is_body_section(name) & (_any(low.contains(w) for w in BANNER_WORDS) | ((t != "") & F.startswith(c, t))))
+
+
 def distinct_terms(terms: Column) -> Column:
     """First spelling of each term, compared without case, in order; blanks go."""
     empty = F.struct(F.array().cast("array<string>").alias("low"), F.array().cast("array<string>").alias("out"))

@@ -110,3 +110,21 @@ NOT_READY_TEXTS = {
 }
 SCOPE_TEXTS = {"main": "论文问答", "references": "参考文献检索"}
 NOT_READY_FRAME = "{scope}所需知识库未就绪：{details}。请先完成入库或修复后再问答。"
+
+# ---- front matter and section names
+#: What stands before a text, in the order in which it goes.
+FRONT_MATTER = (
+    r"(?i)^article in press\s*", r"(?i)^pdf download .*? total citations:\s*\d+ .*? total downloads:\s*\d+\s*", r"(?i)^open access support provided by:?\s*", r"(?i)^citation in bibtex format\s*",
+)
+#: What stands before it after title and authors are gone.
+NOTICES = (
+    r"(?i)^(?:we are providing an unedited version of this manuscript .*? legal disclaimers apply\.?)\s*",
+    r"(?i)^(?:if this paper is publishing under a transparent peer review model .*? final article\.?)\s*", r"(?i)^(?:copyright .*?)\s*",
+)
+NOISE_SECTIONS = (
+    r"(?i)^(?:article|article in press|research-article)$", r"(?i)^(?:a\s*r\s*t\s*i\s*c\s*l\s*e\s*i\s*n\s*f\s*o)$",
+    r"(?i)^(?:g\s*r\s*a\s*p\s*h\s*i\s*c\s*a\s*l\s*a\s*b\s*s\s*t\s*r\s*a\s*c\s*t)$", r"(?i)^(?:h\s*i\s*g\s*h\s*l\s*i\s*g\s*h\s*t\s*s)$",
+    r"(?i)^(?:abstract|a\s*b\s*s\s*t\s*r\s*a\s*c\s*t)$", r"(?i)^(?:keywords|ccs concepts|acknowledg?ement|appendix a\. supplementary data)$",
+)
+NOISE_WORDS = ("et al", "university", "department", "institute", "hospital")
+BANNER_WORDS = ("article in press", "pdf download", "total citations", "total downloads", "open access support provided by")

@@ -8,14 +8,11 @@ from pyspark.sql import functions as F
 from folioscan.functions import text as T
 from folioscan.operators.folds import fit_texts
 
-#: Sections that say nothing of a paper: blank names, affiliations, citations in headings.
-NOISE = r"(?i)et al|university|department|institute|hospital|^\s*$"
-
 
 def section_summaries(parents: DataFrame, limit: int = 700) -> DataFrame:
     """(doc_id, section, page, page_end, page_range, n_blocks, summary) by top section; references and noise go."""
     top = parents.withColumn("section", T.top_section(F.col("section_path")))
-    kept = top.where(~T.is_reference_section(F.col("section")) & ~F.col("section").rlike(NOISE))
+    kept = top.where(~T.is_reference_section(F.col("section")) & ~T.is_noise_section(F.col("section")))
     rows = F.array_sort(F.collect_list(F.struct("page", "ord", F.substring(T.squeeze(F.col("text")), 1, limit + 2).alias("text"))))  # no summary reads more of a text; one blank may go
     return kept.groupBy("doc_id", "section").agg(
         F.min("page").alias("page"), F.max("page").alias("page_end"), F.concat_ws("-", F.min("page"), F.max("page")).alias("page_range"), F.count("*").alias("n_blocks"),

@@ -205,3 +205,64 @@ def layout_rows(spark, sf_dir):
         "doc_id", F.col("ord").cast("int").alias("ord"), F.col("page_idx").cast("long").alias("page_idx"), "type", F.sha1(F.col("text").cast("binary")).alias("sha1"),
         F.array_join(F.transform("bbox", lambda x: x.cast("string")), ",").alias("bbox"), F.array_join("figure_ids", ",").alias("figures"), F.array_join("table_ids", ",").alias("tables"),
     )
+
+
+def _lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_HEAD = r"trim(regexp_replace(left(text, 150), '\s+', ' ', 'g'))"
+FRONT = f"""SELECT doc_id, source, CASE doc_id % 5 WHEN 0 THEN 'Article in Press ' || h WHEN 1 THEN 'PDF Download a.pdf total citations: ' || doc_id || ' x total downloads: 15 ' || source || ' - ' || h
+ WHEN 2 THEN source || '; ' || lang || ': ' || h || ' .' WHEN 3 THEN 'Copyright ' || h ELSE h END AS t FROM (SELECT doc_id, source, lang, {_HEAD} AS h FROM documents)"""
+
+
+def _front_sql() -> str:
+    x = "t"
+    for p in V.FRONT_MATTER:
+        x = f"trim(regexp_replace({x}, {_lit(p)}, ''))"
+    marks = "'^[ .,:;-]+|[ .,:;-]+$', '', 'g'"
+    y = f"regexp_replace(CASE WHEN starts_with(a, source) THEN regexp_replace(substr(a, len(source) + 1), {marks}) ELSE a END, {_lit(V.NOTICES[0])}, '')"
+    for p in V.NOTICES[1:]:
+        y = f"regexp_replace({y}, {_lit(p)}, '')"
+    return f"SELECT doc_id, regexp_replace({y}, {marks}) AS text FROM (SELECT doc_id, source, {x} AS a FROM ({FRONT}))"
+
+
+@query(_front_sql())
+def front_matter(spark, sf_dir):
+    """Starts of texts behind banners, their source as title, or a notice."""
+    d = docs(spark, sf_dir).withColumn("h", F.trim(F.regexp_replace(F.substring("text", 1, 150), r"\s+", " ")))
+    k, h = F.col("doc_id") % 5, F.col("h")
+    cat = lambda *c: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in c])
+    text = (
+        F.when(k == 0, cat("Article in Press ", h)).when(k == 1, cat("PDF Download a.pdf total citations: ", F.col("doc_id").cast("string"), " x total downloads: 15 ", F.col("source"), " - ", h))
+        .when(k == 2, cat(F.col("source"), "; ", F.col("lang"), ": ", h, " .")).when(k == 3, cat("Copyright ", h)).otherwise(h)
+    )
+    return d.select("doc_id", T.without_front_matter(text, F.col("source")).alias("text"))
+
+
+_NAMES = "CASE o_orderkey % 4 WHEN 0 THEN o_clerk || ' and ' || o_orderpriority WHEN 1 THEN o_clerk || '; ' || o_orderpriority || ', ,' || o_orderstatus WHEN 2 THEN o_clerk || ' et al' ELSE '  ' END"
+
+
+@query(f"SELECT o_orderkey, array_to_string(list_filter(list_transform(regexp_split_to_array({_NAMES}, '(?i)[;,]|\\band\\b|\\bet al\\b'), lambda x: trim(x)), lambda x: x <> ''), '|') AS names, array_to_string(list_filter(list_transform(regexp_split_to_array({_NAMES}, '[;,|/]'), lambda x: trim(x)), lambda x: x <> ''), '+') AS keywords FROM (SELECT o_orderkey, o_orderstatus, 'Clerk ' || o_custkey AS o_clerk, o_orderstatus || '-band' AS o_orderpriority FROM orders)")
+def name_lists(spark, sf_dir):
+    """Authors and keywords in one text, divided in several ways."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Clerk "), F.col("o_custkey").cast("string")).alias("c"), F.concat("o_orderstatus", F.lit("-band")).alias("p"), "o_orderstatus")
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.concat("c", F.lit(" and "), "p")).when(k == 1, F.concat("c", F.lit("; "), "p", F.lit(", ,"), "o_orderstatus")).when(k == 2, F.concat("c", F.lit(" et al"))).otherwise("  ")
+    return o.select("o_orderkey", F.array_join(T.name_list(text), "|").alias("names"), F.array_join(T.keyword_list(text), "+").alias("keywords"))
+
+
+_SECTIONS = ("", "Article", "A R T I C L E I N F O", "H i g h l i g h t s", "Keywords", "Main", "正文", "1 University of X", "Smith et al.", "Methods", "3 Results", "BODY", "--", "acknowledgement", "Abstract")
+
+
+@query(f"SELECT doc_id, regexp_matches(n, {_lit('|'.join('(?:' + p + ')' for p in V.NOISE_SECTIONS))}) OR n = '' OR regexp_matches(lower(n), 'et al|university|department|institute|hospital') AS noise, lower(n) IN ('main', 'body') OR (len(n) BETWEEN 1 AND 8 AND NOT regexp_matches(n, '[A-Za-z0-9]')) AS body, t = '' OR ((lower(n) IN ('main', 'body') OR (len(n) BETWEEN 1 AND 8 AND NOT regexp_matches(n, '[A-Za-z0-9]'))) AND (regexp_matches(lower(t), {_lit('|'.join(V.BANNER_WORDS))}) OR starts_with(t, source))) AS skipped FROM (SELECT f.doc_id, f.source, f.t, [{', '.join(map(_lit, _SECTIONS))}][1 + f.doc_id % {len(_SECTIONS)}] AS n FROM ({FRONT}) f)")
+def section_names(spark, sf_dir):
+    """Which names say nothing, which stand for the body, and which sections a summary leaves out."""
+    d = docs(spark, sf_dir).withColumn("h", F.trim(F.regexp_replace(F.substring("text", 1, 150), r"\s+", " ")))
+    k, h = F.col("doc_id") % 5, F.col("h")
+    text = (
+        F.when(k == 0, F.concat(F.lit("Article in Press "), h)).when(k == 1, F.concat(F.lit("PDF Download a.pdf total citations: "), F.col("doc_id").cast("string"), F.lit(" x total downloads: 15 "), "source", F.lit(" - "), h))
+        .when(k == 2, F.concat("source", F.lit("; "), "lang", F.lit(": "), h, F.lit(" ."))).when(k == 3, F.concat(F.lit("Copyright "), h)).otherwise(h)
+    )
+    name = F.array(*map(F.lit, _SECTIONS))[(F.col("doc_id") % len(_SECTIONS)).cast("int")]
+    return d.select("doc_id", T.is_noise_section(name).alias("noise"), T.is_body_section(name).alias("body"), T.is_skipped_section(name, text, F.col("source")).alias("skipped"))

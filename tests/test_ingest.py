@@ -96,3 +96,11 @@ def test_blocks_as_parents(spark):
     got, parents = chunks.chunks_with_parents(df, "token", least=50)
     assert [r.parent_id for r in parents.orderBy("doc_idx", "structure_block_id").collect()] == ["s::p1::d0::b0", "s::p1::d0::b1", "s::p2::d1::b0"]
     assert [r.chunk_uid for r in got.orderBy("chunk_id").collect()] == ["s::p1::d0::b0::c0", "s::p1::d0::b1::c1", "s::p2::d1::b0::c2"]
+
+
+def test_front_matter_and_names(spark):
+    df = spark.createDataFrame([("Article in Press Some Title A. Author: The text begins.", "Some Title", "A. Author", "Main"), ("We are providing an unedited version of this manuscript to x legal disclaimers apply. Body", None, "", "3 Results"), (None, "", None, "")], "t string, title string, authors string, name string")
+    c = T.squeeze(F.col("t"))
+    got = df.select(T.without_front_matter(c, F.col("title"), F.col("authors")).alias("a"), T.section_text(c, F.col("name")).alias("s"), T.is_skipped_section(F.col("name"), c, F.col("title")).alias("k"), T.name_list(F.lit("A. B, C D and E; et al")).alias("n"), T.keyword_list(F.lit("x, y/z|  w")).alias("w")).collect()
+    assert [r.a for r in got] == ["The text begins", "Body", ""] and [r.k for r in got] == [True, False, True] and got[1].s.startswith("We are") and got[0].s.startswith("Some Title")
+    assert got[0].n == ["A. B", "C D", "E"] and got[0].w == ["x", "y", "z", "w"]

@@ -97,7 +97,7 @@ def test_packing_and_abstract(spark):
 
 def test_arrow_functions():
     assert arrow.normal_text("ﬁne\tveri\x1bcation\n x") == "fine verification x"
-    assert arrow.clean_text("a\nb{c}&d") == "abc & d" and json.loads(arrow.first_json_object('text {bad} ```{"a": {"b": 1}}``` x')) == {"a": {"b": 1}} and arrow.first_json_object("no") is None
+    assert arrow.clean_text("a\nb{c}&d\\textcircled x_y") == "ab c & d x y" and json.loads(arrow.first_json_object('text {bad} ```{"a": {"b": 1}}``` x')) == {"a": {"b": 1}} and arrow.first_json_object("no") is None
     text = "Sentence one. Sentence two is longer. " * 40
     parts = arrow.split_recursively(text, 100, 20)
     assert all(len(p) <= 100 for p in parts) and set("".join(parts)) == set(text) and parts[0].startswith("Sentence one.")
