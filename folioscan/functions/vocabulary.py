@@ -128,3 +128,15 @@ NOISE_SECTIONS = (
 )
 NOISE_WORDS = ("et al", "university", "department", "institute", "hospital")
 BANNER_WORDS = ("article in press", "pdf download", "total citations", "total downloads", "open access support provided by")
+
+# ---- reranking: how a decision is recorded, by the gate's reason
+DECISIONS = {
+    "disabled": "conditional_disabled", "single": "single_candidate", "no_score": "missing_scores", "consensus": "high_confidence_skip", "rank_gap": "high_confidence_skip",
+    "confident": "high_confidence_skip", "uncertain": "low_confidence_need_rerank",
+}
+# ---- what a prompt says of its context
+SCOPE_HINTS = {
+    "references": "以下上下文全部来自论文的参考文献列表。回答时只依据这些参考文献条目，优先回答是否引用、引用了哪些工作、涉及哪些作者或年份。",
+    "survey": "以下上下文是论文级摘要与代表性证据的混合结果，请总结当前知识库覆盖范围内的研究脉络。",
+    "metadata": "以下上下文优先包含论文级元数据与摘要，请优先回答题目、作者、年份、venue、关键词等结构化信息。",
+}

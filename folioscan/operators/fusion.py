@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscan.functions.vocabulary import DECISIONS
+
 RRF = 60
 
 
@@ -122,3 +124,43 @@ def cover_entities(candidates: DataFrame, k: int, per_source: int = 2, source: s
     tier = F.when(F.col("e").isNotNull(), 0).when(n <= per_source, 1).otherwise(2)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("tier", F.coalesce("e", F.lit(0)), "rank"))
     return joined.withColumn("tier", tier).withColumn("position", place.cast("long")).where(F.col("position") <= k).drop("tier", "e")
+
+
+def similarity_scores(ranked: DataFrame, score: str = "score") -> DataFrame:
+    """(query_id, similar): whether all of a question's scores lie between 0 and 1; false for one without a score."""
+    return ranked.groupBy("query_id").agg(F.coalesce((F.min(score) >= 0) & (F.max(score) <= 1), F.lit(False)).alias("similar"))
+
+
+def attach_decision(ranked: DataFrame, gate: DataFrame, score: str = "score") -> DataFrame:
+    """Ranked rows with their question's decision: reason, whether to rerank, the two best scores and their gaps.
+
+    A question with one candidate or none has nothing to rerank.
+    """
+    top = lambda i: F.max(F.when(F.col("rank") == i, F.col(score).cast("double")))
+    best = ranked.groupBy("query_id").agg(top(1).alias("top1_score"), top(2).alias("top2_score"))
+    gap = F.col("top1_score") - F.col("top2_score")
+    names = F.create_map(*[F.lit(x) for kv in DECISIONS.items() for x in kv])
+    found = gate.join(best, "query_id").select("query_id", names[F.col("reason")].alias("decision"), "should_rerank", "top1_score", "top2_score", gap.alias("score_gap"), (gap / F.greatest(F.abs("top1_score"), F.lit(1e-8))).alias("relative_gap"))
+    filled = F.coalesce("decision", F.lit(DECISIONS["single"])), F.coalesce("should_rerank", F.lit(False))
+    return ranked.join(found, "query_id", "left").withColumns({"decision": filled[0], "should_rerank": filled[1]})
+
+
+def fill_entities(primary: DataFrame, backup: DataFrame, entities: DataFrame, k: int, text: str = "hay") -> DataFrame:
+    """Primary rows (query_id, doc_id, rank, text), then for each entity (query_id, e, entity) that none of them names the
+    best backup row that does, then other backup rows in order, up to k; ranks are numbered anew."""
+    named = primary.join(entities, "query_id").where(F.contains(text, F.lower("entity"))).select("query_id", "e").distinct()
+    missing = entities.join(named, ["query_id", "e"], "left_anti")
+    rest = backup.join(primary.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    hits = rest.join(missing, "query_id").where(F.contains(text, F.lower("entity")))
+    first = hits.groupBy("query_id", "e").agg(F.min_by("doc_id", "rank").alias("doc_id")).groupBy("query_id", "doc_id").agg(F.min("e").alias("e"))
+    every = primary.select("query_id", "doc_id", F.lit(0).alias("tier"), F.col("rank").alias("o")).unionByName(
+        rest.join(first, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.when(F.col("e").isNotNull(), 1).otherwise(2).alias("tier"), F.coalesce(F.col("e").cast("long"), F.col("rank")).alias("o"))
+    )
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "o"))
+    return every.withColumn("rank", place.cast("long")).where(F.col("rank") <= k).select("query_id", "doc_id", "rank")
+
+
+def fingerprint(text: Column, *meta: Column) -> Column:
+    """SHA-1 of a row's stable fields and the first 1,200 characters of its text; scores and ranks are left out by the caller."""
+    parts = [F.concat(F.length(F.coalesce(m.cast("string"), F.lit(""))).cast("string"), F.lit(":"), F.coalesce(m.cast("string"), F.lit(""))) for m in meta]
+    return F.sha1(F.concat_ws("|", *parts, F.substring(F.coalesce(text, F.lit("")), 1, 1200)).cast("binary"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as X
 
 from folioscan.functions import text as T
+from folioscan.functions import vocabulary as V
 from folioscan.functions.arrow import json_object
 
 # ---- fixed values: labels and hints of prompts and answers
@@ -70,6 +71,36 @@ def evidence_records(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("record", record)
 
 
+def scope_hint(scope: Column, route: Column) -> Column:
+    """What a prompt says of its context; blank for other scopes and routes."""
+    by_route = reduce(lambda c, k: c.when(route == k, V.SCOPE_HINTS[k]), ("metadata",), F.when(route == "survey", V.SCOPE_HINTS["survey"])).otherwise("")
+    return F.when(scope == "references", V.SCOPE_HINTS["references"]).otherwise(by_route)
+
+
+def retrieval_scope(scope: Column) -> Column:
+    """references for any of its names, main for all else."""
+    return F.when(F.lower(F.trim(T.text_or_empty(scope))).isin(*V.REFERENCE_SCOPES), "references").otherwise("main")
+
+
+def cited_rows(plan: DataFrame, papers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(query_id, kind, id, rank) that an answer cites: papers for metadata questions that recalled any, else the evidence."""
+    own = papers.join(plan.where("route = 'metadata'").select("query_id"), "query_id", "left_semi").select("query_id", F.lit("paper").alias("kind"), F.col("doc_id").cast("string").alias("id"), F.col("rank").cast("long").alias("rank"))
+    rest = evidence.join(own.select("query_id").distinct(), "query_id", "left_anti")
+    return own.unionByName(rest.select("query_id", F.lit("chunk").alias("kind"), F.col("doc_id").cast("string").alias("id"), F.col("rank").cast("long").alias("rank")))
+
+
+def answer_questions(queries: DataFrame, retrieved: dict[str, DataFrame], model: Callable[[list[str]], list[str]], scope: str = "main", rules: str = "") -> DataFrame:
+    """(query_id, answer, parsed, shown, citations) from what `flow.ask` found: prompts over the generation rows, the model's
+    answers made readable, and the rows they cite.  A question without anything to go by gets no row."""
+    plan = retrieved["plan"]
+    hints = plan.select("query_id", scope_hint(retrieval_scope(F.lit(scope)), F.col("route")).alias("hint"))
+    rows = retrieved["generation"].select("query_id", F.col("place").alias("rank"), F.col("id").alias("doc_id"), "text", *[F.lit(None).cast("string").alias(c) for c in ("source", "section_path", "block_id")], F.lit(None).cast("int").alias("page"))
+    prompted = prompts(queries.join(plan.select("query_id", "route"), "query_id"), rows, rules).join(hints, "query_id")
+    asked = prompted.select("query_id", F.when(F.col("hint") == "", F.col("prompt")).otherwise(F.concat_ws("\n\n", "hint", "prompt")).alias("prompt"))
+    cited = cited_rows(plan, retrieved["papers"], retrieved["evidence"].withColumn("rank", F.col("position"))).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "kind", "id"))), lambda x: F.struct(x["kind"].alias("kind"), x["id"].alias("id"))).alias("citations"))
+    return readable_answers(generate(asked, model)).join(cited, "query_id", "left")
+
+
 def prompts(questions: DataFrame, evidence: DataFrame, rules: str = "") -> DataFrame:
     """(query_id, prompt) from questions (query_id, text, route) and their ranked evidence; no evidence, no prompt."""
     line = F.concat_ws("\n", F.concat(F.lit(f"[{CONTEXT}"), F.col("rank").cast("string"), F.lit("] "), citation_tag()), F.trim("text"))

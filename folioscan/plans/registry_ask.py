@@ -141,3 +141,35 @@ SELECT context_doc_id, min(doc_id) AS first_row, count(*) AS n FROM c GROUP BY c
 def dedupe_contexts(spark, sf_dir):
     rows = docs(spark, sf_dir).select(F.col("doc_id").alias("qid"), F.lit("").alias("context_doc_id"), F.col("text").alias("context"))
     return evaluate.distinct_contexts(rows).select("context_doc_id", F.col("qid").alias("first_row"), "n")
+
+
+@query(f"""WITH {bm25_sql()}, b AS ({OUT}), t AS (SELECT query_id, count(*) AS n, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 2) AS s2 FROM b WHERE rank <= 2 GROUP BY 1)
+SELECT b.query_id, doc_id, rank, CASE WHEN n <= 1 THEN 'single_candidate' WHEN s1 >= CASE WHEN abs(s1) <= 0.1 THEN 0.015 ELSE 0.55 END AND (s1 - s2 >= CASE WHEN abs(s1) <= 0.1 THEN 0.001 ELSE 0.08 END OR (s1 - s2) / greatest(abs(s1), 1e-8) >= 0.1) THEN 'high_confidence_skip' ELSE 'low_confidence_need_rerank' END AS decision,
+ round(s1 - s2, 6) AS score_gap FROM b JOIN t USING (query_id)""")
+def rerank_decisions(spark, sf_dir):
+    r = ranked(spark, sf_dir).withColumn("ranks", F.array(F.lit(None).cast("long"), "rank"))
+    return fusion.attach_decision(r, fusion.rerank_gate(r)).select("query_id", "doc_id", "rank", "decision", F.round("score_gap", 6).alias("score_gap"))
+
+
+@query("SELECT c_custkey % 100 AS query_id, min(c_acctbal / 10000) >= 0 AND max(c_acctbal / 10000) <= 1 AS similar FROM customer GROUP BY 1")
+def similarity_scale(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 100).alias("query_id"), (F.col("c_acctbal") / 10000).alias("score"))
+    return fusion.similarity_scores(c)
+
+
+@query("SELECT doc_id, sha1(len(source) || ':' || source || '|' || len(lang) || ':' || lang || '|' || left(text, 1200)) AS fingerprint FROM documents")
+def row_fingerprints(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", fusion.fingerprint(F.col("text"), F.col("source"), F.col("lang")).alias("fingerprint"))
+
+
+@query(f"""WITH {bm25_sql(k=12)}, b AS ({OUT}), c AS (SELECT b.*, lower(left(text, 3000)) AS hay FROM b JOIN documents USING (doc_id)), p AS (SELECT * FROM c WHERE rank <= 3), r AS (SELECT * FROM c WHERE rank > 3),
+e AS (SELECT item_id AS query_id, unnest(['the', 'zzz', 'eau', 'und']) AS entity, unnest([0, 1, 2, 3]) AS e FROM benchmark),
+m AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.query_id = e.query_id AND contains(hay, entity))),
+f AS (SELECT query_id, doc_id, min(e) AS e FROM (SELECT r.query_id, m.e, min_by(doc_id, rank) AS doc_id FROM r JOIN m ON m.query_id = r.query_id AND contains(hay, entity) GROUP BY ALL) GROUP BY ALL),
+x AS (SELECT query_id, doc_id, 0 AS tier, rank AS o FROM p UNION ALL SELECT r.query_id, r.doc_id, CASE WHEN f.e IS NULL THEN 2 ELSE 1 END, coalesce(f.e, r.rank) FROM r LEFT JOIN f ON f.query_id = r.query_id AND f.doc_id = r.doc_id)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY tier, o) AS rank FROM x QUALIFY rank <= 6""")
+def entity_fill(spark, sf_dir):
+    """The three best rows, with entities that they lack from the next nine."""
+    r = ranked(spark, sf_dir, 12).join(docs(spark, sf_dir).select("doc_id", F.lower(F.substring("text", 1, 3000)).alias("hay")), "doc_id")
+    e = questions(spark, sf_dir).select("query_id", F.posexplode(F.array(*map(F.lit, ("the", "zzz", "eau", "und")))).alias("e", "entity"))
+    return fusion.fill_entities(r.where("rank <= 3"), r.where("rank > 3"), e, 6)

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from folioscan.operators import evaluate
-from folioscan.plans import flow
+from folioscan.operators import evaluate, fusion
+from folioscan.plans import answers, flow
 from folioscan.plans.analysis import Settings
 
 
@@ -62,3 +62,25 @@ def test_evaluation_helpers(spark, tmp_path):
     assert {r.route: r.n for r in evaluate.add_route_counts([h, h.where("route = 'x'")]).collect()} == {"x": 4, "y": 1}
     evaluate.save_results(rows.withColumn("l", F.array("qid")), h, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "rows_jsonl")).count() == spark.read.option("header", True).csv(str(tmp_path / "out" / "rows_csv")).count() == 12
+
+
+def test_answers_cite_what_they_rest_on(spark):
+    papers, chunks, _ = corpus(spark)
+    q = spark.createDataFrame([(1, "who proposed ResNet layers"), (2, "channel excitation"), (3, "qqq zzz")], "query_id long, text string")
+    found = flow.ask(q, chunks, papers, Settings(variants=1))
+
+    def model(batch):
+        return ['{"conclusion": "It is so.", "evidence_points": ["a", " "], "uncertainties": []}' if "excitation" in p else "plain words [doc:x|source:y]" for p in batch]
+
+    got = {r.query_id: r for r in answers.answer_questions(q, found, model).collect()}
+    assert sorted(got) == [1, 2] and got[1].shown == "plain words" and "It is so." in got[2].shown and got[2].parsed.evidence_points[0] == "a"
+    assert [(c.kind, c.id) for c in got[1].citations] == [("paper", "p1")] and {c.kind for c in got[2].citations} == {"chunk"}
+    one = spark.range(1).select(answers.scope_hint(F.lit("references"), F.lit("survey")).alias("a"), answers.scope_hint(F.lit("main"), F.lit("factual")).alias("b"), answers.retrieval_scope(F.lit(" Refs ")).alias("c"), answers.retrieval_scope(F.lit(None).cast("string")).alias("d")).first()
+    assert "参考文献" in one.a and (one.b, one.c, one.d) == ("", "references", "main")
+
+
+def test_decisions_and_entities_of_few_rows(spark):
+    r = spark.createDataFrame([(1, "a", 0.9, 1, [None, 1]), (1, "b", 0.2, 2, [None, 2]), (2, "c", 0.5, 1, [None, 1])], "query_id long, doc_id string, score double, rank long, ranks array<long>")
+    got = {(x.query_id, x.doc_id): x for x in fusion.attach_decision(r, fusion.rerank_gate(r)).collect()}
+    assert got[1, "a"].decision == "high_confidence_skip" and not got[1, "b"].should_rerank and round(got[1, "a"].score_gap, 6) == 0.7 and got[2, "c"].decision == "single_candidate"
+    assert {x.query_id: x.similar for x in fusion.similarity_scores(r.withColumn("score", F.when(F.col("query_id") == 1, F.col("score")))).collect()} == {1: True, 2: False}
