@@ -40,8 +40,8 @@ from folioscan.llm.common import SPACE, as_arrow, buffers, chain, cut, mix, piec
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 20, 30
-#: Estimates that are found at once.
-BLOCK = 8192
+#: Estimates that are found at once, and groups whose names are broadcast (some 10 MB); more are joined by their names.
+BLOCK, FEW = 8192, 100_000
 #: Documents from which a group's estimate is its own alone, ten for each statistic.
 MIN_ROWS = 50
 #: Share of a group that gives its estimate, and concentration steps.
@@ -203,8 +203,8 @@ class Groups:
     def number(self, stats: DataFrame) -> DataFrame:
         """`stats` with g, the number of its language and source (0 where no document of them passed), and that of its language."""
         known = stats.sparkSession.createDataFrame([(*p, g, self.langs[p[0]]) for p, g in self.pairs.items()], "l1 string, s1 string, g int, g1 int")
-        # a row for each group, whose number the caller's estimates bound
-        joined = stats.join(F.broadcast(known), F.col("lang").eqNullSafe(F.col("l1")) & F.col("source").eqNullSafe(F.col("s1")), "left").drop("l1", "s1")
+        known = F.broadcast(known) if len(self.pairs) <= FEW else known
+        joined = stats.join(known, F.col("lang").eqNullSafe(F.col("l1")) & F.col("source").eqNullSafe(F.col("s1")), "left").drop("l1", "s1")
         return joined.withColumns({"g": F.coalesce("g", F.lit(0)), "g1": F.coalesce("g1", F.lit(0))})
 
 

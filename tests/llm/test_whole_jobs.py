@@ -62,6 +62,8 @@ def test_rules_of_a_source_do_not_depend_on_other_sources(spark, monkeypatch):
     assert {i: among[i] for i in alone} == alone
     monkeypatch.setattr(outliers, "BLOCK", 2)  # estimates found a few at once are the same
     assert verdicts(spark, many) == among
+    monkeypatch.setattr(outliers, "FEW", 1)  # and groups joined by their names
+    assert verdicts(spark, many) == among
 
 
 def test_rows_without_an_id_are_dealt_to_many_batches(spark):
