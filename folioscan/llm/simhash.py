@@ -246,94 +246,172 @@ def _of_ids(docs: DataFrame, columns: tuple[str, ...], rows: DataFrame) -> DataF
 
 # ---------------------------------------------------------------- five words at a similarity of 0.8
 
-#: Widths of the shingles behind the fingerprint that is indexed and the one that verifies; 64-bit words of either.
-PAIR, FIVE, WORDS = 2, 5, 4
-#: Postings of a text, each keyed by three positional bytes.
-KEYS = 64
+#: Width of the shingles behind the wide fingerprint, and its 64-bit words.
+FIVE, WORDS = 5, 4
 #: Differing bits at which texts are still linked.  At a Jaccard similarity of 0.8 the shingles' vectors are 0.151 of a
 #: half turn apart, so 38.7 of 256 bits differ, give or take 5.7; at 0.7 it is 49 and at 0.6 59.
 ALIKE = 45
+#: Positional bytes (of 8 * WORDS) that linked texts share at least; two of any three lie in one half of the positions.
+#: All pairs at 29 or fewer differing bits share three, and of random ones at 38 bits 2 in 10,000 don't, at 45 bits 5 in 1,000.
+LEAST = 3
 
 
 def wide_fingerprints_of(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """(2 * WORDS, rows): the words of the fingerprint over word pairs, then of that over five words."""
+    """(WORDS, rows): the words of each row's fingerprint over five words."""
     data = _LOWER[data]
     starts, ends, first = word_spans(data, offs)
     word = span_hashes(data, starts, ends)
     words = np.diff(first)
-    out = []
-    for width in (PAIR, FIVE):
-        n = _shingles(words, width)
-        edges = np.concatenate([[0], np.cumsum(n)])
-        ones = np.zeros((WORDS, len(words), 64), np.int64)
-        for low in range(0, int(edges[-1]), TOGETHER):
-            high = min(low + TOGETHER, int(edges[-1]))
-            row = np.searchsorted(edges, np.arange(low, high), side="right") - 1
-            a = np.arange(low, high) - edges[row] + first[row]
-            h = np.full(high - low, width, np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(width):  # words beyond a short row's end count as none
-                    inside = k < words[row]
-                    h = mix(h * _STEP + np.where(inside, word[np.where(inside, a + k, 0)], np.uint64(0)))
-                some = slice(int(row[0]), int(row[-1]) + 1)
-                at = np.clip(edges[some.start : some.stop + 1], low, high) - low
-                for w in range(WORDS):
-                    ones[w, some] += bit_counts(mix(h + np.uint64(w) * _STEP), at)
-        out += [majority(ones[w], n) for w in range(WORDS)]
-    return np.stack(out)
-
-
-def chosen_positions(seed: int = 23) -> list[tuple[int, int, int]]:
-    """KEYS choices of three of the 8 * WORDS positions, each position about equally often."""
-    r, out = np.random.default_rng(seed), []
-    while len(out) < KEYS:
-        p = r.permutation(8 * WORDS)
-        out += [tuple(sorted(p[i : i + 3].tolist())) for i in range(0, 8 * WORDS - 2, 3)]
-    return out[:KEYS]
-
-
-def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= ALIKE
+    n = _shingles(words, FIVE)
+    edges = np.concatenate([[0], np.cumsum(n)])
+    ones = np.zeros((WORDS, len(words), 64), np.int64)
+    for low in range(0, int(edges[-1]), TOGETHER):
+        high = min(low + TOGETHER, int(edges[-1]))
+        row = np.searchsorted(edges, np.arange(low, high), side="right") - 1
+        a = np.arange(low, high) - edges[row] + first[row]
+        h = np.full(high - low, FIVE, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(FIVE):  # words beyond a short row's end count as none
+                inside = k < words[row]
+                h = mix(h * _STEP + np.where(inside, word[np.where(inside, a + k, 0)], np.uint64(0)))
+            some = slice(int(row[0]), int(row[-1]) + 1)
+            at = np.clip(edges[some.start : some.stop + 1], low, high) - low
+            for w in range(WORDS):
+                ones[w, some] += bit_counts(mix(h + np.uint64(w) * _STEP), at)
+    return np.stack([majority(ones[w], n) for w in range(WORDS)])
+
+
+def chosen_positions() -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """Pairs of positions that key a posting, those within a half, and the third positions that split each one's lists.
+
+    Every three positions are a pair and one of its thirds.
+    """
+    half = 4 * WORDS
+    pairs = [(h + i, h + j) for h in (0, half) for i, j in combinations(range(half), 2)]
+    return pairs, [[k for k in range(2 * half) if k // half != i // half or k > j] for i, j in pairs]
 
 
-def alike_links(key: np.ndarray, node: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within whole posting lists, given one after another; v is (entries, WORDS)."""
-    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(edge, len(key)))
+PAIRS, THIRDS = chosen_positions()
+#: (third positions, pairs): the n-th third position of each pair, -1 where it has fewer.
+_THIRD = np.array([t + [-1] * (max(map(len, THIRDS)) - len(t)) for t in THIRDS]).T
+_HIGH = np.uint64(0x8080808080808080)
+
+
+def _alike(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows a and b of v: tally of shared positional bytes against LEAST, then the differing bits."""
+    a, b = np.broadcast_arrays(a, b)
+    x = v[a] ^ v[b]
+    differ = np.bitwise_count((((x & ~_HIGH) + ~_HIGH) | x) & _HIGH).sum(axis=-1, dtype=np.int64)  # bytes that aren't equal
+    ok = differ <= 8 * WORDS - LEAST
+    ok[ok] = np.bitwise_count(x[ok]).sum(axis=-1, dtype=np.int64) <= ALIKE
+    return ok
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and its length."""
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return edge, np.diff(np.append(edge, len(key)))
+
+
+def _short_links(key: np.ndarray, row: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linked rows of v in lists of at most SHORT entries, given one after another: all pairs."""
     us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    short = np.flatnonzero(np.repeat((size > 1) & (size <= SHORT), size))
     for d in range(1, SHORT):
-        same = short[: len(short) - d]
-        same = same[(key[np.minimum(same + d, len(key) - 1)] == key[same]) & (same + d < len(key))]
-        hit = same[_alike(v[same], v[same + d])]
-        us.append(node[hit])
-        vs.append(node[hit + d])
-    for i in np.flatnonzero(size > SHORT):
-        a, b = edge[i], edge[i] + size[i]
-        rest, own, names = np.arange(b - a), v[a:b], node[a:b]
-        while len(rest) > 1:  # a search takes what it reaches out of the list
-            todo, rest = rest[:1], rest[1:]
-            while len(todo) and len(rest):
-                block, todo = todo[: max(1, (1 << 18) // len(rest))], todo[max(1, (1 << 18) // len(rest)) :]
-                near = _alike(own[block][:, None], own[rest][None])
-                hit = near.any(axis=0)
-                if hit.any():
-                    new = rest[hit]
-                    us.append(names[new])
-                    vs.append(names[block[near[:, hit].argmax(axis=0)]])
-                    rest, todo = rest[~hit], np.concatenate([todo, new])
+        same = np.flatnonzero(key[d:] == key[:-d])
+        if not len(same):
+            break
+        hit = same[_alike(v, row[same], row[same + d])]
+        us.append(row[hit])
+        vs.append(row[hit + d])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _wide_forest(rest: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of one list's rows: a search takes what it reaches out of the list."""
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(rest) > 1:
+        todo, rest = rest[:1], rest[1:]
+        while len(todo) and len(rest):
+            block = todo[: max(1, (1 << 16) // len(rest))]
+            todo = todo[len(block) :]
+            near = np.concatenate([_alike(v, block[:, None], rest[None, i : i + (1 << 16)]) for i in range(0, len(rest), 1 << 16)], axis=1)
+            hit = near.any(axis=0)
+            if hit.any():
+                us.append(rest[hit])
+                vs.append(block[near[:, hit].argmax(axis=0)])
+                todo, rest = np.concatenate([todo, rest[hit]]), rest[~hit]
     return np.concatenate(us), np.concatenate(vs)
 
 
+def alike_links(key: np.ndarray, node: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links within whole posting lists, given one after another; v is (entries, WORDS).
+
+    Lists beyond SHORT are split by each of their third bytes in turn, so that few unlike texts meet.
+    """
+    edge, size = _runs(key)
+    size = np.repeat(size, size)
+    row = np.flatnonzero((size > 1) & (size <= SHORT))
+    found = [_short_links(key[row], row, v)]
+    long = np.flatnonzero(size > SHORT)
+    data = v.view(np.uint8).reshape(len(v), -1)
+    for third in _THIRD if len(long) else ():
+        at = third[key[long] >> 16]
+        row = long[at >= 0]
+        if not len(row):
+            break
+        sub = key[row] << 8 | data[row, at[at >= 0]]
+        order = np.argsort(sub, kind="stable")
+        sub, row = sub[order], row[order]
+        edge, size = _runs(sub)
+        few = np.repeat((size > 1) & (size <= SHORT), size)
+        found.append(_short_links(sub[few], row[few], v))
+        found += [_wide_forest(row[edge[i] : edge[i] + size[i]], v) for i in np.flatnonzero(size > SHORT)]
+    links = np.unique(np.stack([node[np.concatenate(x)] for x in zip(*found, strict=True)]), axis=1)
+    return links[0], links[1]
+
+
+def wide_postings(node: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, node, v) of each entry's postings, one for each of PAIRS."""
+    raw, (i, j) = v.view(np.uint8).reshape(len(v), -1).astype(np.int64), np.array(PAIRS).T
+    key = np.arange(len(PAIRS)) << 16 | raw[:, i] << 8 | raw[:, j]
+    return key.ravel(), np.repeat(node, len(PAIRS)), np.repeat(v, len(PAIRS), axis=0)
+
+
+def alike(entries: DataFrame) -> DataFrame:
+    """(u, v) links between the nodes of entries (node, v0 ... of WORDS); enough to connect all that are alike.
+
+    Two are alike if they share LEAST positional bytes or more and differ in at most ALIKE bits; no list or pair is dropped.
+    """
+    names = [f"v{w}" for w in range(WORDS)]
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, v = batch.column(0).to_numpy(), np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
+            for i in range(0, len(node), 40):
+                key, nodes, words = wide_postings(node[i : i + 40], v[i : i + 40])
+                yield as_arrow(key=pa.array(key), node=pa.array(nodes), **{n: pa.array(words[:, w]) for w, n in enumerate(names)})
+        release()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_lists(batches):
+            u, v = alike_links(part[0], part[1], np.ascontiguousarray(part[2:].T).view(np.uint64))
+            yield as_arrow(u=pa.array(u), v=pa.array(v))
+        release()
+
+    longs = ", ".join(f"{k} long" for k in ("key", "node", *names))
+    # the table grows by the number of PAIRS, so each task sorts a third of what it would by default
+    listed = entries.select("node", *names).mapInArrow(post, longs).repartition(3 * partitions(entries.sparkSession), "key")
+    return listed.sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, __h, component_id) of every row: texts whose five-word shingles are alike to 0.8 or more are linked.
 
-    A text has two fingerprints of 256 bits.  That over word pairs moves little with a few edits, and is the index: postings
-    are keyed by KEYS choices of three of its 32 positional bytes, which two texts at 0.8 share about five of.  That over
-    five words verifies.  Equal fingerprints are one entry; a list gives the links of a spanning forest.
+    As near_duplicates, with fingerprints of 256 bits over five words: an inverted index of their positional bytes, the
+    tally of shared ones against LEAST, then the differing bits against ALIKE.  Postings are keyed by PAIRS, so every pair
+    of texts that shares LEAST bytes meets.  Equal fingerprints are one entry; a list gives the links of a spanning forest.
     """
-    spark = docs.sparkSession
-    names = [f"{k}{w}" for k in "fv" for w in range(WORDS)]
+    names = [f"v{w}" for w in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,17 +425,7 @@ def similar(docs: DataFrame) -> DataFrame:
     each = cut(rows.mapInArrow(run, "doc_id long, __h long, " + ", ".join(f"{k} long" for k in names)))
     beyond = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(*names), 2)
     entries = cut(each.groupBy(*names).agg(F.min("doc_id").alias("least")).select(*names, F.coalesce("least", beyond).alias("node")))
-    byte = lambda i: F.shiftrightunsigned(f"f{i // 8}", 8 * (i % 8)).bitwiseAND(F.lit(255))
-    keys = [((F.lit(k).cast("long") * 256 + byte(a)) * 256 + byte(b)) * 256 + byte(c) for k, (a, b, c) in enumerate(chosen_positions())]
-    verify = [f"v{w}" for w in range(WORDS)]
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_lists(batches):
-            u, v = alike_links(part[0], part[1], np.ascontiguousarray(part[2:].T).view(np.uint64))
-            yield as_arrow(u=pa.array(u), v=pa.array(v))
-
-    listed = entries.select(F.explode(F.array(*keys)).alias("key"), "node", *verify).repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
-    groups = components(listed.mapInArrow(link, "u long, v long"))
+    groups = components(alike(entries))
     labels = entries.join(groups, "node", "left").select(*names, F.coalesce("component", "node").alias("component"))
     joined = each.join(labels, names)
     return joined.select("doc_id", "__h", F.when(F.col("component") < 1 << 62, F.col("component")).alias("component_id"))

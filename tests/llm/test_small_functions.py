@@ -142,6 +142,37 @@ def test_index_loses_no_link(bits):
     assert roots(len(fp), found) == want
 
 
+@pytest.mark.parametrize("short", [2, 16])
+def test_wide_index_loses_no_link(short, monkeypatch):
+    """Chains of entries that share exactly three positional bytes, entries that share two, and close copies."""
+    monkeypatch.setattr(simhash, "SHORT", short)
+    r = np.random.default_rng(4)
+
+    def moved(x, bytes_, bits):
+        """Each of so many bytes changed, by so many bits in all."""
+        at = r.permutation(32)[:bytes_]
+        flips = [1 << r.integers(0, 8) for _ in at]
+        for i in r.permutation(bytes_)[: bits - bytes_]:
+            flips[i] |= (flips[i] << 1 & 255) or 1
+        y = x.copy()
+        y[at] ^= np.array(flips, np.uint8)
+        return y
+
+    rows = [r.integers(0, 256, 32).astype(np.uint8) for _ in range(12)]
+    for x in rows[:]:
+        for _ in range(4):
+            rows += [moved(x, 29, 40), moved(x, 30, 40), moved(x, 29, 46), *(moved(x, 1, 1) for _ in range(10))]
+        rows += [moved(rows[-1], 29, 45), moved(rows[-1], 29, 29)]
+    v = np.unique(np.stack(rows), axis=0).view(np.uint64)
+    x = v[:, None] ^ v[None]
+    near = ((x.view(np.uint8) == 0).sum(axis=-1) >= 3) & (np.bitwise_count(x).sum(axis=-1) <= 45)
+    want = roots(len(v), np.argwhere(near).tolist())
+    keys, nodes, words = simhash.wide_postings(np.arange(len(v)), v)
+    order = np.lexsort((nodes, keys))
+    a, b = simhash.alike_links(keys[order], nodes[order], words[order])
+    assert near[a, b].all() and roots(len(v), zip(a.tolist(), b.tolist())) == want and 12 < len(set(want)) < len(v) / 2
+
+
 def test_forest_of_a_list_is_connected():
     fp = np.array([0, 1, 3, 7, 0xFF00, 0xFF01, 1 << 60], np.uint64)
     u, v = simhash.forest(fp, np.array([5, 4, 3, 2, 1, 0, 9]), 1)
