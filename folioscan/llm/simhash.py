@@ -282,7 +282,7 @@ def wide_fingerprints_of(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def chosen_positions() -> tuple[list[tuple[int, int]], list[list[int]]]:
-    """Pairs of positions that key a posting, those within a half, and the third positions that split each one's lists.
+    """Pairs of positions within a half that split the lists, and the third positions that split each pair's again.
 
     Every three positions are a pair and one of its thirds.
     """
@@ -292,6 +292,11 @@ def chosen_positions() -> tuple[list[tuple[int, int]], list[list[int]]]:
 
 
 PAIRS, THIRDS = chosen_positions()
+#: Positions that key a posting, the first ones of PAIRS: a list by one byte holds those of all its pairs.
+FIRSTS = sorted({i for i, _ in PAIRS})
+_SECOND = np.array([j for _, j in PAIRS])
+#: (pairs, positions): the n-th pair that begins at each position, -1 where there are fewer.
+_PAIR = np.array([[([k for k, p in enumerate(PAIRS) if p[0] == i] + [-1] * 4 * WORDS)[n] for i in range(8 * WORDS)] for n in range(4 * WORDS - 1)])
 #: (third positions, pairs): the n-th third position of each pair, -1 where it has fewer.
 _THIRD = np.array([t + [-1] * (max(map(len, THIRDS)) - len(t)) for t in THIRDS]).T
 _HIGH = np.uint64(0x8080808080808080)
@@ -326,6 +331,35 @@ def _short_links(key: np.ndarray, row: np.ndarray, v: np.ndarray) -> tuple[np.nd
     return np.concatenate(us), np.concatenate(vs)
 
 
+def join_trees(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Joins the trees of rows a and b; which of these links did it: a spanning forest, if every row was its own root.
+
+    root holds the least row of each row's tree, before and after.
+    """
+    used, live = [np.zeros(0, np.int64)], np.arange(len(a))
+    while True:
+        x, y = root[a[live]], root[b[live]]
+        apart = x != y
+        live, high, low = live[apart], np.maximum(x, y)[apart], np.minimum(x, y)[apart]
+        if not len(live):
+            return np.concatenate(used)
+        order = np.lexsort((low, high))  # each higher root hangs on the least that it meets
+        first = order[_runs(high[order])[0]]
+        used.append(live[first])
+        root[high[first]] = low[first]
+        while (root != (up := root[root])).any():
+            root[:] = up
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node that it reaches) for the links (u, v); the least ones themselves are left out."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = np.arange(len(names))
+    join_trees(root, at[: len(u)], at[len(u) :])
+    below = np.flatnonzero(root != np.arange(len(names)))
+    return names[below], names[root[below]]
+
+
 def _wide_forest(rest: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest of one list's rows: a search takes what it reaches out of the list."""
     us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -343,63 +377,82 @@ def _wide_forest(rest: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(us), np.concatenate(vs)
 
 
-def alike_links(key: np.ndarray, node: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within whole posting lists, given one after another; v is (entries, WORDS).
+def _found(key: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked rows of v in whole posting lists, given one after another: enough to connect all that are alike.
 
-    Lists beyond SHORT are split by each of their third bytes in turn, so that few unlike texts meet.
+    Each list is split by the second byte of each of its pairs, and what stays beyond SHORT by each third byte in turn,
+    so that few unlike texts meet.
     """
-    edge, size = _runs(key)
-    size = np.repeat(size, size)
-    row = np.flatnonzero((size > 1) & (size <= SHORT))
-    found = [_short_links(key[row], row, v)]
-    long = np.flatnonzero(size > SHORT)
     data = v.view(np.uint8).reshape(len(v), -1)
-    for third in _THIRD if len(long) else ():
-        at = third[key[long] >> 16]
-        row = long[at >= 0]
+    for pair in _PAIR:
+        at = pair[key >> 8]
+        row = np.flatnonzero(at >= 0)
         if not len(row):
             break
-        sub = key[row] << 8 | data[row, at[at >= 0]]
+        at = at[row]
+        sub = at << 16 | (key[row] & 255) << 8 | data[row, _SECOND[at]]
         order = np.argsort(sub, kind="stable")
         sub, row = sub[order], row[order]
         edge, size = _runs(sub)
-        few = np.repeat((size > 1) & (size <= SHORT), size)
-        found.append(_short_links(sub[few], row[few], v))
-        found += [_wide_forest(row[edge[i] : edge[i] + size[i]], v) for i in np.flatnonzero(size > SHORT)]
-    links = np.unique(np.stack([node[np.concatenate(x)] for x in zip(*found, strict=True)]), axis=1)
-    return links[0], links[1]
+        size = np.repeat(size, size)
+        few, long = (size > 1) & (size <= SHORT), size > SHORT
+        yield _short_links(sub[few], row[few], v)
+        sub, row = sub[long], row[long]
+        for third in _THIRD if len(row) else ():
+            at = third[sub >> 16]
+            some = at >= 0
+            if not some.any():
+                break
+            deep, own = sub[some] << 8 | data[row[some], at[some]], row[some]
+            order = np.argsort(deep, kind="stable")
+            deep, own = deep[order], own[order]
+            edge, size = _runs(deep)
+            few = np.repeat((size > 1) & (size <= SHORT), size)
+            yield _short_links(deep[few], own[few], v)
+            for i in np.flatnonzero(size > SHORT):
+                yield _wide_forest(own[edge[i] : edge[i] + size[i]], v)
+
+
+def alike_links(key: np.ndarray, node: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within whole posting lists, given one after another; v is (entries, WORDS)."""
+    root, us, vs = np.arange(len(key)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in _found(key, v):
+        new = join_trees(root, a, b)
+        us.append(node[a[new]])
+        vs.append(node[b[new]])
+    return np.concatenate(us), np.concatenate(vs)
 
 
 def wide_postings(node: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, node, v) of each entry's postings, one for each of PAIRS."""
-    raw, (i, j) = v.view(np.uint8).reshape(len(v), -1).astype(np.int64), np.array(PAIRS).T
-    key = np.arange(len(PAIRS)) << 16 | raw[:, i] << 8 | raw[:, j]
-    return key.ravel(), np.repeat(node, len(PAIRS)), np.repeat(v, len(PAIRS), axis=0)
+    """(key, node, v) of each entry's postings, one for each of FIRSTS."""
+    raw, at = v.view(np.uint8).reshape(len(v), -1).astype(np.int64), np.array(FIRSTS)
+    return (at << 8 | raw[:, at]).ravel(), np.repeat(node, len(at)), np.repeat(v, len(at), axis=0)
 
 
 def alike(entries: DataFrame) -> DataFrame:
     """(u, v) links between the nodes of entries (node, v0 ... of WORDS); enough to connect all that are alike.
 
     Two are alike if they share LEAST positional bytes or more and differ in at most ALIKE bits; no list or pair is dropped.
+    A part's links are drawn together to stars, so no node has more of them than FIRSTS, whatever the size of its group.
     """
     names = [f"v{w}" for w in range(WORDS)]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, v = batch.column(0).to_numpy(), np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
-            for i in range(0, len(node), 40):
-                key, nodes, words = wide_postings(node[i : i + 40], v[i : i + 40])
+            for i in range(0, len(node), 300):
+                key, nodes, words = wide_postings(node[i : i + 300], v[i : i + 300])
                 yield as_arrow(key=pa.array(key), node=pa.array(nodes), **{n: pa.array(words[:, w]) for w, n in enumerate(names)})
         release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_lists(batches):
-            u, v = alike_links(part[0], part[1], np.ascontiguousarray(part[2:].T).view(np.uint64))
+            u, v = stars(*alike_links(part[0], part[1], np.ascontiguousarray(part[2:].T).view(np.uint64)))
             yield as_arrow(u=pa.array(u), v=pa.array(v))
         release()
 
     longs = ", ".join(f"{k} long" for k in ("key", "node", *names))
-    # the table grows by the number of PAIRS, so each task sorts a third of what it would by default
+    # the table grows by the number of FIRSTS, so each task sorts a third of what it would by default
     listed = entries.select("node", *names).mapInArrow(post, longs).repartition(3 * partitions(entries.sparkSession), "key")
     return listed.sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
 
@@ -408,8 +461,8 @@ def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, __h, component_id) of every row: texts whose five-word shingles are alike to 0.8 or more are linked.
 
     As near_duplicates, with fingerprints of 256 bits over five words: an inverted index of their positional bytes, the
-    tally of shared ones against LEAST, then the differing bits against ALIKE.  Postings are keyed by PAIRS, so every pair
-    of texts that shares LEAST bytes meets.  Equal fingerprints are one entry; a list gives the links of a spanning forest.
+    tally of shared ones against LEAST, then the differing bits against ALIKE.  Postings are keyed by FIRSTS and lists split
+    by PAIRS, so every pair of texts that shares LEAST bytes meets.  Equal fingerprints are one entry; a list gives the links of a spanning forest.
     """
     names = [f"v{w}" for w in range(WORDS)]
 

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from folioscan.llm import exchange, lm, outliers, queries, simhash, substring
+from folioscan.llm import components, exchange, lm, outliers, queries, simhash, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -88,3 +88,25 @@ def test_every_pair_that_shares_three_positional_bytes_is_linked(spark):
     linked = ((x.view(np.uint8) == 0).sum(axis=1) >= 3) & (np.bitwise_count(x).sum(axis=1) <= 45)
     got = {c.doc_id: c.component_id for c in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert linked.sum() > 50 and [got[2 * i + 1] == 2 * i for i in range(80)] == linked.tolist()
+
+
+def test_links_of_near_copies_grow_with_their_number(spark):
+    """Each list has a forest of its own: over all lists a group's links must not come near its pairs."""
+    r = np.random.default_rng(11)
+    base, n = r.integers(0, 256, 32).astype(np.uint8), 600
+    rows = np.repeat(base[None], n, axis=0)
+    for x in rows:
+        x[r.permutation(32)[:14]] ^= (1 << r.integers(0, 8, 14)).astype(np.uint8)  # 14 bits of its own
+    lines = [(i, *x.tolist()) for i, x in enumerate(np.ascontiguousarray(rows).view(np.int64))]
+    entries = spark.createDataFrame(lines, "node long, v0 long, v1 long, v2 long, v3 long")
+    links = simhash.alike(entries).distinct()
+    assert links.count() <= 30 * n and {c.component for c in components.components(links).collect()} == {0} and components.components(links).count() == n
+
+
+def test_an_entry_is_posted_once_for_each_first_position():
+    """Each posting carries the whole fingerprint of 32 bytes: 240 of them, one for each pair, were several times the input."""
+    v = np.random.default_rng(12).integers(0, 1 << 63, (5, 4)).astype(np.uint64)
+    key, node, words = simhash.wide_postings(np.arange(5), v)
+    assert len(key) == len(node) == len(words) <= 32 * 5 and len(set(zip(key.tolist(), node.tolist()))) == len(key)
+    data = words.view(np.uint8)
+    assert (data[np.arange(len(key)), key >> 8] == (key & 255)).all()
