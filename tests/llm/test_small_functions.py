@@ -80,6 +80,48 @@ def test_word_encoder_is_exact():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(r, add_special_tokens=False).ids
 
 
+def test_plain_chunks_are_merged_together_and_not_one_by_one(monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    library, asked = Tokenizer.from_file(path), []
+
+    class Library:
+        model = property(lambda self: self)
+
+        def tokenize(self, word):
+            asked.append(word)
+            return library.model.tokenize(word)
+
+        def encode(self, chunk, **how):
+            asked.append(chunk)
+            return library.encode(chunk, **how)
+
+        @staticmethod
+        def from_file(_):
+            return Library()
+
+    monkeypatch.setattr(packing, "Tokenizer", Library)
+    r = np.random.default_rng(8)
+    letters = np.array(list("aaabcdeeeilmnoorsttuvxyzABZ0123456789'''.,-!(#~|ÀÖØéßöøÿ"))
+    words = ["".join(r.choice(letters, n)) for n in r.integers(1, packing.LONG + 1, 3000)]
+    words += ["it's", "don't've", "we'll", "'sure", "''s", "5's", "x'", "'", "'l", "'r", "y'rex", "!'t", "a" * 64, "é" * 64, "'s" * 32, "9" * 64]
+    rows = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.Encoder(path).encode_rows(rows)]
+    assert not asked
+    assert got == [library.encode(x, add_special_tokens=False).ids for x in rows]
+
+
+def test_packing_memo_moves_over(monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    rows = [x or "" for x in odd_texts(400)] + ["alpha beta gamma " + "z" * 70 + " eta", "", "alpha " + "z" * 70, " \x1c alpha\x1fbeta \x1d", "beta eta"]
+    for name, n in (("MEMO", 5), ("MERGED", 2), ("COPIED", 3)):
+        monkeypatch.setattr(packing, name, n)
+    e = packing.Encoder(path)
+    got = [np.frombuffer(x, "<u4").tolist() for i in range(0, len(rows), 3) for x in e.encode_rows(rows[i : i + 3])]
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in rows]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
 def test_histogram_packing(histogram):
