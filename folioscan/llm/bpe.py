@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
 
 from folioscan.llm.common import as_arrow, buffers, pieces
 
@@ -35,19 +38,23 @@ WINDOW = 4096
 class Pretokenizer:
     """Splits text as the pattern of the rank files does, from runs of character classes.
 
-    Classes come from the `regex` library itself, so that its Unicode tables decide what a letter is.
+    Classes come from the library whose results are wanted (`regex`, or `tokenizers` for its JSON files), so that its own
+    Unicode tables decide what a letter is.
     """
 
     LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
     TAILS = ("s", "t", "re", "ve", "m", "ll", "d")
 
-    def __init__(self):
+    def __init__(self, library: str = "regex"):
         self.classes = np.zeros(0x110000, np.uint8)
         every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
         for kind, pattern in ((self.LETTER, r"\p{L}+"), (self.NUMBER, r"\p{N}+"), (self.SPACE, r"\s+")):
-            for m in regex.finditer(pattern, every):
-                a, b = ord(m[0][0]), ord(m[0][-1])
-                self.classes[a : b + 1] = kind
+            if library == "regex":
+                runs = [m.span() for m in regex.finditer(pattern, every)]
+            else:
+                runs = [at for _, at in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every)]
+            for a, b in runs:
+                self.classes[ord(every[a]) : ord(every[b - 1]) + 1] = kind
         self.classes[0xD800:0xE000] = self.OTHER
 
     def cuts(self, text: str, ends: np.ndarray) -> np.ndarray:
@@ -86,19 +93,35 @@ class Pretokenizer:
         return np.flatnonzero(begin)
 
 
+def ranks_of(path: str) -> dict[bytes, int]:
+    """Ranks by token, from lines (base64 token, blank, rank) or a JSON file of a byte-level model whose ids follow its merges."""
+    if not path.endswith(".json"):
+        with open(path, "rb") as f:
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    # printable Latin-1 characters stand for their own bytes, those from U+0100 on for the other bytes in ascending order
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in set(plain)]
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if made != sorted(made):
+        raise ValueError("ids in the order of the merges are needed")
+    return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte for c in token)}
+
+
 class Codec:
-    """Encoder and decoder for a file of ranks (base64 token, blank, rank)."""
+    """Encoder and decoder for a file of ranks (see ranks_of)."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.ranks = ranks_of(path)
         self.tokens: dict[int, bytes] = {b: a for a, b in self.ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
         self.longest = max(map(len, self.ranks))
-        self.pretokenizer = Pretokenizer()
+        self.pretokenizer = Pretokenizer("tokenizers" if path.endswith(".json") else "regex")
         self.pairs: dict[int, bool] = {}
         self.edges: dict[int, tuple[list, list]] = {}
         self.memo = _Memo(self)
