@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import alignment, bpe, forest, licences, lm, outliers, packing, piece, quality, simhash, substring, warc
+from folioscan.llm import alignment, bpe, forest, licences, lm, outliers, packing, piece, quality, simhash, substring, variants, warc
 from folioscan.llm.common import documents
 from folioscan.llm.licence_texts import SPELLINGS, TEXTS
 
@@ -55,13 +55,17 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.link_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(documents(spark, sf_dir))
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_substring, op3_warc, op4_outliers, op5_forest, op6_licences, op7_bpe, op8_packing, op9_backoff, op10_simhash, op11_alignment, op13_pieces)
+    for f in (op1_quality, op2_substring, op3_warc, op4_outliers, op5_forest, op6_licences, op7_bpe, op8_packing, op9_backoff, op10_simhash, op11_alignment, op12_variants, op13_pieces)
 }
 
 
