@@ -6,14 +6,13 @@ filter it first where they should follow a filter.
 
 Nothing that grows with the corpus's (document, term) pairs is shuffled.  Document frequencies are counted from each
 document's distinct terms, combined in each task; occurrences are counted only for the terms that questions ask.  `Index`
-keeps both as tables for batches to come.
+keeps both as plain tables; an index that follows upserts and deletes is in `segments`.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,38 +80,18 @@ def bm25(corpus: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: st
     return scored(asked_frequencies(corpus, asked, doc_id, text).join(weights, "term"))
 
 
-_KEPT: dict[tuple[str, str], Index] = {}
-
-
 @dataclass
 class Index:
-    """A corpus's postings (term, doc_id, tf, dl) and vocabulary, to be kept by `Snapshots` and asked by many batches."""
+    """A corpus's postings (term, doc_id, tf, dl) and vocabulary as plain tables; `segments` has the index that follows changes."""
 
     postings: DataFrame
     terms: DataFrame
 
     @staticmethod
-    def of(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", dealt: bool = True) -> Index:
-        """`dealt`: postings sorted by term, so that readers of the stored table skip what a batch doesn't ask."""
+    def of(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
+        """Postings sorted by term, so that readers of the stored table skip what a batch doesn't ask."""
         postings = term_frequencies(corpus, doc_id, text)
-        return Index(postings.repartition("term").sortWithinPartitions("term") if dealt else postings, vocabulary(corpus, text))
-
-    @staticmethod
-    def kept(corpus: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> Index:
-        """The index of a corpus that the session goes on asking, built once for each `key`, in memory and on disk."""
-        own = (corpus.sparkSession.sparkContext.applicationId, key)
-        if own not in _KEPT:
-            made = Index.of(corpus, doc_id, text, dealt=False)
-            _KEPT[own] = Index(made.postings.persist(StorageLevel.MEMORY_AND_DISK), made.terms.persist(StorageLevel.MEMORY_AND_DISK))
-        return _KEPT[own]
-
-    @staticmethod
-    def forget() -> None:
-        """Give the kept indexes' memory back."""
-        for index in _KEPT.values():
-            index.postings.unpersist()
-            index.terms.unpersist()
-        _KEPT.clear()
+        return Index(postings.repartition("term").sortWithinPartitions("term"), vocabulary(corpus, text))
 
     def tables(self) -> dict[str, DataFrame]:
         return {"postings": self.postings, "terms": self.terms}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -12,3 +15,14 @@ def settled(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None and (named := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
         context.setCheckpointDir(named)
     return df.checkpoint(eager=True) if context.getCheckpointDir() else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the checkpoints, which the driver and all executors share; in local mode a temporary one where none is named."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()

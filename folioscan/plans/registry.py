@@ -6,13 +6,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
-from folioscan.operators import assets, dense, evaluate, folds, fusion, incremental, lexical
+from folioscan.operators import assets, dense, evaluate, folds, fusion, incremental, lexical, segments
+from folioscan.operators.settle import shared_folder
 from folioscan.plans import analysis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,8 +78,25 @@ dq AS ({DENSE_Q}),
            FROM embeddings CROSS JOIN dq WHERE {where} QUALIFY rank <= {k})"""
 
 
+def version_of(df: DataFrame) -> str:
+    """A name for the files that a table is read from as they are now: their paths, sizes and times."""
+    spark = df.sparkSession
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    found = [(f, s.getLen(), s.getModificationTime()) for f in sorted(df.inputFiles()) for s in (path(f).getFileSystem(conf).getFileStatus(path(f)),)]
+    return hashlib.sha1(repr(found).encode()).hexdigest()[:16]
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> segments.Segments:
+    """The BM25 index of `documents`, built once for its files as they are in the session's shared folder, then read from there."""
+    corpus = docs(spark, sf_dir)
+    index = segments.Segments(spark, f"{shared_folder(spark)}/bm25-{version_of(corpus)}")
+    if index.store.manifest() is None:
+        index.upsert(corpus)
+    return index
+
+
 def ranked(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    return lexical.retrieve_indexed(lexical.Index.kept(docs(spark, sf_dir), sf_dir), questions(spark, sf_dir), k)
+    return stored_index(spark, sf_dir).retrieve(questions(spark, sf_dir), k)
 
 
 def dense_ranked(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
@@ -93,6 +113,29 @@ def bm25_topk(spark, sf_dir):
     return ranked(spark, sf_dir)
 
 
+@query(f"""WITH {bm25_sql().replace('ranked AS', 'unused AS')} SELECT n AS n_docs, (SELECT CAST(sum(len(terms)) AS BIGINT) FROM d) AS length, (SELECT count(*) FROM raw) AS n_terms,
+ (SELECT count(*) FROM tfs) AS n_postings, round((SELECT avg(r) FROM raw), 9) AS mean_idf FROM st""")
+def bm25_index(spark, sf_dir):
+    """What the stored index says of itself; built here unless it is there."""
+    index = stored_index(spark, sf_dir)
+    m, tables = index.store.manifest(), index.store.load()
+    postings = next(df for name, df in tables.items() if name.startswith("postings"))
+    terms = next(df for name, df in tables.items() if name.startswith("terms"))
+    found = postings.agg(F.sum(F.size("docs")).alias("n_postings")).crossJoin(terms.agg(F.count("*").alias("n_terms")))  # one row each
+    return found.select(F.lit(m["n_docs"]).cast("long").alias("n_docs"), F.lit(m["length"]).cast("long").alias("length"), "n_terms", "n_postings", F.round(F.lit(m["mean_idf"]), 9).alias("mean_idf"))
+
+
+@query(f"WITH c AS (SELECT * FROM documents WHERE coalesce(source, '') <> 'src1'), {bm25_sql('c')} {OUT}")
+def bm25_after_upsert(spark, sf_dir):
+    """An index of all documents, French ones by their sources' names at first; then these get their texts, and one source goes."""
+    d = docs(spark, sf_dir)
+    index = segments.Segments(spark, f"{shared_folder(spark)}/changed-{uuid.uuid4().hex}")
+    index.upsert(d.withColumn("text", F.when(F.col("lang") == "fr", F.col("source")).otherwise(F.col("text"))))
+    index.upsert(d.where("lang = 'fr'"))
+    index.delete(d.where("source = 'src1'"))
+    return index.retrieve(questions(spark, sf_dir), K)
+
+
 @query(f"WITH c AS (SELECT * FROM documents WHERE lang = 'fr'), {bm25_sql('c')} {OUT}")
 def bm25_filtered_corpus(spark, sf_dir):
     """Statistics follow the filter."""

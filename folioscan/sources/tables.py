@@ -6,6 +6,7 @@ import json
 import re
 import sqlite3
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -114,7 +115,9 @@ class Snapshots:
 
     A commit writes every table first, then a manifest with the next number, which appears by one rename.  A reader sees
     either the old set or the new one; a writer that dies leaves only an unnamed folder behind; of two writers that
-    commit at once, one fails.  `prune` deletes what is no longer current.
+    commit at once, one fails, and so does one that read an older set than the current one if it names it as its `base`.
+    Tables that don't change can be kept: the manifest names the folder that they were written to.  `prune` deletes what
+    is no longer current.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -124,31 +127,52 @@ class Snapshots:
     def _numbers(self) -> list[int]:
         return sorted(int(m[1]) for x in self.files.names() if (m := re.fullmatch(r"manifest-(\d{9})\.json", x)))
 
-    def manifest(self) -> dict | None:
+    def current(self) -> tuple[int, dict | None]:
+        """The number of the current manifest and what it says; 0 and None where there is none."""
         for n in reversed(self._numbers()):
             if (found := self.files.read(f"manifest-{n:09d}.json")) is not None:
-                return found
-        return None
+                return n, found
+        return 0, None
+
+    def manifest(self) -> dict | None:
+        return self.current()[1]
 
-    def stage(self, tables: dict[str, DataFrame], name: str | None = None) -> dict:
-        """Write the tables without naming them current; what `publish` takes."""
+    def stage(self, tables: dict[str, DataFrame], name: str | None = None, by: dict[str, str] | None = None) -> dict:
+        """Write the tables without naming them current; what `publish` takes.  `by` has columns to lay tables out by."""
         name = name or uuid.uuid4().hex
         for k, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.folder}/{name}/{k}")
+            writer = df.write.mode("overwrite")
+            (writer.partitionBy(by[k]) if by and k in by else writer).parquet(f"{self.folder}/{name}/{k}")
         return {"snapshot": name, "tables": {k: self.spark.read.parquet(f"{self.folder}/{name}/{k}").count() for k in tables}}
 
-    def publish(self, staged: dict, **facts) -> str:
-        """Make a staged set current; again for the same set does nothing."""
-        if (self.manifest() or {}).get("snapshot") != staged["snapshot"]:
-            self.files.write(f"manifest-{max(self._numbers(), default=0) + 1:09d}.json", {**staged, **facts})
+    def publish(self, staged: dict, keep: Iterable[str] = (), base: int | None = None, **facts) -> str:
+        """Make a staged set current, together with the tables of the current set named in `keep`; again for the same set
+        does nothing.  With `base` the current set must still have that number."""
+        number, now = self.current()
+        if now is not None and now.get("snapshot") == staged["snapshot"]:
+            return staged["snapshot"]
+        if base is not None and base != number:
+            raise FileExistsError(f"set {number} is current, not {base}")
+        keep = [k for k in keep if k not in staged["tables"]]
+        at = {k: now.get("at", {}).get(k, now["snapshot"]) for k in keep} if keep else {}
+        counts = {**staged["tables"], **{k: now["tables"][k] for k in keep}}
+        latest = max(self._numbers(), default=0)
+        self.files.write(f"manifest-{latest + 1:09d}.json", {**staged, "tables": counts, **({"at": at} if at else {}), **facts})
         return staged["snapshot"]
 
-    def commit(self, tables: dict[str, DataFrame], **facts) -> str:
-        return self.publish(self.stage(tables), **facts)
+    def commit(self, tables: dict[str, DataFrame], keep: Iterable[str] = (), base: int | None = None, by: dict[str, str] | None = None, **facts) -> str:
+        return self.publish(self.stage(tables, by=by), keep, base, **facts)
+
+    def _path(self, manifest: dict, table: str) -> str:
+        return f"{self.folder}/{manifest.get('at', {}).get(table, manifest['snapshot'])}/{table}"
+
+    def load_of(self, manifest: dict, tables: Iterable[str]) -> dict[str, DataFrame]:
+        """Some tables of the set that a manifest names."""
+        return {k: self.spark.read.parquet(self._path(manifest, k)) for k in tables}
 
     def load(self) -> dict[str, DataFrame]:
         m = self.manifest()
-        return {k: self.spark.read.parquet(f"{self.folder}/{m['snapshot']}/{k}") for k in m["tables"]} if m else {}
+        return self.load_of(m, m["tables"]) if m else {}
 
     def staged(self, names: dict) -> dict[str, DataFrame]:
         return {k: self.spark.read.parquet(f"{self.folder}/{names['snapshot']}/{k}") for k in names["tables"]}
@@ -160,20 +184,28 @@ class Snapshots:
             return ["manifest_missing"]
         out = []
         for k, n in m["tables"].items():
-            if k not in Files(self.spark, f"{self.folder}/{m['snapshot']}").names():
+            at = self._path(m, k)
+            if k not in Files(self.spark, at.rpartition("/")[0]).names():
                 out.append(f"missing_local_file:{k}")
-            elif self.spark.read.parquet(f"{self.folder}/{m['snapshot']}/{k}").count() != n:
+            elif self.spark.read.parquet(at).count() != n:
                 out.append(f"count_mismatch:{k}")
         return out
 
     def prune(self) -> None:
-        """Delete manifests and sets that are not current; readers of older sets must be done."""
-        current = (self.manifest() or {}).get("snapshot")
+        """Delete manifests and tables that are not current; readers of older sets must be done."""
+        m = self.manifest() or {"tables": {}, "snapshot": None}
+        used = {self._path(m, k)[len(self.folder) + 1 :] for k in m["tables"]}
         for n in self._numbers()[:-1]:
             self.files.delete(f"manifest-{n:09d}.json")
         for x in self.files.names():
-            if re.fullmatch(r"[0-9a-f]{32}", x) and x != current:
+            if not re.fullmatch(r"[0-9a-f]{32}", x):
+                continue
+            if not any(u.startswith(f"{x}/") for u in used):
                 self.files.delete(x)
+                continue
+            for k in Files(self.spark, f"{self.folder}/{x}").names():
+                if f"{x}/{k}" not in used:
+                    self.files.delete(f"{x}/{k}")
 
 
 def write_sqlite(path: str, papers: DataFrame, citations: DataFrame, sections: DataFrame) -> None:
