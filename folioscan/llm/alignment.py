@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import posixpath
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
@@ -55,29 +56,35 @@ class Pair:
         self.ids = len(ids)
 
     def encode(self, rows: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Both sides' ids of each row; none where a side doesn't spell the row."""
-        lead = [" " + r if r else "" for r in rows]
-        one, two = self.a.encode_rows(lead), self.b.encode_rows(rows)
-        for i, r in enumerate(lead):
-            raw = r.encode("utf-8", "surrogatepass")
-            if self.b.spelled(two[i]) != raw or self.a.decode(one[i]) != raw:
-                one[i] = two[i] = b""
-        return one, two
+        """Both sides' ids of each row; none where a side doesn't spell the row, which is where it holds B's sign for a blank."""
+        fit = [r if piece.BLANK not in r else "" for r in rows]
+        return self.a.encode_rows([" " + r if r else "" for r in fit]), self._pieces(fit)
+
+    def _pieces(self, rows: list[str]) -> list[bytes]:
+        """B's ids by the library, whose memory is a hundred times a text's; those of long texts by the table of prefixes."""
+        short = [r if len(r) <= SPAN // 8 else "" for r in rows]
+        found = self.b.model.encode(short, num_threads=1)
+        return [array("I", x).tobytes() if len(r) <= SPAN // 8 else self.b.encode_rows([r])[0] for r, x in zip(rows, found, strict=True)]
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(keys of the links, bytes where each link ends, bytes where each group ends, marked ids in the order of groups)."""
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        ends = np.union1d(end_a, end_b)
-        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        keys = b[at_b] << 32 | a[at_a]
-        groups = ends[(end_a[at_a] == ends) & (end_b[at_b] == ends)]
-        place = np.concatenate([2 * np.searchsorted(groups, end_a), 2 * np.searchsorted(groups, end_b) + 1])
-        order = np.argsort(place, kind="stable")
-        place = place[order]
-        mark = np.full(len(place), 2)  # ; after a group
-        same = place[1:] == place[:-1]
-        mark[:-1] = np.where(same, 0, np.where(place[:-1] % 2 == 0, 1, 2))
-        return keys, ends, groups, mark * self.ids + np.concatenate([a, b])[order]
+        if end_a[-1] != end_b[-1]:
+            raise ValueError("the tokens of both sides spell different bytes")
+        cut_a, cut_b = np.zeros(end_a[-1] + 1, bool), np.zeros(end_a[-1] + 1, bool)
+        cut_a[end_a] = cut_b[end_b] = True
+        both = cut_a & cut_b
+        until_a, until_b, until_both = np.cumsum(cut_a), np.cumsum(cut_b), np.cumsum(both)  # ends at or before each byte
+        ends, groups = np.flatnonzero(cut_a | cut_b), np.flatnonzero(both)
+        keys = b[until_b[ends] - cut_b[ends]] << 32 | a[until_a[ends] - cut_a[ends]]
+        group_a, group_b = until_both[end_a] - both[end_a], until_both[end_b] - both[end_b]
+        place_a = np.arange(len(a)) + np.append(0, until_b[groups])[group_a]
+        place_b = np.arange(len(b)) + until_a[groups][group_b]
+        marked = np.empty(len(a) + len(b), np.int64)
+        # , within a side of a group, | after its first side, ; after the group
+        marked[place_a] = a + np.where(np.append(group_a[1:] == group_a[:-1], False), 0, self.ids)
+        marked[place_b] = b + np.where(np.append(group_b[1:] == group_b[:-1], False), 0, 2 * self.ids)
+        return keys, ends, groups, marked
 
     def spans(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Both sides' ids of a row in parts of about SPAN bytes that end with a group."""
@@ -145,12 +152,12 @@ def align(docs: DataFrame, a: str, b: str, text: str = "text", keep: tuple[str,
         at_link, at_group = np.searchsorted(ends, size, side="right"), np.searchsorted(found, size, side="right")
         at_link[0] = at_group[0] = 0
         row = np.repeat(np.arange(len(size) - 1), np.diff(at_link))
-        order = np.lexsort((key, row))
-        key, row = key[order], row[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))[: len(key)]
-        at = np.flatnonzero(new)
-        times, key = np.diff(np.append(at, len(key))), key[at]
-        split = np.searchsorted(row[at], np.arange(len(size)))
+        # rows and both ids as one number, which sorts by row and then by key
+        one_key = np.sort((row * len(p.size_b) + (key >> 32)) * len(p.size_a) + (key & LOW))
+        at = np.flatnonzero(np.append(True, one_key[1:] != one_key[:-1]))
+        times, (row, key) = np.diff(np.append(at, len(one_key))), np.divmod(one_key[at], len(p.size_a) * len(p.size_b))
+        key = key // len(p.size_a) << 32 | key % len(p.size_a)
+        split = np.searchsorted(row, np.arange(len(size)))
         out, marked = [], marked.tolist()
         for i in range(len(size) - 1):
             s = "".join(map(p.written.__getitem__, marked[first_a[i] + first_b[i] : last[i]]))

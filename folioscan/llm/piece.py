@@ -39,7 +39,7 @@ class Pieces:
     """Encoder and decoder for a model file of merges with byte fallback, no normalisation but of blanks, no user-defined pieces."""
 
     def __init__(self, path: str):
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
         every = range(model.get_piece_size())
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) for i in every]
         self.text = [model.id_to_piece(i) for i in every]
@@ -134,6 +134,8 @@ class Pieces:
         last = array("i", [-1]) * (len(word) + 1)  # by length of prefix; -1: it ends with a character without a piece
         known = self.pairs.get
         for end, (token, length) in self.automaton.iter(word):
+            if last[end + 1] >= 0:
+                continue
             before = last[end + 1 - length]
             ok = before < 0 or known(before << 32 | token)
             if ok is None:
