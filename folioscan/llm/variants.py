@@ -8,8 +8,9 @@ share all but two of either's.  Three steps use that:
   under its first SHARED common bigrams, so once.
 - Index.  The words of a group are indexed one after the other, short ones first, by bigram, length and place.  A word asks
   for those of its own length with the bigram in the same place, and for those shorter by one with it there or one place
-  before.  A word for which more than two bigrams have no list has no near word; otherwise the shortest lists are merged by
-  a heap, and what occurs in enough of them is looked up in the others until the bound is passed or missed.
+  before.  Bigrams that a choice passes over before its last one are left out, as the other word of a pair that counts there
+  lacks them.  A word for which more than two bigrams in all have no list has no near word; otherwise the shortest lists are
+  merged by a heap, and what occurs in enough of them is looked up in the others until the bound is passed or missed.
 - Verification of the pairs above the bound, character by character.
 
 A group beyond HOT words is held by several tasks; each indexes it whole and asks for a part of its words.
@@ -113,21 +114,45 @@ def _key(chosen: tuple[int, ...]) -> int:
     return key
 
 
+def passed_over(word: str, first: list[int], chosen: tuple[int, ...], place: dict[int, int]) -> int:
+    """Up to two places (from 1, a byte each) of bigrams that stand once in a word and that a choice passes over.
+
+    A pair counts under its first SHARED common bigrams, so one that a word has before the last of these and that was not
+    chosen is not in the other word.
+    """
+    out = 0
+    for g in first[: first.index(chosen[-1])]:
+        if g not in chosen and 0 < place.get(g, 0) < 256:
+            out = out << 8 | place[g]
+    return out
+
+
+def single_places(word: str, first: list[int], ranked: dict[str, tuple[int, int]]) -> dict[int, int]:
+    """Places (from 1) of those first bigrams of a word that stand in it once."""
+    count = Counter(word[i : i + 2] for i in range(len(word) - 1))
+    wanted = set(first)
+    return {g: i + 1 for i in range(len(word) - 1) if count[word[i : i + 2]] == 1 and (g := ranked[word[i : i + 2]][0] << 32) in wanted}
+
+
 def routed(words: DataFrame, ranked: dict[str, tuple[int, int]]) -> DataFrame:
-    """(key, word, n, most) for each choice of bigrams; `most` bounds the key's group."""
+    """(key, word, n, over, most) for each choice of bigrams; `over` are places passed over, `most` bounds the key's group."""
     count = dict(ranked.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [first_bigrams(w, ranked) for w in batch.column(0).to_pylist()]
-            chosen = [list(combinations(f, SHARED)) for f in found]
-            sizes = [len(c) for c in chosen]
-            at = pa.array(np.repeat(np.arange(len(found)), sizes))
-            key = np.array([_key(c) for cs in chosen for c in cs], np.int64)
-            most = np.array([count[c[0] >> 32] for cs in chosen for c in cs], np.int64)  # the rarest comes first
-            yield as_arrow(key=key, word=batch.column(0).take(at), n=batch.column(1).take(at), most=most)
+            key, over, most, sizes = [], [], [], []
+            for word in batch.column(0).to_pylist():
+                first = first_bigrams(word, ranked)
+                place = single_places(word, first, ranked)
+                chosen = list(combinations(first, SHARED))
+                sizes.append(len(chosen))
+                key += map(_key, chosen)
+                over += [passed_over(word, first, c, place) for c in chosen]
+                most += [count[c[0] >> 32] for c in chosen]  # the rarest comes first
+            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield as_arrow(key=np.array(key, np.int64), word=batch.column(0).take(at), n=batch.column(1).take(at), over=np.array(over, np.int32), most=np.array(most, np.int64))
 
-    return words.mapInArrow(run, "key long, word string, n long, most long")
+    return words.mapInArrow(run, "key long, word string, n long, over int, most long")
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -144,54 +169,61 @@ def merged(lists: list, bound: int) -> list[int]:
     """
     if bound > len(lists):
         return []
-    size = lambda x: len(x) if type(x) is list else len(x[0]) + len(x[1])
-    lists = sorted(lists, key=size)
+    lists = sorted(lists, key=lambda x: len(x) if type(x) is list else len(x[0]) + len(x[1]))
     n = min(len(lists), len(lists) - bound + 2)
     flat = [y for x in lists[:n] for y in ((x,) if type(x) is list else x)]
     need = bound - (len(lists) - n)
     out = []
-    for j, run in groupby(heapq.merge(*flat)):
-        count = sum(1 for _ in run)
-        if count < need:
+    last, count = -1, 0
+    for j in heapq.merge(*flat, (1 << 62,)):
+        if j == last:
+            count += 1
             continue
-        for x in lists[n:]:
+        if count >= need:
+            for x in lists[n:]:
+                if count >= bound:
+                    break
+                for y in (x,) if type(x) is list else x:
+                    k = bisect_left(y, last)
+                    if k < len(y) and y[k] == last:
+                        count += 1
+                        break
             if count >= bound:
-                break
-            count += any(k < len(y) and y[k] == j for y in ((x,) if type(x) is list else x) for k in (bisect_left(y, j),))
-        if count >= bound:
-            out.append(j)
+                out.append(last)
+        last, count = j, 1
     return out
 
 
 def near_in_group(words: list[str], keys: list[list[int]], step: int, asks: list[bool] | None = None) -> Iterator[tuple[int, int]]:
     """(later, earlier) of each near pair among words of ascending length.
 
-    `keys` are their bigrams' postings (bigram, length, place) as numbers: one less is one place before, `step` less is one
-    shorter.  With `asks` only the words marked ask.
+    `keys` are their bigrams' postings (bigram, length, place) as numbers, without those that a near word can't have: one
+    less is one place before, `step` less is one shorter.  With `asks` only the words marked ask.
     """
     index: dict[int, list[int]] = {}
     get = index.get
     lengths: set[int] = set()
     for i, (word, own) in enumerate(zip(words, keys, strict=True)):
+        n = len(word)
+        bound = n - 3
         if asks is None or asks[i]:
-            n = len(own)
-            if n + 1 in lengths:
+            if n in lengths:
                 lists = [x for k in own if (x := get(k)) is not None]
-                if len(lists) >= n - 2:
-                    for j in merged(lists, n - 2):
+                if len(lists) >= bound:
+                    for j in merged(lists, bound):
                         if one_edit(words[j], word):
                             yield i, j
-            if n in lengths:
+            if n - 1 in lengths:
                 lists = []
                 for k in own:
                     x, y = get(k - step), get(k - step - 1)
                     if x is not None or y is not None:
                         lists.append(y if x is None else x if y is None else (x, y))
-                if len(lists) >= n - 2:
-                    for j in merged(lists, n - 2):
+                if len(lists) >= bound:
+                    for j in merged(lists, bound):
                         if one_edit(words[j], word):
                             yield i, j
-        lengths.add(len(own) + 1)
+        lengths.add(n)
         for k in own:
             x = get(k)
             if x is None:
@@ -200,19 +232,22 @@ def near_in_group(words: list[str], keys: list[list[int]], step: int, asks: list
                 x.append(i)
 
 
-def postings(words: list[str]) -> tuple[list[list[int]], int]:
-    """The numbers (bigram, length, place) of each word's bigrams, and what a length counts in them."""
+def postings(words: list[str], over: np.ndarray | None = None) -> tuple[list[list[int]], int]:
+    """The numbers (bigram, length, place) of each word's bigrams but those at the places in `over`, and what a length counts in them."""
     sizes = np.array([len(w) for w in words], np.int64)
     code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
     first = np.cumsum(sizes) - sizes
     inside = np.ones(len(code), bool)
     inside[first + sizes - 1] = False
+    if over is not None:
+        for place in (over & 255, over >> 8):
+            inside[(first + place - 1)[place > 0]] = False
     at = np.flatnonzero(inside)
     _, bigram = np.unique(code[at] << 21 | code[at + 1], return_inverse=True)
-    row = np.repeat(np.arange(len(words)), sizes - 1)
+    row = np.repeat(np.arange(len(words)), sizes)[at]
     step = int(sizes.max()) + 2
     key = ((bigram * step + sizes[row]) * step + at - first[row] + 1).tolist()
-    edge = np.concatenate([[0], np.cumsum(sizes - 1)]).tolist()
+    edge = np.searchsorted(row, np.arange(len(words) + 1)).tolist()
     return [key[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)], step
 
 
@@ -223,8 +258,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     seldom, often = rows.filter(F.col("most") <= HOT), rows.filter(F.col("most") > HOT)
     hot = often.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > HOT)
     pieces = F.coalesce(F.ceil(F.col("rows") / HOT), F.lit(1)).cast("int")
-    split = often.join(hot, "key", "left").select("key", "word", "n", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), pieces.alias("pieces"))
-    whole = seldom.select("key", "word", "n", F.lit(0).alias("piece"), F.lit(1).alias("pieces"))
+    split = often.join(hot, "key", "left").select("key", "word", "n", "over", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), pieces.alias("pieces"))
+    whole = seldom.select("key", "word", "n", "over", F.lit(0).alias("piece"), F.lit(1).alias("pieces"))
     total = sum(n for _, n in ranked.values())  # bigrams of all words
     n = max(partitions(words.sparkSession), -(-total // BUCKET))
     dealt = whole.unionByName(split).withColumn("bucket", F.pmod(F.xxhash64("key", "piece"), F.lit(n)).cast("int"))
@@ -242,7 +277,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
             b = max(a + 1, int(np.searchsorted(end, begin[a] + TOGETHER, side="right")))
             part = table.take(pa.array(order[begin[a] : end[b - 1]]))
             words, counts = part["word"].to_pylist(), part["n"].to_pylist()
-            keys, step = postings(words)
+            keys, step = postings(words, part["over"].to_numpy())
             for x, y in zip((begin[a:b] - begin[a]).tolist(), (end[a:b] - begin[a]).tolist(), strict=True):
                 k, p, ps = int(key[begin[a] + x]), int(piece[begin[a] + x]), int(pieces[order[begin[a] + x]])
                 asks = [zlib.crc32(w.encode()) % ps == p for w in words[x:y]] if ps > 1 else None
