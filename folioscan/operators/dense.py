@@ -30,18 +30,37 @@ def unit(e: Column) -> Column:
     return let(length, lambda n: F.transform(e, lambda x: x.cast("double") / n))
 
 
+def _cosines(x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of the unit vectors q, cosine) of all that reach the k-th best of x, ties included."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cos = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))) @ q.T
+    best = np.argsort(-cos, axis=0, kind="stable")
+    floor = cos[best[min(k, len(x)) - 1], np.arange(len(q))] - 1e-6
+    r, c = np.nonzero(~(cos < floor))
+    return r, c, cos[r, c]
+
+
+def _rows(column: pa.Array | pa.ChunkedArray, dim: int, at: np.ndarray) -> np.ndarray:
+    part = column.take(pa.array(at))
+    part = part.combine_chunks() if isinstance(part, pa.ChunkedArray) else part
+    return part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+
+
 def retrieve(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", embedding: str = "embedding", most: int = 1 << 20) -> DataFrame:
     """(query_id, doc_id, score, rank) by cosine, rounded to six digits; filter `vectors` first for an allow-list.
 
     Every vector meets every question of the batch, in Arrow batches: the questions' unit vectors are one matrix that is
-    sent to the executors.  A batch with more than `most` components is refused; ask it in parts.
+    sent to the executors if it has no more than `most` components, which is counted first.  Larger batches are dealt to
+    blocks of that size, and each block of vectors meets each of them in a task of its own.
     """
-    asked = queries.select("query_id", unit(F.col("embedding")).alias("q")).limit(most + 1).collect()
-    if sum(len(r["q"] or ()) for r in asked) > most:
-        raise ValueError(f"a batch of questions may hold {most} components")
     types = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[id_col]
+    batch_type = to_arrow_type(queries.schema["query_id"].dataType)
+    some = vectors.where(F.col(embedding).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(embedding).alias("e"))
+    size = queries.agg(F.sum(F.greatest(F.size("embedding"), F.lit(0)).cast("long")).alias("n")).first()["n"] or 0
+    if size > most:
+        return top_ranked(_in_blocks(some, queries, k, -(-size // most), types, most), k)
     by_dim: dict[int, tuple[list, np.ndarray]] = {}
-    for r in asked:
+    for r in queries.select("query_id", unit(F.col("embedding")).alias("q")).collect():
         if r["q"]:
             by_dim.setdefault(len(r["q"]), ([], []))  # type: ignore[arg-type]
             by_dim[len(r["q"])][0].append(r["query_id"])
@@ -56,21 +75,39 @@ def retrieve(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
                 rows = np.flatnonzero(size == dim)
                 if not len(rows):
                     continue
-                part = values.take(pa.array(rows))
-                x = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    cos = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))) @ q.T
-                best = np.argsort(-cos, axis=0, kind="stable")
-                # all that reach the k-th best of this batch, ties included
-                floor = cos[best[min(k, len(rows)) - 1], np.arange(len(ids))] - 1e-6
-                r, c = np.nonzero(~(cos < floor))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in c.tolist()], batch_type), names.take(pa.array(rows[r])), pa.array(cos[r, c])], names=["query_id", "doc_id", "score"])
+                r, c, cos = _cosines(_rows(values, dim, rows), q, k)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in c.tolist()], batch_type), names.take(pa.array(rows[r])), pa.array(cos)], names=["query_id", "doc_id", "score"])
 
-    batch_type = to_arrow_type(queries.schema["query_id"].dataType)
-    pairs = vectors.where(F.col(embedding).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(embedding).alias("e")).mapInArrow(score, f"query_id {types[0]}, doc_id {types[1]}, score double")
+    pairs = some.mapInArrow(score, f"query_id {types[0]}, doc_id {types[1]}, score double")
     return top_ranked(pairs.select("query_id", "doc_id", F.round("score", 6).alias("score")), k)
 
 
+def _in_blocks(vectors: DataFrame, queries: DataFrame, k: int, blocks: int, types: tuple[str, str], most: int) -> DataFrame:
+    """(query_id, doc_id, score) of what may be among the k best, from a task for each block of vectors and of questions."""
+    held = vectors.agg(F.sum(F.size("e").cast("long")).alias("n")).first()["n"] or 0
+    parts = max(1, -(-held // (4 * most)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.withColumn("v", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).withColumn("q", every(blocks))
+    right = queries.where(F.size("embedding") > 0).select("query_id", unit(F.col("embedding")).alias("u"), F.pmod(F.xxhash64(F.lit(3), "query_id"), F.lit(blocks)).alias("q")).withColumn("v", every(parts))
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        none = pa.table({"query_id": y["query_id"].slice(0, 0), "doc_id": x["doc_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        found = [none]
+        if x.num_rows and y.num_rows:
+            size_x, size_y = (t.combine_chunks().value_lengths().to_numpy() for t in (x["e"], y["u"]))
+            for dim in np.intersect1d(size_x, size_y).tolist():
+                rows, asked = np.flatnonzero(size_x == dim), np.flatnonzero(size_y == dim)
+                values = _rows(x["e"], dim, rows)
+                for a in range(0, len(asked), 128):
+                    some = asked[a : a + 128]
+                    r, c, cos = _cosines(values, _rows(y["u"], dim, some), k)
+                    found.append(pa.table({"query_id": y["query_id"].take(pa.array(some[c])), "doc_id": x["doc_id"].take(pa.array(rows[r])), "score": pa.array(cos)}))
+        return pa.concat_tables(found)
+
+    pairs = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInArrow(meet, f"query_id {types[0]}, doc_id {types[1]}, score double")
+    return pairs.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
 def hash_embedding(docs: DataFrame, id_col: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, bucket, weight): hashed bag of words, counts divided by their Euclidean norm, one row for each entry.
 

@@ -96,11 +96,11 @@ class Segments:
     def _write(self, base: int, now: dict, rows: DataFrame | None, dead: DataFrame | None) -> None:
         n = max([*now["segments"], now.get("last", 0)]) + 1
         name, buckets = f"{n:06d}", now["buckets"]
-        staged: dict = {"tables": {}}
+        staged: dict = {"tables": {}, "schemas": {}}
 
         def stage(table: str, df: DataFrame, by: str | None = None) -> DataFrame:
             done = self.store.stage({f"{table}-{name}": df}, staged.get("snapshot"), {f"{table}-{name}": by} if by else None)
-            staged.update(snapshot=done["snapshot"], tables={**staged["tables"], **done["tables"]})
+            staged.update(snapshot=done["snapshot"], **{x: {**staged[x], **done[x]} for x in ("tables", "schemas")})
             return self.store.staged(done)[f"{table}-{name}"]
 
         facts = {"n_docs": now["n_docs"], "length": now["length"]}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
-from folioscan.operators import assets, dense, evaluate, folds, fusion, incremental, lexical, segments
+from folioscan.operators import assets, cells, dense, evaluate, folds, fusion, incremental, lexical, segments
 from folioscan.operators.settle import shared_folder
 from folioscan.plans import analysis
 
@@ -99,10 +99,22 @@ def ranked(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return stored_index(spark, sf_dir).retrieve(questions(spark, sf_dir), k)
 
 
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return questions(spark, sf_dir).join(v, "query_id").select("query_id", "embedding")
+
+
 def dense_ranked(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
-    asked = questions(spark, sf_dir).join(v.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id").select("query_id", "embedding")
-    return dense.retrieve(v, asked, k)
+    return dense.retrieve(table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir), k)
+
+
+def stored_cells(spark: SparkSession, sf_dir: str) -> cells.Cells:
+    """The dense index of `embeddings`, built once for its files as they are."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = cells.Cells(spark, f"{shared_folder(spark)}/cells-{version_of(vectors)}")
+    if index.store.manifest() is None:
+        index.upsert(vectors)
+    return index
 
 
 OUT = "SELECT query_id, doc_id, score, rank FROM ranked WHERE score > 0"
@@ -160,9 +172,31 @@ def dense_topk(spark, sf_dir):
 
 @query(f"WITH {dense_sql('label < 5')} SELECT * FROM dense")
 def dense_filtered_topk(spark, sf_dir):
+    return dense.retrieve(table(spark, sf_dir, "embeddings").where("label < 5"), asked_vectors(spark, sf_dir), K)
+
+
+@query(f"WITH {dense_sql('label <> 7')} SELECT * FROM dense")
+def dense_after_upsert(spark, sf_dir):
+    """A stored index in which some vectors had other signs at first and some are deleted; questions visit all cells."""
     v = table(spark, sf_dir, "embeddings")
-    asked = questions(spark, sf_dir).join(v.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id").select("query_id", "embedding")
-    return dense.retrieve(v.where("label < 5"), asked, K)
+    index = cells.Cells(spark, f"{shared_folder(spark)}/changed-{uuid.uuid4().hex}")
+    index.upsert(v.withColumn("embedding", F.when(F.col("label") < 3, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))))
+    index.upsert(v.where("label < 3"))
+    index.delete(v.where("label = 7").select(F.col("vec_id").alias("doc_id")))
+    return index.retrieve(asked_vectors(spark, sf_dir), K, visit=cells.MOST_CELLS)
+
+
+@query("SELECT count(*) AS n_questions, true AS enough FROM benchmark JOIN embeddings ON vec_id = item_id")
+def dense_index_recall(spark, sf_dir):
+    """Whether the cells that the stored index visits hold nine tenths of the true neighbours."""
+    found, true = stored_cells(spark, sf_dir).retrieve(asked_vectors(spark, sf_dir), K), dense_ranked(spark, sf_dir)
+    both = true.join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("n_questions"), (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query()
+def dense_index_topk(spark, sf_dir):
+    return stored_cells(spark, sf_dir).retrieve(asked_vectors(spark, sf_dir), K)
 
 
 def _fused(a: str, b: str) -> str:

@@ -143,7 +143,12 @@ class Snapshots:
         for k, df in tables.items():
             writer = df.write.mode("overwrite")
             (writer.partitionBy(by[k]) if by and k in by else writer).parquet(f"{self.folder}/{name}/{k}")
-        return {"snapshot": name, "tables": {k: self.spark.read.parquet(f"{self.folder}/{name}/{k}").count() for k in tables}}
+        schemas = {k: df.schema.jsonValue() for k, df in tables.items()}
+        return {"snapshot": name, "tables": {k: self._read(f"{self.folder}/{name}/{k}", schemas[k]).count() for k in tables}, "schemas": schemas}
+
+    def _read(self, path: str, schema: dict | None) -> DataFrame:
+        """A table by the schema that its manifest gives; one laid out by a column has no file to tell it where it is empty."""
+        return (self.spark.read.schema(X.StructType.fromJson(schema)) if schema else self.spark.read).parquet(path)
 
     def publish(self, staged: dict, keep: Iterable[str] = (), base: int | None = None, **facts) -> str:
         """Make a staged set current, together with the tables of the current set named in `keep`; again for the same set
@@ -156,8 +161,9 @@ class Snapshots:
         keep = [k for k in keep if k not in staged["tables"]]
         at = {k: now.get("at", {}).get(k, now["snapshot"]) for k in keep} if keep else {}
         counts = {**staged["tables"], **{k: now["tables"][k] for k in keep}}
+        schemas = {**staged.get("schemas", {}), **{k: now["schemas"][k] for k in keep if k in now.get("schemas", {})}}
         latest = max(self._numbers(), default=0)
-        self.files.write(f"manifest-{latest + 1:09d}.json", {**staged, "tables": counts, **({"at": at} if at else {}), **facts})
+        self.files.write(f"manifest-{latest + 1:09d}.json", {**staged, "tables": counts, "schemas": schemas, **({"at": at} if at else {}), **facts})
         return staged["snapshot"]
 
     def commit(self, tables: dict[str, DataFrame], keep: Iterable[str] = (), base: int | None = None, by: dict[str, str] | None = None, **facts) -> str:
@@ -168,14 +174,14 @@ class Snapshots:
 
     def load_of(self, manifest: dict, tables: Iterable[str]) -> dict[str, DataFrame]:
         """Some tables of the set that a manifest names."""
-        return {k: self.spark.read.parquet(self._path(manifest, k)) for k in tables}
+        return {k: self._read(self._path(manifest, k), manifest.get("schemas", {}).get(k)) for k in tables}
 
     def load(self) -> dict[str, DataFrame]:
         m = self.manifest()
         return self.load_of(m, m["tables"]) if m else {}
 
     def staged(self, names: dict) -> dict[str, DataFrame]:
-        return {k: self.spark.read.parquet(f"{self.folder}/{names['snapshot']}/{k}") for k in names["tables"]}
+        return {k: self._read(f"{self.folder}/{names['snapshot']}/{k}", names.get("schemas", {}).get(k)) for k in names["tables"]}
 
     def validate(self) -> list[str]:
         """Reasons why the current set is not what its manifest says."""
@@ -187,7 +193,7 @@ class Snapshots:
             at = self._path(m, k)
             if k not in Files(self.spark, at.rpartition("/")[0]).names():
                 out.append(f"missing_local_file:{k}")
-            elif self.spark.read.parquet(at).count() != n:
+            elif self.load_of(m, [k])[k].count() != n:
                 out.append(f"count_mismatch:{k}")
         return out
 
