@@ -140,3 +140,8 @@ SCOPE_HINTS = {
     "survey": "以下上下文是论文级摘要与代表性证据的混合结果，请总结当前知识库覆盖范围内的研究脉络。",
     "metadata": "以下上下文优先包含论文级元数据与摘要，请优先回答题目、作者、年份、venue、关键词等结构化信息。",
 }
+
+# Fixed values of comparisons: words that say a question compares, where the things compared end, nouns that aren't part of a name.
+COMPARES = ("比较", "对比", "区别", "差异", "异同", "共通", "共同点", "相同", "不同", "compare", "comparison", "difference", "different", "common", "similar", "vs")
+CUTS = ("有什么", "是什么", "区别", "差异", "异同", "比较", "对比", "共通", "共同点", "difference", "differences", "common", "similar", "compare")
+NOUNS = r"(?i)(的论文|模型|方法|架构|创新点|创新|共同点|共通点|区别|差异|异同|比较|对比|common points?|differences?|compare|comparison)$"

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
 from folioscan.functions import vocabulary as V
+from folioscan.operators.matching import containing
+from folioscan.operators.settle import settled
 
 
 @dataclass(frozen=True)
@@ -206,43 +208,37 @@ def allowed_documents(parsed: DataFrame, papers: DataFrame) -> DataFrame:
     """(query_id, doc_id) of the papers that fit each question's constraints.  A question without a row is open: it has no
     constraint, or none that anything fits.
 
-    Fields must all fit, one of a field's terms is enough; texts are compared as substrings, years as members.  Only
-    questions with a constraint meet the papers; whether their table is broadcast is left to its size.
+    Fields must all fit, one of a field's terms is enough; texts are compared as substrings, years as members.  A paper's
+    fields are read once for the terms of all questions; what they hold is joined to the questions by field and term.
     """
     fields = list(V.FIELD_LABELS)
-    some = reduce(lambda a, b: a | b, [F.size(f"{f}_terms") > 0 for f in fields], F.size("years") > 0)
-    lowered = parsed.where(some).select("query_id", "years", *[F.transform(f"{f}_terms", T.norm).alias(f"{f}_terms") for f in fields])
     columns = {"source": "source", "title": "title", "author": "authors", "venue": "venue", "keyword": "keywords"}
-    text = lambda c: T.norm(F.col(c).cast("string")) if c in papers.columns else F.lit("")
-    year = F.col("year").cast("string") if "year" in papers.columns else F.lit("")
-    docs = papers.select("doc_id", year.alias("year"), *[text(c).alias(f) for f, c in columns.items()])
-    fits = reduce(lambda a, b: a & b, [T.contains_any(F.col(f), F.col(f"{f}_terms")) for f in fields], (F.size("years") == 0) | F.array_contains("years", F.col("year")))
-    return docs.join(lowered, fits).select("query_id", "doc_id")
 
+    def under(c: str, name: str) -> Column:
+        return F.transform(c, lambda x: F.struct(F.lit(name).alias("grp"), (T.norm(x) if name != "year" else x).alias("needle")))
 
-def matching_documents(parsed: DataFrame, papers: DataFrame) -> DataFrame:
-    """(query_id, doc_id) with all papers for open questions: every pair of those, so for small tables and reports only."""
-    pairs = allowed_documents(parsed, papers)
-    open_ = parsed.select("query_id").join(pairs.select("query_id").distinct(), "query_id", "left_anti")
-    return pairs.unionByName(papers.select("doc_id").crossJoin(open_).select("query_id", "doc_id"))
+    wanted = F.concat(under("years", "year"), *[under(f"{f}_terms", f) for f in fields])
+    needed = reduce(lambda a, b: a + b, [(F.size(c) > 0).cast("int") for c in ("years", *[f"{f}_terms" for f in fields])])
+    asked = settled(parsed.select("query_id", needed.alias("needed"), F.explode(wanted).alias("w")).select("query_id", "needed", "w.grp", "w.needle").where("needle <> ''").distinct())
+    text = lambda c: T.norm(F.col(c).cast("string")) if c in papers.columns else F.lit("")
+    year = F.col("year").cast("string") if "year" in papers.columns else F.lit("")
+    each = papers.select(F.col("doc_id").alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("grp"), text(c).alias("text")) for f, c in columns.items()])).alias("x")).select("id", "x.grp", "x.text")
+    held = containing(each, asked.where("grp <> 'year'")).unionByName(papers.select(F.col("doc_id").alias("id"), F.lit("year").alias("grp"), year.alias("needle")))
+    fits = held.join(asked, ["grp", "needle"]).groupBy("query_id", F.col("id").alias("doc_id")).agg(F.count_distinct("grp").alias("n"), F.max("needed").alias("needed"))
+    return fits.where("n = needed").select("query_id", "doc_id")
 
 
 # ---------------------------------------------------------------- comparison
 
-COMPARES = ("比较", "对比", "区别", "差异", "异同", "共通", "共同点", "相同", "不同", "compare", "comparison", "difference", "different", "common", "similar", "vs")
-CUTS = ("有什么", "是什么", "区别", "差异", "异同", "比较", "对比", "共通", "共同点", "difference", "differences", "common", "similar", "compare")
-NOUNS = r"(?i)(的论文|模型|方法|架构|创新点|创新|共同点|共通点|区别|差异|异同|比较|对比|common points?|differences?|compare|comparison)$"
-
-
 def comparison_entities(c: Column) -> Column:
     """Up to four things that a question compares; empty if it compares nothing."""
     low = F.lower(F.trim(c))
     terms = model_terms(c)
-    hint, joins, two = _has(low, COMPARES), low.rlike(r"(?i)(和|与|及|以及|跟|vs|/|、|&|\band\b)"), F.size(F.array_distinct(F.transform(terms, F.lower))) >= 2
-    ends = [F.when(F.instr(low, m) > 0, F.instr(low, m)) for m in CUTS]
+    hint, joins, two = _has(low, V.COMPARES), low.rlike(r"(?i)(和|与|及|以及|跟|vs|/|、|&|\band\b)"), F.size(F.array_distinct(F.transform(terms, F.lower))) >= 2
+    ends = [F.when(F.instr(low, m) > 0, F.instr(low, m)) for m in V.CUTS]
     head = F.substring(F.trim(c), F.lit(1), F.coalesce(F.least(*ends) - 1, F.length(F.trim(c))))
     parts = F.split(F.split(head, "的")[0], r"(?i)(?:和|与|及|以及|跟|vs\.?|/|、|&|\band\b)")
-    named = F.filter(F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(T.squeeze(x), "[\"'`]", ""), NOUNS, ""), r"^[ ,，。？?；;：:]+|[ ,，。？?；;：:]+$", "")), lambda x: x != "")
+    named = F.filter(F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(T.squeeze(x), "[\"'`]", ""), V.NOUNS, ""), r"^[ ,，。？?；;：:]+|[ ,，。？?；;：:]+$", "")), lambda x: x != "")
     chosen = F.when((F.size(named) < 2) & (F.size(terms) >= 2), terms).otherwise(named)
     compares = (hint & (joins | two)) | (joins & two)
     return F.when(compares, F.slice(T.distinct_terms(chosen), 1, 4)).otherwise(F.array().cast("array<string>"))

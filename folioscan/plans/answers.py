@@ -138,9 +138,3 @@ def generate(prompted: DataFrame, model: Callable[[list[str]], list[str]]) -> Da
         return pd.Series(model(p.tolist()), index=p.index)
 
     return prompted.select("query_id", call("prompt").alias("answer"))
-
-
-def missing_tables(present: dict[str, DataFrame], scope: str = "main") -> list[str]:
-    """Why a set of tables can't answer questions of a scope; each test reads one row."""
-    needed = ("reference_chunks",) if scope == "references" else ("chunks", "parents", "papers", "sections", "catalog")
-    return [f"missing:{t}" for t in needed if t not in present or present[t].isEmpty()]

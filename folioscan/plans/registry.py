@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
-from folioscan.operators import assets, cells, dense, evaluate, folds, fusion, incremental, lexical, segments
+from folioscan.operators import assets, cells, dense, evaluate, folds, fusion, incremental, lexical, matching, segments
 from folioscan.operators.settle import shared_folder
 from folioscan.plans import analysis
 
@@ -274,11 +274,10 @@ def metadata_filter(spark, sf_dir):
 f AS (SELECT query_id, bool_or(m) AS fits FROM p GROUP BY 1) SELECT query_id, count(*) AS allowed FROM p JOIN f USING (query_id) WHERE m OR NOT fits GROUP BY 1""")
 def fail_open_filter(spark, sf_dir):
     """A constraint that nothing fits is dropped."""
-    q = questions(spark, sf_dir).withColumnRenamed("text", "needle")
+    q = questions(spark, sf_dir)
     d = docs(spark, sf_dir)
-    hits = d.join(q, F.contains(F.col("text"), F.col("needle"))).groupBy("query_id").agg(F.count("*").alias("n"))
-    total = d.agg(F.count("*").alias("every"))
-    return q.join(hits, "query_id", "left").crossJoin(F.broadcast(total)).select("query_id", F.coalesce("n", "every").alias("allowed"))
+    hits = _containing(d, q).groupBy("query_id").agg(F.count("*").alias("n"))
+    return q.join(hits, "query_id", "left").select("query_id", F.coalesce("n", F.lit(d.count()).cast("long")).alias("allowed"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(x) AS term, unnest(range(len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9\-]{2,}') AS x FROM documents)),
@@ -432,9 +431,14 @@ def orphan_rows(spark, sf_dir):
     return incremental.orphans(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "c_custkey")
 
 
+def _containing(d: DataFrame, q: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of documents that hold a question's whole text."""
+    needles = q.select("query_id", F.lit("").alias("grp"), F.col("text").alias("needle"))
+    return matching.containing(d.select(F.col("doc_id").alias("id"), F.lit("").alias("grp"), "text"), needles).join(needles, ["grp", "needle"]).select("query_id", F.col("id").alias("doc_id"))
+
+
 def _qrels(spark, sf_dir):
-    q = questions(spark, sf_dir).withColumnRenamed("text", "needle")
-    return docs(spark, sf_dir).join(q, F.contains(F.col("text"), F.col("needle"))).select("query_id", "doc_id")
+    return _containing(docs(spark, sf_dir), questions(spark, sf_dir))
 
 
 EVAL = f"""WITH {bm25_sql()}, b AS ({OUT}), j AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),

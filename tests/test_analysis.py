@@ -33,8 +33,11 @@ def test_fields_and_filter(spark):
     rows = {r.query_id: r for r in parsed.collect()}
     assert rows[0].author_terms == ["He"] and rows[0].venue_terms == ["CVPR"] and rows[0].years == ["2016"] and rows[1].author_terms == ["He"]
     papers = spark.createDataFrame([("he", "a.pdf", "Deep Residual", "Kaiming He", "2015", "CVPR", ""), ("va", "b.pdf", "Attention", "Vaswani", "2017", "NeurIPS", "")], "doc_id string, source string, title string, authors string, year string, venue string, keywords string")
-    got = sorted((r.query_id, r.doc_id) for r in analysis.matching_documents(parsed, papers).collect())
-    assert got == [(0, "he"), (0, "va"), (1, "he"), (2, "he"), (2, "va"), (3, "he"), (3, "va")]
+    fits = analysis.allowed_documents(parsed, papers)
+    assert [tuple(r) for r in fits.collect()] == [(1, "he")]  # the others are open: no constraint, or none that anything fits
+    assert "NestedLoop" not in fits._jdf.queryExecution().toString()
+    both = spark.createDataFrame([(0, "author: he; venue: cvpr since 2015"), (1, "venue: c venue: n 2017"), (2, "author: e title: res")], "query_id long, text string")
+    assert sorted(tuple(r) for r in analysis.allowed_documents(analysis.constraints(both, 2026), papers).collect()) == [(0, "he"), (1, "va"), (2, "he")]
 
 
 def test_variants(spark):
