@@ -2,7 +2,7 @@
 
 blocks, chunks (of the main text), parents, references (chunks of reference sections), chunk_rows (all chunks with their
 quality), papers (with summaries), catalog (papers without them), sections, citations, reference_keywords; and a report
-of their quality of one row.
+of the set's quality of one row.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from folioscan.functions import text as T
 from folioscan.functions import vocabulary as V
 from folioscan.operators import assets, chunks, folds, incremental
+from folioscan.operators.settle import settled
 from folioscan.sources.journal import Journal, Remote
 from folioscan.sources.tables import Snapshots
 
@@ -103,24 +104,31 @@ def build(items: DataFrame, settings: IngestSettings | None = None, keep: Callab
     flagged = keep("flagged", assets.quality_flags(cut, s.header_footer_min_freq))
     main, references = split_references(flagged)
     main_parents, _ = split_references(parents)
+    if main.isEmpty():  # documents of references alone are asked as main text
+        main, references, main_parents = flagged, flagged.limit(0), parents
     sections = keep("sections", assets.section_summaries(main_parents.withColumn("ord", F.col("doc_idx")), s.section_summary_chars))
     citations = keep("citations", assets.citation_edges(references))
     papers = keep("papers", assets.papers(blocks, sections, citations, folds.abstract(blocks), s.paper_summary_chars))
-    purity = assets.reference_purity(references).select(F.col("total").alias("references"), F.col("suspicious").alias("suspicious_references"))
     return {
         "blocks": blocks, "chunks": main, "parents": main_parents, "references": references, "chunk_rows": chunk_rows(flagged), "papers": papers, "catalog": papers.drop("summary"), "sections": sections, "citations": citations,
         "reference_keywords": assets.keyword_counts(references, doc_id="chunk_uid").withColumnRenamed("doc_id", "chunk_uid").join(references.select("chunk_uid", "doc_id"), "chunk_uid"),
-        "quality": assets.quality_report(flagged).select("total", "failed", "failed_rate").crossJoin(purity),
     }
 
 
+def quality(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row: chunks, those with a flag and their share, references and suspicious ones, over a whole set of tables."""
+    purity = assets.reference_purity(tables["references"]).select(F.col("total").alias("references"), F.col("suspicious").alias("suspicious_references"))
+    return assets.quality_report(tables["chunk_rows"].withColumnsRenamed({"quality_flags": "flags", "quality_pass": "passes"})).select("total", "failed", "failed_rate").crossJoin(purity)
+
+
 def _numbered(counts: DataFrame) -> DataFrame:
     """(doc_id, first): how many packed documents stand before each doc_id in the order of ids.
 
     Sorted ranges of ids are counted, and a range's documents are numbered within it: no task sees more than a range and
     the table of ranges.
     """
-    sorted_ = counts.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("range", F.spark_partition_id())
+    # two branches read the ranges, whose bounds would be sampled anew for each
+    sorted_ = settled(counts.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("range", F.spark_partition_id()))
     within = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = sorted_.groupBy("range").agg(F.sum("n").alias("t"))
     before = totals.select("range", F.coalesce(F.sum("t").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -130,8 +138,9 @@ def _numbered(counts: DataFrame) -> DataFrame:
 def ingest(items: DataFrame, snapshots: Snapshots, settings: IngestSettings | None = None, files: DataFrame | None = None, force: bool = False, remote: Remote | None = None) -> dict:
     """Bring new documents (all of them with `force`) into the tables; facts of what was done.
 
-    An ingest with the signature of the current set, whose tables are as its manifest says, is skipped.  Documents that
-    are known stay as they are.  The outside index is written before the tables become current, under a journal.
+    An ingest with the signature of the current set, whose tables are as its manifest says, is skipped.  Documents that any
+    of the tables has stay as they are; only the items of the others are parsed.  The outside index is written before the
+    tables become current, under a journal.
     """
     s = settings or IngestSettings()
     journal = Journal(snapshots)
@@ -140,21 +149,22 @@ def ingest(items: DataFrame, snapshots: Snapshots, settings: IngestSettings | No
     current = snapshots.manifest()
     if not force and mark and current and current.get("signature") == mark and not snapshots.validate():
         return {"skipped": True, "chunks": current["tables"].get("chunks", 0), "pages": current.get("pages", 0)}
+    now = snapshots.load()
+    known = incremental.ids(*[now[k] for k in KEYED if k in now]) if now else None
+    arriving = incremental.ids(items)
+    active = settled(arriving if force or known is None else arriving.join(known, "doc_id", "left_anti"))
+    if active.isEmpty():
+        return {"skipped": True, "chunks": 0, "pages": 0}
     work = uuid.uuid4().hex
 
     def keep(name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{snapshots.folder}/{work}/{name}")
         return snapshots.spark.read.parquet(f"{snapshots.folder}/{work}/{name}")
 
-    staged = build(items, s, keep)
-    now = snapshots.load()
-    ids = staged["blocks"].select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
-    active = ids if force or not now else incremental.new_ids(ids, now["blocks"])
-    if active.isEmpty():
-        snapshots.files.delete(work)
-        return {"skipped": True, "chunks": 0, "pages": 0}
-    merged = incremental.upsert({k: now[k] for k in KEYED if k in now}, {k: staged[k] for k in KEYED}, force) if now else {k: staged[k] for k in KEYED}
-    merged["quality"] = staged["quality"]
+    staged = build(incremental.keep_ids(items, active), s, keep)
+    # what is new is unknown to all tables; what is forced takes the place of what is there
+    merged = incremental.upsert({k: now[k] for k in KEYED if k in now}, staged, force=True) if now else dict(staged)
+    merged["quality"] = quality(merged)
     pages = pages_of(merged["blocks"]).first()["pages"]
     names = [r["doc_id"] for r in active.toLocalIterator()]  # ids of one ingest, for the outside index
     journal.execute("upsert", merged, names, remote, signature=mark, pages=pages)
@@ -172,7 +182,8 @@ def remove(snapshots: Snapshots, ids: list[str], remote: Remote | None = None) -
     before = snapshots.manifest()["tables"]
     found = sorted(r["doc_id"] for r in known.collect())
     if found:
-        journal.execute("delete", kept | {k: now[k] for k in now if k not in kept}, found, remote)
+        facts = {"pages": pages_of(kept["blocks"]).first()["pages"]}  # no signature: what was removed is read again
+        journal.execute("delete", kept | {"quality": quality(kept)}, found, remote, **facts)
     after = snapshots.manifest()["tables"]
     return {"deleted": found, "missing": sorted({str(i) for i in ids} - set(found)), "rows": {k: before[k] - after[k] for k in before}}
 

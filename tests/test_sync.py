@@ -75,6 +75,49 @@ def test_ingest_and_removal(spark, tmp_path):
     assert ingest.remove(s, ["zz"])["deleted"] == []
 
 
+def test_documents_of_references_alone_are_main_text(spark, tmp_path):
+    rows = [("r", i, 0, "text", t, "r.pdf") for i, t in enumerate(["References", "[1] He, K. et al. 2016. Deep residual learning. In Proceedings of CVPR."])]
+    some = spark.createDataFrame(rows, "doc_id string, ord long, page_idx long, type string, text string, source string").withColumn("bbox", F.array().cast("array<double>"))
+    s = tables.Snapshots(spark, str(tmp_path / "kb"))
+    assert ingest.ingest(some, s)["chunks"] == 1
+    now = s.load()
+    assert now["parents"].count() == 1 and now["references"].count() == now["citations"].count() == 0 and now["chunks"].first().is_reference
+    assert now["quality"].first().references == 0
+
+
+def test_a_document_that_one_table_has_is_known(spark, tmp_path):
+    s = tables.Snapshots(spark, str(tmp_path / "kb"))
+    ingest.ingest(items(spark, ["a"]), s)
+    now = s.load()
+    s.commit({**{k: now[k].where("doc_id <> 'a'") for k in ingest.KEYED if k != "sections"}, "sections": now["sections"], "quality": now["quality"]})
+    told = []
+    assert ingest.ingest(items(spark, ["a"]), s, remote=lambda *x: told.append(x))["skipped"] and told == []
+    assert ingest.ingest(items(spark, ["a"]), s, force=True)["documents"] == 1 and s.load()["blocks"].count() == 9
+
+
+def test_the_report_of_quality_is_of_the_whole_set(spark, tmp_path):
+    s = tables.Snapshots(spark, str(tmp_path / "kb"))
+    reports = []
+    for step in (["a"], ["a", "b", "c"], None):
+        if step:
+            ingest.ingest(items(spark, step), s)
+        else:
+            ingest.remove(s, ["b"])
+        now, r = s.load(), s.load()["quality"].first()
+        reports.append((r.total, r.references))
+        assert r.total == now["chunk_rows"].count() and r.references == now["references"].count() and r.failed == now["chunk_rows"].where("NOT quality_pass").count()
+    assert reports[0][0] < reports[2][0] < reports[1][0]
+
+
+def test_chunks_are_numbered_alike_over_many_ranges(spark):
+    counts = spark.createDataFrame([(f"d{i:03d}", 1 + i % 3) for i in range(200)], "doc_id string, n long").repartition(7)
+    got = {r.doc_id: r.first for r in ingest._numbered(counts).collect()}
+    n = 0
+    for i in range(200):
+        assert got[f"d{i:03d}"] == n
+        n += 1 + i % 3
+
+
 def test_readiness(spark, tmp_path):
     some = {"chunks": spark.range(1), "parents": spark.range(0)}
     assert ingest.readiness(some) == ("missing_parent_corpus", "missing_paper_corpus", "missing_section_summary_corpus", "missing_paper_catalog")
