@@ -1,9 +1,14 @@
-"""Ordered folds over a document's blocks, as higher-order functions on a sorted array: one shuffle, no Python."""
+"""Ordered folds over a document's blocks: state machines that stream over sorted rows, and folds of short arrays."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as X
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioscan.functions import text as T
 
@@ -11,31 +16,64 @@ MAX_CHARS, MIN_CHARS, HARD = 1800, 450, 1.6
 MEDIA = ("equation", "image", "table")
 
 
+def scan(rows: DataFrame, order: Column | str, signals: dict[str, Column], step: Callable[[], Callable], out: str) -> DataFrame:
+    """`rows` with one more column that a state machine finds for each in its order within its doc_id.
+
+    Rows are dealt by doc_id and sorted, and stream through a task: a document of any number of rows costs its length, and
+    only the signals of a batch are looked at in Python, beside whatever else a row carries.  `step()` starts a machine for
+    a document; it is called with a row's signals.  What a row needs of the one before, or of its document, is a window.
+    """
+    named = rows.select("*", *[c.alias(f"__signal_{k}") for k, c in signals.items()], (F.row_number().over(Window.partitionBy("doc_id").orderBy(order)) == 1).alias("__first"))
+    keep, count = rows.columns, len(signals)
+    field, kind = out.split(" ", 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = step()
+        for batch in batches:
+            found = []
+            for first, *values in zip(batch.column(batch.num_columns - 1).to_pylist(), *[batch.column(len(keep) + i).to_pylist() for i in range(count)], strict=True):
+                if first:
+                    machine = step()
+                found.append(machine(*values))
+            columns = [batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, to_arrow_type(result))], names=[*keep, field])
+
+    result = X._parse_datatype_string(kind)
+    schema = X.StructType([*[X.StructField(f.name, f.dataType) for f in rows.schema], X.StructField(field, result)])
+    return named.mapInArrow(run, schema)
+
+
+def _packer(max_chars: int, min_chars: int) -> Callable[[int, bool, bool], int]:
+    group, chars = -1, 0
+
+    def step(n: int, cut: bool, soft: bool) -> int:
+        nonlocal group, chars
+        total = chars + n
+        if group < 0 or cut or total > int(max_chars * HARD) or (soft and total > max_chars and chars >= min_chars):
+            group, chars = group + 1, n
+        else:
+            chars = total
+        return group
+
+    return step
+
+
 def pack_groups(blocks: DataFrame, max_chars: int = MAX_CHARS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Blocks with `grp`, the number of the packed document they belong to within their doc_id; blank blocks go.
 
     A group ends where section or reference flag change or pages jump, above the hard limit, or above the soft one once
     the minimum is reached and neither neighbour is an equation, image or table.  Lengths are those of trimmed texts.
     """
-    own = [c for c in blocks.columns if c != "doc_id"]
     kept = blocks.where(F.trim(T.strip(F.col("text"))) != "")
-    docs = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in own if c != "ord"], F.length(T.strip(F.col("text"))).alias("__n")))).alias("rows"))
-    media = lambda x: F.lower(F.trim(x["block_type"])).isin(*MEDIA)
-
-    def step(s: Column, x: Column) -> Column:
-        first = s["grp"] < 0
-        last = s["last"]
-        total = s["chars"] + x["__n"]
-        scope = ~(last["section_path"].eqNullSafe(x["section_path"]) & last["is_reference"].eqNullSafe(x["is_reference"])) | (F.abs(x["page"] - last["page"]) > 1)
-        soft = (total > max_chars) & (s["chars"] >= min_chars) & ~media(last) & ~media(x)
-        new = first | scope | (total > int(max_chars * HARD)) | soft
-        grp = F.when(new, s["grp"] + 1).otherwise(s["grp"])
-        return F.struct(grp.alias("grp"), F.when(new, x["__n"]).otherwise(total).alias("chars"), x.alias("last"), F.concat(s["out"], F.array(grp)).alias("out"))
-
-    start = F.struct(F.lit(-1).alias("grp"), F.lit(0).alias("chars"), F.get(F.col("rows"), F.lit(0)).alias("last"), F.array().cast("array<int>").alias("out"))
-    folded = docs.select("doc_id", "rows", F.aggregate("rows", start, step)["out"].alias("grps"))
-    each = folded.select("doc_id", F.explode(F.zip_with("rows", "grps", lambda r, g: F.struct(r.alias("r"), g.alias("grp")))).alias("x"))
-    return each.select("doc_id", "x.r.*", F.col("x.grp").cast("long").alias("grp")).drop("__n")
+    before = lambda c: F.lag(c).over(Window.partitionBy("doc_id").orderBy("ord"))
+    media = F.lower(F.trim(F.col("block_type"))).isin(*MEDIA)
+    same = before("section_path").eqNullSafe(F.col("section_path")) & before("is_reference").eqNullSafe(F.col("is_reference"))
+    signals = {
+        "n": F.length(T.strip(F.col("text"))),
+        "cut": F.coalesce(~same | (F.abs(F.col("page") - before("page")) > 1), F.lit(False)),
+        "soft": F.coalesce(~media & ~before(media), F.lit(False)),
+    }
+    return scan(kept, "ord", signals, lambda: _packer(max_chars, min_chars), "grp bigint")
 
 
 def packed_documents(blocks: DataFrame, **limits: int) -> DataFrame:
@@ -105,39 +143,48 @@ def annotate_blocks(items: DataFrame) -> DataFrame:
     seen = T.reference_features(seen, "text")
     may_head = F.col("type").isin("text", "discarded") & (F.col("text") != "")
     seen = seen.withColumn("__level", F.when(may_head, T.heading_level(F.col("text")))).withColumn("__title", T.normal_reference_heading(F.col("text")))
-    row = F.struct(
-        "ord", (F.col("page_idx") + 1).alias("page"), "type", "text", F.col("__level").alias("level"), (F.col("__level").isNotNull() & F.col("ref.opens")).alias("opens"),
-        (F.col("ref.entry") | F.col("ref.goes_on")).alias("cites"), F.col("ref.entry").alias("entry"), F.col("ref.goes_on").alias("goes_on"), F.col("ref.body").alias("body"), F.col("__title").alias("title"), *own,
-    )
-    docs = seen.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", row.alias("r")))).alias("rows"), F.max(F.col("page_idx") + 1).alias("pages"))
-    start = F.expr("struct(cast(array() as array<string>) AS stack, false AS inside, 0 AS level, 0L AS last, cast(array() as array<struct<section_path:string,is_reference:boolean>>) AS out)")
-
-    def step(s: Column, entry: Column) -> Column:
-        x = entry["r"]
-        title = x["level"].isNotNull()
-        gone = (s["last"] > 0) & (x["page"] > s["last"] + 1)
-        higher = title & ~x["opens"] & (x["level"] <= s["level"])
-        open_ = x["opens"] | (s["inside"] & ~gone & ~higher)
-        stack = F.when(title, F.concat(F.slice(s["stack"], F.lit(1), F.least(x["level"], F.lit(6)) - 1), F.array(x["title"]))).otherwise(s["stack"])
-        path = F.when(F.size(stack) > 0, F.array_join(stack, " > ")).otherwise(T.BODY)
-        some = x["text"] != ""
-        is_ref = F.when(x["opens"], True).when(open_ & some, x["cites"]).otherwise(T.is_reference_section(path) & x["goes_on"])
-        inside = open_ & (x["opens"] | ~some | x["cites"] | ~x["body"])
-        return F.struct(
-            stack.alias("stack"), inside.alias("inside"), F.when(x["opens"], x["level"]).otherwise(s["level"]).alias("level"), F.when(is_ref, x["page"]).otherwise(s["last"]).cast("long").alias("last"),
-            F.concat(s["out"], F.array(F.struct(path.alias("section_path"), is_ref.alias("is_reference")))).alias("out"),
-        )
-
-    folded = docs.select("doc_id", "pages", "rows", F.aggregate("rows", start, step)["out"].alias("out"))
-    each = folded.select("doc_id", "pages", F.explode(F.zip_with("rows", "out", lambda r, o: F.struct(r["r"].alias("r"), o.alias("o")))).alias("x"))
-    late = F.col("x.r.page") >= F.greatest(F.lit(1), F.floor(F.col("pages") * 0.75))
-    return each.select(
-        "doc_id", F.col("x.r.ord").alias("ord"), F.col("x.r.page").alias("page"), F.col("x.r.type").alias("block_type"), F.col("x.r.text").alias("text"),
-        "x.o.section_path", (F.col("x.o.is_reference") | (late & F.col("x.r.entry"))).alias("is_reference"),
-        F.format_string("%s::b%06d", F.col("doc_id").cast("string"), F.col("x.r.ord").cast("int")).alias("block_id"), *[F.col(f"x.r.{c}").alias(c) for c in own],
+    page = F.col("page_idx") + 1
+    seen = seen.withColumn("__pages", F.max(page).over(Window.partitionBy("doc_id")))
+    opens = F.col("__level").isNotNull() & F.col("ref.opens")
+    signals = {
+        "page": page, "some": F.col("text") != "", "level": F.col("__level"), "opens": opens, "cites": F.col("ref.entry") | F.col("ref.goes_on"), "goes_on": F.col("ref.goes_on"), "body": F.col("ref.body"),
+        "title": F.when(F.col("__level").isNotNull(), F.col("__title")), "refers": T.is_reference_section(F.col("__title")),
+    }
+    folded = scan(seen, "ord", signals, _annotator, "found struct<section_path: string, is_reference: boolean>")
+    late = page >= F.greatest(F.lit(1), F.floor(F.col("__pages") * 0.75))
+    return folded.select(
+        "doc_id", "ord", page.alias("page"), F.col("type").alias("block_type"), "text",
+        "found.section_path", (F.col("found.is_reference") | (late & F.col("ref.entry"))).alias("is_reference"),
+        F.format_string("%s::b%06d", F.col("doc_id").cast("string"), F.col("ord").cast("int")).alias("block_id"), *own,
     )
 
 
+def _annotator() -> Callable[..., dict]:
+    """The machine of annotate_blocks: titles of the open headings, whether references are open, since which level, and the
+    page of the last reference."""
+    stack: list[tuple[str, bool]] = []
+    inside, since, last, path, under = False, 0, 0, T.BODY, False
+
+    def step(page: int, some: bool, level: int | None, opens: bool, cites: bool, goes_on: bool, body: bool, title: str | None, refers: bool) -> dict:
+        nonlocal inside, since, last, path, under
+        gone = last > 0 and page > last + 1
+        higher = level is not None and not opens and level <= since
+        open_ = opens or (inside and not gone and not higher)
+        if level is not None:
+            del stack[min(level, 6) - 1 :]
+            stack.append((title, refers))
+            path, under = " > ".join(t for t, _ in stack), any(r for _, r in stack)
+        is_reference = True if opens else cites if open_ and some else under and goes_on
+        inside = open_ and (opens or not some or cites or not body)
+        if opens:
+            since = level
+        if is_reference:
+            last = page
+        return {"section_path": path, "is_reference": is_reference}
+
+    return step
+
+
 def fit_texts(rows: Column, limit: int) -> Column:
     """Squeezed texts in order, joined by blanks until `limit` characters are reached, then truncated."""
     step = lambda s, x: F.when((F.length(s) >= limit) | (x == ""), s).when(s == "", x).otherwise(F.concat_ws(" ", s, x))
