@@ -145,3 +145,15 @@ SCOPE_HINTS = {
 COMPARES = ("比较", "对比", "区别", "差异", "异同", "共通", "共同点", "相同", "不同", "compare", "comparison", "difference", "different", "common", "similar", "vs")
 CUTS = ("有什么", "是什么", "区别", "差异", "异同", "比较", "对比", "共通", "共同点", "difference", "differences", "common", "similar", "compare")
 NOUNS = r"(?i)(的论文|模型|方法|架构|创新点|创新|共同点|共通点|区别|差异|异同|比较|对比|common points?|differences?|compare|comparison)$"
+
+# Fixed values of abstracts: marks in a section's name, the word in a text, and what a text that ends an abstract looks like (lower case).
+ABSTRACT_MARKS = ("abstract", "摘要")
+ABSTRACT_WORD = r"(?:abstract|a\s*b\s*s\s*t\s*r\s*a\s*c\s*t)"
+ABSTRACT_AFTER = r"\s*[:.]?\s*"
+ABSTRACT_LEAST = 120
+ABSTRACT_STOPS = (
+    r"^\d+(?:\.\d+)*[.)]?\s+\S+",
+    r"^(?:introduction|background|related work|methods?|materials|results?|discussion|conclusion)\b",
+    r"^(?:contents lists available|keywords:|ccs concepts|acknowledg)",
+    r"https?://|doi\.org",
+)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as X
 from pyspark.sql.pandas.types import to_arrow_type
 
+from folioscan.functions import arrow as A
 from folioscan.functions import text as T
+from folioscan.functions import vocabulary as V
 
 MAX_CHARS, MIN_CHARS, HARD = 1800, 450, 1.6
 MEDIA = ("equation", "image", "table")
@@ -191,21 +193,42 @@ def fit_texts(rows: Column, limit: int) -> Column:
     return T.truncate(F.aggregate(F.transform(rows, T.squeeze), F.lit(""), step), limit)
 
 
-def abstract(blocks: DataFrame, limit: int = 1200) -> DataFrame:
-    """(doc_id, abstract): from an abstract heading or marker to the next section, keywords or link; else the lead text."""
-    marker = r"(?i)^(?:abstract|a\s*b\s*s\s*t\s*r\s*a\s*c\s*t|摘要)\s*[:.：—-]?\s*"
-    stops = r"(?i)^(?:\d+(?:\.\d+)*[.)]?\s+\S|introduction|background|related work|methods?|materials|results?|discussion|conclusion|keywords\s*[:：]|ccs concepts|acknowledg|contents lists available)|https?://|doi\.org"
-    row = F.struct("ord", T.squeeze(F.col("text")).alias("t"), F.col("is_reference").alias("r"))
-    docs = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(0).alias("state"), F.lit("").alias("t"))
-
-    def step(s: Column, x: Column) -> Column:
-        opens = (s["state"] == 0) & x["t"].rlike(marker)
-        inside = (s["state"] == 1) & ~x["t"].rlike(stops)
-        body = F.when(opens, F.regexp_replace(x["t"], marker, "")).otherwise(x["t"])
-        state = F.when(opens, 1).when((s["state"] == 1) & ~inside, 2).otherwise(s["state"])
-        return F.struct(state.alias("state"), F.when(opens | inside, F.trim(F.concat_ws(" ", s["t"], body))).otherwise(s["t"]).alias("t"))
-
-    lead = fit_texts(F.transform(F.filter("rows", lambda x: ~F.coalesce(x["r"], F.lit(False))), lambda x: x["t"]), 900)
-    found = T.let(F.aggregate("rows", start, step)["t"], lambda t: F.nullif(t, F.lit("")))
-    return docs.select("doc_id", T.truncate(F.coalesce(found, lead), limit).alias("abstract"))
+def abstract(blocks: DataFrame, limit: int = 1200, sections: DataFrame | None = None) -> DataFrame:
+    """(doc_id, abstract), as the rows of a document are read in order.
+
+    An abstract begins in a section of that name, or at a text that has the word and enough after it; it goes on until a text
+    that looks like the next part.  In such a section what follows the word comes first, then the text without its banners.
+    Without any, the first section of that name counts (`sections` with doc_id, page, section, summary), else the lead: texts
+    that are no references until 900 characters.  Running windows find all of it, and no more than `limit` characters and the
+    text that passes them are gathered for a document.
+    """
+    whole = r"(?i)(?<![\p{L}\p{N}_])" + V.ABSTRACT_WORD + r"(?![\p{L}\p{N}_])" + V.ABSTRACT_AFTER
+    named = lambda c: F.lower(c).rlike("|".join(V.ABSTRACT_MARKS)) | c.rlike(whole)
+    after = lambda c: F.when(c.rlike(whole), T.without_front_matter(F.regexp_replace(c, r"(?s)^.*?" + whole, ""))).otherwise("")
+    section = F.col("section_path") if "section_path" in blocks.columns else F.lit("")
+    rows = blocks.select("doc_id", "ord", F.coalesce("is_reference", F.lit(False)).alias("ref"), A.clean(T.text_or_empty(F.col("text"))).alias("t"), A.clean(T.text_or_empty(section)).alias("s"))
+    stop = F.lower("t").rlike("|".join(f"(?:{p})" for p in V.ABSTRACT_STOPS))
+    rows = rows.select("doc_id", "ord", "ref", after(F.col("t")).alias("after"), T.without_front_matter(F.col("t")).alias("plain"), named(F.col("s")).alias("under"), F.col("t").rlike("^(?:" + whole + ")$").alias("heading"), stop.alias("stop"))
+    big = ~F.col("under") & (F.length("after") >= V.ABSTRACT_LEAST)
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    before, until = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"big": big, "inside": F.coalesce(F.max(F.col("under") | big).over(before), F.lit(False))})
+    halts = F.col("stop") & F.when(F.col("under"), (F.col("after") == "") & ~F.col("heading")).otherwise(~F.col("big") & F.col("inside"))
+    rows = rows.withColumn("done", F.max(halts).over(until))
+    body = F.when((F.col("under") | F.col("big")) & (F.col("after") != ""), F.col("after")).when(F.col("under"), F.when(~F.col("heading"), F.col("plain"))).when(F.col("inside"), F.col("plain"))
+    lead = F.when(~F.col("ref"), F.when(F.col("after") != "", F.col("after")).otherwise(F.col("plain")))
+    rows = rows.select("doc_id", "ord", F.when(~F.col("done") & (body != ""), body).alias("body"), F.when(lead != "", lead).alias("lead"))
+    sizes = {f"{c}_before": F.coalesce(F.sum(F.length(c) + 1).over(before), F.lit(0)) for c in ("body", "lead")}
+
+    def joined(c: str, most: int) -> Column:
+        some = F.collect_list(F.when(F.col(c).isNotNull() & (F.col(f"{c}_before") <= most), F.struct("ord", c)))
+        return F.array_join(F.transform(F.array_sort(some), lambda x: x[c]), " ")
+
+    found = rows.withColumns(sizes).groupBy("doc_id").agg(joined("body", limit + 1).alias("body"), joined("lead", 900).alias("lead"))
+    chosen = F.when(F.col("body") != "", F.col("body")).otherwise(F.col("lead"))
+    if sections is not None:
+        own = sections.select("doc_id", F.struct("page", "section").alias("at"), A.clean(T.text_or_empty(F.col("section"))).alias("s"), A.clean(T.text_or_empty(F.col("summary"))).alias("t"))
+        first = own.where(named(F.col("s"))).groupBy("doc_id").agg(F.min_by(after(F.col("t")), "at").alias("section"))
+        found = found.join(first, "doc_id", "left")
+        chosen = F.when(F.col("body") != "", F.col("body")).when(F.col("section").isNotNull(), F.col("section")).otherwise(F.col("lead"))
+    return found.select("doc_id", T.truncate(chosen, limit).alias("abstract"))

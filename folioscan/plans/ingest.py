@@ -108,7 +108,7 @@ def build(items: DataFrame, settings: IngestSettings | None = None, keep: Callab
         main, references, main_parents = flagged, flagged.limit(0), parents
     sections = keep("sections", assets.section_summaries(main_parents.withColumn("ord", F.col("doc_idx")), s.section_summary_chars))
     citations = keep("citations", assets.citation_edges(references))
-    papers = keep("papers", assets.papers(blocks, sections, citations, folds.abstract(blocks), s.paper_summary_chars))
+    papers = keep("papers", assets.papers(blocks, sections, citations, folds.abstract(blocks, sections=sections), s.paper_summary_chars))
     return {
         "blocks": blocks, "chunks": main, "parents": main_parents, "references": references, "chunk_rows": chunk_rows(flagged), "papers": papers, "catalog": papers.drop("summary"), "sections": sections, "citations": citations,
         "reference_keywords": assets.keyword_counts(references, doc_id="chunk_uid").withColumnRenamed("doc_id", "chunk_uid").join(references.select("chunk_uid", "doc_id"), "chunk_uid"),

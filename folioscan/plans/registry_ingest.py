@@ -266,3 +266,50 @@ def section_names(spark, sf_dir):
     )
     name = F.array(*map(F.lit, _SECTIONS))[(F.col("doc_id") % len(_SECTIONS)).cast("int")]
     return d.select("doc_id", T.is_noise_section(name).alias("noise"), T.is_body_section(name).alias("body"), T.is_skipped_section(name, text, F.col("source")).alias("skipped"))
+
+
+# ---------------------------------------------------------------- abstracts
+
+def _clean_sql(x: str) -> str:
+    marks = r"regexp_replace({0}, '[\\\\{{}}$^_~|]', ' ', 'g')".format(x)
+    return rf"trim(regexp_replace(regexp_replace(replace({marks}, '&', ' & '), '[\x00-\x1f]', '', 'g'), '[\s\x{{a0}}]+', ' ', 'g'))"
+
+
+def _bare_sql(x: str) -> str:
+    for p in V.FRONT_MATTER:
+        x = f"trim(regexp_replace({x}, {_lit(p)}, ''))"
+    for p in V.NOTICES:
+        x = f"regexp_replace({x}, {_lit(p)}, '')"
+    return f"regexp_replace({x}, '^[ .,:;-]+|[ .,:;-]+$', '', 'g')"
+
+
+_WORD = rf"(?i)\b{V.ABSTRACT_WORD}\b{V.ABSTRACT_AFTER}"
+_STOPS = "|".join(f"(?:{p})" for p in V.ABSTRACT_STOPS)
+_ABSTRACT_LINE = """CASE WHEN doc_id % 4 = 0 AND ord = 1 THEN 'Abstract: ' || line WHEN doc_id % 4 = 0 AND ord = 5 THEN 'Keywords: ' || line WHEN doc_id % 4 = 1 AND ord = 2 THEN 'a b s t r a c t'
+ WHEN doc_id % 4 = 1 AND ord = 6 THEN '2. ' || line WHEN doc_id % 4 = 2 AND ord = 3 THEN line || ' Abstract. ' || line || ' ' || line ELSE line END"""
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS ord FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+c AS (SELECT doc_id, ord, ord % 11 = 7 AS ref, doc_id % 4 = 1 AND ord IN (2, 3) AS under, {_clean_sql(_ABSTRACT_LINE)} AS t FROM l),
+f AS (SELECT *, CASE WHEN regexp_matches(t, {_lit(_WORD)}) THEN {_bare_sql("regexp_replace(t, " + _lit("(?is)^.*?" + _WORD[4:]) + ", '')")} ELSE '' END AS after_, {_bare_sql('t')} AS plain,
+ regexp_full_match(t, {_lit(_WORD)}) AS heading, regexp_matches(lower(t), {_lit(_STOPS)}) AS stop FROM c),
+g AS (SELECT *, NOT under AND len(after_) >= {V.ABSTRACT_LEAST} AS big FROM f),
+i AS (SELECT *, coalesce(bool_or(under OR big) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS inside FROM g),
+d AS (SELECT *, bool_or(stop AND CASE WHEN under THEN after_ = '' AND NOT heading ELSE NOT big AND inside END) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS done FROM i),
+e AS (SELECT doc_id, ord, CASE WHEN done THEN '' WHEN (under OR big) AND after_ <> '' THEN after_ WHEN under THEN CASE WHEN heading THEN '' ELSE plain END WHEN inside THEN plain ELSE '' END AS body,
+ CASE WHEN ref THEN '' WHEN after_ <> '' THEN after_ ELSE plain END AS lead FROM d),
+b AS (SELECT doc_id, string_agg(body, ' ' ORDER BY ord) FILTER (body <> '') AS body FROM e GROUP BY doc_id),
+m AS (SELECT doc_id, ord, lead, coalesce(sum(len(lead) + 1) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM e WHERE lead <> ''),
+n AS (SELECT doc_id, string_agg(lead, ' ' ORDER BY ord) AS lead FROM m WHERE had <= 900 GROUP BY doc_id),
+o AS (SELECT b.doc_id, trim(regexp_replace(coalesce(body, lead, ''), '\s+', ' ', 'g')) AS x FROM b LEFT JOIN n USING (doc_id))
+SELECT doc_id, CASE WHEN len(x) > 1200 THEN rtrim(left(x, 1197)) || '...' ELSE x END AS abstract FROM o""")
+def abstracts(spark, sf_dir):
+    """Whole lines as blocks: some begin an abstract, stand under its section, or end it."""
+    d = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    k, o, line = F.col("doc_id") % 4, F.col("ord"), F.col("line")
+    text = (
+        F.when((k == 0) & (o == 1), F.concat(F.lit("Abstract: "), line)).when((k == 0) & (o == 5), F.concat(F.lit("Keywords: "), line)).when((k == 1) & (o == 2), "a b s t r a c t")
+        .when((k == 1) & (o == 6), F.concat(F.lit("2. "), line)).when((k == 2) & (o == 3), F.concat(line, F.lit(" Abstract. "), line, F.lit(" "), line)).otherwise(line)
+    )
+    section = F.when((k == 1) & o.isin(2, 3), "Front > Abstract").otherwise("Body")
+    return folds.abstract(d.select("doc_id", o.cast("long").alias("ord"), text.alias("text"), section.alias("section_path"), (o % 11 == 7).alias("is_reference")))

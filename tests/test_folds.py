@@ -77,3 +77,45 @@ def seconds(spark, n):
 def test_a_long_document_takes_time_in_proportion(spark):
     seconds(spark, 2000)
     assert seconds(spark, 100_000) < 12 * max(seconds(spark, 20_000), 1.0)
+
+
+def found_abstract(spark, rows, sections=None):
+    """rows: (section, text) or (section, text, is_reference)."""
+    blocks = spark.createDataFrame([("d", i, r[0], r[1], len(r) > 2 and r[2]) for i, r in enumerate(rows)], "doc_id string, ord long, section_path string, text string, is_reference boolean")
+    own = None if sections is None else spark.createDataFrame([("d", p, s, t) for p, s, t in sections], "doc_id string, page int, section string, summary string")
+    return folds.abstract(blocks.repartition(3), sections=own).first().abstract
+
+
+LONG = "Rivers carry sediment to the coast, where deltas grow or shrink with the balance of supply, tides and waves, and with what people take out of them."
+
+
+def test_abstract_in_its_section(spark):
+    rows = [("Front", "A Study of Deltas"), ("Abstract", "Abstract"), ("Abstract", LONG), ("Abstract", "We measure forty of them."), ("Abstract", "1 Introduction"), ("Abstract", "Not this.")]
+    assert found_abstract(spark, rows) == f"{LONG.removesuffix('.')} We measure forty of them"
+    assert found_abstract(spark, [("Abstract", f"A B S T R A C T: {LONG}"), ("1 Introduction", "Keywords: delta"), ("1 Introduction", "No.")]) == LONG.removesuffix(".")
+
+
+def test_abstract_behind_the_word_in_a_text(spark):
+    rows = [("Front", f"Volume 3. Abstract. {LONG}"), ("Front", "More of it & more."), ("Front", "See https://example.org"), ("Front", "No.")]
+    assert found_abstract(spark, rows) == f"{LONG.removesuffix('.')} More of it & more"
+    # too short to begin one: the lead, where what follows the word comes first
+    assert found_abstract(spark, [("Front", "Abstract: brief"), ("Front", "Other text")]) == "brief Other text"
+
+
+def test_lead_when_nothing_is_called_abstract(spark):
+    rows = [("Body", "[1] A reference.", True), ("Body", "First. "), ("Body", None), ("Body", "x" * 890), ("Body", "y" * 400), ("Body", "never")]
+    got = found_abstract(spark, rows)
+    assert got.startswith("First " + "x" * 890 + " yyy") and got.endswith("...") and len(got) == 1200 and "never" not in got
+    assert found_abstract(spark, [("Body", None)]) == "" and found_abstract(spark, [("Body", "ref", True)]) == ""
+
+
+def test_sections_before_the_lead(spark):
+    rows = [("Body", "Lead text")]
+    assert found_abstract(spark, rows, [(2, "Abstract of all", "Abstract: later"), (1, "Abstract", "Abstract: earlier")]) == "earlier"
+    assert found_abstract(spark, rows, [(1, "Methods", "Abstract: no")]) == "Lead text"
+
+
+def test_no_more_than_needed_is_gathered(spark):
+    rows = [("Abstract", "z" * 100)] * 200
+    got = found_abstract(spark, rows)
+    assert len(got) == 1200 and got.endswith("...") and set(got) == {"z", " ", "."}

@@ -91,8 +91,8 @@ def test_packing_and_abstract(spark):
     df = spark.createDataFrame(blocks, "doc_id string, ord long, section_path string, is_reference boolean, page long, block_type string, text string, title string")
     assert [r.grp for r in folds.pack_groups(df).orderBy("ord").collect()] == [0, 0, 1, 1, 2, 2]
     lines = ["A Title", "Abstract", "Thanks to the recent developments we can.", "It works.", "1 Introduction", "Body"]
-    ab = spark.createDataFrame([("d", i, t, False) for i, t in enumerate(lines)], "doc_id string, ord long, text string, is_reference boolean")
-    assert folds.abstract(ab).first().abstract == "Thanks to the recent developments we can. It works."
+    ab = spark.createDataFrame([("d", i, t, False, "Abstract" if 0 < i < 4 else "Front") for i, t in enumerate(lines)], "doc_id string, ord long, text string, is_reference boolean, section_path string")
+    assert folds.abstract(ab).first().abstract == "Thanks to the recent developments we can It works"  # marks at either end of a text go
 
 
 def test_arrow_functions():
