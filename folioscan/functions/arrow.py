@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections import deque
+from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as X
+from tokenizers import Tokenizer
 
 #: What PDF text extraction leaves in place of ligatures.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "\x1b": "fi", "\x1c": "ffi", "\x1d": "ff", "\x1e": "fl", "\x80": "fl", "\xa0": " "}
@@ -45,38 +49,61 @@ def first_json_object(s: str | None) -> str | None:
     return None
 
 
-def split_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Chunks of about `size` characters, cut before the best separator present; what is still too long is cut at the next
-    one.  A chunk begins with as many of the last parts of the one before as make up at most `overlap` characters."""
+def characters(parts: list[str]) -> list[int]:
+    return [len(p) for p in parts]
+
+
+@lru_cache(maxsize=4)
+def token_counter(path: str) -> Callable[[list[str]], list[int]]:
+    """Counts texts' tokens by a tokenizer's JSON file, which every executor can open; special tokens' names are plain text."""
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    tokenizer.no_truncation()
+    known: dict[str, int] = {}  # single characters and short words come again and again
+
+    def count(parts: list[str]) -> list[int]:
+        new = list({p for p in parts if p not in known})
+        found = dict(zip(new, (len(e.ids) for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+        out = [known[p] if p in known else found[p] for p in parts]
+        if len(known) < 100_000:
+            known.update((p, n) for p, n in found.items() if len(p) <= 16)
+        return out
+
+    return count
+
+
+def split_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS, count: Callable[[list[str]], list[int]] = characters) -> list[str]:
+    """Chunks of about `size` (characters, or what `count` counts), cut before the best separator present; what is still too
+    long is cut at the next one.  A chunk begins with as many of the last parts of the one before as make up at most `overlap`."""
     place = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
     mark, finer = separators[place], separators[place + 1 :]
     parts = list(text) if not mark else [p for p in (lambda x: [x[0], *[mark + y for y in x[1:]]])(text.split(mark)) if p]
     out: list[str] = []
-    held: list[str] = []
+    held: deque[tuple[str, int]] = deque()
     total = 0
 
     def flush(whole: bool):
         nonlocal total
-        if held and (joined := "".join(held).strip()):
+        if held and (joined := "".join(p for p, _ in held).strip()):
             out.append(joined)
         if whole:
             held.clear()
             total = 0
 
-    for p in parts:
-        if len(p) >= size:
+    for p, n in zip(parts, count(parts), strict=True):
+        if n >= size:
             flush(True)
             if finer:
-                out += split_recursively(p, size, overlap, finer)
+                out += split_recursively(p, size, overlap, finer, count)
             else:
                 out.append(p)
             continue
-        if total + len(p) > size and held:
+        if total + n > size and held:
             flush(False)
-            while total > overlap or (total > 0 and total + len(p) > size):
-                total -= len(held.pop(0))
-        held.append(p)
-        total += len(p)
+            while total > overlap or (total > 0 and total + n > size):
+                total -= held.popleft()[1]
+        held.append((p, n))
+        total += n
     flush(True)
     return out
 
@@ -96,9 +123,20 @@ def json_object(s: pd.Series) -> pd.Series:
     return s.map(first_json_object)
 
 
-def splitter(size: int = 500, overlap: int = 100):
+def splitter(size: int = 500, overlap: int = 100, tokenizer: str | None = None):
+    """A column function; sizes are tokens of the tokenizer in that file, or characters without one."""
+
     @F.pandas_udf(X.ArrayType(X.StringType()))
     def split(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: split_recursively(t or "", size, overlap) if t else [])
+        count = token_counter(tokenizer) if tokenizer else characters
+        return s.map(lambda t: split_recursively(t or "", size, overlap, count=count) if t else [])
 
     return split
+
+
+def token_count(tokenizer: str):
+    @F.pandas_udf(X.LongType())
+    def counted(s: pd.Series) -> pd.Series:
+        return pd.Series(token_counter(tokenizer)([t or "" for t in s]), dtype="int64")
+
+    return counted

@@ -47,14 +47,15 @@ def block_parents(documents: DataFrame, structure: bool = True, least: int = LEA
     return each.withColumns({"parent_id": _parent_id(F.col("structure_block_id")), "chunk_strategy": F.lit("token")})
 
 
-def chunks(parents: DataFrame, strategy: str = "semantic_paper", size: int = SIZE, overlap: int = OVERLAP, hard_max: int = HARD_MAX) -> DataFrame:
+def chunks(parents: DataFrame, strategy: str = "semantic_paper", size: int = SIZE, overlap: int = OVERLAP, hard_max: int = HARD_MAX, tokenizer: str | None = None) -> DataFrame:
     """Chunks of parents with chunk_id, their number in the order of documents and blocks, and chunk_uid.
 
     semantic_paper: a parent is a chunk, and only one longer than `hard_max` (800 at least) is split; token: all are split.
-    A part of a split semantic parent has its number in semantic_child_id.
+    A part of a split semantic parent has its number in semantic_child_id.  `size` and `overlap` are tokens of the tokenizer in
+    a JSON file if one is named, else characters.
     """
     whole = F.length("text") <= max(hard_max, 800) if strategy == "semantic_paper" else F.lit(False)
-    parts = F.when(whole, F.array("text")).otherwise(F.when(~whole, splitter(size, overlap)(F.col("text"))))
+    parts = F.when(whole, F.array("text")).otherwise(F.when(~whole, splitter(size, overlap, tokenizer)(F.col("text"))))
     cut = parents.withColumn("__parts", parts).withColumn("__split", ~whole)
     cut = cut.withColumn("__parts", F.when(F.size("__parts") > 0, F.col("__parts")).otherwise(F.array("text"))) if strategy == "semantic_paper" else cut
     counts = cut.groupBy("doc_idx").agg(F.sum(F.size("__parts")).cast("long").alias("__n"))
@@ -67,9 +68,9 @@ def chunks(parents: DataFrame, strategy: str = "semantic_paper", size: int = SIZ
     return numbered.withColumns({"chunk_uid": uid, "semantic_child_id": child}).drop("__i", "__split", "__place", "__first")
 
 
-def chunks_with_parents(documents: DataFrame, strategy: str = "semantic_paper", structure: bool = True, least: int = LEAST_BLOCK, size: int = SIZE, overlap: int = OVERLAP, hard_max: int = HARD_MAX) -> tuple[DataFrame, DataFrame]:
+def chunks_with_parents(documents: DataFrame, strategy: str = "semantic_paper", structure: bool = True, least: int = LEAST_BLOCK, size: int = SIZE, overlap: int = OVERLAP, hard_max: int = HARD_MAX, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, parents) of packed documents; an unknown strategy is semantic_paper."""
     name = strategy.strip().lower()
     name = name if name in ("semantic_paper", "token") else "semantic_paper"
     parents = semantic_parents(documents) if name == "semantic_paper" else block_parents(documents, structure, least)
-    return chunks(parents, name, size, overlap, hard_max), parents
+    return chunks(parents, name, size, overlap, hard_max, tokenizer), parents

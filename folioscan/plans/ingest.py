@@ -34,6 +34,7 @@ class IngestSettings:
     chunk_overlap: int = chunks.OVERLAP
     chunk_strategy: str = "semantic_paper"
     hard_max_chars: int = chunks.HARD_MAX
+    tokenizer: str | None = None  # a JSON file that every executor can open; sizes are characters without one
     structure_split: bool = True
     min_block_chars: int = chunks.LEAST_BLOCK
     header_footer_min_freq: int = 3
@@ -99,7 +100,7 @@ def build(items: DataFrame, settings: IngestSettings | None = None, keep: Callab
     counts = packed.groupBy("doc_id").agg(F.count("*").alias("n"))
     order = _numbered(counts)
     numbered = packed.join(order, "doc_id").withColumn("doc_idx", F.col("first") + F.col("grp")).drop("first", "grp")
-    cut, parents = chunks.chunks_with_parents(numbered, s.chunk_strategy, s.structure_split, s.min_block_chars, s.chunk_size, s.chunk_overlap, s.hard_max_chars)
+    cut, parents = chunks.chunks_with_parents(numbered, s.chunk_strategy, s.structure_split, s.min_block_chars, s.chunk_size, s.chunk_overlap, s.hard_max_chars, s.tokenizer)
     cut = keep("cut", cut)
     flagged = keep("flagged", assets.quality_flags(cut, s.header_footer_min_freq))
     main, references = split_references(flagged)

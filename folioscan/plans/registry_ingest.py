@@ -6,10 +6,12 @@ that every rule occurs.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
 from folioscan.functions import vocabulary as V
+from folioscan.functions.arrow import token_count
 from folioscan.operators import assets, chunks, folds
 from folioscan.plans.registry import docs, query, table
 from folioscan.sources.tables import layout_items
@@ -182,6 +184,17 @@ def chunks_token(spark, sf_dir):
     return c.select("chunk_id", "chunk_uid", F.length("text").cast("long").alias("chars"), F.sha1(F.col("text").cast("binary")).alias("sha1"))
 
 
+@query("SELECT doc_id AS doc_idx, true AS fits, true AS whole FROM documents WHERE trim(text) <> ''")
+def chunks_by_tokens(spark, sf_dir):
+    """Chunks of at most 500 tokens: whether all of a document's fit, and whether every one of its words is in them."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("doc_idx"), "source", F.lit(1).alias("page"), "text")
+    c, parents = chunks.chunks_with_parents(d, "token", structure=False, tokenizer=path)
+    words = lambda x: F.array_distinct(F.regexp_extract_all(F.col(x), F.lit("([A-Za-z]+)"), F.lit(1)))
+    held = c.withColumn("n", token_count(path)(F.col("text"))).groupBy("doc_idx").agg((F.max("n") <= chunks.SIZE).alias("fits"), F.concat_ws(" ", F.collect_list("text")).alias("held"))
+    return held.join(parents.select("doc_idx", "text"), "doc_idx").select("doc_idx", "fits", (F.size(F.array_except(words("text"), words("held"))) == 0).alias("whole"))
+
+
 @query(r"""WITH p AS (SELECT page_id, url, html, regexp_extract(html, '<title>([^<]*)', 1) AS title, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\s\x{a0}]+', ' ', 'g')) AS plain FROM pages)
 SELECT page_id AS doc_id, 0 AS ord, CASE WHEN page_id % 5 = 0 THEN 0 ELSE page_id % 3 END AS page_idx, CASE page_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'image' WHEN 2 THEN 'table' ELSE 'text' END AS type,
  sha1(CASE page_id % 4 WHEN 0 THEN plain WHEN 1 THEN trim(concat_ws(chr(10), nullif(trim(title), ''), 'a note')) WHEN 2 THEN trim(concat_ws(chr(10), nullif(trim(title), ''), nullif(left(plain, 1200), ''))) ELSE trim(title) END) AS sha1,
