@@ -20,10 +20,13 @@ from folioscan.functions import text as T
 from folioscan.functions import vocabulary as V
 from folioscan.operators import assets, chunks, folds, incremental
 from folioscan.operators.settle import settled
+from folioscan.sources.feed import Writer
 from folioscan.sources.journal import Journal, Remote
 from folioscan.sources.tables import Snapshots
 
 KEYED = ("blocks", "chunks", "parents", "references", "chunk_rows", "papers", "catalog", "sections", "citations", "reference_keywords")
+#: Tables that an outside index is told of, with the keys of their rows.
+OUTSIDE = {"chunks": "chunk_uid", "papers": "doc_id", "references": "chunk_uid"}
 
 
 @dataclass(frozen=True)
@@ -136,7 +139,7 @@ def _numbered(counts: DataFrame) -> DataFrame:
     return sorted_.withColumn("within", within).join(before, "range").select("doc_id", (F.col("before") + F.col("within")).cast("long").alias("first"))
 
 
-def ingest(items: DataFrame, snapshots: Snapshots, settings: IngestSettings | None = None, files: DataFrame | None = None, force: bool = False, remote: Remote | None = None) -> dict:
+def ingest(items: DataFrame, snapshots: Snapshots, settings: IngestSettings | None = None, files: DataFrame | None = None, force: bool = False, remote: Remote | None = None, writer: Writer | None = None) -> dict:
     """Bring new documents (all of them with `force`) into the tables; facts of what was done.
 
     An ingest with the signature of the current set, whose tables are as its manifest says, is skipped.  Documents that any
@@ -145,7 +148,7 @@ def ingest(items: DataFrame, snapshots: Snapshots, settings: IngestSettings | No
     """
     s = settings or IngestSettings()
     journal = Journal(snapshots)
-    journal.recover(remote)
+    journal.recover(remote, writer)
     mark = signature(files, s) if files is not None else None
     current = snapshots.manifest()
     if not force and mark and current and current.get("signature") == mark and not snapshots.validate():
@@ -167,16 +170,16 @@ def ingest(items: DataFrame, snapshots: Snapshots, settings: IngestSettings | No
     merged = incremental.upsert({k: now[k] for k in KEYED if k in now}, staged, force=True) if now else dict(staged)
     merged["quality"] = quality(merged)
     pages = pages_of(merged["blocks"]).first()["pages"]
-    names = [r["doc_id"] for r in active.toLocalIterator()]  # ids of one ingest, for the outside index
-    journal.execute("upsert", merged, names, remote, signature=mark, pages=pages)
+    names = [r["doc_id"] for r in active.toLocalIterator()] if remote else []  # a callback's list; a writer needs none
+    journal.execute("upsert", merged, names, remote, writer, OUTSIDE, signature=mark, pages=pages)
     snapshots.files.delete(work)
-    return {"skipped": False, "documents": len(names), "chunks": snapshots.manifest()["tables"]["chunks"], "pages": pages}
+    return {"skipped": False, "documents": active.count(), "chunks": snapshots.manifest()["tables"]["chunks"], "pages": pages}
 
 
-def remove(snapshots: Snapshots, ids: list[str], remote: Remote | None = None) -> dict:
+def remove(snapshots: Snapshots, ids: list[str], remote: Remote | None = None, writer: Writer | None = None) -> dict:
     """Delete documents; which ids were known, which not, and by how many rows each table shrank."""
     journal = Journal(snapshots)
-    journal.recover(remote)
+    journal.recover(remote, writer)
     now = snapshots.load()
     asked = snapshots.spark.createDataFrame([(str(i),) for i in ids], "doc_id string")
     kept, known = incremental.delete({k: now[k] for k in KEYED if k in now}, asked)
@@ -184,7 +187,7 @@ def remove(snapshots: Snapshots, ids: list[str], remote: Remote | None = None) -
     found = sorted(r["doc_id"] for r in known.collect())
     if found:
         facts = {"pages": pages_of(kept["blocks"]).first()["pages"]}  # no signature: what was removed is read again
-        journal.execute("delete", kept | {"quality": quality(kept)}, found, remote, **facts)
+        journal.execute("delete", kept | {"quality": quality(kept)}, found, remote, writer, OUTSIDE, **facts)
     after = snapshots.manifest()["tables"]
     return {"deleted": found, "missing": sorted({str(i) for i in ids} - set(found)), "rows": {k: before[k] - after[k] for k in before}}
 

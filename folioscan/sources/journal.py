@@ -1,7 +1,8 @@
 """Changes of a set of tables and of an outside index together, which a crash can't leave half done.
 
 A journal says how far a change has come: its tables are staged, then the outside index is written, then the tables are
-made current.  Whoever finds a journal finishes the change from there.
+made current.  Whoever finds a journal finishes the change from there.  An outside index is told by a callback on the driver
+(`remote`, for small changes that come with their ids), or by the executors through the feed of changed rows (`writer`).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 
+from folioscan.sources import feed
 from folioscan.sources.tables import Snapshots
 
 NAME = "sync.json"
@@ -36,17 +38,24 @@ class Journal:
     def clear(self) -> None:
         self.files.delete(NAME)
 
-    def execute(self, operation: str, tables: dict[str, DataFrame], ids: list[str], remote: Remote | None = None, **facts) -> str:
-        """Stage `tables` as the new set, tell the outside index, make them current.  `ids` is a batch's list of documents."""
+    def execute(self, operation: str, tables: dict[str, DataFrame], ids: list[str], remote: Remote | None = None, writer: feed.Writer | None = None, keys: dict[str, str] | None = None, **facts) -> str:
+        """Stage `tables` as the new set, tell the outside index, make them current.
+
+        `ids` is a batch's list of documents for `remote`.  With `writer`, changes of the tables in `keys` (with their key
+        columns) are found against the current set, stored, and told part by part.
+        """
         if operation not in ("upsert", "delete"):
             raise ValueError(f"no such operation: {operation}")
         entry = {"operation": operation, "status": "remote_pending", "ids": ids, "staged": self.snapshots.stage(tables), "facts": facts, "created_at": datetime.now(UTC).isoformat()}
+        if writer is not None:
+            changed = feed.dealt(feed.changes(self.snapshots.load(), self.snapshots.staged(entry["staged"]), keys or {}))
+            entry["feed"] = self.snapshots.stage({"feed": changed}, by={"feed": "part"})
         self.save(entry)
-        self._tell(entry, remote)
+        self._tell(entry, remote, writer)
         self.save(entry | {"status": "local_pending"})
         return self._finish(entry)
 
-    def recover(self, remote: Remote | None = None) -> str | None:
+    def recover(self, remote: Remote | None = None, writer: feed.Writer | None = None) -> str | None:
         """Finish an interrupted change; its status, or None where there is none."""
         entry = self.load()
         if entry is None:
@@ -54,17 +63,23 @@ class Journal:
         status = str(entry.get("status") or "unknown").strip().lower()
         if "staged" in entry:
             if status != "local_pending":
-                self._tell(entry, remote)
+                self._tell(entry, remote, writer)
             self._finish(entry)
         else:
             self.clear()
         return status
 
-    def _tell(self, entry: dict, remote: Remote | None) -> None:
+    def _tell(self, entry: dict, remote: Remote | None, writer: feed.Writer | None) -> None:
+        if "feed" in entry:
+            if writer is None:
+                raise ValueError("a change whose feed is open needs its writer")
+            feed.tell(self.snapshots.staged(entry["feed"])["feed"], writer, f"{self.snapshots.folder}/{entry['feed']['snapshot']}/told")
         if remote is not None:
             remote(entry["operation"], self.snapshots.staged(entry["staged"]), [str(x) for x in entry["ids"] if str(x).strip()])
 
     def _finish(self, entry: dict) -> str:
         name = self.snapshots.publish(entry["staged"], **entry["facts"])
         self.clear()
+        if "feed" in entry:
+            self.files.delete(entry["feed"]["snapshot"])
         return name
