@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,30 @@ def save_results(rows: DataFrame, summary: DataFrame, folder: str) -> None:
     flat = rows.select([F.to_json(c).alias(c) if dict(rows.dtypes)[c].startswith(("array", "struct", "map")) else F.col(c) for c in rows.columns])
     flat.write.mode("overwrite").option("header", True).csv(f"{folder}/rows_csv")
     summary.write.mode("overwrite").json(f"{folder}/summary")
+
+
+def grid(queries: DataFrame, settings: DataFrame, dense: DataFrame, lexical: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(detail, summary) of all settings (setting, mode, k, rrf_k) over all questions, from two ranked lists found once.
+
+    Modes are dense, bm25 and hybrid (reciprocal ranks of both lists, the dense one first where scores are equal).  The lists
+    must reach the largest k.  detail: a row for each setting and question with n_results and first_rank (0: no relevant
+    document); summary: a row for each setting with n, hit_rate, mrr and insufficient_rate (questions without a result).
+    """
+    each = dense.select("query_id", "doc_id", "rank", F.lit("dense").alias("side"), F.lit(0).alias("place")).unionByName(lexical.select("query_id", "doc_id", "rank", F.lit("bm25").alias("side"), F.lit(1).alias("place")))
+    sides = settings.select("*", F.explode(F.when(F.col("mode") == "hybrid", F.array(F.lit("dense"), F.lit("bm25"))).otherwise(F.array("mode"))).alias("side"))
+    rows = each.join(sides, "side").groupBy("setting", "k", "query_id", "doc_id").agg(
+        F.round(F.sum(1.0 / (F.col("rrf_k") + F.col("rank"))), 12).alias("score"), F.min(F.struct("place", "rank")).alias("seen"),
+    )
+    place = F.row_number().over(Window.partitionBy("setting", "query_id").orderBy(F.desc("score"), "seen", "doc_id"))
+    found = rows.withColumn("rank", place.cast("long")).where(F.col("rank") <= F.col("k"))
+    good = qrels.select("query_id", "doc_id").distinct().withColumn("good", F.lit(True))
+    best = found.join(good, ["query_id", "doc_id"], "left").groupBy("setting", "query_id").agg(F.count("*").alias("n_results"), F.min(F.when(F.col("good"), F.col("rank"))).alias("first_rank"))
+    none = F.lit(0).cast("long")
+    every = settings.select("setting").join(queries.select("query_id"))  # a row for each: what is asked for
+    detail = every.join(best, ["setting", "query_id"], "left").select("setting", "query_id", F.coalesce("n_results", none).alias("n_results"), F.coalesce("first_rank", none).alias("first_rank"))
+    r = F.col("first_rank")
+    summary = detail.groupBy("setting").agg(
+        F.count("*").alias("n"), F.round(F.avg((r > 0).cast("double")), 9).alias("hit_rate"), F.round(F.avg(F.when(r > 0, 1.0 / r).otherwise(0.0)), 9).alias("mrr"),
+        F.round(F.avg((F.col("n_results") == 0).cast("double")), 9).alias("insufficient_rate"),
+    )
+    return detail, summary

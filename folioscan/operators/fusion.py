@@ -53,6 +53,19 @@ def keep_above(ranked: DataFrame, mode: str = "relative", absolute: float | None
     return ranked.withColumn("__keep", least.isNull() | none | F.coalesce(F.col(score) >= least, F.lit(False))).where("__keep").drop("__keep")
 
 
+#: The scores that a result may have, the one to judge by first.
+SCORE_KEYS = ("retrieval_score", "retrieval_multi_rrf_score", "retrieval_rrf_score", "bm25_score")
+
+
+def pick_score_key(ranked: DataFrame, keys: tuple[str, ...] = SCORE_KEYS) -> DataFrame:
+    """(query_id, score_key): the first of the score columns that a question's two best results both have as a number; null
+    where there is none, or only one result."""
+    here = [c for c in keys if c in ranked.columns]
+    top = ranked.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("__n <= 2")
+    both = top.groupBy("query_id").agg(*[F.count(F.col(c).try_cast("double")).alias(c) for c in here])
+    return both.select("query_id", (F.coalesce(*[F.when(F.col(c) == 2, F.lit(c)) for c in here]) if here else F.lit(None).cast("string")).alias("score_key"))
+
+
 def one_per_key(ranked: DataFrame, *keys: str, order: str = "rank") -> DataFrame:
     """The first row for each question and key."""
     return ranked.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", *keys).orderBy(order))).where("__n = 1").drop("__n")

@@ -110,15 +110,39 @@ def build(items: DataFrame, settings: IngestSettings | None = None, keep: Callab
     main_parents, _ = split_references(parents)
     if main.isEmpty():  # documents of references alone are asked as main text
         main, references, main_parents = flagged, flagged.limit(0), parents
-    sections = keep("sections", assets.section_summaries(main_parents.withColumn("ord", F.col("doc_idx")), s.section_summary_chars))
-    citations = keep("citations", assets.citation_edges(references))
-    papers = keep("papers", assets.papers(blocks, sections, citations, folds.abstract(blocks, sections=sections), s.paper_summary_chars))
+    sections, citations, papers = derived(blocks, main_parents, references, s, keep)
     return {
         "blocks": blocks, "chunks": main, "parents": main_parents, "references": references, "chunk_rows": chunk_rows(flagged), "papers": papers, "catalog": papers.drop("summary"), "sections": sections, "citations": citations,
         "reference_keywords": assets.keyword_counts(references, doc_id="chunk_uid").withColumnRenamed("doc_id", "chunk_uid").join(references.select("chunk_uid", "doc_id"), "chunk_uid"),
     }
 
 
+def derived(blocks: DataFrame, parents: DataFrame, references: DataFrame, s: IngestSettings, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sections, citations, papers) from the tables that they are made of."""
+    sections = keep("sections", assets.section_summaries(parents.withColumn("ord", F.col("doc_idx")), s.section_summary_chars))
+    citations = keep("citations", assets.citation_edges(references))
+    return sections, citations, keep("papers", assets.papers(blocks, sections, citations, folds.abstract(blocks, sections=sections), s.paper_summary_chars))
+
+
+def upgrade(snapshots: Snapshots, settings: IngestSettings | None = None) -> bool:
+    """Give a set from before papers, sections and catalog these tables; whether it was done.
+
+    They are made of the set's blocks, parents and references, and committed beside the tables that the set has, which stay
+    where they are.  A set that has them, or lacks blocks or parents, is left alone.
+    """
+    number, m = snapshots.current()
+    now = snapshots.load()
+    filled = lambda k: k in now and m["tables"][k] > 0
+    if m is None or all(map(filled, ("papers", "sections", "catalog"))) or not all(map(filled, ("blocks", "parents"))):
+        return False
+    references = now["references"] if "references" in now else now["chunks"].limit(0)
+    sections, citations, papers = (settled(x) for x in derived(now["blocks"], now["parents"], references, settings or IngestSettings()))
+    made = {"papers": papers, "catalog": papers.drop("summary"), "sections": sections, "citations": citations}
+    facts = {k: v for k, v in m.items() if k not in ("snapshot", "tables", "schemas", "at")}
+    snapshots.commit(made, keep=[k for k in m["tables"] if k not in made], base=number, **facts)
+    return True
+
+
 def quality(tables: dict[str, DataFrame]) -> DataFrame:
     """One row: chunks, those with a flag and their share, references and suspicious ones, over a whole set of tables."""
     purity = assets.reference_purity(tables["references"]).select(F.col("total").alias("references"), F.col("suspicious").alias("suspicious_references"))

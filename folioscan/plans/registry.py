@@ -455,6 +455,32 @@ def eval_hit_mrr(spark, sf_dir):
     return evaluate.hit_and_mrr(first_match_rank(spark, sf_dir))
 
 
+_SETTINGS = (("bm25", "bm25", 5, 60), ("dense", "dense", 10, 60), ("fused", "hybrid", 10, 60), ("sharp", "hybrid", 3, 5))
+
+
+@query(f"""WITH {bm25_sql()}, {dense_sql()}, b AS ({OUT}), j AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+set_ AS (SELECT * FROM (VALUES {", ".join(map(str, _SETTINGS))}) AS v(setting, mode, k, rrf_k)),
+e AS (SELECT query_id, doc_id, rank, 'dense' AS side, 0 AS l FROM dense UNION ALL SELECT query_id, doc_id, rank, 'bm25', 1 FROM b),
+f AS (SELECT setting, k, query_id, doc_id, round(sum(1.0::DOUBLE / (rrf_k + rank)), 12) AS score, min(l * 1000000 + rank) AS seen FROM e JOIN set_ ON mode = 'hybrid' OR mode = side GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY setting, query_id ORDER BY score DESC, seen, doc_id) AS rank FROM f QUALIFY rank <= k),
+h AS (SELECT setting, query_id, count(*) AS n_results, min(rank) FILTER ((query_id, doc_id) IN (SELECT (query_id, doc_id) FROM j)) AS r FROM g GROUP BY ALL),
+all_ AS (SELECT setting, item_id AS query_id, coalesce(n_results, 0) AS n_results, coalesce(r, 0) AS r FROM set_ CROSS JOIN benchmark LEFT JOIN h ON h.setting = set_.setting AND query_id = item_id)
+SELECT setting, count(*) AS n, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END), 9) AS hit_rate, round(avg(CASE WHEN r > 0 THEN 1.0::DOUBLE / r ELSE 0 END), 9) AS mrr,
+ round(avg(CASE WHEN n_results = 0 THEN 1.0 ELSE 0 END), 9) AS insufficient_rate FROM all_ GROUP BY setting""".replace("SELECT setting, item_id", "SELECT set_.setting, item_id"))
+def benchmark_run(spark, sf_dir):
+    """A grid of settings over all questions, from one list of each kind."""
+    settings = spark.createDataFrame(list(_SETTINGS), "setting string, mode string, k int, rrf_k int")
+    return evaluate.grid(questions(spark, sf_dir), settings, dense_ranked(spark, sf_dir), ranked(spark, sf_dir), _qrels(spark, sf_dir))[1]
+
+
+@query(f"""WITH {bm25_sql()}, b AS ({OUT}), t AS (SELECT query_id, rank, score, CASE WHEN doc_id % 3 > 0 THEN 1.0 / rank END AS fused FROM b WHERE rank <= 2)
+SELECT query_id, CASE WHEN count(fused) = 2 THEN 'retrieval_rrf_score' WHEN count(score) = 2 THEN 'bm25_score' END AS score_key FROM t GROUP BY query_id""")
+def score_keys(spark, sf_dir):
+    """Results whose fused score is missing for some."""
+    r = ranked(spark, sf_dir).withColumn("retrieval_rrf_score", F.when(F.col("doc_id") % 3 > 0, 1.0 / F.col("rank")))
+    return fusion.pick_score_key(r.withColumnRenamed("score", "bm25_score"))
+
+
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_ms, quantile_disc(value, 0.95) AS p95_ms FROM events GROUP BY event_type")
 def latency_p95(spark, sf_dir):
     return evaluate.latency(table(spark, sf_dir, "events"), "value", "event_type")

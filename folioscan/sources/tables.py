@@ -197,6 +197,12 @@ class Snapshots:
                 out.append(f"count_mismatch:{k}")
         return out
 
+    def forget(self, *facts: str) -> None:
+        """Make the same tables current without some facts, such as the signature by which a repeated ingest is skipped."""
+        number, now = self.current()
+        if now is not None and any(f in now for f in facts):
+            self.files.write(f"manifest-{max(self._numbers()) + 1:09d}.json", {k: v for k, v in now.items() if k not in facts})
+
     def prune(self) -> None:
         """Delete manifests and tables that are not current; readers of older sets must be done."""
         m = self.manifest() or {"tables": {}, "snapshot": None}
@@ -214,6 +220,48 @@ class Snapshots:
                     self.files.delete(f"{x}/{k}")
 
 
+#: Names that a file system keeps for itself.
+RESERVED = ("CON", "PRN", "AUX", "NUL", *[f"{d}{n}" for d in ("COM", "LPT") for n in range(1, 10)])
+
+
+def upload_names(uploads: DataFrame, taken: DataFrame | None = None, name: str = "name", order: str = "upload_id") -> DataFrame:
+    """`uploads` with `file`, a safe PDF name for each: no folders, signs that systems refuse or leading dots, and a number
+    where another upload or a name in `taken` (file) has it already."""
+    base = F.trim(F.element_at(F.split(T.text_or_empty(F.col(name)), "/"), -1))
+    safe = F.regexp_replace(F.regexp_replace(F.regexp_replace(base, r'[<>:"/\\|?*\x00-\x1f]', "_"), r"\s+", "_"), r"^\.+", "")
+    stem = F.regexp_replace(safe, r"(?s)(.)\.[^.]*$", "$1")
+    stem = F.when(stem == "", "uploaded").when(F.upper(stem).isin(*RESERVED), F.concat(F.lit("upload_"), stem)).otherwise(stem)
+    rows = uploads.withColumn("__stem", stem)
+    # a name's own number among equals; names that are taken count before all uploads
+    held = rows.select("__stem").distinct().withColumn("__held", F.lit(0))
+    if taken is not None:
+        number = taken.select(F.regexp_extract("file", r"^(.*?)(?:_(\d+))?\.pdf$", 1).alias("__stem"), F.coalesce(F.nullif(F.regexp_extract("file", r"^(.*?)(?:_(\d+))?\.pdf$", 2), F.lit("")).try_cast("int"), F.lit(0)).alias("n"))
+        held = held.drop("__held").join(number.groupBy("__stem").agg((F.max("n") + 1).alias("__held")), "__stem", "left").na.fill(0, ["__held"])
+    place = F.row_number().over(Window.partitionBy("__stem").orderBy(order)) - 1
+    numbered = rows.withColumn("__place", place).join(held, "__stem").withColumn("__place", F.col("__place") + F.col("__held"))
+    return numbered.withColumn("file", F.concat("__stem", F.when(F.col("__place") > 0, F.concat(F.lit("_"), F.col("__place").cast("string"))).otherwise(""), F.lit(".pdf"))).drop("__stem", "__held", "__place")
+
+
+def layout_folders(files: DataFrame) -> DataFrame:
+    """`files` (path, length, modificationTime in nanoseconds) with `folder`, where a parser keeps what it made of this version of a file."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?s)(.)\.[^.]*$", "$1")
+    mark = F.sha1(F.concat_ws("::", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string")).cast("binary"))
+    return files.withColumn("folder", F.concat(F.substring(F.regexp_replace(stem, r"[^a-zA-Z0-9._-]+", "_"), 1, 64), F.lit("_"), F.substring(mark, 1, 12)))
+
+
+def layout_files(found: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(path, layout): of the content lists (folder, layout) in each job's folder (path, folder) the first whose name has the
+    file's, or else the first."""
+    stem = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?s)(.)\.[^.]*$", "$1"))
+    lists = found.where(F.col("layout").endswith("_content_list.json"))
+    fits = F.contains(F.lower(F.element_at(F.split("layout", "/"), -1)), stem)
+    return jobs.join(lists, "folder").groupBy("path").agg(F.min(F.struct((~fits).alias("other"), F.col("layout"))).alias("x")).select("path", "x.layout")
+
+
+#: Columns of the local catalog that have an index.
+INDEXED = {"papers": ("doc_id", "year", "venue"), "citations": ("doc_id", "cited_year"), "sections": ("doc_id", "section")}
+
+
 def write_sqlite(path: str, papers: DataFrame, citations: DataFrame, sections: DataFrame) -> None:
     """A local catalog file for tools, streamed to the driver's disk row by row; not meant for tables beyond one machine."""
     with sqlite3.connect(path) as db:
@@ -222,7 +270,9 @@ def write_sqlite(path: str, papers: DataFrame, citations: DataFrame, sections: D
             db.execute(f"DROP TABLE IF EXISTS {name}")
             db.execute(f"CREATE TABLE {name} ({', '.join(flat.columns)})")
             db.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(flat.columns))})", (tuple(r) for r in flat.toLocalIterator()))
-            db.execute(f"CREATE INDEX {name}_by_doc ON {name} (doc_id)")
+            for c in INDEXED[name]:
+                if c in flat.columns:
+                    db.execute(f"CREATE INDEX {name}_by_{c} ON {name} ({c})")
 
 
 def question_rows(lines: DataFrame) -> DataFrame:
