@@ -114,43 +114,56 @@ def _key(chosen: tuple[int, ...]) -> int:
     return key
 
 
-def passed_over(word: str, first: list[int], chosen: tuple[int, ...], place: dict[int, int]) -> int:
-    """Up to two places (from 1, a byte each) of bigrams that stand once in a word and that a choice passes over.
+#: Choices of SHARED of the first bigrams, each with those that it passes over before its last one.
+CHOICES = [(c, [i for i in range(c[-1]) if i not in c]) for c in combinations(range(SHARED + 2), SHARED)]
 
-    A pair counts under its first SHARED common bigrams, so one that a word has before the last of these and that was not
-    chosen is not in the other word.
-    """
-    out = 0
-    for g in first[: first.index(chosen[-1])]:
-        if g not in chosen and 0 < place.get(g, 0) < 256:
-            out = out << 8 | place[g]
-    return out
 
+def routes(word: str, ranked: dict[str, tuple[int, int]]) -> tuple[list[int], list[int], list[int]]:
+    """(keys, places passed over, rarest bigram's place in the ranking) of a word's choices.
 
-def single_places(word: str, first: list[int], ranked: dict[str, tuple[int, int]]) -> dict[int, int]:
-    """Places (from 1) of those first bigrams of a word that stand in it once."""
-    count = Counter(word[i : i + 2] for i in range(len(word) - 1))
-    wanted = set(first)
-    return {g: i + 1 for i in range(len(word) - 1) if count[word[i : i + 2]] == 1 and (g := ranked[word[i : i + 2]][0] << 32) in wanted}
+    A pair counts under its first SHARED common bigrams, so one that a word has before the last of these and that was not
+    chosen is not in the other word.  Up to two such places (from 1, a byte each) are given, of bigrams that stand in the
+    word once.
+    """
+    times: dict[str, int] = {}
+    found = []
+    for i in range(len(word) - 1):
+        g = word[i : i + 2]
+        times[g] = k = times.get(g, -1) + 1
+        found.append((ranked[g][0] << 32 | k, i + 1, g))
+    found.sort()
+    first = [x[0] for x in found[: SHARED + 2]]
+    small = [(x >> 32) << 8 | x & 255 for x in first]
+    place = [p if p < 256 and not times[g] else 0 for _, p, g in found[: SHARED + 2]]
+    keys, over, rarest = [], [], []
+    for (a, *rest), passed in CHOICES:
+        key = small[a]
+        for i in rest:
+            key = key << 21 | small[i]
+        keys.append(key)
+        out = 0
+        for i in passed:
+            if place[i]:
+                out = out << 8 | place[i]
+        over.append(out)
+        rarest.append(small[a] >> 8)
+    return keys, over, rarest
 
 
 def routed(words: DataFrame, ranked: dict[str, tuple[int, int]]) -> DataFrame:
     """(key, word, n, over, most) for each choice of bigrams; `over` are places passed over, `most` bounds the key's group."""
-    count = dict(ranked.values())
+    count = np.array([n for _, n in sorted(ranked.values())], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, over, most, sizes = [], [], [], []
+            keys, over, rarest = [], [], []
             for word in batch.column(0).to_pylist():
-                first = first_bigrams(word, ranked)
-                place = single_places(word, first, ranked)
-                chosen = list(combinations(first, SHARED))
-                sizes.append(len(chosen))
-                key += map(_key, chosen)
-                over += [passed_over(word, first, c, place) for c in chosen]
-                most += [count[c[0] >> 32] for c in chosen]  # the rarest comes first
-            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            yield as_arrow(key=np.array(key, np.int64), word=batch.column(0).take(at), n=batch.column(1).take(at), over=np.array(over, np.int32), most=np.array(most, np.int64))
+                k, o, r = routes(word, ranked)
+                keys += k
+                over += o
+                rarest += r
+            at = pa.array(np.repeat(np.arange(batch.num_rows), len(CHOICES)))
+            yield as_arrow(key=np.array(keys, np.int64), word=batch.column(0).take(at), n=batch.column(1).take(at), over=np.array(over, np.int32), most=count[np.array(rarest, np.int64)])
 
     return words.mapInArrow(run, "key long, word string, n long, over int, most long")
 
