@@ -94,11 +94,34 @@ FIELD_LABELS = {
 
 # ---- references
 REFERENCE_HEADINGS = ("references", "bibliography", "reference", "参考文献", "参考资料")
+#: Words that a reference entry names its venue by.
 VENUES = (
     "arxiv", "ieee", "acm", "springer", "nature", "science", "cvpr", "iccv", "eccv", "neurips", "icml", "acl", "emnlp", "naacl",
     "aaai", "ijcai", "kdd", "miccai", "tpami", "jmlr", "journal", "conference", "proceedings", "transactions",
 )
 
+# ---- first pages: fixed values of banner lines (patterns, lower case) and of venues that a title page names
+PAGE_BANNERS = (
+    r"^article in press$",
+    r"^pdf download\b",
+    r"^download\b",
+    r"^open access support provided by",
+    r"^citation in bibtex",
+    r"^handling editor:\s*",
+    r"^a\s*r\s*t\s*i\s*c\s*l\s*e\s*i\s*n\s*f\s*o$",
+    r"^a\s*b\s*s\s*t\s*r\s*a\s*c\s*t$",
+    r"^published:\s*",
+    r"^received:\s*",
+    r"^accepted:\s*",
+    r"^available online\b",
+    r"^supplementary material\b",
+    r"^total citations?\b",
+    r"total downloads",
+    r"total citations",
+    r"^(?:https?://|www\.)",
+)
+PAGE_VENUES = ("arxiv", "ieee", "acm", "springer", "nature", "science", "talanta", "cvpr", "iccv", "eccv", "neurips", "icml", "acl", "emnlp", "naacl", "aaai", "ijcai", "kdd", "miccai", "tpami", "jmlr")
+
 # ---- readiness: what is missing by table, and how it is said
 NOT_READY = {
     "chunks": "missing_main_chunk_corpus", "parents": "missing_parent_corpus", "papers": "missing_paper_corpus", "sections": "missing_section_summary_corpus",

@@ -13,13 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions.arrow import normal_text
+from folioscan.functions.vocabulary import PAGE_BANNERS, PAGE_VENUES
 
-# ---- fixed values: what banners, publication lines and affiliations say
-BANNERS = re.compile(
-    r"^article in press$|^pdf download\b|^download\b|^open access support provided by|^citation in bibtex|^handling editor:\s*|^a\s*r\s*t\s*i\s*c\s*l\s*e\s*i\s*n\s*f\s*o$"
-    r"|^a\s*b\s*s\s*t\s*r\s*a\s*c\s*t$|^published:\s*|^received:\s*|^accepted:\s*|^available online\b|^supplementary material\b|^total citations?\b|total downloads|total citations|^(?:https?://|www\.)"
-)
-VENUES = ("arxiv", "ieee", "acm", "springer", "nature", "science", "talanta", "cvpr", "iccv", "eccv", "neurips", "icml", "acl", "emnlp", "naacl", "aaai", "ijcai", "kdd", "miccai", "tpami", "jmlr")
+BANNERS = re.compile("|".join(f"(?:{p})" for p in PAGE_BANNERS))
+# ---- fixed values: what publication lines and affiliations say
 PUBLISHING = ("conference", "proceedings", "journal", "communications", "transaction", "transactions", "published", "doi", "arxiv", "vol.", "volume", "issue")
 AFFILIATIONS = ("university", "college", "school", "department", "institute", "laboratory", "hospital", "faculty", "momenta", "microsoft research")
 OPENERS = ("abstract", "keywords", "introduction")
@@ -68,7 +65,7 @@ class Line:
     def authored(self) -> bool:
         """Shaped like names: a quarter of a list's words at least, or a short line of capitalised words."""
         dated = re.search(r"\b(received|accepted|published)\b", self.low)
-        venue = self.says(VENUES + PUBLISHING) and not self.lists and not re.search(r"\d", self.text)
+        venue = self.says(PAGE_VENUES + PUBLISHING) and not self.lists and not re.search(r"\d", self.text)
         if not self.text or len(self.text) > 420 or self.banner or self.opens or self.linked or dated or venue or self.text.count("@") >= 2:
             return False
         if self.lists:
@@ -126,7 +123,7 @@ def year_of(lines: list[Line], stem: str, at: int) -> str:
     for x in lines[max(0, at - 3) : max(at + 18, 18)]:
         if x.banner or not x.years:
             continue
-        weight = 1 + 3 * x.says(PUBLISHING) + 2 * x.says(VENUES) + 2 * (len(x.text) <= 80 and len(x.years) == 1) - ("received" in x.low) - ("accepted" in x.low) - 3 * ("introduction" in x.low)
+        weight = 1 + 3 * x.says(PUBLISHING) + 2 * x.says(PAGE_VENUES) + 2 * (len(x.text) <= 80 and len(x.years) == 1) - ("received" in x.low) - ("accepted" in x.low) - 3 * ("introduction" in x.low)
         for y in x.years:
             votes[y] = votes.get(y, 0) + weight
     if votes:
@@ -160,11 +157,11 @@ def venue_of(lines: list[Line], stem: str, at: int) -> str:
     for x in lines[: max(12, at + 10 if at >= 0 else 14)]:
         if not x.text or x.banner or (x.says(AFFILIATIONS) and not x.says(PUBLISHING)):
             continue
-        for v in VENUES:
+        for v in PAGE_VENUES:
             if re.search(rf"\b{v}\b", x.low):
                 score = 1 + 3 * x.says(PUBLISHING) + 2 * x.low.startswith(v) + ("|" in x.text or ":" in x.text)
                 best = max(best, (score, v.upper()), key=lambda b: b[0])
-    return best[1] or next((v.upper() for v in VENUES if re.search(rf"\b{v}\b", stem.lower())), "")
+    return best[1] or next((v.upper() for v in PAGE_VENUES if re.search(rf"\b{v}\b", stem.lower())), "")
 
 
 def metadata(page: str | None, file_name: str | None) -> tuple[str, str, str, str, str, str]:
