@@ -28,59 +28,57 @@ def test_changes(spark):
             feed.changes({}, {"t": table(spark, bad)}, {"t": "k"}).collect()
 
 
-class Outside:
-    """A folder with a file for each key, and a log of the parts that were told; fails where it is told to."""
+def writer_to(folder):
+    """Puts a file for each key into a folder, logs the parts that were told, and fails where it is told to."""
+    folder = str(folder)
+    os.makedirs(f"{folder}/rows", exist_ok=True)
 
-    def __init__(self, folder):
-        self.folder = str(folder)
-        os.makedirs(f"{folder}/rows", exist_ok=True)
-
-    def __call__(self, part, changes):
+    def tell(part, changes):
         for i, (name, op, key, row) in enumerate(changes):
-            if i == 1 and part == 1 and os.path.exists(f"{self.folder}/fail"):
+            if i == 1 and part == 1 and os.path.exists(f"{folder}/fail"):
                 raise ConnectionError("the index is away")
-            at = Path(f"{self.folder}/rows/{name}-{key.replace('/', '_')}")
+            at = Path(f"{folder}/rows/{name}-{key.replace('/', '_')}")
             if op == "delete":
                 at.unlink(missing_ok=True)
             else:
                 at.write_text(row)
-        with open(f"{self.folder}/log", "a") as f:
+        with open(f"{folder}/log", "a") as f:
             f.write(f"{part}\n")
 
-    def rows(self):
-        return {x.name: x.read_text() for x in Path(f"{self.folder}/rows").iterdir()}
+    return tell
+
 
-    def log(self):
-        return sorted(map(int, Path(f"{self.folder}/log").read_text().split()))
+def rows_in(folder):
+    return {x.name: x.read_text() for x in (folder / "rows").iterdir()}
 
 
 def test_a_crash_between_parts_is_resumed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(feed, "PART", 10)
     monkeypatch.setattr(feed.dealt, "__defaults__", (10,))
-    s, out = tables.Snapshots(spark, str(tmp_path / "kb")), Outside(tmp_path / "out")
+    s, out = tables.Snapshots(spark, str(tmp_path / "kb")), writer_to(tmp_path / "out")
     j = journal.Journal(s)
     one = table(spark, [(f"k{i}", i, None) for i in range(60)])
     (tmp_path / "out" / "fail").touch()
     with pytest.raises(Exception, match="away"):
         j.execute("upsert", {"t": one}, [], writer=out, keys={"t": "k"})
-    assert j.pending() and s.load() == {} and len(out.rows()) < 60
+    assert j.pending() and s.load() == {} and len(rows_in(tmp_path / "out")) < 60
     with pytest.raises(ValueError, match="writer"):
         j.recover()
     (tmp_path / "out" / "fail").unlink()
     assert j.recover(writer=out) == "remote_pending" and not j.pending()
-    assert {json.loads(x)["k"] for x in out.rows().values()} == {f"k{i}" for i in range(60)} == {r.k for r in s.load()["t"].collect()}
-    assert out.log() == list(range(6))  # each part once: the one that failed was not marked
+    assert {json.loads(x)["k"] for x in rows_in(tmp_path / "out").values()} == {f"k{i}" for i in range(60)} == {r.k for r in s.load()["t"].collect()}
+    assert sorted(map(int, (tmp_path / "out" / "log").read_text().split())) == list(range(6))  # each part once: the one that failed was not marked
     two = one.where("v >= 20").withColumn("v", F.when(F.col("v") < 30, -F.col("v")).otherwise(F.col("v")))
     j.execute("delete", {"t": two}, [], writer=out, keys={"t": "k"})
-    assert sorted((json.loads(x)["k"], json.loads(x)["v"]) for x in out.rows().values()) == sorted((r.k, r.v) for r in two.collect())
+    assert sorted((json.loads(x)["k"], json.loads(x)["v"]) for x in rows_in(tmp_path / "out").values()) == sorted((r.k, r.v) for r in two.collect())
     assert [x for x in s.files.names() if len(x) == 32 and "feed" in tables.Files(spark, f"{s.folder}/{x}").names()] == []
 
 
 def test_ingest_tells_rows_without_ids_on_the_driver(spark, tmp_path):
-    s, out = tables.Snapshots(spark, str(tmp_path / "kb")), Outside(tmp_path / "out")
+    s, out = tables.Snapshots(spark, str(tmp_path / "kb")), writer_to(tmp_path / "out")
     assert ingest.ingest(items(spark, ["a", "b"]), s, writer=out)["documents"] == 2
     ingest.ingest(items(spark, ["b", "c"]), s, writer=out)
     ingest.remove(s, ["a"], writer=out)
     now = s.load()
     want = {f"{t}-{r[k]}" for t, k in ingest.OUTSIDE.items() for r in now[t].collect()}
-    assert set(out.rows()) == {x.replace("/", "_") for x in want} and want
+    assert set(rows_in(tmp_path / "out")) == {x.replace("/", "_") for x in want} and want
