@@ -7,6 +7,10 @@ import tempfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a settled table that every executor may be sent.
+FEW = 1 << 16
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -26,3 +30,9 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
+
+
+def side(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A settled table as a join's side: sent to all executors if it has few rows, which are counted, and never otherwise; Spark
+    takes the size of an exploded table for that of its source, and would send millions of rows through the driver."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")

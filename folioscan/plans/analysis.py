@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folioscan.functions import text as T
 from folioscan.functions import vocabulary as V
 from folioscan.operators.matching import containing
-from folioscan.operators.settle import settled
+from folioscan.operators.settle import settled, side
 
 
 @dataclass(frozen=True)
@@ -209,7 +209,8 @@ def allowed_documents(parsed: DataFrame, papers: DataFrame) -> DataFrame:
     constraint, or none that anything fits.
 
     Fields must all fit, one of a field's terms is enough; texts are compared as substrings, years as members.  A paper's
-    fields are read once for the terms of all questions; what they hold is joined to the questions by field and term.
+    fields are read once for the terms of all questions.  What they hold is joined by field and term to the distinct sets of
+    constraints, and questions take the papers of their set.
     """
     fields = list(V.FIELD_LABELS)
     columns = {"source": "source", "title": "title", "author": "authors", "venue": "venue", "keyword": "keywords"}
@@ -219,13 +220,17 @@ def allowed_documents(parsed: DataFrame, papers: DataFrame) -> DataFrame:
 
     wanted = F.concat(under("years", "year"), *[under(f"{f}_terms", f) for f in fields])
     needed = reduce(lambda a, b: a + b, [(F.size(c) > 0).cast("int") for c in ("years", *[f"{f}_terms" for f in fields])])
-    asked = settled(parsed.select("query_id", needed.alias("needed"), F.explode(wanted).alias("w")).select("query_id", "needed", "w.grp", "w.needle").where("needle <> ''").distinct())
+    terms = F.array_sort(F.array_distinct(F.filter(wanted, lambda w: w["needle"] != "")))
+    key = F.sha1(F.to_json(F.struct("needed", "wants")).cast("binary")).alias("key")
+    each = settled(parsed.select("query_id", needed.alias("needed"), terms.alias("wants")).select("query_id", "needed", "wants", key)).where(F.size("wants") > 0)
+    asked = settled(each.select("key", "needed", "wants").distinct().select("key", "needed", F.explode("wants").alias("w")).select("key", "needed", "w.grp", "w.needle"))
     text = lambda c: T.norm(F.col(c).cast("string")) if c in papers.columns else F.lit("")
     year = F.col("year").cast("string") if "year" in papers.columns else F.lit("")
-    each = papers.select(F.col("doc_id").alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("grp"), text(c).alias("text")) for f, c in columns.items()])).alias("x")).select("id", "x.grp", "x.text")
-    held = containing(each, asked.where("grp <> 'year'")).unionByName(papers.select(F.col("doc_id").alias("id"), F.lit("year").alias("grp"), year.alias("needle")))
-    fits = held.join(asked, ["grp", "needle"]).groupBy("query_id", F.col("id").alias("doc_id")).agg(F.count_distinct("grp").alias("n"), F.max("needed").alias("needed"))
-    return fits.where("n = needed").select("query_id", "doc_id")
+    fields_of = papers.select(F.col("doc_id").alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("grp"), text(c).alias("text")) for f, c in columns.items()])).alias("x")).select("id", "x.grp", "x.text")
+    held = containing(fields_of, asked.where("grp <> 'year'")).unionByName(papers.select(F.col("doc_id").alias("id"), F.lit("year").alias("grp"), year.alias("needle")))
+    found = held.join(side(asked), ["grp", "needle"]).groupBy("key", F.col("id").alias("doc_id")).agg(F.count_distinct("grp").alias("n"), F.max("needed").alias("needed"))
+    fits = settled(found.where("n = needed").select("key", "doc_id"))
+    return each.select("query_id", "key").join(side(fits), "key").select("query_id", "doc_id")
 
 
 # ---------------------------------------------------------------- comparison

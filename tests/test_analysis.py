@@ -65,3 +65,15 @@ def test_references(spark):
 def test_text_functions(spark):
     r = one(spark, "  A　b\tc  ", T.squeeze(F.col("text")).alias("s"), T.tokens(F.lit("naïve 图像 X_1")).alias("t"), T.truncate(F.lit("abcdefghij"), 8).alias("c"), T.string_list(F.lit('["a", " b "]')).alias("j"), T.string_list(F.lit("x| y |")).alias("p"), T.distinct_terms(F.array(F.lit("A"), F.lit("a "), F.lit("b"))).alias("d"), T.language(F.lit("图像分类")).alias("l"), T.top_section(F.lit("A > B")).alias("top"))
     assert (r.s, r.t, r.c, r.j, r.p, r.d, r.l, r.top) == ("A b c", ["na", "ve", "图", "像", "x_1"], "abcde...", ["a", "b"], ["x", "y"], ["A", "b"], "zh", "A")
+
+
+def test_constraints_meet_papers_by_distinct_sets(spark, monkeypatch):
+    """What is joined to papers, and may be sent to executors, are the sets of constraints and not the questions."""
+    sizes = []
+    settled = analysis.settled
+    monkeypatch.setattr(analysis, "settled", lambda df: (lambda d: sizes.append((d.columns, d.count())) or d)(settled(df)))
+    q = spark.range(300).selectExpr("id AS query_id", "CASE id % 3 WHEN 0 THEN 'author: Lee' WHEN 1 THEN 'papers 2001-2003' ELSE 'open' END AS text")
+    papers = spark.createDataFrame([(1, "Ann Lee", 2002), (2, "Bo", 2003), (3, "Cy", 2010)], "doc_id long, authors string, year int")
+    got = analysis.allowed_documents(analysis.constraints(q, 2026), papers)
+    assert sorted(map(tuple, got.collect())) == sorted([(i, 1) for i in range(0, 300, 3)] + [(i, d) for i in range(1, 300, 3) for d in (1, 2)])
+    assert [n for c, n in sizes if "query_id" not in c] == [4, 3]
