@@ -10,6 +10,8 @@ from folioscan.functions.vocabulary import BANNER_WORDS, FRONT_MATTER, NOISE_SEC
 #: A CJK character alone, or a run of ASCII letters, digits and underscores.
 TOKEN = r"[一-鿿]|[a-z0-9_]+"
 _WORD = r"[\p{L}\p{N}_]"
+#: What ends a word for SQL engines whose `\b` knows ASCII alone.
+ASCII_WORD = "[A-Za-z0-9_]"
 #: Fixed value: the section of what stands before any heading.
 BODY = "正文"
 
@@ -105,20 +107,20 @@ def normal_reference_heading(c: Column) -> Column:
     return let(heading(c), named)
 
 
-def reference_features(df: DataFrame, column: str) -> DataFrame:
+def reference_features(df: DataFrame, column: str, word: str = _WORD) -> DataFrame:
     """`df` with the struct `ref` of a text's reference features: s (squeezed), opens (a references heading), years,
     signal (0 to 5: number prefix, up to two years, authors, venue), entry, goes_on (a continuation), chunk, body (a
-    paragraph after the references).
+    paragraph after the references).  `word` is the class of characters that words are made of.
 
     Each step is a projection of its own, so that every pattern is matched once.
     """
     s, low, sig, yrs = F.col("__s"), F.lower("__s"), F.col("__signal"), F.col("__years")
-    authors = low.contains("et al") | s.rlike(rf"(?:(?<!{_WORD})[A-Z]\.\s*){{2,}}") | s.rlike(rf"(?<!{_WORD})[A-Z][a-z'`-]+,\s*[A-Z]\.")
-    marks = rf"(?<!{_WORD})(?:doi|arxiv|in\s+proceedings)(?!{_WORD})|(?<!{_WORD})(?:pp?\.|vol\.|no\.|proc\.)(?={_WORD})"
+    authors = low.contains("et al") | s.rlike(rf"(?:(?<!{word})[A-Z]\.\s*){{2,}}") | s.rlike(rf"(?<!{word})[A-Z][a-z'`-]+,\s*[A-Z]\.")
+    marks = rf"(?<!{word})(?:doi|arxiv|in\s+proceedings)(?!{word})|(?<!{word})(?:pp?\.|vol\.|no\.|proc\.)(?={word})"
     venue = _any(low.contains(v) for v in VENUES) | low.rlike(marks)
-    body = low.rlike(rf"^(?:appendix|supplement|supplementary|acknowledg|conclusion|discussion)(?!{_WORD})") | s.rlike(r"^(?:\d+(?:\.\d+)*|[A-Z]|[IVXLCM]+)[.)]?\s+[A-Z]")
+    body = low.rlike(rf"^(?:appendix|supplement|supplementary|acknowledg|conclusion|discussion)(?!{word})") | s.rlike(r"^(?:\d+(?:\.\d+)*|[A-Z]|[IVXLCM]+)[.)]?\s+[A-Z]")
     out = df.withColumn("__s", squeeze(F.col(column))).withColumn("__opens", is_reference_heading(F.col(column)))
-    out = out.withColumns({"__prefix": s.rlike(r"^(?:\[\d+\]|\(\d+\)|\d+\.)\s+"), "__years": F.regexp_count(low, F.lit(rf"(?<!{_WORD})(?:19|20)\d{{2}}[a-z]?(?!{_WORD})")), "__authors": authors, "__venue": venue})
+    out = out.withColumns({"__prefix": s.rlike(r"^(?:\[\d+\]|\(\d+\)|\d+\.)\s+"), "__years": F.regexp_count(low, F.lit(rf"(?<!{word})(?:19|20)\d{{2}}[a-z]?(?!{word})")), "__authors": authors, "__venue": venue})
     out = out.withColumn("__signal", F.when(s == "", 0).otherwise(F.col("__prefix").cast("int") + F.least(yrs, F.lit(2)) + F.col("__authors").cast("int") + F.col("__venue").cast("int")))
     long = F.length(s) >= 20
     out = out.withColumns({"__entry": long & (sig >= F.when(F.col("__prefix"), 3).otherwise(4)), "__on": long & (F.col("__opens") | ((sig >= 3) & (yrs >= 1)))})

@@ -70,10 +70,10 @@ def quality_report(flagged: DataFrame) -> DataFrame:
     return one.crossJoin(counts).withColumn("failed_rate", F.col("failed") / F.greatest(F.col("total"), F.lit(1)))
 
 
-def reference_purity(chunks: DataFrame, examples: int = 8) -> DataFrame:
+def reference_purity(chunks: DataFrame, examples: int = 8, word: str = T._WORD) -> DataFrame:
     """One row: total, suspicious, rate and a few examples of reference chunks that don't look like references."""
     c, path = F.col("text"), F.col("section_path")
-    odd = T.reference_features(chunks, "text").withColumn("odd", ~(F.col("ref.opens") | (T.is_reference_section(path) & F.col("ref.chunk"))))
+    odd = T.reference_features(chunks, "text", word).withColumn("odd", ~(F.col("ref.opens") | (T.is_reference_section(path) & F.col("ref.chunk"))))
     shown = odd.where("odd").orderBy("chunk_uid").limit(examples).agg(F.collect_list(F.struct("chunk_uid", F.substring(T.squeeze(c), 1, 180).alias("preview"))).alias("examples"))
     return odd.agg(F.count("*").alias("total"), F.count_if("odd").alias("suspicious"), F.coalesce(F.avg(F.col("odd").cast("int")), F.lit(0.0)).alias("rate")).crossJoin(shown)
 

@@ -127,7 +127,7 @@ def _block_heading(line: Column) -> Column:
     return marked | ((F.upper(line) == line) & (F.lower(line) != line) & (F.length(line) <= 80))
 
 
-def annotate_blocks(items: DataFrame) -> DataFrame:
+def annotate_blocks(items: DataFrame, word: str = T._WORD) -> DataFrame:
     """Layout items (doc_id, ord, page_idx from 0, type, text and further columns) as blocks with page (from 1),
     section_path and is_reference.
 
@@ -142,7 +142,7 @@ def annotate_blocks(items: DataFrame) -> DataFrame:
     text = T.text_or_empty(F.col("text"))
     kind = F.lower(F.trim(T.text_or_empty(F.col("type"))))
     seen = items.withColumns({"text": text, "type": F.when(kind == "", "text").otherwise(kind), "page_idx": F.greatest(F.coalesce(F.col("page_idx").cast("long"), F.lit(0)), F.lit(0))})
-    seen = T.reference_features(seen, "text")
+    seen = T.reference_features(seen, "text", word)
     may_head = F.col("type").isin("text", "discarded") & (F.col("text") != "")
     seen = seen.withColumn("__level", F.when(may_head, T.heading_level(F.col("text")))).withColumn("__title", T.normal_reference_heading(F.col("text")))
     page = F.col("page_idx") + 1

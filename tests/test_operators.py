@@ -205,3 +205,12 @@ def test_registered_queries_match_sql(spark, name):
     c = sorted(a.columns)
     assert c == sorted(b.columns)
     assert sorted(map(tuple, a[c].astype(str).values)) == sorted(map(tuple, b[c].astype(str).values))
+
+
+def test_reference_features_by_the_class_of_words(spark):
+    """The SQL ends a word before any letter beyond ASCII."""
+    from folioscan.functions import text as T
+
+    d = spark.createDataFrame([("ESJALL DE. ÑDOI",), ("see doi: 10.1",)], "text string")
+    signal = lambda *word: [r.signal for r in T.reference_features(d, "text", *word).select("ref.signal").collect()]
+    assert signal() == [0, 1] and signal(T.ASCII_WORD) == [1, 1]
