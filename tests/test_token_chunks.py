@@ -63,3 +63,21 @@ def test_chunks_of_a_table(spark, count):
     got, _ = chunks.chunks_with_parents(d, "token", structure=False, size=100, overlap=10, tokenizer=PATH)
     rows = sorted((r.chunk_id, r.doc_idx, r.text) for r in got.collect())
     assert [r[0] for r in rows] == list(range(len(rows))) and {r[1] for r in rows} == {0, 1} and all(count(r[2]) <= 100 for r in rows) and len(rows) > 3
+
+
+def test_chunks_without_the_blanks_at_their_ends_fit(count):
+    """Capitals without the blank before them have more tokens than with it."""
+    for text in (" ".join(["Thor"] * 900), " ".join(["ÈEAU!!", "QUE.!!", "Ououçre", "DENKEITKEIT!!"] * 200)):
+        for size, overlap in ((500, 100), (40, 10), (7, 3)):
+            parts = arrow.split_recursively(text, size, overlap, count=arrow.token_counter(PATH))
+            assert max(map(count, parts)) <= size
+            assert set(text.split()) <= set(" ".join(parts).split()) or size < 10
+
+
+def test_only_what_is_split_goes_to_python(spark, monkeypatch):
+    """Whole parents stay in the JVM."""
+    seen = spark.createDataFrame([(0, "s", 1, "a b. " * 400), (1, "s", 1, "short")], "doc_idx long, source string, page int, text string")
+    cut = chunks.chunks(chunks.semantic_parents(seen), hard_max=1 << 30)
+    assert sorted(r.doc_idx for r in cut.collect()) == [0, 1]
+    plan = chunks.chunks(chunks.semantic_parents(seen))._jdf.queryExecution().optimizedPlan().toString()
+    assert any("CASE WHEN" in line and "split(" in line and "split(text" not in line for line in plan.splitlines())
