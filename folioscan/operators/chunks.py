@@ -55,7 +55,8 @@ def chunks(parents: DataFrame, strategy: str = "semantic_paper", size: int = SIZ
     a JSON file if one is named, else characters.
     """
     whole = F.length("text") <= max(hard_max, 800) if strategy == "semantic_paper" else F.lit(False)
-    parts = F.when(whole, F.array("text")).otherwise(F.when(~whole, splitter(size, overlap, tokenizer)(F.col("text"))))
+    # Python is sent what is to be split and nulls for the rest, as a function's rows are not chosen by the branch that it is in
+    parts = F.when(whole, F.array("text")).otherwise(splitter(size, overlap, tokenizer)(F.when(~whole, F.col("text"))))
     cut = parents.withColumn("__parts", parts).withColumn("__split", ~whole)
     cut = cut.withColumn("__parts", F.when(F.size("__parts") > 0, F.col("__parts")).otherwise(F.array("text"))) if strategy == "semantic_paper" else cut
     counts = cut.groupBy("doc_idx").agg(F.sum(F.size("__parts")).cast("long").alias("__n"))
