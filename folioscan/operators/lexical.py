@@ -5,7 +5,8 @@ of the mean over all terms.  Ties keep the order of the documents' ids.  Statist
 filter it first where they should follow a filter.
 
 Nothing that grows with the corpus's (document, term) pairs is shuffled.  Document frequencies are counted from each
-document's distinct terms, combined in each task; occurrences are counted only for the terms that questions ask.  `Index`
+document's distinct terms, combined in each task; `retrieve` scores within the documents' own tasks (`scoring`), and `bm25`
+gives every pair that shares a term, counting occurrences only for the terms that questions ask.  `Index`
 keeps both as plain tables; an index that follows upserts and deletes is in `segments`.
 """
 
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions.text import index_tokens, run_lengths, tokens
+from folioscan.operators.scoring import best_documents
+from folioscan.operators.settle import settled
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -107,9 +110,20 @@ def top_ranked(scored: DataFrame, k: int, score: str = "score", tie: str | Colum
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), tie)).cast("long")).where(F.col("rank") <= k)
 
 
+def best(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), scope: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score and the columns in `keep`) that hold each question's k best documents of more than zero; `scope` as
+    in `scoring.best_documents`."""
+    terms = corpus.select(F.col(doc_id).alias("doc_id"), *keep, index_tokens(F.col(text)).alias("terms"))
+    weights = settled(vocabulary(corpus, text).join(query_terms(queries), "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("w"), "mean_length"))
+    any_ = weights.first()
+    found = best_documents(terms, weights, any_["mean_length"], k, scope) if any_ else None
+    out = found if found is not None else terms.crossJoin(queries.select("query_id")).where("false").withColumn("score", F.lit(0.0))
+    return out.select("query_id", "doc_id", *keep, "score")
+
+
 def retrieve(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, doc_id, score, rank): cut to k first, then scores of zero or less go."""
-    return top_ranked(bm25(corpus, queries, doc_id, text), k).where("score > 0")
+    return top_ranked(best(corpus, queries, k, doc_id, text), k)
 
 
 def retrieve_indexed(index: Index, queries: DataFrame, k: int) -> DataFrame:

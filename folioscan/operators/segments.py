@@ -1,19 +1,19 @@
-"""A stored BM25 index that follows upserts and deletes, and prunes what can't reach a question's top k.
+"""A stored BM25 index that follows upserts and deletes.
 
 The index is a row of immutable segments kept by `Snapshots`; a change writes one more and a manifest.  A segment has
 
 - `documents` (doc_id, slot, dl, words): each document's distinct words with their counts,
-- `postings` (term, slot, most, least, docs), laid out by `bucket`, a hash of the term: a term's documents in a slot with
-  their counts and lengths, the largest count and the smallest length of them,
+- `postings` (term, slot, docs, tfs, dls), laid out by `bucket`, a hash of the term: a term's documents in a slot with their counts
+  and lengths; a slot that two tasks read has a row from each,
 - `terms` (term, df), laid out alike: what the change adds to a term's document frequency, below zero for what it takes away,
-- `dead` (doc_id, segment): documents of earlier segments that the change replaces or deletes.
+- `dead` (doc_id, segment, slot): documents of earlier segments that the change replaces or deletes.
 
 Frequencies, the number of documents and their length are sums over segments, so a change reads the words of the documents
 that it takes away and nothing else of older segments but the small `terms`, whose mean weight goes into the manifest.
 
-A slot holds about SLOT documents of like length.  `most` and `least` bound what a term adds to a score in its slot,
-whatever the mean length has become; their sum over a question's terms bounds the slot.  The slots with the best bounds are
-scored first, and only the others whose bound reaches the k-th score found there are read.  So pruning changes no result.
+A slot is up to SLOT documents that one task wrote, so postings are turned within the tasks that read the documents, without
+a shuffle.  Questions send the postings of asked terms to a task for each slot, which scores its documents for all questions
+and passes on the k best of each: what is shuffled doesn't grow with the number of questions times documents.
 
 Readers open the buckets of the asked terms alone.  Scores, ties and cuts are those of `lexical.retrieve` over the documents
 that are left: the results equal those of an index built anew.
@@ -24,28 +24,36 @@ deleting unknown ids changes nothing; an index without documents answers with no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.functions.text import index_tokens, run_lengths
-from folioscan.operators.lexical import B, FLOOR, K1, query_terms, top_ranked
+from folioscan.operators import scoring
+from folioscan.operators.lexical import FLOOR, query_terms, top_ranked
 from folioscan.operators.settle import settled
 from folioscan.sources.tables import Snapshots
 
-#: Documents of a slot, slots of a posting list that one task builds, and buckets of terms.
-SLOT, PART, BUCKETS = 64, 4096, 32
-#: Slots of each question that are scored first, and segments from which a change merges them.
-FIRST, SEGMENTS = 4, 8
+#: Documents of a slot (a power of two), and buckets of terms.
+SLOT, BUCKETS = 4096, 32
+#: Segments from which a change merges them; questions that were scored first when slots were pruned, kept for callers that set it.
+SEGMENTS, FIRST = 8, 4
+#: Of the tables: 2 has postings by the task that wrote a document.
+FORMAT = 2
 
 
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def _known_format(manifest: dict | None) -> None:
+    if manifest is not None and manifest.get("index_format") != FORMAT:
+        raise ValueError("an index of another format: build it anew")
 
 
-def _part(tf: Column, dl: Column, mean: float) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(mean)))
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 class Segments:
@@ -83,10 +91,11 @@ class Segments:
 
     def _change(self, rows: DataFrame | None, gone: DataFrame | None) -> None:
         base, now = self.store.current()
+        _known_format(now)
         now = now or {"segments": [], "buckets": self.buckets, "n_docs": 0, "length": 0, "tables": {}}
         if rows is not None:
             gone = rows.select("doc_id")
-        dead = settled(self._left(now, gone).select("doc_id", "dl", "words", "segment")) if now["segments"] else None
+        dead = settled(self._left(now, gone).select("doc_id", "dl", "words", "segment", "slot")) if now["segments"] else None
         if rows is None and (dead is None or dead.isEmpty()):
             return
         self._write(base, now, rows, dead)
@@ -106,21 +115,17 @@ class Segments:
         facts = {"n_docs": now["n_docs"], "length": now["length"]}
         delta = []
         if rows is not None:
-            documents = stage("documents", _slotted(settled(rows)))
+            row = F.monotonically_increasing_id()
+            documents = stage("documents", rows.select("doc_id", (row - F.pmod(row, F.lit(SLOT))).alias("slot"), "dl", "words"))
             added = documents.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"), F.count_distinct("doc_id").alias("ids")).first()
             if added["n"] != added["ids"]:
                 raise ValueError("a batch must not repeat ids")
             facts = {"n_docs": facts["n_docs"] + added["n"], "length": facts["length"] + added["length"]}
-            each = documents.select("doc_id", "slot", "dl", F.explode("words").alias("x")).select("doc_id", "slot", "dl", F.col("x.value").alias("term"), F.col("x.n").alias("tf"))
-            dealt = each.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("part", F.floor(F.col("slot") / PART))
-            blocks = (
-                dealt.repartition("bucket", "part").groupBy("bucket", "part", "term", "slot")
-                .agg(F.max("tf").alias("most"), F.min("dl").alias("least"), F.collect_list(F.struct("doc_id", "tf", "dl")).alias("docs")).drop("part")
-            )
-            stage("postings", blocks.sortWithinPartitions("bucket", "term", "slot"), "bucket")
-            delta.append(each.groupBy("term").agg(F.count("*").alias("df")))
+            turned = _turned(documents).withColumn("bucket", _bucket(F.col("term"), buckets))
+            postings = stage("postings", turned.sortWithinPartitions("bucket", "term", "slot"), "bucket")
+            delta.append(postings.groupBy("term").agg(F.sum(F.size("docs")).alias("df")))
         if dead is not None:
-            stage("dead", dead.select("doc_id", "segment"))
+            stage("dead", dead.select("doc_id", "segment", "slot"))
             taken = dead.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
             facts = {"n_docs": facts["n_docs"] - taken["n"], "length": facts["length"] - taken["length"]}
             delta.append(dead.select(F.explode("words").alias("x")).groupBy(F.col("x.value").alias("term")).agg((-F.count("*")).alias("df")))
@@ -131,7 +136,7 @@ class Segments:
         raw = F.log(F.lit(facts["n_docs"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         facts["mean_idf"] = terms.agg(F.avg(raw)).first()[0] or 0.0
         keep = [k for k in now["tables"] if int(k.rpartition("-")[2]) in now["segments"]]
-        self.store.publish(staged, keep, base, segments=[*now["segments"], n], last=n, buckets=buckets, **facts)
+        self.store.publish(staged, keep, base, segments=[*now["segments"], n], last=n, buckets=buckets, index_format=FORMAT, **facts)
 
     def _all(self, table: str, manifest: dict) -> DataFrame:
         """A table of all segments, with `segment`, read only where it is there."""
@@ -140,16 +145,17 @@ class Segments:
         if parts:
             return reduce(DataFrame.unionByName, parts)
         kind = "string" if table != "dead" else next((dict(df.dtypes)["doc_id"] for k, df in self.store.load_of(manifest, manifest["tables"]).items() if k.startswith("documents-")), "string")
-        return self.spark.createDataFrame([], {"dead": f"doc_id {kind}, segment int", "terms": "term string, df long, bucket int, segment int"}.get(table, f"doc_id {kind}, dl long, words array<struct<value: string, n: long>>, segment int"))
+        return self.spark.createDataFrame([], {"dead": f"doc_id {kind}, segment int, slot long", "terms": "term string, df long, bucket int, segment int"}.get(table, f"doc_id {kind}, slot long, dl long, words array<struct<value: string, n: long>>, segment int"))
 
     # ------------------------------------------------------------ questions
 
     def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, doc_id, score, rank): as `lexical.retrieve` over the documents that are left."""
         now = self.store.manifest()
+        _known_format(now)
         postings = {} if now is None else self.store.load_of(now, [t for t in now["tables"] if t.startswith("postings-")])
         if not postings or not now["n_docs"]:
-            kind = next((dict(df.select(F.explode("docs.doc_id").alias("d")).dtypes)["d"] for df in postings.values()), "string")
+            kind = next((df.schema["docs"].dataType.elementType.simpleString() for df in postings.values()), "string")
             return self.spark.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, doc_id {kind}, score double, rank long")
         asked = query_terms(queries).withColumn("bucket", _bucket(F.col("term"), now["buckets"]))
         asked = settled(asked)
@@ -157,41 +163,71 @@ class Segments:
         open_ = F.col("bucket").isin(wanted)
         df = self._all("terms", now).where(open_).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         raw = F.log(F.lit(now["n_docs"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        weights = settled(asked.join(df, "term").select("query_id", "term", "qf", F.when(raw < 0, FLOOR * now["mean_idf"]).otherwise(raw).alias("idf")))
-        mean = now["length"] / now["n_docs"]
-
-        blocks = self._all("postings", now).where(open_)
-        bound = F.greatest(F.lit(0.0), F.col("qf") * F.col("idf") * _part(F.col("most"), F.col("least"), mean))
-        slots = settled(blocks.select("segment", "term", "slot", "most", "least").join(weights, "term").groupBy("query_id", "segment", "slot").agg(F.sum(bound).alias("bound")))
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "slot"))
-        first = slots.withColumn("n", place).where(F.col("n") <= FIRST).drop("n")
-
-        def scored(chosen: DataFrame) -> DataFrame:
-            each = chosen.join(weights, "query_id").join(blocks.select("segment", "term", "slot", "docs"), ["segment", "term", "slot"])
-            hits = each.select("query_id", "segment", "qf", "idf", F.explode("docs").alias("d"))
-            part = F.col("qf") * F.col("idf") * _part(F.col("d.tf"), F.col("d.dl"), mean)
-            found = hits.groupBy("query_id", "segment", F.col("d.doc_id").alias("doc_id")).agg(F.round(F.sum(part), 6).alias("score"))
-            return found.join(self._all("dead", now), ["segment", "doc_id"], "left_anti").where("score > 0")
-
-        best = settled(top_ranked(scored(first), k))
-        least = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-        rest = slots.join(first.select("query_id", "segment", "slot"), ["query_id", "segment", "slot"], "left_anti").join(least, "query_id", "left")
-        rest = rest.where((F.col("bound") > 0) & (F.col("bound") >= F.coalesce(F.col("least"), F.lit(0.0)) - 1e-6))
-        both = best.drop("rank").unionByName(scored(rest.select("query_id", "segment", "slot")))
-        return top_ranked(both, k).select("query_id", "doc_id", "score", "rank")
-
-
-def _slotted(rows: DataFrame) -> DataFrame:
-    """(doc_id, slot, dl, words): slots of about SLOT documents each, dealt by hash within a class of lengths (four to an octave)."""
-    classed = rows.withColumn("class", F.floor(4 * F.log2(F.col("dl") + 1)).cast("int"))
-    sizes = sorted(classed.groupBy("class").count().collect())  # one row for each of some 150 classes
-    first, width, n = [], [], 0
-    for name, count in sizes:
-        slots = -(-count // SLOT)
-        first += [F.lit(name), F.lit(n)]
-        width += [F.lit(name), F.lit(slots)]
-        n += slots
-    if not sizes:
-        return rows.select("doc_id", F.lit(0).alias("slot"), "dl", "words")
-    at = F.pmod(F.xxhash64("doc_id"), F.create_map(*width)[F.col("class")].cast("long"))
-    return classed.select("doc_id", (F.create_map(*first)[F.col("class")] + at).cast("int").alias("slot"), "dl", "words")
+        idf = F.when(raw < 0, FLOOR * now["mean_idf"]).otherwise(raw)
+        weights = settled(asked.join(df, "term").select("query_id", "term", (F.col("qf") * idf).alias("w")))
+        blocks = self._all("postings", now).where(open_).select("segment", "slot", "term", "docs", "tfs", "dls")
+        dead = self._all("dead", now) if any(t.startswith("dead-") for t in now["tables"]) else None
+        kind = blocks.schema["docs"].dataType.elementType.simpleString()
+        parts = []
+        for batch, names in scoring.passes(weights, now["length"] / now["n_docs"]):
+            terms = F.broadcast(self.spark.createDataFrame([(t,) for t in batch.terms.to_pylist()], "term string"))  # one pass's terms
+            groups = blocks.join(terms, "term", "left_semi").groupBy("segment", "slot")
+            (alone, run), schema = _scorer(self.spark.sparkContext.broadcast(batch), k), f"q int, doc_id {kind}, score double"
+            found = groups.applyInArrow(alone, schema) if dead is None else groups.cogroup(dead.groupBy("segment", "slot")).applyInArrow(run, schema)
+            parts.append(scoring.named(found, names))
+        if not parts:
+            return self.spark.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, doc_id {kind}, score double, rank long")
+        return top_ranked(scoring.union(parts), k).select("query_id", "doc_id", "score", "rank")
+
+
+def _turned(documents: DataFrame) -> DataFrame:
+    """(term, slot, docs, tfs, dls) of the rows that a task reads."""
+    kind = documents.schema["doc_id"].dataType
+    schema = f"term string, slot long, docs array<{kind.simpleString()}>, tfs array<int>, dls array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, slots, dl = batch.column("words"), batch.column("slot").to_numpy(), batch.column("dl").to_numpy()
+            doc = np.repeat(np.arange(len(slots)), words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            flat = words.flatten()
+            coded = pc.struct_field(flat, [0]).dictionary_encode()
+            names, place = np.unique(slots, return_inverse=True)
+            key = place[doc] * np.int64(len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(key, kind="stable")
+            key, doc = key[order], doc[order]
+            starts = np.flatnonzero(np.diff(key, prepend=-1))
+            ends = pa.array(np.append(starts, len(key)), pa.int32())
+            listed = lambda values, ends=ends: pa.ListArray.from_arrays(ends, values)
+            first = key[starts]
+            n = max(1, len(coded.dictionary))
+            tf = pc.struct_field(flat, [1]).to_numpy(zero_copy_only=False)[order]
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(first % n)), pa.array(names[first // n], pa.int64()), listed(batch.column("doc_id").take(pa.array(doc))), listed(pa.array(tf, pa.int32())), listed(pa.array(dl[doc], pa.int32()))],
+                names=["term", "slot", "docs", "tfs", "dls"],
+            )
+
+    return documents.select("doc_id", "slot", "dl", "words").mapInArrow(run, schema)
+
+
+def _scorer(known, k: int):
+    def run(x: pa.Table, gone: pa.Table | None) -> pa.Table:
+        batch: scoring.Batch = known.value
+        x = x.combine_chunks()
+        one = lambda c: x[c].chunk(0) if x[c].num_chunks else pa.array([], x.schema.field(c).type)
+        docs = one("docs")
+        term = np.repeat(pc.index_in(one("term"), batch.terms).to_numpy(zero_copy_only=False), docs.value_lengths().to_numpy(zero_copy_only=False))
+        coded = docs.flatten().dictionary_encode()
+        doc, ids = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        tf, length = (one(c).flatten().to_numpy(zero_copy_only=False) for c in ("tfs", "dls"))
+        dl = np.ones(len(ids))
+        dl[doc] = length
+        if gone is not None and gone.num_rows:
+            left = ~pc.is_in(ids, gone["doc_id"].combine_chunks()).to_numpy(zero_copy_only=False)[doc]
+            term, doc, tf = term[left], doc[left], tf[left]
+        q, d, s = batch.best(ids, batch.scores(term, doc, tf, dl, len(ids)), k)
+        return pa.table({"q": pa.array(q, pa.int32()), "doc_id": ids.take(pa.array(d, pa.int64())), "score": pa.array(s)})
+
+    def alone(x: pa.Table) -> pa.Table:
+        return run(x, None)
+
+    return alone, run

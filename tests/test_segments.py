@@ -112,3 +112,17 @@ def test_snapshots_keep_tables(spark, tmp_path):
     s.prune()
     assert {k: df.count() for k, df in s.load().items()} == {"a": 3, "b": 5, "c": 1} and s.validate() == []
     assert first["snapshot"] in s.files.names() and "b" not in {x.name for x in (tmp_path / "set" / first["snapshot"]).iterdir()}
+
+
+def test_questions_are_scored_within_slots(spark, tmp_path, monkeypatch):
+    """What is shuffled for a batch's ranking is k rows of each slot and question, not a row for each question and document."""
+    rows = []
+    named = segments.scoring.named
+    monkeypatch.setattr(segments.scoring, "named", lambda found, names: rows.append(found) or named(found, names))
+    index = segments.Segments(spark, str(tmp_path / "index"))
+    texts = {i: "common " * (1 + i % 3) + f"filler{i}" for i in range(300)}
+    index.upsert(frame(spark, texts))
+    q = spark.createDataFrame([(i, "common filler7 filler8") for i in range(20)], "query_id long, text string")
+    assert rows_of(index.retrieve(q, 2)) == rows_of(lexical.retrieve(frame(spark, texts), q, 2))
+    slots = index._all("documents", index.store.manifest()).select("slot").distinct().count()
+    assert rows[0].count() <= 2 * 20 * slots < 300 * 20
