@@ -133,7 +133,7 @@ def bm25_index(spark, sf_dir):
     m, tables = index.store.manifest(), index.store.load()
     postings = next(df for name, df in tables.items() if name.startswith("postings"))
     terms = next(df for name, df in tables.items() if name.startswith("terms"))
-    found = postings.agg(F.sum(F.size("docs")).alias("n_postings")).crossJoin(terms.agg(F.count("*").alias("n_terms")))  # one row each
+    found = postings.where("term IS NOT NULL").agg(F.sum("n").alias("n_postings")).crossJoin(terms.agg(F.count("*").alias("n_terms")))  # one row each
     return found.select(F.lit(m["n_docs"]).cast("long").alias("n_docs"), F.lit(m["length"]).cast("long").alias("length"), "n_terms", "n_postings", F.round(F.lit(m["mean_idf"]), 9).alias("mean_idf"))
 
 

@@ -126,3 +126,31 @@ def test_questions_are_scored_within_slots(spark, tmp_path, monkeypatch):
     assert rows_of(index.retrieve(q, 2)) == rows_of(lexical.retrieve(frame(spark, texts), q, 2))
     slots = index._all("documents", index.store.manifest()).select("slot").distinct().count()
     assert rows[0].count() <= 2 * 20 * slots < 300 * 20
+
+
+def test_a_build_reads_texts_once_and_keeps_places(spark, tmp_path):
+    """Documents have no words of their own, postings have places and no ids; frequencies follow what is taken away."""
+    index = segments.Segments(spark, str(tmp_path / "index"), buckets=4)
+    known = {i: text_of(random.Random(i)) for i in range(70)}
+    index.upsert(frame(spark, known))
+    tables = index.store.load()
+    assert tables["documents-000001"].columns == ["doc_id", "slot", "at", "dl"]
+    own = tables["postings-000001"].where("term IS NULL")
+    assert own.selectExpr("sum(n)").first()[0] == 70 and tables["postings-000001"].where("term IS NOT NULL AND docs IS NOT NULL").isEmpty()
+    index.upsert(frame(spark, {3: "w1 new new", 68: None}))
+    index.delete(spark.createDataFrame([(i,) for i in range(0, 66, 2)], "doc_id long"))
+    left = {i: t for i, t in (known | {3: "w1 new new", 68: None}).items() if i % 2 or i >= 66}
+    held = index._all("terms", index.store.manifest()).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+    counted = lexical.term_counts(frame(spark, left)).select("term", "df")
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, counted.collect()))
+    words = index._words(index.store.manifest()).selectExpr("doc_id", "inline(words)")
+    assert sorted(map(tuple, words.collect())) == sorted(map(tuple, lexical.term_frequencies(frame(spark, left)).select("doc_id", "term", "tf").collect()))
+
+
+def test_words_beyond_a_piece_and_slots_within_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    terms = pa.array([["a"] * 3, ["b"], None, ["c"] * 9, ["d"]])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array([2, 3, 4, 5, 6]), terms], names=["doc_id", "row", "terms"])
+    monkeypatch.setattr(segments, "TURNED", 4)
+    assert [p.column("doc_id").to_pylist() for p in segments._pieces(batch, 4)] == [[1, 2], [3], [4], [5]]
