@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
 from folioscan.operators.folds import fit_texts
+from folioscan.operators.settle import settled, side
 
 
 def section_summaries(parents: DataFrame, limit: int = 700) -> DataFrame:
@@ -101,6 +102,15 @@ def papers(blocks: DataFrame, sections: DataFrame, citations: DataFrame, abstrac
     return joined.select("doc_id", "title", "year", "authors", "venue", "pages", F.transform("s", lambda x: x["section"]).alias("sections"), F.coalesce("n_citations", F.lit(0)).alias("n_citations"), "abstract", T.truncate(parts, limit).alias("summary"))
 
 
+def first_texts(rows: DataFrame, key: str, order: str = "doc_id") -> DataFrame:
+    """(key, text) of the row with the smallest `order` of each key; without one the text is null.  The smallest is found
+    first, so that texts are read where they are and not sorted or shuffled."""
+    firsts = settled(rows.groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__first")))
+    mine = rows.select(key, order, "text").join(side(firsts), F.col(key).eqNullSafe(F.col("__key")) & (F.col(order) == F.col("__first")))
+    found = mine.groupBy("__key").agg(F.any_value("text").alias("text")).withColumnRenamed("__key", "__k")
+    return firsts.join(found, F.col("__key").eqNullSafe(F.col("__k")), "left").select(F.col("__key").alias(key), "text")
+
+
 def expand_to_parents(ranked: DataFrame, parents: DataFrame, n: int = 3, chars: int = 2200) -> DataFrame:
     """(query_id, parent_id, rank, text): the parents of ranked chunks, first chunk each, n per question, cut to `chars`."""
     joined = ranked.join(parents.select("parent_id", F.col("text").alias("parent_text")), "parent_id", "left")

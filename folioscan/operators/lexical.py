@@ -45,7 +45,8 @@ def vocabulary(corpus: DataFrame, text: str = "text") -> DataFrame:
     # the first word of each document also carries the document and its length, so that no second pass is needed
     each = t.select(F.size("terms").alias("dl"), F.posexplode(F.array_distinct("terms")).alias("i", "term"))
     first = F.col("i") == 0
-    df = each.groupBy("term").agg(F.count("*").alias("df"), F.count_if(first).alias("docs"), F.sum(F.when(first, F.col("dl")).otherwise(0)).alias("length"))
+    # settled, as the corpus would be read again for each of the two rows of statistics and once more for the terms
+    df = settled(each.groupBy("term").agg(F.count("*").alias("df"), F.count_if(first).alias("docs"), F.sum(F.when(first, F.col("dl")).otherwise(0)).alias("length")))
     every = df.agg(F.sum("docs").alias("n_docs"), (F.sum("length") / F.sum("docs")).alias("mean_length"))
     raw = df.crossJoin(F.broadcast(every)).select("term", "df", "n_docs", "mean_length", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
     mean = raw.agg(F.avg("raw").alias("mean_idf"))

@@ -36,3 +36,9 @@ def side(df: DataFrame, most: int = FEW) -> DataFrame:
     """A settled table as a join's side: sent to all executors if it has few rows, which are counted, and never otherwise; Spark
     takes the size of an exploded table for that of its source, and would send millions of rows through the driver."""
     return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
+def detailed(ranked: DataFrame, rows: DataFrame, on: str = "doc_id") -> DataFrame:
+    """Ranked rows with the columns of `rows`, each found once: they are settled and, where few, sent to the tasks that read
+    `rows`, so that no texts are shuffled."""
+    return rows.join(side(settled(ranked)), on)

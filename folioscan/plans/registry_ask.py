@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
 from folioscan.functions import vocabulary as V
-from folioscan.operators import evaluate, fusion
+from folioscan.operators import assets, evaluate, fusion
 from folioscan.plans import analysis, flow
 from folioscan.plans.registry import OUT, TOK, WS, bm25_sql, docs, query, questions, ranked, table
 
@@ -73,7 +73,8 @@ def rrf_multi_variant(spark, sf_dir):
 
 
 def _papers(spark, sf_dir):
-    return docs(spark, sf_dir).groupBy(F.col("source").alias("doc_id")).agg(F.min_by("text", "doc_id").alias("summary"))
+    first = assets.first_texts(docs(spark, sf_dir), "source")
+    return first.select(F.col("source").alias("doc_id"), F.col("text").alias("summary"))
 
 
 ROUTE = """SELECT item_id AS query_id, CASE WHEN contains(l, 'cite') OR contains(l, 'references') OR contains(l, 'reference list') THEN 'references'
@@ -99,8 +100,8 @@ def ask_evidence(spark, sf_dir):
 
 @query(ASK + " SELECT query_id, rank, doc_id AS paper_id FROM pr JOIN plan USING (query_id) WHERE rank <= paper_k")
 def ask_papers(spark, sf_dir):
-    got = flow.ask(questions(spark, sf_dir), _chunks(spark, sf_dir), _papers(spark, sf_dir), analysis.Settings(variants=1), use_reranker=False)
-    return got["papers"].select("query_id", "rank", "paper_id")
+    """The flow's first step alone: chunks are ranked after it."""
+    return flow.recall_papers(questions(spark, sf_dir), _papers(spark, sf_dir), analysis.Settings(variants=1))[1].select("query_id", "rank", "paper_id")
 
 
 @query(f"""WITH {bm25_sql(k=15)}, b AS ({OUT}), qe AS (SELECT item_id AS query_id, list_sort(list_distinct({TOK.format('text')}))[1:2] AS es FROM benchmark),
