@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
 from folioscan.operators import assets, cells, dense, evaluate, folds, fusion, incremental, lexical, matching, segments
-from folioscan.operators.settle import shared_folder
+from folioscan.operators.settle import detailed, shared_folder
 from folioscan.plans import analysis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,7 +238,7 @@ def diversify_by_source(spark, sf_dir):
 
 @query(f"""WITH {bm25_sql(k=30)}, b AS ({OUT}) SELECT query_id, source, doc_id, rank FROM b JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) = 1""")
 def dedupe_by_key(spark, sf_dir):
-    r = ranked(spark, sf_dir, 30).join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    r = detailed(ranked(spark, sf_dir, 30), docs(spark, sf_dir).select("doc_id", "source"))
     return fusion.one_per_key(r, "source").select("query_id", "source", "doc_id", "rank")
 
 
