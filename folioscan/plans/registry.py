@@ -232,7 +232,7 @@ def threshold_quantile(spark, sf_dir):
 @query(f"""WITH {bm25_sql(k=30)}, b AS ({OUT}), s AS (SELECT b.*, source, CASE WHEN row_number() OVER (PARTITION BY query_id, source ORDER BY rank) > 2 THEN 1 ELSE 0 END AS o FROM b JOIN documents USING (doc_id))
 SELECT query_id, doc_id, source, rank, row_number() OVER (PARTITION BY query_id ORDER BY o, rank) AS position FROM s QUALIFY position <= 8""")
 def diversify_by_source(spark, sf_dir):
-    r = ranked(spark, sf_dir, 30).join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    r = detailed(ranked(spark, sf_dir, 30), docs(spark, sf_dir).select("doc_id", "source"))
     return fusion.diversify(r, 8).select("query_id", "doc_id", "source", "rank", "position")
 
 
@@ -501,5 +501,5 @@ def hash_embedding(spark, sf_dir):
 @query(f"""WITH {bm25_sql(k=15)}, b AS ({OUT}), s AS (SELECT b.*, CASE WHEN row_number() OVER (PARTITION BY query_id, source ORDER BY rank) > 1 THEN 1 ELSE 0 END AS o FROM b JOIN documents USING (doc_id))
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY o, rank) AS position, rank, doc_id FROM s QUALIFY position <= 5""")
 def evidence_select(spark, sf_dir):
-    r = ranked(spark, sf_dir, 15).join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    r = detailed(ranked(spark, sf_dir, 15), docs(spark, sf_dir).select("doc_id", "source"))
     return fusion.select_evidence(r.withColumn("identity", F.col("doc_id")).withColumn("bucket", F.col("source")), 5).select("query_id", "position", "rank", "doc_id")
