@@ -382,9 +382,8 @@ def citation_edges(spark, sf_dir):
 f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) = 1)
 SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, CASE WHEN len(text) > 2200 THEN left(text, 2200) || chr(10) || '...[truncated]' ELSE text END AS text FROM f LEFT JOIN t USING (parent_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.rank) <= 3""")
 def parent_expand(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    parents = d.groupBy(F.col("source").alias("parent_id")).agg(F.min_by("text", "doc_id").alias("text"))
-    return assets.expand_to_parents(ranked(spark, sf_dir).join(d.select("doc_id", F.col("source").alias("parent_id")), "doc_id"), parents)
+    d = docs(spark, sf_dir).withColumnRenamed("source", "parent_id")
+    return assets.expand_to_parents(detailed(ranked(spark, sf_dir), d.select("doc_id", "parent_id")), assets.first_texts(d, "parent_id"))
 
 
 def _old_new(spark, sf_dir):
