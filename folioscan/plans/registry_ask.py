@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscan.functions import text as T
 from folioscan.functions import vocabulary as V
 from folioscan.operators import assets, evaluate, fusion
+from folioscan.operators.settle import detailed, settled
 from folioscan.plans import analysis, flow
 from folioscan.plans.registry import OUT, TOK, WS, bm25_sql, docs, query, questions, ranked, table
 
@@ -113,8 +114,8 @@ t AS (SELECT *, CASE WHEN e IS NOT NULL THEN 0 WHEN row_number() OVER (PARTITION
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY tier, coalesce(e, 0), rank) AS position, rank, doc_id FROM t QUALIFY position <= 6""")
 def entity_coverage(spark, sf_dir):
     q = questions(spark, sf_dir).select("query_id", F.slice(F.array_sort(F.array_distinct(T.tokens(F.col("text")))), 1, 2).alias("entities"))
-    r = ranked(spark, sf_dir, 15).join(docs(spark, sf_dir).select("doc_id", "source", "text"), "doc_id").join(q, "query_id")
-    return fusion.cover_entities(r, 6).select("query_id", "position", "rank", "doc_id")
+    r = settled(detailed(ranked(spark, sf_dir, 15), docs(spark, sf_dir).select("doc_id", "source", "text")))
+    return fusion.cover_entities(r.join(q, "query_id"), 6).select("query_id", "position", "rank", "doc_id")
 
 
 @query("""WITH q AS (SELECT c_custkey AS query_id, c_custkey % 4 AS k, c_nationkey FROM customer), p AS (SELECT n_nationkey AS doc_id, n_name, 1990 + n_nationkey AS year, r_name FROM nation JOIN region ON r_regionkey = n_regionkey)
