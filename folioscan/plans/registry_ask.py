@@ -172,6 +172,6 @@ x AS (SELECT query_id, doc_id, 0 AS tier, rank AS o FROM p UNION ALL SELECT r.qu
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY tier, o) AS rank FROM x QUALIFY rank <= 6""")
 def entity_fill(spark, sf_dir):
     """The three best rows, with entities that they lack from the next nine."""
-    r = ranked(spark, sf_dir, 12).join(docs(spark, sf_dir).select("doc_id", F.lower(F.substring("text", 1, 3000)).alias("hay")), "doc_id")
+    r = settled(detailed(ranked(spark, sf_dir, 12), docs(spark, sf_dir).select("doc_id", F.lower(F.substring("text", 1, 3000)).alias("hay"))))
     e = questions(spark, sf_dir).select("query_id", F.posexplode(F.array(*map(F.lit, ("the", "zzz", "eau", "und")))).alias("e", "entity"))
     return fusion.fill_entities(r.where("rank <= 3"), r.where("rank > 3"), e, 6)
