@@ -37,9 +37,13 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(text_or_empty(c), r"(?U)\s+", " "))
 
 
+#: Unicode's white space, as the pattern (?U)\\s has it.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without (Unicode) white space at either end; null is empty."""
-    return F.regexp_replace(text_or_empty(c), r"(?U)^\s+|\s+$", "")
+    return F.trim(text_or_empty(c), F.lit(WHITE))
 
 
 def norm(c: Column) -> Column:

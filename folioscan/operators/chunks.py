@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
-from folioscan.functions.arrow import splitter
+from folioscan.functions.arrow import sized_splitter, splitter
 from folioscan.operators.folds import structure_blocks
 
 SIZE, OVERLAP, HARD_MAX, LEAST_BLOCK = 500, 100, 2400, 120
@@ -47,6 +47,11 @@ def block_parents(documents: DataFrame, structure: bool = True, least: int = LEA
     return each.withColumns({"parent_id": _parent_id(F.col("structure_block_id")), "chunk_strategy": F.lit("token")})
 
 
+def sized_parts(parents: DataFrame, tokenizer: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Parents with the texts of all their chunks by tokens (parts) and these texts' tokens (sizes): nothing is moved or numbered."""
+    return parents.withColumn("__cut", sized_splitter(size, overlap, tokenizer)("text")).withColumns({"parts": F.col("__cut.parts"), "sizes": F.col("__cut.sizes")}).drop("__cut")
+
+
 def chunks(parents: DataFrame, strategy: str = "semantic_paper", size: int = SIZE, overlap: int = OVERLAP, hard_max: int = HARD_MAX, tokenizer: str | None = None) -> DataFrame:
     """Chunks of parents with chunk_id, their number in the order of documents and blocks, and chunk_uid.
 

@@ -5,10 +5,13 @@ import re
 
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folioscan.functions import arrow
+from folioscan.functions import text as T
 from folioscan.operators import chunks
+from folioscan.plans import registry_ingest
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -81,3 +84,60 @@ def test_only_what_is_split_goes_to_python(spark, monkeypatch):
     assert sorted(r.doc_idx for r in cut.collect()) == [0, 1]
     plan = chunks.chunks(chunks.semantic_parents(seen))._jdf.queryExecution().optimizedPlan().toString()
     assert any("CASE WHEN" in line and "split(" in line and "split(text" not in line for line in plan.splitlines())
+
+
+ODD = ["a", "B", "é", "中", "1", "²", "Ⅷ", "'s", "'", "'ll", ".", "...", ",", "-", "_", " ", " ", " ", "  ", "\n", "\t", "\r", "\xa0", "\u3000", "\x1c", "\x85", "\u200b", "\u180e", "\ufeff", "<|endoftext|>", "😀", "\u0301", "\x00", "𝒜"]
+
+
+def test_words_are_counted_as_the_tokenizer_does(count):
+    r = random.Random(1)
+    texts = ["".join(r.choice(ODD) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    assert arrow.token_counter(PATH)(texts) == list(map(count, texts))
+
+
+def test_words_are_encoded_once(monkeypatch):
+    """A word that comes again is looked up, whatever text it stands in, and no text is encoded whole."""
+    asked = []
+
+    class Watched(arrow._Counted):
+        def __init__(self, encode, *more):
+            super().__init__(lambda s: asked.append(s) or encode(s), *more)
+
+    monkeypatch.setattr(arrow, "_Counted", Watched)
+    seen = arrow.token_counter.__wrapped__(PATH)
+    text = " ".join(["river", "Überlauf", "and."] * 400)
+    arrow.split_recursively(text, 50, 10, count=seen)
+    assert 0 < len(asked) <= 10 and max(map(len, asked)) < 12
+
+
+def test_words_are_forgotten_when_there_are_many(count, monkeypatch):
+    monkeypatch.setattr(arrow, "WORDS", 3)
+    texts = ["a b c d e f, g. a b", "x" * 100 + " a x"]
+    assert arrow.token_counter.__wrapped__(PATH)(texts) == list(map(count, texts))
+
+
+def test_other_tokenizers_count_whole_texts():
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    texts = [text_of(i) for i in range(5)]
+    assert arrow.token_counter(path)(texts) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_chunks_by_tokens_splits_within_rows(spark, tmp_path, count):
+    """Each document is split once and nothing is shuffled; sizes are those of the chunks as they are."""
+    texts = [text_of(1) * 30, "short", "  ", None, text_of(2) * 3]
+    spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = registry_ingest.chunks_by_tokens(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan and "Join" not in plan
+    assert sorted(map(tuple, df.collect())) == [(0, True, True), (1, True, True), (4, True, True)]
+    cut = chunks.sized_parts(chunks.block_parents(spark.createDataFrame([(0, "s", 1, texts[0])], "doc_idx long, source string, page int, text string"), structure=False), PATH, 100, 10).first()
+    assert cut.parts == arrow.split_recursively(texts[0].strip(), 100, 10, count=arrow.token_counter(PATH)) and cut.sizes == list(map(count, cut.parts))
+
+
+def test_strip_as_the_pattern_does(spark):
+    r = random.Random(2)
+    rows = [("".join(r.choice([*T.WHITE, "a", "é", "中", "\x1c", "\u200b", "\u180e", "\ufeff", "\x00"]) for _ in range(r.randint(0, 9))),) for _ in range(3000)] + [(None,), ("",)]
+    d = spark.createDataFrame(rows, "t string")
+    assert d.where(T.strip(F.col("t")) != F.regexp_replace(F.coalesce("t", F.lit("")), r"(?U)^\s+|\s+$", "")).count() == 0
