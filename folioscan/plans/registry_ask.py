@@ -164,14 +164,17 @@ def row_fingerprints(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", fusion.fingerprint(F.col("text"), F.col("source"), F.col("lang")).alias("fingerprint"))
 
 
-@query(f"""WITH {bm25_sql(k=12)}, b AS ({OUT}), c AS (SELECT b.*, lower(left(text, 3000)) AS hay FROM b JOIN documents USING (doc_id)), p AS (SELECT * FROM c WHERE rank <= 3), r AS (SELECT * FROM c WHERE rank > 3),
+@query(f"""WITH {bm25_sql(k=12)}, b AS ({OUT}), c AS (SELECT b.*, lower(text) AS hay FROM b JOIN documents USING (doc_id)), p AS (SELECT * FROM c WHERE rank <= 3), r AS (SELECT * FROM c WHERE rank > 3),
 e AS (SELECT item_id AS query_id, unnest(['the', 'zzz', 'eau', 'und']) AS entity, unnest([0, 1, 2, 3]) AS e FROM benchmark),
 m AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.query_id = e.query_id AND contains(hay, entity))),
 f AS (SELECT query_id, doc_id, min(e) AS e FROM (SELECT r.query_id, m.e, min_by(doc_id, rank) AS doc_id FROM r JOIN m ON m.query_id = r.query_id AND contains(hay, entity) GROUP BY ALL) GROUP BY ALL),
 x AS (SELECT query_id, doc_id, 0 AS tier, rank AS o FROM p UNION ALL SELECT r.query_id, r.doc_id, CASE WHEN f.e IS NULL THEN 2 ELSE 1 END, coalesce(f.e, r.rank) FROM r LEFT JOIN f ON f.query_id = r.query_id AND f.doc_id = r.doc_id)
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY tier, o) AS rank FROM x QUALIFY rank <= 6""")
 def entity_fill(spark, sf_dir):
-    """The three best rows, with entities that they lack from the next nine."""
-    r = settled(detailed(ranked(spark, sf_dir, 12), docs(spark, sf_dir).select("doc_id", F.lower(F.substring("text", 1, 3000)).alias("hay"))))
-    e = questions(spark, sf_dir).select("query_id", F.posexplode(F.array(*map(F.lit, ("the", "zzz", "eau", "und")))).alias("e", "entity"))
+    """The three best rows, with entities that they lack from the next nine; a row keeps which entities its whole text names."""
+    names = ("the", "zzz", "eau", "und")
+    r = detailed(ranked(spark, sf_dir, 12), docs(spark, sf_dir).select("doc_id", "text"))
+    hay = F.array_join(F.filter(F.array(*map(F.lit, names)), lambda x: F.contains(F.lower("text"), x)), "\n")
+    r = settled(r.select("query_id", "doc_id", "rank", hay.alias("hay")))
+    e = questions(spark, sf_dir).select("query_id", F.posexplode(F.array(*map(F.lit, names))).alias("e", "entity"))
     return fusion.fill_entities(r.where("rank <= 3"), r.where("rank > 3"), e, 6)

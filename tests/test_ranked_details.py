@@ -1,5 +1,6 @@
 """Ranked rows meet their documents where these are read: no text is shuffled, sorted or read twice."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from folioscan.operators import assets, lexical
@@ -44,6 +45,19 @@ def test_entities_are_looked_for_in_texts_read_once(spark):
         assert "documents.parquet" not in plan(df) and df.count() > 0
 
 
+def test_entities_are_looked_for_in_whole_texts(spark, tmp_path):
+    """The only row that names an entity does so far behind the beginning of its text."""
+    filler = " river" * 2000
+    rows = [(i, "s", "en", f"delta delta{filler}") for i in range(1, 8)] + [(8, "s", "en", f"delta{filler} eau")] + [(i, "s", "en", "other") for i in range(9, 40)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "delta")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((r.query_id, r.doc_id, r["rank"]) for r in registry.QUERIES["entity_fill"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert (1, 8, 4) in got and len(got) == 6 and got == sorted(con.sql(registry.ORACLES["entity_fill"]).fetchall())
+
+
 def test_first_texts(spark):
     rows = [("a", 3, "third"), ("a", 1, "first"), ("a", None, "none"), (None, 2, "second"), (None, 5, "x"), ("b", None, "no id"), ("c", 1, None), ("c", 2, "later")]
     t = spark.createDataFrame(rows, "source string, doc_id long, text string")
